@@ -1,0 +1 @@
+"""Plans of the library, all expressed on DataFrames."""

@@ -1,0 +1 @@
+"""Sources of the library, all expressed on DataFrames."""
