@@ -8,10 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamella.llm.exact_dedup import exact_dedup
+from lamella.llm.lz_dedup import remove_duplicates
+from lamella.llm.media import stored_and_probed
 from lamella.llm.mixing import mix
 from lamella.llm.packing import packed
 from lamella.llm.quality import classify
 from lamella.llm.simhash import near_copies
+from lamella.llm.suffix_dedup import remove_repeats
+from lamella.llm.toxicity import score_toxicity
+from lamella.llm.warc import written_and_read
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +28,25 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("row.doc_id", "size", "source_size", "target", "taken", F.col("positions")[0].alias("position"), F.col("positions")[1].alias("repeat_position")).orderBy("position")
 
 
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probed = stored_and_probed(table(spark, sf_dir, "documents"))
+    keys = F.concat_ws(",", F.transform("keyframes", lambda k: F.concat_ws("+", k["offset"], k["size"])))
+    feature = F.concat_ws(";", "codec", F.concat("duration", F.lit("/"), "timescale"), F.concat(F.size("keyframes"), F.lit("/"), "samples"), F.sha2(keys, 256))
+    return probed.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+
+
+def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def op4_lempel_ziv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -31,6 +55,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return written_and_read(table(spark, sf_dir, "pages"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
@@ -42,8 +70,13 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_media": op2_media,
+    "op3_suffix_array": op3_suffix_array,
+    "op4_lempel_ziv": op4_lempel_ziv,
+    "op5_toxicity": op5_toxicity,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_simhash": op7_simhash,
+    "op8_warc": op8_warc,
     "op9_packing": op9_packing,
     "op10_quality": op10_quality,
 }
@@ -93,4 +126,25 @@ FROM takes""",
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept,
        sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+    "op8_warc": """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS digest FROM pages),
+q AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY digest) ELSE page_id END AS first FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
+       CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM q""",
+    "op4_lempel_ziv": r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS g
+  FROM words, unnest(range(1, greatest(len(w) - 11, 1))) AS t(i) WHERE len(w) >= 13),
+first AS (SELECT g, min(doc_id) AS m FROM windows GROUP BY g HAVING count(*) > 1),
+covered AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS j FROM windows JOIN first USING (g) WHERE m < doc_id),
+removed AS (SELECT doc_id, list(j) AS js FROM covered GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(js), 0)::BIGINT AS n_removed,
+       sha256(array_to_string(CASE WHEN js IS NULL THEN w ELSE list_filter(w, lambda x, k: NOT list_contains(js, k)) END, ' ')) AS kept_sha256
+FROM words LEFT JOIN removed USING (doc_id)""",
 }
