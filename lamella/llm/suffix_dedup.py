@@ -22,6 +22,8 @@ from lamella.llm.recurrence import DONE, FOUND, RUN, Spec, intervals, recurring,
 
 WINDOW = 400
 SHARD = 1 << 20
+#: Suffixes that advance one after another in Kasai's method; longer runs are taken in pieces.
+PIECE = 32
 
 
 def _units(texts: pa.Array):
@@ -57,15 +59,17 @@ def words8(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def suffix_array(word: np.ndarray, depth: int) -> np.ndarray:
+def suffix_array(word: np.ndarray, depth: int, ahead_of: np.ndarray | None = None) -> np.ndarray:
     """Rank of each suffix by its first ``depth`` bytes (at least 8), equal ones ranking alike: Larsson-Sadakane.
 
     A rank is the place of the first suffix of its group in sorted order. Only groups that are still tied are sorted
     again, by the ranks of the suffixes ``h`` further on; near the end the step is shorter, so no more than ``depth``
     bytes count. Suffixes nearer to the end than ``depth`` get ranks of what follows them there, padded with zeros.
+    ``ahead_of`` says how many bytes each suffix lies beyond the last one wanted (0: it is wanted); suffixes beyond are
+    refined only as deep as those before them look.
     """
     n = len(word)
-    order = np.argsort(word, kind="stable")
+    order = np.argsort(word)
     rank = np.empty(n, np.int64)
 
     def regroup(slots: np.ndarray, suffixes: np.ndarray, new: np.ndarray) -> np.ndarray:
@@ -80,9 +84,12 @@ def suffix_array(word: np.ndarray, depth: int) -> np.ndarray:
     slots, suffixes, h = np.flatnonzero(tied), order[tied], 8
     while h < depth and len(suffixes):
         step = min(h, depth - h)
+        if ahead_of is not None:
+            needed = ahead_of[suffixes] <= depth - h - step
+            slots, suffixes = slots[needed], suffixes[needed]
         ahead = suffixes + step
         key = rank[suffixes] << 32 | np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         suffixes, key = suffixes[order], key[order]
         tied = regroup(slots, suffixes, np.concatenate(([True], key[1:] != key[:-1])))
         slots, suffixes, h = slots[tied], suffixes[tied], h + step
@@ -104,15 +111,19 @@ def _extend(word: np.ndarray, a: np.ndarray, b: np.ndarray, h: np.ndarray, depth
     return h
 
 
-def common_prefixes(word: np.ndarray, begin: np.ndarray, count: np.ndarray, sa: np.ndarray, depth: int) -> np.ndarray:
+def common_prefixes(word: np.ndarray, begin: np.ndarray, count: np.ndarray, sa: np.ndarray, depth: int, rank: np.ndarray) -> np.ndarray:
     """Kasai's common prefix of each entry of ``sa`` with the one before it, for the ``count`` suffixes from each ``begin``.
 
     All runs advance together, one suffix a step; a prefix carries over less one while the neighbour advances with it.
+    Neighbours that the refinement to ``depth`` left tied (equal in ``rank``) share it whole.
     """
     previous = np.full(len(word) + 1, -1, np.int64)
     previous[sa[1:]] = sa[:-1]
     last = np.zeros(len(word) + 1, bool)
     last[begin + count - 1] = True
+    pieces = -(-count // PIECE)
+    part = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    begin, count = np.repeat(begin, pieces) + part * PIECE, np.minimum(np.repeat(count, pieces) - part * PIECE, PIECE)
     lcp = np.zeros(len(word) + 1, np.int64)
     h, before = np.zeros(len(begin), np.int64), np.full(len(begin), -1, np.int64)
     for t in range(int(count.max(initial=0))):
@@ -123,6 +134,9 @@ def common_prefixes(word: np.ndarray, begin: np.ndarray, count: np.ndarray, sa:
         start = np.where(valid, np.maximum(h[run] - 1, 0), 0)
         some = j >= 0
         start[~some] = 0
+        tied = some & (rank[i] == rank[j])
+        start[tied] = depth
+        some &= ~tied
         start[some] = _extend(word, i[some], j[some], start[some], depth)
         lcp[i], h[run], before[run] = start, start, j
     return lcp[sa]
@@ -161,17 +175,18 @@ def merge(word: np.ndarray, old: np.ndarray, new: np.ndarray) -> tuple[np.ndarra
 class Shard:
     """Runs put together: their windows in sorted order and which of them repeat within the shard."""
 
-    def __init__(self, runs: list[tuple[int, bytes, int, int, int]]):
+    def __init__(self, runs: list[tuple[int, bytes, int, int]]):
         self.runs = runs
         self.data = np.frombuffer(b"".join(r[1] for r in runs), np.uint8)
         length = np.array([len(r[1]) for r in runs])
         self.begin = np.cumsum(length) - length
         self.count = length - WINDOW + 1
         self.word = words8(self.data)
-        rank = suffix_array(self.word, WINDOW)
+        ahead = np.concatenate([np.zeros(0, np.int64), np.arange(len(self.data)) - np.repeat(self.begin + self.count - 1, length)])
+        rank = suffix_array(self.word, WINDOW, ahead)
         at = np.repeat(self.begin - np.cumsum(self.count) + self.count, self.count) + np.arange(self.count.sum())
         self.sa = at[np.argsort(rank[at], kind="stable")]
-        lcp = common_prefixes(self.word, self.begin, self.count, self.sa, WINDOW)
+        lcp = common_prefixes(self.word, self.begin, self.count, self.sa, WINDOW, rank)
         same = lcp >= WINDOW
         same[:1] = False
         self.group = np.cumsum(~same) - 1
@@ -194,7 +209,7 @@ class Shard:
 
     def results(self) -> Iterator[tuple[int, int, int]]:
         """``(rid, first, last)`` of marked windows."""
-        for (_, _, rid, first, _), b, n in zip(self.runs, self.begin.tolist(), self.count.tolist(), strict=True):
+        for (_, _, rid, first), b, n in zip(self.runs, self.begin.tolist(), self.count.tolist(), strict=True):
             flags = np.concatenate(([False], self.marked[b : b + n], [False]))
             edges = np.flatnonzero(flags[1:] != flags[:-1])
             for a, z in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
@@ -231,19 +246,33 @@ class Merged:
 def resolve(batches: Iterator[pa.RecordBatch], shard_bytes: int = SHARD) -> Iterator[pa.RecordBatch]:
     """Ranges of repeated windows of runs ``(key, body, rid, first)`` that come sorted by key."""
 
+    again: list[tuple[int, int, int]] = []
+
     def out(shards: list[Shard]) -> Iterator[pa.RecordBatch]:
-        rows = [r for s in shards for r in s.results()]
+        rows = [*again, *(r for s in shards for r in s.results())]
+        again.clear()
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["rid", "first", "last"])
 
     def shards() -> Iterator[Shard]:
-        runs, size = [], 0
+        """Distinct runs; of a run that comes again every place is a repeat."""
+        runs, size, now, seen = [], 0, None, {}
         for batch in batches:
             for key, body, rid, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != now:
+                    now, seen = key, {}
+                last = first + len(body) - WINDOW
+                if body in seen:
+                    if seen[body]:
+                        again.append(seen[body])
+                        seen[body] = None
+                    again.append((rid, first, last))
+                    continue
+                seen[body] = (rid, first, last)
                 if runs and (size + len(body) > 4 * shard_bytes or size >= shard_bytes):
                     yield Shard(runs)
                     runs, size = [], 0
-                runs.append((key, body, rid, first, 0))
+                runs.append((key, body, rid, first))
                 size += len(body)
         if runs:
             yield Shard(runs)

@@ -160,7 +160,7 @@ def test_suffix_array_and_prefixes():
         begin, count = np.array([0, 200]), np.array([150, n - depth - 200])
         at = np.concatenate([b + np.arange(c) for b, c in zip(begin, count, strict=True)])
         sa = at[np.argsort(rank[at], kind="stable")]
-        lcp = suffix_dedup.common_prefixes(word, begin, count, sa, depth)
+        lcp = suffix_dedup.common_prefixes(word, begin, count, sa, depth, rank)
         for k in range(1, len(sa)):
             a, b = text[sa[k - 1] : sa[k - 1] + depth], text[sa[k] : sa[k] + depth]
             assert min(lcp[k], depth) == next((i for i in range(depth) if a[i] != b[i]), depth)
