@@ -32,3 +32,12 @@ def saved(df: DataFrame, label: str, **options: str) -> DataFrame:
     path = scratch(df.sparkSession, label)
     df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most ``rows`` texts, unless the session already says how large they are.
+
+    The default of 10,000 rows makes batches of tens of MB from documents, in the JVM and in the worker at once.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
