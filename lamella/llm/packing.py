@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lamella.llm.arrow import byte_values, sub_batches
-from lamella.plans.session import checkpointed
+from lamella.plans.session import checkpointed, small_batches
 
 TOKENIZER = "word_bpe_49k.json"
 CAPACITY = 2048
@@ -117,6 +117,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER
             keys = batch.column(0).take(pa.array(where, pa.int64()))
             yield pa.RecordBatch.from_arrays([keys, pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 

@@ -21,7 +21,7 @@ from pyspark.sql.types import LongType
 
 from lamella.llm.arrow import byte_values
 from lamella.operators.graph import connected_components
-from lamella.plans.session import checkpointed
+from lamella.plans.session import checkpointed, small_batches
 
 SEED = 42
 SHINGLE_WORDS = 3
@@ -136,6 +136,7 @@ def near_copies(docs: DataFrame, most: int = MAX_BITS) -> DataFrame:
     smallest doc_id that links reach; null ids come last, so it is null only where all are. Exactly one row of a
     component is kept (equal rows apart): the smallest by id, then by text_hash. Other columns are not read.
     """
+    small_batches(docs.sparkSession)
     rows = checkpointed(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), _fingerprints(F.coalesce("text", F.lit(""))).alias("fp")))
     order = F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("doc_id"), F.col("text_hash").alias("text_hash"))
     fps = checkpointed(rows.groupBy("fp").agg(F.min(order).alias("best")))
