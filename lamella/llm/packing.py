@@ -30,7 +30,7 @@ OPEN_BINS = 1024
 PIECES_PER_PACKER = 32768
 END = 0
 #: Entries of a worker's cache; it is emptied when full, so its memory is bounded.
-CACHE = 500_000
+CACHE = 800_000
 #: Bytes of text that are cut at once.
 SLICE = 2 << 20
 #: Texts and words of these characters are cut as the tokenizer cuts them after lower-casing (fixed by its file).
