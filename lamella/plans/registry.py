@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lamella.operators import acquisition as acq
-from lamella.operators import layout
-from lamella.sources import views
+from lamella.operators import documents, layout, pixels, tracks
+from lamella.sources import logs, views
+from lamella.streaming import tracks as live
 
 V = views.TABLES
 
@@ -43,6 +44,74 @@ QUERIES = {
     "build_score": lambda spark, sf_dir: layout.score(views.tiles(spark, sf_dir).select("dataset", "trial", F.col("mx").alias("x"), F.col("my").alias("y")), views.tiles(spark, sf_dir).where("state = 'anchor'")),
 }
 
+def _with_split(function):
+    def query(spark, sf_dir):
+        entries = views.entries(spark, sf_dir)
+        return function(acq.snapshots(entries), acq.timing_split(entries))
+
+    return query
+
+
+def _kept(spark, sf_dir):
+    """Trial lists for rescoping: three of four trials, and some that no tile has."""
+    t = views.tiles(spark, sf_dir)
+    return t.where("trial % 4 <> 0").select("dataset", "trial").unionByName(t.where("trial % 50 = 0").select("dataset", (F.col("trial") + 1_000_000).alias("trial")))
+
+
+def _own_links(spark, sf_dir):
+    """Links keyed by the dataset of their first tile."""
+    return views.links(spark, sf_dir).withColumn("dataset", F.col("a") % 10)
+
+
+def _keyed(tiles):
+    """Tiles where the machine placed none in datasets 3 and 4, and the sixth unplaced."""
+    return tiles.withColumn("mx", F.when(~F.col("dataset").isin(3, 4), F.col("mx"))).withColumn("x", F.when(F.col("trial") % 6 != 0, F.col("x")))
+
+
+def _stale(spark, sf_dir):
+    """Stamps recorded before even datasets moved by a pixel."""
+    t = views.tiles(spark, sf_dir)
+    return documents.stale(documents.position_stamp(t.withColumn("x", F.col("x") + (F.col("dataset") % 2 == 0).cast("int"))), documents.position_stamp(t))
+
+
+QUERIES |= {
+    "parsed_log": lambda spark, sf_dir: logs.parse(views.log_lines(spark, sf_dir)).select("dataset", "trial", "type", "s"),
+    "track_segments": _over(tracks.segments, "frame_track"),
+    "black_shoulders": _over(tracks.shoulders, "frame_track"),
+    "dwells": _over(tracks.dwells, "frame_track"),
+    "travel_keyframes": _over(tracks.travel_keyframes, "frame_track"),
+    "sequential_candidates": lambda spark, sf_dir: tracks.sequential_candidates(tracks.travel_keyframes(views.frame_track(spark, sf_dir))),
+    "bridge_candidates": lambda spark, sf_dir: tracks.bridge_candidates(tracks.travel_keyframes(views.frame_track(spark, sf_dir))),
+    "track_statistics": _over(tracks.track_statistics, "frame_track"),
+    "sampled_frames": _over(tracks.sampled_frames, "frame_track"),
+    "activity": _over(tracks.activity, "frame_track"),
+    "live_keyframes": live.live_keyframes,
+    "normalised_layout": lambda spark, sf_dir: documents.normalised(_keyed(views.tiles(spark, sf_dir))),
+    "provenance": lambda spark, sf_dir: documents.provenance(_keyed(views.tiles(spark, sf_dir))),
+    "trusted_matches": lambda spark, sf_dir: documents.trusted(views.tiles(spark, sf_dir), apart=5.0),
+    "rescoped_tiles": lambda spark, sf_dir: documents.rescoped(_keyed(views.tiles(spark, sf_dir)), _kept(spark, sf_dir)),
+    "without_machine": _over(documents.without_machine, "tiles"),
+    "solvable": _with_split(documents.solvable),
+    "blank_proposal": _with_split(documents.blank_proposal),
+    "edit_tallies": _over(documents.edit_tallies, "tiles"),
+    "residual_statistics": lambda spark, sf_dir: documents.residual_statistics(_own_links(spark, sf_dir), views.tiles(spark, sf_dir)),
+    "tile_quality": _over(documents.tile_quality, "links"),
+    "leaderboard": _over(documents.leaderboard, "links"),
+    "gated_links": lambda spark, sf_dir: documents.gated_links(_own_links(spark, sf_dir), layout.rigid_runs(views.tiles(spark, sf_dir))),
+    "covered_blocks": _over(documents.covered_blocks, "tiles"),
+    "seed_shift": _over(documents.seed_shift, "tiles"),
+    "position_stamp": _over(documents.position_stamp, "tiles"),
+    "stale_artefacts": _stale,
+    "tile_neighbours": _over(documents.neighbours, "tiles"),
+    "tile_problems": lambda spark, sf_dir: documents.problems(_keyed(views.tiles(spark, sf_dir))),
+    "edge_trim": _over(documents.edge_trim, "electrodes"),
+    "zoom_consensus": _over(documents.zoom_consensus, "readings"),
+    "pixel_statistics": _over(pixels.pixel_statistics, "frames8"),
+    "exposure": _over(pixels.exposure, "frames8"),
+    "peaks": _over(pixels.peaks, "frames8"),
+    "composite": _over(pixels.composite, "frames8"),
+}
+
 _SNAP = "s AS (SELECT * FROM entries WHERE type = 'Snapshot')"
 _GAPS = _SNAP + ", g AS (SELECT dataset, trial, floor((us - lag(us) OVER (PARTITION BY dataset ORDER BY trial) + 50000) / 100000.0) / 10.0 AS gap_s FROM s)"
 _BLOCKS = _SNAP + """, i AS (SELECT dataset, trial, trial - row_number() OVER (PARTITION BY dataset ORDER BY trial) AS island FROM s),
@@ -101,4 +170,59 @@ _SQL = {
       "SELECT dataset, count(*) AS n_shared, " + ", ".join(f"count(*) FILTER (err <= {t}) AS within_{t}" for t in (5, 10, 25, 50, 96, 256)) + ", round(median(err), 6) AS median_err, round(quantile_cont(err, 0.9), 6) AS p90_err FROM e GROUP BY dataset"),
 }
 
+_SEGMENTS = """u AS (SELECT *, coalesce(frame - lag(frame) OVER w > 1 OR step > 600, true) OR lag(frame) OVER w IS NULL AS start FROM frame_track WHERE gray >= 3 WINDOW w AS (PARTITION BY video ORDER BY frame)),
+  v AS (SELECT *, (sum(start::INT) OVER (PARTITION BY video ORDER BY frame))::BIGINT - 1 AS segment FROM u),
+  g AS (SELECT video, frame, segment, step, (sum(CASE WHEN start THEN 0 ELSE step END) OVER (PARTITION BY video, segment ORDER BY frame))::BIGINT AS travel FROM v)"""
+_KEYFRAMES = _SEGMENTS + """, k AS (SELECT video, segment, frame, travel FROM (SELECT *, lag(travel // 3000) OVER (PARTITION BY video, segment ORDER BY frame) AS before FROM g) WHERE before IS NULL OR travel // 3000 > before)"""
+_KEYED = "q AS (SELECT * REPLACE (CASE WHEN dataset NOT IN (3, 4) THEN mx END AS mx, CASE WHEN trial % 6 <> 0 THEN x END AS x) FROM tiles)"
+_OWN = "l AS (SELECT * REPLACE (a % 10 AS dataset) FROM links)"
+_ON = "state <> 'excluded' AND x IS NOT NULL AND y IS NOT NULL"
+_PIXELS = "e AS (SELECT frame, grp, x, y, unnest(px) AS value, generate_subscripts(px, 1) - 1 AS pixel FROM frames8)"
+_STAMP = "count(*) AS n, sum(('0x' || md5(concat_ws(':', trial, {x}::BIGINT, y::BIGINT))[1:8])::BIGINT)::BIGINT AS stamp FROM tiles WHERE state <> 'excluded' GROUP BY dataset"
+_SQL |= {
+    "parsed_log": ("entries", "", "SELECT user_id AS dataset, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS trial, CASE WHEN event_type IN ('view','click','signup') THEN 'Snapshot' ELSE 'Other' END AS type, epoch_us(ts) // 1000000 AS s FROM events"),
+    "track_segments": ("frame_track", _SEGMENTS, "SELECT * FROM g"),
+    "black_shoulders": ("frame_track", "", "SELECT video, frame FROM (SELECT *, max(coalesce(gray < 3, true)::INT) OVER (PARTITION BY video ORDER BY frame RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS near FROM frame_track) WHERE near = 1 AND gray >= 3"),
+    "dwells": ("frame_track", _SEGMENTS, "SELECT video, segment, min(frame) AS first, max(frame) AS last, count(*) AS n FROM (SELECT *, frame - row_number() OVER (PARTITION BY video, segment ORDER BY frame) AS island FROM g WHERE step < 50) GROUP BY video, segment, island HAVING count(*) >= 2"),
+    "travel_keyframes": ("frame_track", _KEYFRAMES, "SELECT * FROM k"),
+    "sequential_candidates": ("frame_track", _KEYFRAMES, "SELECT x.video, x.segment, x.frame AS a, y.frame AS b FROM (SELECT *, row_number() OVER (PARTITION BY video, segment ORDER BY frame) AS i FROM k) x JOIN (SELECT *, row_number() OVER (PARTITION BY video, segment ORDER BY frame) AS i FROM k) y ON x.video = y.video AND x.segment = y.segment AND y.i - x.i IN (1, 2)"),
+    "bridge_candidates": ("frame_track", _KEYFRAMES + ", r AS (SELECT *, row_number() OVER (PARTITION BY video, segment ORDER BY frame) AS up, row_number() OVER (PARTITION BY video, segment ORDER BY frame DESC) AS down FROM k)", "SELECT a.video, a.frame AS a, b.frame AS b FROM r a JOIN r b ON a.video = b.video AND b.segment - a.segment IN (1, 2, 3) WHERE a.down <= 4 AND b.up <= 3"),
+    "track_statistics": ("frame_track", _SEGMENTS + ", s AS (SELECT video, max(segment) + 1 AS n_segments, max(travel) AS longest, median(step) FILTER (step > 0) AS median_step FROM g GROUP BY video)", "SELECT video, n, n_black, coalesce(n_segments, 0) AS n_segments, longest, median_step FROM (SELECT video, count(*) AS n, count(*) FILTER (coalesce(gray < 3, true)) AS n_black FROM frame_track GROUP BY video) LEFT JOIN s USING (video)"),
+    "sampled_frames": ("frame_track", "", "SELECT video, frame FROM (SELECT video, frame, row_number() OVER (PARTITION BY video ORDER BY frame) - 1 AS i, greatest(1, count(*) OVER (PARTITION BY video) // 96) AS stride FROM frame_track) WHERE i % stride = 0 AND i // stride < 96"),
+    "activity": ("frame_track", "", "SELECT video, min(frame) AS first, max(frame) AS last, count(*) AS n FROM (SELECT video, frame, frame - row_number() OVER (PARTITION BY video ORDER BY frame) AS island FROM frame_track WHERE gray >= 3) GROUP BY video, island"),
+    "normalised_layout": ("tiles", _KEYED + f", f AS (SELECT dataset, coalesce(min(trial) FILTER (state = 'anchor'), min(trial)) AS origin FROM q WHERE {_ON} GROUP BY dataset), o AS (SELECT q.dataset, x AS ox, y AS oy FROM q JOIN f ON q.dataset = f.dataset AND q.trial = f.origin)",
+      f"SELECT q.dataset, trial, CASE WHEN {_ON} THEN x - ox END AS nx, CASE WHEN {_ON} THEN y - oy END AS ny, mx - ox AS nmx, my - oy AS nmy, CASE WHEN {_ON} THEN round(sqrt((x - mx) ** 2 + (y - my) ** 2), 4) END AS moved_px FROM q LEFT JOIN o ON q.dataset = o.dataset"),
+    "provenance": ("tiles", _KEYED, "SELECT dataset, count(mx) AS n_machine, CASE WHEN count(mx) > 0 THEN 'machine' ELSE 'independent' END AS provenance FROM q GROUP BY dataset"),
+    "trusted_matches": ("tiles", "", "SELECT dataset, trial, margin >= 0.2 AND ncc >= 0.65 AS confident, CASE WHEN NOT (margin >= 0.2 AND ncc >= 0.65) AND (x - mx) ** 2 + (y - my) ** 2 > 25 THEN 'solver' ELSE 'match' END AS used FROM tiles"),
+    "rescoped_tiles": ("tiles", _KEYED + ", n AS (SELECT dataset, trial FROM tiles WHERE trial % 4 <> 0 UNION ALL SELECT dataset, trial + 1000000 FROM tiles WHERE trial % 50 = 0)",
+      f"SELECT coalesce(q.dataset, n.dataset) AS dataset, coalesce(q.trial, n.trial) AS trial, CASE WHEN q.trial IS NULL THEN 'added' WHEN n.trial IS NOT NULL THEN 'kept' WHEN {_ON} THEN 'placed_lost' ELSE 'removed' END AS fate FROM q FULL JOIN n ON q.dataset = n.dataset AND q.trial = n.trial"),
+    "without_machine": ("tiles", "", "SELECT dataset, trial, state, CASE WHEN state <> 'unverified' THEN x END AS x, CASE WHEN state <> 'unverified' THEN y END AS y, NULL::DOUBLE AS mx, NULL::DOUBLE AS my FROM tiles"),
+    "solvable": ("entries", _SNAP + ", " + _SPLIT + ", w AS (SELECT dataset, count(*) FILTER (coalesce(trial <= split, true)) AS n_first, count(*) FILTER (NOT coalesce(trial <= split, true)) AS n_second FROM s LEFT JOIN z USING (dataset) GROUP BY dataset)",
+      "SELECT *, CASE WHEN n_first < 4 THEN 'too_few_first' WHEN n_second < 2 THEN 'too_few_second' ELSE 'ok' END AS verdict FROM w"),
+    "blank_proposal": ("entries", _SNAP + ", " + _SPLIT + """, w AS (SELECT s.dataset, texture, coalesce(trial <= split, true) AS one FROM s LEFT JOIN z USING (dataset)),
+      h AS (SELECT dataset, CASE WHEN count(texture) FILTER (one) >= 20 THEN quantile_cont(texture, 0.02) FILTER (one) END AS thr FROM w GROUP BY dataset)""",
+      "SELECT dataset, round(any_value(thr), 6) AS threshold, count(*) FILTER (texture < thr) AS n_blank, round(min(texture - thr) FILTER (texture >= thr), 6) AS margin FROM w JOIN h USING (dataset) GROUP BY dataset"),
+    "edit_tallies": ("tiles", f"d AS (SELECT dataset, sqrt((x - mx) ** 2 + (y - my) ** 2) AS d FROM tiles WHERE {_ON})", "SELECT dataset, count(*) FILTER (d < 0.5) AS n_accepted, count(*) FILTER (d >= 0.5) AS n_moved, round(median(d) FILTER (d >= 0.5), 6) AS median_moved, round(max(d) FILTER (d >= 0.5), 6) AS most_moved FROM d GROUP BY dataset"),
+    "residual_statistics": ("links tiles", _OWN + f", p AS (SELECT * FROM tiles WHERE {_ON}), r AS (SELECT l.dataset, sqrt((b.x - a.x - l.dx) ** 2 + (b.y - a.y - l.dy) ** 2) AS r FROM l JOIN p a ON l.dataset = a.dataset AND l.a = a.trial JOIN p b ON l.dataset = b.dataset AND l.b = b.trial)",
+      "SELECT dataset, count(*) FILTER (r <= 500) AS n_kept, count(*) FILTER (r > 500) AS n_dropped, round(median(r) FILTER (r <= 500), 6) AS median_px, round(quantile_cont(r, 0.95) FILTER (r <= 500), 6) AS p95_px FROM r GROUP BY dataset"),
+    "tile_quality": ("links", "e AS (SELECT dataset, a AS tile, ncc FROM links UNION ALL SELECT dataset, b, ncc FROM links)", "SELECT dataset, tile, count(*) AS n, round(median(ncc), 6) AS median_ncc FROM e GROUP BY dataset, tile"),
+    "leaderboard": ("links", "e AS (SELECT dataset, a AS tile, ncc FROM links UNION ALL SELECT dataset, b, ncc FROM links), t AS (SELECT dataset, count(*) FILTER (m < 0.3) AS n_bad_tiles FROM (SELECT dataset, tile, round(median(ncc), 6) AS m FROM e GROUP BY dataset, tile) GROUP BY dataset)",
+      "SELECT dataset, round(median(ncc), 6) AS median_ncc, count(*) FILTER (ncc > 0.5) AS n_good, count(*) AS n, any_value(n_bad_tiles) AS n_bad_tiles FROM links JOIN t USING (dataset) GROUP BY dataset"),
+    "gated_links": ("links tiles", _OWN + ", " + _SQL["rigid_runs"][1] + ", h AS (" + _SQL["rigid_runs"][2] + ")", "SELECT l.dataset, l.a, l.b, l.dx FROM l JOIN h x ON l.dataset = x.dataset AND l.a = x.trial JOIN h y ON l.dataset = y.dataset AND l.b = y.trial WHERE l.b - l.a >= 2 AND x.run = y.run AND abs(l.dx - (y.local_x - x.local_x)) > 60"),
+    "covered_blocks": ("tiles", f"q AS (SELECT dataset, y, unnest(range(floor(x / 256)::BIGINT, ceil((x + 512) / 256)::BIGINT)) AS block_x FROM tiles WHERE {_ON}), r AS (SELECT dataset, block_x, unnest(range(floor(y / 256)::BIGINT, ceil((y + 512) / 256)::BIGINT)) AS block_y FROM q)", "SELECT dataset, block_x, block_y, count(*) AS n FROM r GROUP BY dataset, block_x, block_y"),
+    "seed_shift": ("tiles", "", "SELECT dataset, median(x - mx) AS sx, median(y - my) AS sy, count(*) AS n_shared FROM tiles WHERE state IN ('anchor', 'human') GROUP BY dataset"),
+    "position_stamp": ("tiles", "", "SELECT dataset, " + _STAMP.format(x="x")),
+    "stale_artefacts": ("tiles", "", "SELECT DISTINCT dataset, dataset % 2 = 0 AS stale FROM tiles WHERE state <> 'excluded'"),
+    "tile_neighbours": ("tiles", "", "SELECT dataset, trial, lag(trial) OVER w AS previous, lead(trial) OVER w AS next FROM tiles WHERE state <> 'excluded' WINDOW w AS (PARTITION BY dataset ORDER BY trial)"),
+    "tile_problems": ("tiles", _KEYED, "SELECT dataset, trial, 'anchor_unplaced' AS problem FROM q WHERE state = 'anchor' AND x IS NULL UNION ALL SELECT dataset, trial, 'excluded_placed' FROM q WHERE state = 'excluded' AND x IS NOT NULL UNION ALL SELECT dataset, trial, 'moved_far' FROM q WHERE (x - mx) ** 2 + (y - my) ** 2 > 36 UNION ALL SELECT dataset, trial, 'weak_match' FROM q WHERE ncc < 0.1"),
+    "edge_trim": ("electrodes", "l AS (SELECT mosaic, col, count(*) AS n FROM electrodes WHERE kind = 1 GROUP BY mosaic, col), m AS (SELECT mosaic, greatest(2, ceil(0.2 * max(n))) AS need FROM l GROUP BY mosaic)", "SELECT mosaic, min(col) AS first, max(col) AS last FROM l JOIN m USING (mosaic) WHERE n >= need GROUP BY mosaic"),
+    "zoom_consensus": ("readings", """g AS (SELECT *, floor(ln(pitch) * 1e6)::BIGINT AS lp FROM readings WHERE snr >= 12), v AS (SELECT a.recording, a.pitch, a.snr, count(*) OVER (PARTITION BY recording ORDER BY lp RANGE BETWEEN 48790 PRECEDING AND 48790 FOLLOWING) AS votes, count(*) OVER (PARTITION BY recording) AS n FROM g a)""",
+      "SELECT recording, pitch, votes, n FROM v WHERE votes >= 2 OR n = 1 QUALIFY row_number() OVER (PARTITION BY recording ORDER BY votes DESC, snr DESC, pitch DESC) = 1"),
+    "pixel_statistics": ("frames8", _PIXELS, "SELECT grp, pixel, round(median(value), 6) AS median_px, round(max(value), 6) AS max_px, round(stddev_pop(value), 6) AS std_px FROM e GROUP BY grp, pixel"),
+    "exposure": ("frames8", _PIXELS, "SELECT frame, grp, round(CASE WHEN count(*) FILTER (value > 0.05) > 0.01 * count(*) THEN quantile_cont(value, 0.6) FILTER (value > 0.05) ELSE 0 END, 6) AS level FROM e GROUP BY frame, grp"),
+    "peaks": ("frames8", "t AS (SELECT frame, px, list_position(px, list_max(px)) AS k FROM frames8), b AS (SELECT frame, k - 1 AS pixel, px[k - 1] AS l, px[k] AS c, px[k + 1] AS r FROM t)",
+      "SELECT frame, pixel, CASE WHEN pixel % 8 BETWEEN 1 AND 6 AND l - 2 * c + r < 0 THEN round(greatest(-0.5, least(0.5, 0.5 * (l - r) / (l - 2 * c + r))), 6) END AS subpixel FROM b"),
+    "composite": ("frames8", _PIXELS + ", w AS (SELECT grp, x + pixel % 8 AS cx, y + pixel // 8 AS cy, value, greatest(0.001, least(pixel % 8 + 1, 8 - pixel % 8) / 4.0 * (least(pixel // 8 + 1, 8 - pixel // 8) / 4.0))::DOUBLE AS w FROM e)", "SELECT grp, cx, cy, round(sum(w * value) / sum(w), 6) AS px, count(*) AS n FROM w GROUP BY grp, cx, cy"),
+}
+
 ORACLES = {name: "WITH " + ", ".join([f"{t} AS ({views.SQL[t]})" for t in tables.split()] + [more] * bool(more)) + "\n" + body for name, (tables, more, body) in _SQL.items()}

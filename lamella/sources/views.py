@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lamella.sources import logs
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -54,7 +56,31 @@ def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "supplier").select(k.alias("region"), (k % 3).alias("mosaic"), (k * 37 % 1500).cast("double").alias("x"), (k * 53 % 1500).cast("double").alias("y"), (20 + k % 90).cast("double").alias("w"), (20 + k % 70).cast("double").alias("h"))
 
 
-TABLES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (entries, trial_meta, tiles, links, electrodes, regions)}
+def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entries as text ``(dataset, line_no, value)``."""
+    return logs.render(entries(spark, sf_dir))
+
+
+def frame_track(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Camera tracks ``(video, frame, gray, step)``; step in hundredths of a pixel."""
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    step = F.floor(F.col("value") * 100).cast("long") % 700
+    return read(spark, sf_dir, "events").select(F.col("user_id").alias("video"), F.row_number().over(w).cast("long").alias("frame"), F.col("value").alias("gray"), step.alias("step"))
+
+
+def frames8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of 8 x 8 pixels ``(frame, grp, x, y, px)`` placed four pixels apart."""
+    k = F.col("vec_id")
+    return read(spark, sf_dir, "embeddings").select(k.alias("frame"), F.col("label").cast("long").alias("grp"), (4 * (k % 20)).cast("long").alias("x"), (4 * (F.floor(k / 20) % 20)).cast("long").alias("y"), F.col("embedding").cast("array<double>").alias("px"))
+
+
+def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pitch readings ``(recording, pitch, snr)``."""
+    k = F.col("c_custkey")
+    return read(spark, sf_dir, "customer").select((k % 30).alias("recording"), (10 + (k * 7 % 53) / 10.0).cast("double").alias("pitch"), (k * 11 % 41).cast("double").alias("snr"))
+
+
+TABLES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (entries, trial_meta, tiles, links, electrodes, regions, log_lines, frame_track, frames8, readings)}
 
 SQL = {
     "entries": """SELECT user_id AS dataset, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS trial,
@@ -69,4 +95,8 @@ SQL = {
       (14 * (1 + o_orderkey // 120) + o_orderkey % 2)::DOUBLE AS y, CASE WHEN o_orderkey % 9 = 0 THEN 2 ELSE 1 END AS kind FROM orders""",
     "regions": """SELECT s_suppkey AS region, s_suppkey % 3 AS mosaic, (s_suppkey * 37 % 1500)::DOUBLE AS x, (s_suppkey * 53 % 1500)::DOUBLE AS y,
       (20 + s_suppkey % 90)::DOUBLE AS w, (20 + s_suppkey % 70)::DOUBLE AS h FROM supplier""",
+    "frame_track": """SELECT user_id AS video, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS frame, value AS gray,
+      floor(value * 100)::BIGINT % 700 AS step FROM events""",
+    "frames8": """SELECT vec_id AS frame, label::BIGINT AS grp, 4 * (vec_id % 20) AS x, 4 * (vec_id // 20 % 20) AS y, embedding::DOUBLE[] AS px FROM embeddings""",
+    "readings": "SELECT c_custkey % 30 AS recording, (10 + (c_custkey * 7 % 53) / 10.0)::DOUBLE AS pitch, (c_custkey * 11 % 41)::DOUBLE AS snr FROM customer",
 }

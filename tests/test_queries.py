@@ -9,7 +9,7 @@ from lamella.operators.graph import connected_components
 from lamella.plans import registry
 
 SF = "/root/testdata/sf0.001"
-NAMES = ("events", "orders", "part", "lineitem", "supplier")
+NAMES = ("events", "orders", "part", "lineitem", "supplier", "customer", "embeddings")
 
 
 def plain(rows):
