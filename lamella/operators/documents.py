@@ -1,4 +1,4 @@
-"""Tile documents: origin, provenance, rescoping, problems, edits, stamps."""
+"""Tile documents: origin, provenance, rescoping, problems, edits, stamps."""
 
 from __future__ import annotations
 
@@ -11,6 +11,21 @@ MOVED, APART, BLOCK = 0.5, 10.0, 256
 PLACED = "state IN ('anchor', 'human', 'unverified') AND x IS NOT NULL AND y IS NOT NULL"
 
 
+def tile_states(tiles: DataFrame) -> DataFrame:
+    """A tile's own state wins, then a known status; else it is unverified with a position and unplaced without."""
+    known = F.when(F.col("status").isin("anchor", "human", "unverified", "excluded", "unplaced"), F.col("status"))
+    at = F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), "unverified").otherwise("unplaced")
+    return tiles.withColumn("state", F.coalesce("state", known, at))
+
+
+def chain_breaks(trials: DataFrame, splits: DataFrame) -> DataFrame:
+    """Where the chain of kept trials breaks; a break over the pass boundary counts as that, not as a gap."""
+    after = F.lead("trial").over(Window.partitionBy("dataset").orderBy("trial"))
+    rows = trials.select("dataset", F.col("trial").alias("before"), after.alias("after")).join(splits.select("dataset", "split"), "dataset", "left")
+    reason = F.when((F.col("before") <= F.col("split")) & (F.col("after") > F.col("split")), "pass_boundary").when(F.col("after") > F.col("before") + 1, "gap")
+    return rows.select("dataset", "before", "after", reason.alias("reason")).where("after IS NOT NULL AND reason IS NOT NULL")
+
+
 def normalised(tiles: DataFrame) -> DataFrame:
     """Positions from the smallest anchored trial, else the smallest placed one; the machine's move along; null where unplaced."""
     anchored = F.when(F.expr(PLACED) & (F.col("state") == "anchor"), F.col("trial"))

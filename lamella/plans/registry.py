@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lamella.operators import acquisition as acq
-from lamella.operators import documents, layout, pixels, tracks
+from lamella.operators import documents, layout, matching, pixels, tracks
 from lamella.sources import logs, views
 from lamella.streaming import tracks as live
 
@@ -74,7 +75,24 @@ def _stale(spark, sf_dir):
     return documents.stale(documents.position_stamp(t.withColumn("x", F.col("x") + (F.col("dataset") % 2 == 0).cast("int"))), documents.position_stamp(t))
 
 
+def _stateless(tiles):
+    """Tiles with a status of their own, some unknown, and a state only in every third."""
+    status = F.when(F.col("trial") % 5 == 0, "odd").otherwise(F.col("state"))
+    return tiles.select("dataset", "trial", F.when(F.col("trial") % 3 == 0, F.col("state")).alias("state"), status.alias("status"), F.when(F.col("trial") % 4 != 0, F.col("x")).alias("x"), "y")
+
+
+def _frame_shifts(spark, sf_dir):
+    """Shifts between consecutive frames of a group."""
+    frames = views.frames8(spark, sf_dir).select(F.col("grp").alias("dataset"), F.col("frame").alias("trial"), F.lit(8).alias("h"), F.lit(8).alias("w"), "px")
+    pairs = frames.select("dataset", F.col("trial").alias("a"), F.lead("trial").over(Window.partitionBy("dataset").orderBy("trial")).alias("b")).where("b IS NOT NULL")
+    return matching.measured_shifts(pairs, frames, side=2, area=4)
+
+
 QUERIES |= {
+    "frame_shifts": _frame_shifts,
+    "confident_matches": lambda spark, sf_dir: matching.confident(views.tiles(spark, sf_dir).select("dataset", "trial", "margin", "ncc")),
+    "tile_states": lambda spark, sf_dir: documents.tile_states(_stateless(views.tiles(spark, sf_dir))).select("dataset", "trial", "state"),
+    "chain_breaks": _with_split(documents.chain_breaks),
     "parsed_log": lambda spark, sf_dir: logs.parse(views.log_lines(spark, sf_dir)).select("dataset", "trial", "type", "s"),
     "track_segments": _over(tracks.segments, "frame_track"),
     "black_shoulders": _over(tracks.shoulders, "frame_track"),
@@ -180,6 +198,10 @@ _ON = "state <> 'excluded' AND x IS NOT NULL AND y IS NOT NULL"
 _PIXELS = "e AS (SELECT frame, grp, x, y, unnest(px) AS value, generate_subscripts(px, 1) - 1 AS pixel FROM frames8)"
 _STAMP = "count(*) AS n, sum(('0x' || md5(concat_ws(':', trial, {x}::BIGINT, y::BIGINT))[1:8])::BIGINT)::BIGINT AS stamp FROM tiles WHERE state <> 'excluded' GROUP BY dataset"
 _SQL |= {
+    "confident_matches": ("tiles", "", "SELECT dataset, trial, margin, ncc, coalesce(margin >= 0.1 AND ncc >= 0.12, false) AS confident FROM tiles"),
+    "tile_states": ("tiles", "", "SELECT dataset, trial, CASE WHEN trial % 3 = 0 THEN state WHEN trial % 5 <> 0 THEN state WHEN trial % 4 <> 0 THEN 'unverified' ELSE 'unplaced' END AS state FROM tiles"),
+    "chain_breaks": ("entries", _SNAP + ", " + _SPLIT + ", n AS (SELECT dataset, trial AS before, lead(trial) OVER (PARTITION BY dataset ORDER BY trial) AS after FROM s)",
+      "SELECT * FROM (SELECT n.dataset, before, after, CASE WHEN before <= split AND after > split THEN 'pass_boundary' WHEN after > before + 1 THEN 'gap' END AS reason FROM n LEFT JOIN z USING (dataset)) WHERE reason IS NOT NULL AND after IS NOT NULL"),
     "parsed_log": ("entries", "", "SELECT user_id AS dataset, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS trial, CASE WHEN event_type IN ('view','click','signup') THEN 'Snapshot' ELSE 'Other' END AS type, epoch_us(ts) // 1000000 AS s FROM events"),
     "track_segments": ("frame_track", _SEGMENTS, "SELECT * FROM g"),
     "black_shoulders": ("frame_track", "", "SELECT video, frame FROM (SELECT *, max(coalesce(gray < 3, true)::INT) OVER (PARTITION BY video ORDER BY frame RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS near FROM frame_track) WHERE near = 1 AND gray >= 3"),

@@ -1,8 +1,9 @@
 """Logs, position files and streamed keyframes against plain Python; edge cases of the document operators."""
 
+import numpy as np
 import pandas as pd
 
-from lamella.operators import documents, pixels, tracks
+from lamella.operators import documents, matching, pixels, tracks
 from lamella.plans import registry
 from lamella.sources import logs
 from lamella.streaming import tracks as live
@@ -96,3 +97,21 @@ def test_stale_after(spark):
     tiles = spark.createDataFrame([(1, t, "human", 1.0, 1.0, s) for t, s in ((1, 1), (2, 5), (3, 9), (4, 7))], "dataset long, trial long, state string, x double, y double, seq long")
     edits = spark.createDataFrame([(1, 4, 5)], "dataset long, trial long, seq long")
     assert [tuple(r) for r in documents.stale_after(tiles, edits).collect()] == [(1, 3)]
+
+
+def test_planted_shifts(spark):
+    rng = np.random.default_rng(3)
+    scene = matching.band_pass(rng.normal(0, 1, (800, 900)).astype("f4"), 2.0, 12.0)
+    scene = (2000 + 400 * scene / scene.std()).clip(0, 65535)
+    at = {1: (40, 30), 2: (240, 90), 3: (160, 130)}
+    rows = [("d", t, 512, 512, bytearray((scene[y : y + 512, x : x + 512] + rng.normal(0, 20, (512, 512))).astype("<u2").tobytes())) for t, (x, y) in at.items()]
+    rows += [("d", 4, 128, 512, bytearray(2 * 128 * 512)), ("d", 5, 512, 512, None), ("d", 6, 512, 512, bytearray(7)), ("d", 7, None, 512, bytearray(8))]
+    frames = spark.createDataFrame(rows, "dataset string, trial long, h int, w int, px binary")
+    pairs = spark.createDataFrame([("d", 1, 2), ("d", 2, 1), ("d", 1, 3), ("d", 1, 4), ("d", 1, 5), ("d", 1, 6), ("d", 1, 7), ("d", 1, 9)], "dataset string, a long, b long")
+    got = {(r.a, r.b): r for r in matching.measured_shifts(pairs, frames).collect()}
+    assert set(got) == {(1, 2), (2, 1), (1, 3), (1, 4), (1, 5), (1, 6), (1, 7)}
+    for a, b in ((1, 2), (2, 1), (1, 3)):
+        r = got[a, b]
+        assert abs(r.dx - at[b][0] + at[a][0]) < 1 and abs(r.dy - at[b][1] + at[a][1]) < 1 and r.ncc > 0.8
+    assert all(got[1, b].dx is None and got[1, b].ncc is None for b in (4, 5, 6, 7))
+    assert matching.overlap_ncc(scene, scene, 870, 0, 40, 3600) is None
