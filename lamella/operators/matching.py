@@ -13,8 +13,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamella.plans.session import small_batches
-
 LOW, HIGH, WHITEN, WINDOW = 3.0, 30.0, -0.65, 5
 
 
@@ -85,9 +83,9 @@ def measured_shifts(pairs: DataFrame, frames: DataFrame, side: int = 40, area: i
     """One row ``(dataset, a, b, dx, dy, height, ncc)`` per pair; dx, dy lead from a to b.
 
     All measures are null for a pair of different shapes, or with a null or mis-sized frame; a pair whose frame isn't
-    in the table gives no row. Pairs travel as ids; each frame is joined on where it is measured.
+    in the table gives no row. Spark
+    bounds what a worker holds by ``spark.sql.execution.arrow.maxBytesPerBatch``, 64 MB unless set.
     """
-    small_batches(pairs.sparkSession, 64)
     one = frames.select("dataset", F.col("trial").alias("a"), F.col("h").alias("ha"), F.col("w").alias("wa"), F.col("px").alias("pa"))
     two = frames.select("dataset", F.col("trial").alias("b"), F.col("h").alias("hb"), F.col("w").alias("wb"), F.col("px").alias("pb"))
     rows = pairs.select("dataset", "a", "b").join(one, ["dataset", "a"]).join(two, ["dataset", "b"]).select("dataset", "a", "b", "ha", "wa", "pa", "hb", "wb", "pb")
