@@ -1,13 +1,13 @@
 """Quality classifier (operator 10): interpolated modified Kneser-Ney model of trusted text.
 
-The model is over byte classes (64 of them: letters by case, digits, the usual marks, kinds of UTF-8 bytes), order 4.
-Every task counts the 4-grams of all trusted texts it reads and the counts are summed in shards by code; counts of the
-lower orders are continuation counts of the order above. Joins of the count tables, sharded by code, give discounts,
-back-off weights and interpolated probabilities. Classes to the power of the order bound the finished tables (at most
-16.8 million entries), so they may be broadcast for scoring whole texts where they are read.
+The model is of words, order 3, in partitioned tables that grow with the text (:mod:`lamella.llm.word_model`). Words it
+has not seen are spelled by the model of this module: byte classes (64 of them: letters by case, digits, the usual
+marks, kinds of UTF-8 bytes), order 4, as an alphabet of bounded size (at most 16.8 million entries, so it may be
+broadcast). Its counts are summed in shards by code; counts of the lower orders are continuation counts of the order
+above. Joins of the count tables, sharded by code, give discounts, back-off weights and interpolated probabilities.
 
 A document is rejected when its perplexity is above its language's threshold, a quantile of the perplexity of the
-trusted documents in that language, read from complete histograms of the logarithm.
+trusted documents in that language that were kept from the model, read from complete histograms of the logarithm.
 """
 
 from __future__ import annotations
@@ -18,15 +18,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
+from lamella.llm import word_model
 from lamella.llm.arrow import flat_bytes, sub_batches
-from lamella.plans.session import checkpointed, small_batches
+from lamella.llm.word_model import spelled_codes
+from lamella.plans.session import checkpointed, saved, small_batches
 
 ORDER = 4
 BITS = 6
 CLASSES = 1 << BITS
 QUANTILE = 0.999
+#: One trusted text in so many gives thresholds and is not counted.
+HELD_OUT = 5
 #: Histogram bins per unit of log-perplexity.
 BINS = 1000
 SLICE = 1 << 20
@@ -65,13 +68,13 @@ def codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return code, offsets
 
 
-def count_grams(texts: DataFrame) -> DataFrame:
-    """``(code, n)``: 4-gram counts of all ``text`` values, summed map-side first."""
+def count_grams(texts: DataFrame, coder=codes) -> DataFrame:
+    """``(code, n)``: 4-gram counts of all ``text`` values, summed map-side first; ``coder`` makes codes of a column."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CLASSES**ORDER, np.uint32)  # a partition has fewer bytes than that counts
         for batch in (s for b in batches for s in sub_batches(b, "text", SLICE)):
-            found, n = np.unique(codes(batch.column(0))[0], return_counts=True)
+            found, n = np.unique(coder(batch.column(0))[0], return_counts=True)
             total[found] += n.astype(np.uint32)
         found = np.flatnonzero(total)
         for i in range(0, len(found), 1 << 16):
@@ -115,9 +118,9 @@ def _discounts(counts: DataFrame) -> tuple[float, float, float]:
     return tuple(min(max(x, 0.1), k - 0.05) for k, x in enumerate(d, 1))
 
 
-def fit(trusted: DataFrame) -> Model:
+def fit(trusted: DataFrame, coder=codes) -> Model:
     """The model of all rows of ``trusted`` (column ``text``); without any text all 4-grams are equally likely."""
-    counts = {ORDER: checkpointed(count_grams(trusted))}
+    counts = {ORDER: checkpointed(count_grams(trusted, coder))}
     for k in range(ORDER - 1, 0, -1):  # a lower order counts the different classes seen before an n-gram
         counts[k] = checkpointed(counts[k + 1].groupBy(F.col("code").bitwiseAND(CLASSES**k - 1).alias("code")).agg(F.count("*").alias("n")))
     seen, backoff, lower = [], [], None
@@ -139,24 +142,6 @@ def fit(trusted: DataFrame) -> Model:
     return Model(seen, backoff)
 
 
-def scorer(df: DataFrame, model: Model):
-    """A function of a text column: mean negative log-probability per byte (log-perplexity); null for empty texts."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
-
-    @F.arrow_udf(DoubleType())
-    def log_perplexity(texts: pa.Array) -> pa.Array:
-        log, out = shared.value.log(), []
-        for part in sub_batches(pa.RecordBatch.from_arrays([texts], names=["text"]), "text", SLICE):
-            code, offsets = codes(part.column(0))
-            total = np.concatenate(([0.0], np.cumsum(log[code], dtype=np.float64)))
-            n = np.diff(offsets)
-            with np.errstate(invalid="ignore"):
-                out.append(pa.array(-(total[offsets[1:]] - total[offsets[:-1]]) / n, mask=n == 0))
-        return pa.chunked_array(out, pa.float64()).combine_chunks() if out else pa.array([], pa.float64())
-
-    return log_perplexity
-
-
 def thresholds(scores: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """``(lang, threshold)``: that quantile of ``nll`` per language, rounded up to a histogram bin; null is a language of its own.
 
@@ -179,21 +164,30 @@ def trusted_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = ("doc_id",), quantile: float = QUANTILE) -> DataFrame:
     """Per row of ``docs``: ``row`` (struct of ``carry``), perplexity per byte, threshold (null: no trusted text in the language), rejected.
 
-    Null and empty texts have no perplexity and aren't rejected, nor is a document of a language without trusted text.
-    Repeated rows are scored alike. Other columns are not read.
+    One trusted text in ``HELD_OUT`` is kept from the model and gives its language's threshold; a language without any
+    such text takes the trusted texts it has. Null and empty texts have no perplexity and aren't rejected, nor is a
+    document of a language without trusted text. Repeated rows are scored alike. Other columns are not read.
     """
     small_batches(docs.sparkSession)
-    score = scorer(docs, fit(trusted_documents(docs.select("doc_id", "text"), labels)))
-    scores = trusted_documents(docs.select("doc_id", "lang", score("text").alias("nll")), labels)
-    limits = checkpointed(thresholds(scores, quantile))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), "doc_id", "lang", F.xxhash64("text").alias("text_id"), (F.length("text") > 0).alias("some"))
+    held = F.pmod(F.xxhash64("text"), F.lit(HELD_OUT)) == 0  # copies of a text are on one side
+    known = saved(trusted_documents(docs.select("doc_id", "text"), labels).where(~F.coalesce(held, F.lit(True))).select("text"), "trusted")
+    spelling = docs.sparkSession.sparkContext.broadcast(fit(known, spelled_codes))
+    terms, w0 = word_model.fit(known, spelling)
+    scored = saved(word_model.scores(docs.select("text"), terms, w0, spelling), "scores")
+    sure = trusted_documents(rows.where("some").select("doc_id", "lang", "text_id"), labels).join(scored, "text_id")
+    sure = checkpointed(sure.select("lang", "nll", (F.pmod("text_id", F.lit(HELD_OUT)) == 0).alias("held")))
+    out = thresholds(sure.where("held"), quantile).select("lang", F.col("threshold").alias("out"))
+    every = thresholds(sure, quantile).select(F.col("lang").alias("known"), "threshold")
+    limits = checkpointed(every.join(out, F.col("lang").eqNullSafe(F.col("known")), "left").select(F.col("known").alias("lang"), F.coalesce("out", "threshold").alias("threshold")))
     languages = {r["lang"]: r["threshold"] for r in limits.limit(10_000).collect()}
     if len(languages) == 10_000:
         raise ValueError("lang holds no languages")
     limit = F.lit(None).cast("double")
     for lang, threshold in languages.items():
         limit = F.when(F.col("lang").eqNullSafe(F.lit(lang)), threshold).otherwise(limit)
-    scored = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), score("text").alias("nll"), limit.alias("limit"))
-    return scored.select("row", F.exp("nll").alias("perplexity"), F.exp("limit").alias("threshold"), F.coalesce(F.col("nll") > F.col("limit"), F.lit(False)).alias("rejected"))
+    met = rows.withColumn("text_id", F.when(F.col("some"), F.col("text_id"))).join(scored.hint("merge"), "text_id", "left").withColumn("limit", limit)
+    return met.select("row", F.exp("nll").alias("perplexity"), F.exp("limit").alias("threshold"), F.coalesce(F.col("nll") > F.col("limit"), F.lit(False)).alias("rejected"))
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from lamella.llm import exact_dedup, mixing, packing, quality, simhash
+from lamella.llm import exact_dedup, mixing, packing, quality, simhash, word_model
 from tests.llm.helpers import SCHEMA, WORD, awkward, empty, rows
 
 SF = "/root/testdata/sf0.001"
@@ -323,3 +323,65 @@ def test_pipeline_stages(spark):
             root = plain_components([p for p in itertools.combinations(fps, 2) if (p[0] ^ p[1]).bit_count() <= 2], fps)
             assert docs.count() == len(set(root.values()))
     assert Counter(r.doc_id for r in corpus_pipeline.run(spark, SF).where("piece = 0").collect()) == Counter(r.doc_id for r in docs.collect())
+
+
+# word model
+
+
+def plain_word_model(texts, spell):
+    """Interpolated modified Kneser-Ney log-probability of a token by dictionaries; ``spell`` is the probability below the unigrams."""
+    seqs = [["<s>", "<s>", *WORD.findall(t), ""] for t in texts]
+    counts = {3: Counter(tuple(s[i - 2 : i + 1]) for s in seqs for i in range(2, len(s)))}
+    for k in (2, 1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    d, context = {}, {}
+    for k, c in counts.items():
+        n = [sum(v == j for v in c.values()) for j in range(1, 5)]
+        y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0
+        raw = [1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2] if n[2] else 0.9] if n[0] and n[1] else [0.5, 0.75, 0.9]
+        d[k] = [min(max(x, 0.1), j - 0.05) for j, x in enumerate(raw, 1)]
+        context[k] = defaultdict(list)
+        for g, v in c.items():
+            context[k][g[:-1]].append(v)
+
+    def p(g, word):
+        if not g:
+            return spell(word)
+        k = len(g)
+        seen = context[k].get(g[:-1])
+        if not seen:
+            return p(g[1:], word)
+        disc = lambda v: d[k][min(v, 3) - 1]
+        v = counts[k].get(g, 0)
+        return ((v - disc(v)) if v else 0) / sum(seen) + sum(map(disc, seen)) / sum(seen) * p(g[1:], word)
+
+    return p
+
+
+def test_word_model(spark, monkeypatch):
+    rng = random.Random(6)
+    words = [f"w{i}é," for i in range(60)]
+    text = lambda extra=(): " ".join(rng.choice(words + list(extra)) for _ in range(rng.randrange(1, 60)))
+    trusted = [text() for _ in range(60)]
+    asked = [text(("NEW!", "||", "x" * 30)) for _ in range(30)] + trusted[:5] + ["  \n ", "w1é,", asked_twice := text(), asked_twice]
+    known = spark.createDataFrame([(t,) for t in trusted], "text string").repartition(3)
+    spelling = spark.sparkContext.broadcast(quality.fit(known, word_model.spelled_codes))
+    log = spelling.value.log()
+
+    def spell(word):
+        c = [int(quality.TABLE[32])] * 3 + [int(quality.TABLE[b]) for b in word.encode()] + [int(quality.TABLE[32])]
+        share = np.bincount(quality.TABLE, minlength=64)
+        return np.exp(sum(float(log[c[i - 3] << 18 | c[i - 2] << 12 | c[i - 1] << 6 | c[i]]) for i in range(3, len(c)))) / np.prod([float(share[quality.TABLE[b]]) for b in word.encode()])
+
+    p, want = plain_word_model(trusted, spell), {}
+    for t in asked:
+        s = ["<s>", "<s>", *WORD.findall(t), ""]
+        want[t] = -sum(np.log(p(tuple(s[i - 2 : i + 1]), s[i])) for i in range(2, len(s))) / len(t.encode())
+    docs = spark.createDataFrame([(t,) for t in asked] + [(None,), ("",)], "text string").repartition(3)
+    terms, w0 = word_model.fit(known, spelling)
+    grams = {tuple(s[max(0, i - k) : i + 1]) for t in trusted for s in [["<s>", "<s>", *WORD.findall(t), ""]] for i in range(2, len(s)) for k in range(3)}
+    assert terms.count() == len(grams) + 2  # none is left out; the contexts that start a text have rows too
+    for frequent in (1, 1 << 17):  # joined and looked up
+        monkeypatch.setattr(word_model, "FREQUENT", frequent)
+        got = word_model.scores(docs, terms, w0, spelling).join(docs.select("text", F.xxhash64("text").alias("text_id")).distinct(), "text_id").collect()
+        assert {r.text for r in got} == set(want) and all(np.isclose(r.nll, want[r.text], rtol=1e-6) for r in got)
