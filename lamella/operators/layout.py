@@ -46,17 +46,46 @@ def nearby_pairs(tiles: DataFrame, near: float = NEAR) -> DataFrame:
     return first.join(second, ["dataset", "bx", "by"]).where(ok).select("dataset", "a", "b", (ow * oh).alias("overlap_px"))
 
 
-def link_verdicts(links: DataFrame, response: float = 0.2, correction: float = 60.0, ncc: float = 0.3) -> DataFrame:
-    """P10: why a link is rejected, in the order of the checks; ok otherwise."""
-    far = F.hypot("dx", "dy")
-    verdict = F.when(F.col("response") < response, "weak_phase_response").when(far > correction, "correction_too_large").when(F.col("ncc") < ncc, "low_ncc_at_measured").otherwise("ok")
+#: By kind of link: the least overlap as a share of the frame, and the largest correction of the prior in pixels (None: the frame's diagonal).
+LINK_LIMITS = {"seq": (0.06, 100.0), "cross": (0.12, 300.0), "bridge": (0.06, None)}
+
+
+def _overlap(x, y, width: int, height: int):
+    """Pixels that two frames share at an offset, in whole blocks of 16; none if a side is under 32."""
+    w, h = (F.floor((size - F.abs(F.bround(off))) / 16) * 16 for off, size in ((x, width), (y, height)))
+    return F.when((w >= 32) & (h >= 32), w * h).otherwise(0)
+
+
+def link_verdicts(links: DataFrame, response: float = 0.08, limits: dict = LINK_LIMITS, ncc: float = 0.3, frame: tuple[int, int] = (TILE, TILE)) -> DataFrame:
+    """P10: why a link is rejected, in the order of the checks; ok otherwise.
+
+    ``(dx, dy)`` is the measured offset and ``(px, py)`` the prior; without prior columns the prior is 0. ``limits`` are
+    by kind as in :data:`LINK_LIMITS`; a kind that isn't there is an error.
+    """
+    px, py = (F.col(c) if c in links.columns else F.lit(0.0) for c in ("px", "py"))
+    unknown = F.raise_error(F.concat(F.lit("no limits for links of kind "), F.coalesce("kind", F.lit("null")))).cast("double")
+
+    def of_kind(value):
+        out = unknown
+        for kind, limit in limits.items():
+            out = F.when(F.col("kind") == kind, F.lit(float(value(limit)))).otherwise(out)
+        return out
+
+    area = of_kind(lambda x: x[0] * frame[0] * frame[1])
+    most = of_kind(lambda x: x[1] if x[1] is not None else (frame[0] ** 2 + frame[1] ** 2) ** 0.5)
+    shared = lambda x, y: (least := _overlap(x, y, *frame)).eqNullSafe(F.lit(0)) | (least < area)
+    verdict = (
+        F.when(shared(px, py), "no_overlap_at_prior").when(F.col("response") < response, "weak_phase_response")
+        .when(F.hypot(F.col("dx") - px, F.col("dy") - py) > most, "correction_too_large").when(shared(F.col("dx"), F.col("dy")), "no_overlap_at_measured")
+        .when(F.col("ncc") < ncc, "low_ncc_at_measured").otherwise("ok")
+    )
     return links.withColumn("verdict", verdict)
 
 
-def link_statistics(links: DataFrame) -> DataFrame:
-    """Verdicts by kind, medians over accepted links."""
+def link_statistics(links: DataFrame, **limits) -> DataFrame:
+    """Verdicts by kind, medians over accepted links; ``limits`` as in :func:`link_verdicts`."""
     ok = F.col("verdict") == "ok"
-    return link_verdicts(links).groupBy("dataset", "kind").agg(F.count("*").alias("n"), F.count_if(ok).alias("n_ok"), F.median(F.when(ok, F.col("response"))).alias("median_response"), F.median(F.when(ok, F.col("ncc"))).alias("median_ncc"))
+    return link_verdicts(links, **limits).groupBy("dataset", "kind").agg(F.count("*").alias("n"), F.count_if(ok).alias("n_ok"), F.median(F.when(ok, F.col("response"))).alias("median_response"), F.median(F.when(ok, F.col("ncc"))).alias("median_ncc"))
 
 
 def top_links(links: DataFrame, most: int = 6) -> DataFrame:
@@ -83,9 +112,9 @@ def rigid_runs(tiles: DataFrame, floor: float = 0.55) -> DataFrame:
     return rows.select("dataset", "trial", "run", F.sum("dx").over(Window.partitionBy("dataset", "run").orderBy("trial")).alias("local_x"))
 
 
-def link_components(links: DataFrame) -> DataFrame:
+def link_components(links: DataFrame, **limits) -> DataFrame:
     """Components of accepted links with their sizes; the largest (ties by smallest node) is component 0."""
-    nodes = connected_components(link_verdicts(links).where("verdict = 'ok'").select("a", "b"))
+    nodes = connected_components(link_verdicts(links, **limits).where("verdict = 'ok'").select("a", "b"))
     sizes = checkpointed(nodes.groupBy("root").agg(F.count("*").alias("n")))
     largest = sizes.agg(F.max_by("root", F.struct(F.col("n"), -F.col("root")))).first()[0]
     return sizes.select("root", "n", F.coalesce(F.col("root") == largest, F.lit(False)).alias("largest"))

@@ -17,6 +17,9 @@ def _over(function, *tables):
     return lambda spark, sf_dir: function(*(V[t](spark, sf_dir) for t in tables))
 
 
+#: Of the links view, whose dx and dy are corrections of a prior of 0.
+_LIMITS = {"response": 0.2, "limits": {"seq": (0.06, 60.0), "cross": (0.12, 60.0), "bridge": (0.06, 60.0)}}
+
 QUERIES = {
     "run_summary": _over(acq.run_summary, "entries"),
     "snapshot_gaps": _over(acq.snapshot_gaps, "entries"),
@@ -33,12 +36,13 @@ QUERIES = {
     "placed_tiles": _over(layout.placed, "tiles"),
     "moved_tiles": _over(layout.moved, "tiles"),
     "nearby_pairs": _over(layout.nearby_pairs, "tiles"),
-    "link_verdicts": lambda spark, sf_dir: layout.link_verdicts(views.links(spark, sf_dir)).groupBy("dataset", "verdict").agg(F.count("*").alias("n")),
-    "link_statistics": _over(layout.link_statistics, "links"),
+    "link_verdicts": lambda spark, sf_dir: layout.link_verdicts(views.links(spark, sf_dir), **_LIMITS).groupBy("dataset", "verdict").agg(F.count("*").alias("n")),
+    "link_verdict_rows": lambda spark, sf_dir: layout.link_verdicts(views.links(spark, sf_dir), **_LIMITS).select("dataset", "a", "b", "kind", "verdict"),
+    "link_statistics": lambda spark, sf_dir: layout.link_statistics(views.links(spark, sf_dir), **_LIMITS),
     "top_links": _over(layout.top_links, "links"),
     "match_margins": _over(layout.margins, "links"),
     "rigid_runs": _over(layout.rigid_runs, "tiles"),
-    "link_components": _over(layout.link_components, "links"),
+    "link_components": lambda spark, sf_dir: layout.link_components(views.links(spark, sf_dir), **_LIMITS),
     "electrodes_in_regions": _over(layout.electrodes_in_regions, "electrodes", "regions"),
     "nearest_electrode": _over(layout.nearest_electrode, "electrodes", "regions"),
     "step_statistics": _over(layout.step_statistics, "electrodes"),
@@ -171,6 +175,7 @@ _SQL = {
     "nearby_pairs": ("tiles", "", """SELECT a.dataset, a.trial AS a, b.trial AS b, (512 - abs(a.x - b.x)) * (512 - abs(a.y - b.y)) AS overlap_px FROM tiles a JOIN tiles b ON a.dataset = b.dataset AND a.trial < b.trial
       WHERE (a.x - b.x) ** 2 + (a.y - b.y) ** 2 < 480 * 480 AND 512 - abs(a.x - b.x) >= 40 AND 512 - abs(a.y - b.y) >= 40 AND (512 - abs(a.x - b.x)) * (512 - abs(a.y - b.y)) >= 3600"""),
     "link_verdicts": ("links", _VERDICT, "SELECT dataset, verdict, count(*) AS n FROM v GROUP BY dataset, verdict"),
+    "link_verdict_rows": ("links", _VERDICT, "SELECT dataset, a, b, kind, verdict FROM v"),
     "link_statistics": ("links", _VERDICT, "SELECT dataset, kind, count(*) AS n, count(*) FILTER (verdict = 'ok') AS n_ok, median(response) FILTER (verdict = 'ok') AS median_response, median(ncc) FILTER (verdict = 'ok') AS median_ncc FROM v GROUP BY dataset, kind"),
     "top_links": ("links", _PAIRS + ", e AS (SELECT *, a AS e FROM p UNION ALL SELECT *, b FROM p)", "SELECT DISTINCT dataset, a, b, ncc FROM (SELECT *, row_number() OVER (PARTITION BY dataset, e ORDER BY ncc DESC, a, b) AS k FROM e) WHERE k <= 6"),
     "match_margins": ("links", _PAIRS, "SELECT dataset, a, round(max(CASE WHEN k = 1 THEN ncc END) - max(CASE WHEN k = 2 THEN ncc END), 6) AS margin FROM (SELECT *, row_number() OVER (PARTITION BY dataset, a ORDER BY ncc DESC, b) AS k FROM p) WHERE k <= 2 GROUP BY dataset, a"),

@@ -3,7 +3,7 @@
 import numpy as np
 import pandas as pd
 
-from lamella.operators import documents, matching, pixels, tracks
+from lamella.operators import documents, layout, matching, pixels, tracks
 from lamella.plans import registry
 from lamella.sources import logs
 from lamella.streaming import tracks as live
@@ -115,3 +115,17 @@ def test_planted_shifts(spark):
         assert abs(r.dx - at[b][0] + at[a][0]) < 1 and abs(r.dy - at[b][1] + at[a][1]) < 1 and r.ncc > 0.8
     assert all(got[1, b].dx is None and got[1, b].ncc is None for b in (4, 5, 6, 7))
     assert matching.overlap_ncc(scene, scene, 870, 0, 40, 3600) is None
+
+
+def test_link_verdicts_by_kind(spark):
+    rows = [  # kind, prior, measured, response, ncc; frames of 512 x 512
+        ("seq", (100.0, 0.0), (190.0, 0.0), 0.1, 0.9, "ok"), ("seq", (100.0, 0.0), (201.0, 0.0), 0.1, 0.9, "correction_too_large"),
+        ("cross", (0.0, 0.0), (290.0, 0.0), 0.1, 0.9, "ok"), ("cross", (0.0, 0.0), (301.0, 0.0), 0.1, 0.9, "correction_too_large"),
+        ("bridge", (0.0, 0.0), (400.0, 100.0), 0.08, 0.3, "ok"), ("bridge", (0.0, 0.0), (400.0, 100.0), 0.07, 0.3, "weak_phase_response"),
+        ("bridge", (0.0, 0.0), (400.0, 100.0), 0.08, 0.29, "low_ncc_at_measured"), ("seq", (481.0, 0.0), (400.0, 0.0), 0.01, 0.9, "no_overlap_at_prior"),
+        ("cross", (450.0, 0.0), (400.0, 0.0), 0.9, 0.9, "no_overlap_at_prior"), ("seq", (450.0, 0.0), (450.0, 0.0), 0.9, 0.9, "ok"),
+        ("bridge", (0.0, 0.0), (-490.0, 0.0), 0.9, 0.0, "no_overlap_at_measured"), ("seq", (900.0, 900.0), (0.0, 0.0), 0.9, 0.9, "no_overlap_at_prior"),
+    ]
+    links = spark.createDataFrame([(i, k, *p, *m, r, n) for i, (k, p, m, r, n, _) in enumerate(rows)], "a long, kind string, px double, py double, dx double, dy double, response double, ncc double")
+    got = {r.a: r.verdict for r in layout.link_verdicts(links).collect()}
+    assert got == {i: row[-1] for i, row in enumerate(rows)}
