@@ -104,10 +104,10 @@ def margins(links: DataFrame) -> DataFrame:
     return ranked.groupBy("dataset", "a").agg(F.round(best - second, 6).alias("margin"))
 
 
-def rigid_runs(tiles: DataFrame, floor: float = 0.55) -> DataFrame:
-    """Runs cut where trials aren't adjacent in the dataset's step or ncc is low; positions restart at 0."""
+def rigid_runs(tiles: DataFrame, floor: float = 0.55, adjacent: int = 1) -> DataFrame:
+    """Runs cut where trials are over ``adjacent`` apart or ncc is low; positions restart at 0."""
     by = Window.partitionBy("dataset").orderBy("trial")
-    cut = (F.lag("trial").over(by).isNull() | (F.col("trial") - F.lag("trial").over(by) > 10) | (F.col("ncc") < floor)).cast("int")
+    cut = (F.lag("trial").over(by).isNull() | (F.col("trial") - F.lag("trial").over(by) > adjacent) | (F.col("ncc") < floor)).cast("int")
     rows = tiles.withColumn("cut", cut).withColumn("run", F.sum("cut").over(by)).withColumn("dx", F.when(F.col("cut") == 1, 0.0).otherwise(F.col("x") - F.lag("x").over(by)))
     return rows.select("dataset", "trial", "run", F.sum("dx").over(Window.partitionBy("dataset", "run").orderBy("trial")).alias("local_x"))
 
@@ -142,10 +142,10 @@ def nearest_electrode(electrodes: DataFrame, points: DataFrame, radius: float =
     return best.select("region", F.col("best.col").alias("col"), F.col("best.row").alias("row"), F.round(F.sqrt("best.d2"), 6).alias("distance"))
 
 
-def step_statistics(electrodes: DataFrame) -> DataFrame:
-    """Steps between detected neighbours along a row."""
+def step_statistics(electrodes: DataFrame, apart: int = 1) -> DataFrame:
+    """Steps between detected neighbours along a row, whose columns are ``apart``."""
     e = electrodes.where("kind = 1").select("mosaic", "col", "row", "x", "y").alias("a")
-    nxt = e.select("mosaic", (F.col("col") - 3).alias("col"), "row", F.col("x").alias("nx"), F.col("y").alias("ny"))
+    nxt = e.select("mosaic", (F.col("col") - apart).alias("col"), "row", F.col("x").alias("nx"), F.col("y").alias("ny"))
     step = F.hypot(F.col("nx") - F.col("x"), F.col("ny") - F.col("y"))
     return e.join(nxt, ["mosaic", "col", "row"]).groupBy("mosaic").agg(F.count("*").alias("n"), F.round(F.median(step), 6).alias("median_step"), F.round(F.percentile(step, 0.95), 6).alias("p95_step"))
 

@@ -41,11 +41,11 @@ QUERIES = {
     "link_statistics": lambda spark, sf_dir: layout.link_statistics(views.links(spark, sf_dir), **_LIMITS),
     "top_links": _over(layout.top_links, "links"),
     "match_margins": _over(layout.margins, "links"),
-    "rigid_runs": _over(layout.rigid_runs, "tiles"),
+    "rigid_runs": lambda spark, sf_dir: layout.rigid_runs(views.tiles(spark, sf_dir), adjacent=10),  # each tenth key is in a dataset
     "link_components": lambda spark, sf_dir: layout.link_components(views.links(spark, sf_dir), **_LIMITS),
     "electrodes_in_regions": _over(layout.electrodes_in_regions, "electrodes", "regions"),
     "nearest_electrode": _over(layout.nearest_electrode, "electrodes", "regions"),
-    "step_statistics": _over(layout.step_statistics, "electrodes"),
+    "step_statistics": lambda spark, sf_dir: layout.step_statistics(views.electrodes(spark, sf_dir), apart=3),  # each third column is in a mosaic
     "build_score": lambda spark, sf_dir: layout.score(views.tiles(spark, sf_dir).select("dataset", "trial", F.col("mx").alias("x"), F.col("my").alias("y")), views.tiles(spark, sf_dir).where("state = 'anchor'")),
 }
 
@@ -119,7 +119,7 @@ QUERIES |= {
     "residual_statistics": lambda spark, sf_dir: documents.residual_statistics(_own_links(spark, sf_dir), views.tiles(spark, sf_dir)),
     "tile_quality": _over(documents.tile_quality, "links"),
     "leaderboard": _over(documents.leaderboard, "links"),
-    "gated_links": lambda spark, sf_dir: documents.gated_links(_own_links(spark, sf_dir), layout.rigid_runs(views.tiles(spark, sf_dir))),
+    "gated_links": lambda spark, sf_dir: documents.gated_links(_own_links(spark, sf_dir), layout.rigid_runs(views.tiles(spark, sf_dir), adjacent=10)),
     "covered_blocks": _over(documents.covered_blocks, "tiles"),
     "seed_shift": _over(documents.seed_shift, "tiles"),
     "position_stamp": _over(documents.position_stamp, "tiles"),

@@ -129,3 +129,13 @@ def test_link_verdicts_by_kind(spark):
     links = spark.createDataFrame([(i, k, *p, *m, r, n) for i, (k, p, m, r, n, _) in enumerate(rows)], "a long, kind string, px double, py double, dx double, dy double, response double, ncc double")
     got = {r.a: r.verdict for r in layout.link_verdicts(links).collect()}
     assert got == {i: row[-1] for i, row in enumerate(rows)}
+
+
+def test_runs_and_steps_of_dense_tables(spark):
+    tiles = spark.createDataFrame([(1, t, 10.0 * t, 0.9) for t in (1, 2, 3, 5, 6, 9)], "dataset long, trial long, x double, ncc double")
+    got = [(r.trial, r.run, r.local_x) for r in layout.rigid_runs(tiles).orderBy("trial").collect()]
+    assert got == [(1, 1, 0.0), (2, 1, 10.0), (3, 1, 20.0), (5, 2, 0.0), (6, 2, 10.0), (9, 3, 0.0)]
+    links = spark.createDataFrame([(1, 1, 3, 500.0), (1, 3, 5, 500.0)], "dataset long, a long, b long, dx double")
+    assert [(r.a, r.b) for r in documents.gated_links(links, layout.rigid_runs(tiles)).collect()] == [(1, 3)]
+    grid = spark.createDataFrame([(1, c, 1, 14.0 * c, 0.0, 1) for c in range(1, 6)], "mosaic long, col long, row long, x double, y double, kind int")
+    assert [tuple(r) for r in layout.step_statistics(grid).collect()] == [(1, 4, 14.0, 14.0)]
