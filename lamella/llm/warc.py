@@ -19,11 +19,12 @@ from pyspark.sql import functions as F
 
 from lamella.plans.session import checkpointed, scratch
 
-MAGIC = b"WARC/1.1\r\n"
+MAGIC = b"WARC/1."
 END = b"\r\n\r\n"
 LEAST_PAYLOAD = 100
 RECORDS_PER_FILE = 4096
-HEAD = re.compile(rb"WARC/1\.1\r\n((?:[A-Za-z-]+: [^\r\n]*\r\n)+)\r\n")
+HEAD = re.compile(rb"WARC/1\.[01]\r\n((?:[^\s:]+:[^\r\n]*\r\n(?:[ \t][^\r\n]*\r\n)*)+)\r\n")
+FOLD = re.compile(rb"\r\n[ \t]+")
 
 
 def records(pages: DataFrame) -> DataFrame:
@@ -59,35 +60,52 @@ def _parsed(data: bytes, at: int) -> tuple | None:
     """What the record head at ``at`` says, or None if there is none."""
     if (m := HEAD.match(data, at)) is None:
         return None
-    fields = dict(line.split(b": ", 1) for line in m[1].split(b"\r\n")[:-1])
-    size = fields.get(b"Content-Length", b"")
+    lines = (line.split(b":", 1) for line in FOLD.sub(b" ", m[1]).split(b"\r\n")[:-1])
+    fields = {name.lower(): value.strip(b" \t") for name, value in lines}
+    size = fields.get(b"content-length", b"")
     if not size.isdigit():
         return None
     end = m.end() + int(size)
     if data[end : end + len(END)] != END:
         return None
     page = lambda x: int(i) if (i := x.removeprefix(b"<urn:page:").removesuffix(b">")).lstrip(b"-").isdigit() else None
-    kind, body = fields.get(b"WARC-Type", b"").decode(), data[m.end() : end]
-    refers = page(fields[b"WARC-Refers-To"]) if b"WARC-Refers-To" in fields else None
+    kind, body = fields.get(b"warc-type", b"").decode(), data[m.end() : end]
+    refers = page(fields[b"warc-refers-to"]) if b"warc-refers-to" in fields else None
     digest, n = hashlib.sha256(body).hexdigest(), len(body)
     if kind == "revisit":  # the payload is in the record referred to
-        digest, n = fields.get(b"WARC-Payload-Digest", b"").decode().removeprefix("sha256:"), int(fields.get(b"WARC-Payload-Length", b"0"))
-    return end + len(END), page(fields.get(b"WARC-Record-ID", b"")), n, digest, kind, refers
+        digest, n = fields.get(b"warc-payload-digest", b"").decode().removeprefix("sha256:"), int(fields.get(b"warc-payload-length", b"0"))
+    return end + len(END), page(fields.get(b"warc-record-id", b"")), n, digest, kind, refers
+
+
+def inflated(data: bytes) -> bytes:
+    """All gzip members of ``data``, one after another."""
+    parts = []
+    while data:
+        member = zlib.decompressobj(31)
+        parts.append(member.decompress(data))
+        if not member.eof:
+            raise ValueError("a gzip member is cut short")
+        data = member.unused_data
+    return b"".join(parts)
 
 
 def candidates(spark: SparkSession, path: str) -> DataFrame:
-    """Everything in the archives below ``path`` that parses as a record, whether it is one or a payload quotes it."""
+    """Everything in the archives below ``path`` that parses as a record, whether it is one or a payload quotes it.
+
+    A row without ``next`` tells where each file ends.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 data, rows, at = content.as_py(), [], 0
                 if data[:2] == b"\x1f\x8b":
-                    data = zlib.decompress(data, 31)
+                    data = inflated(data)
                 while (at := data.find(MAGIC, at)) >= 0:
                     if got := _parsed(data, at):
                         rows.append((file, at, *got))
                     at += len(MAGIC)
+                rows.append((file, len(data), *[None] * 6))
                 types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["file", "at", "next", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
@@ -113,9 +131,15 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """The records of the archives below ``path``: file, at, next, page_id, payload_bytes, payload_digest, record_type, refers_to.
 
     Digests and lengths of responses are taken from the bytes read; revisits carry those of the payload they refer to.
+    A file whose chain of records does not end where the file does is an error.
     """
     found = checkpointed(candidates(spark, path))
-    return found.join(reachable(found), ["file", "at"], "left_semi")
+    links = found.where("next is not null")
+    reached = reachable(links)
+    broken = found.where("next is null and at > 0").join(reached, ["file", "at"], "left_anti").select("file").first()
+    if broken:
+        raise ValueError(f"the records of {broken['file']} do not lead to its end")
+    return links.join(reached, ["file", "at"], "left_semi")
 
 
 def written_and_read(pages: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Brute-force checks and round trips: operators 2, 3, 4, 5 and 8."""
 
+import gzip
 import hashlib
 import random
 import struct
@@ -299,3 +300,26 @@ def test_every_operator_is_registered():
     assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 11))
     assert set(queries.ORACLES) <= set(queries.QUERIES)
     assert F.lit(1) is not None
+
+
+def archive(version, colon, pages):
+    out = []
+    for i, body in pages:
+        head = [("WARC-Type", "response"), ("WARC-Record-ID", f"<urn:page:{i}>"), ("Content-Length", str(len(body)))]
+        out.append(f"WARC/{version}\r\n".encode() + b"".join(f"{k}{colon}{v}\r\n".encode() for k, v in head) + b"\r\n" + body + b"\r\n\r\n")
+    return out
+
+
+@pytest.mark.parametrize(("version", "colon"), [("1.0", ":"), ("1.1", ": "), ("1.0", ": \t")])
+def test_warc_reads_other_archives(spark, tmp_path, version, colon):
+    pages = [(i, b"page %d WARC/1.0\r\n" % i * 9) for i in range(5)]
+    (tmp_path / "part-0.warc.gz").write_bytes(b"".join(map(gzip.compress, archive(version, colon, pages))))
+    got = warc.read(spark, str(tmp_path)).select("page_id", "payload_bytes").collect()
+    assert sorted(map(tuple, got)) == [(i, len(b)) for i, b in pages]
+
+
+@pytest.mark.parametrize("tail", [b"more", b"WARC/1.1\r\nContent-Length: 900\r\n\r\nshort"])
+def test_warc_broken_archives_fail(spark, tmp_path, tail):
+    (tmp_path / "part-0").write_bytes(b"".join(archive("1.1", ": ", [(1, b"x")])) + tail)
+    with pytest.raises(ValueError, match="do not lead to its end"):
+        warc.read(spark, str(tmp_path))
