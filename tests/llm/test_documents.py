@@ -385,3 +385,16 @@ def test_word_model(spark, monkeypatch):
         monkeypatch.setattr(word_model, "FREQUENT", frequent)
         got = word_model.scores(docs, terms, w0, spelling).join(docs.select("text", F.xxhash64("text").alias("text_id")).distinct(), "text_id").collect()
         assert {r.text for r in got} == set(want) and all(np.isclose(r.nll, want[r.text], rtol=1e-6) for r in got)
+
+
+def test_word_scores_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(word_model, "FREQUENT", 3)
+    known = spark.createDataFrame([("a b c d e",), ("b c d e f",)], "text string")
+    spelling = spark.sparkContext.broadcast(quality.fit(known, word_model.spelled_codes))
+    sent, plain = [], spark.sparkContext.broadcast
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda x: sent.append(x) or plain(x))
+    terms, w0 = word_model.fit(known, spelling)
+    once = word_model.scores(known.limit(1), terms, w0, spelling).first()
+    copies = known.limit(1).crossJoin(spark.range(6)).select("text").repartition(3)
+    assert abs(word_model.scores(copies, terms, w0, spelling).first().nll - once.nll) < 1e-9  # copies in several tasks
+    assert [len(k) for k, _ in sent] == [3, 3] and terms.count() > 20  # most of the table is met by the join
