@@ -6,13 +6,21 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows of ids that may be broadcast; about 100 MB in an executor.
+BROADCAST_ROWS = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; only where that is unset (tests, a laptop) one of our own."""
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the cluster shares")
+        context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="spark-"))
     return spark.conf.get("spark.checkpoint.dir", None) or context._jsc.sc().getCheckpointDir().get()
 
 
@@ -28,10 +36,30 @@ def scratch(spark: SparkSession, label: str) -> str:
 
 
 def saved(df: DataFrame, label: str, **options: str) -> DataFrame:
-    """``df`` written as compressed Parquet in the shared folder and reread."""
-    path = scratch(df.sparkSession, label)
-    df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` written as compressed Parquet in the shared folder and reread; its shuffle files go once it is written."""
+    path, spark = scratch(df.sparkSession, label), df.sparkSession
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").options(**options).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes the files of tables that :func:`saved` made, once all that was computed from them is stored."""
+    for table in tables:
+        jvm, conf = table.sparkSession._jvm, table.sparkSession._jsc.hadoopConfiguration()
+        for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+
+def bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """Narrow ``df``, stored and counted: to be broadcast while it has at most ``most`` rows, else to be shuffled."""
+    df = checkpointed(df)
+    return F.broadcast(df) if df.count() <= most else df.hint("merge")
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
