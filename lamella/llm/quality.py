@@ -1,195 +1,77 @@
-"""Quality classifier (operator 10): interpolated modified Kneser-Ney model of trusted text.
+"""Quality classifier (operator 10): interpolated modified Kneser-Ney model of the words of trusted text.
 
-The model is of words, order 3, in partitioned tables that grow with the text (:mod:`lamella.llm.word_model`). Words it
-has not seen are spelled by the model of this module: byte classes (64 of them: letters by case, digits, the usual
-marks, kinds of UTF-8 bytes), order 4, as an alphabet of bounded size (at most 16.8 million entries, so it may be
-broadcast). Its counts are summed in shards by code; counts of the lower orders are continuation counts of the order
-above. Joins of the count tables, sharded by code, give discounts, back-off weights and interpolated probabilities.
-
-A document is rejected when its perplexity is above its language's threshold, a quantile of the perplexity of the
-trusted documents in that language that were kept from the model, read from complete histograms of the logarithm.
+Trusted documents are those labelled 1 for quality. The model (:mod:`lamella.llm.word_model`) is kept in partitioned
+tables that grow with the text; joins sharded by n-gram give each document's perplexity per word. A document is rejected
+when its perplexity is above its language's threshold, a quantile of the perplexity of the trusted documents in that
+language that were kept from the model.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamella.llm import word_model
-from lamella.llm.arrow import flat_bytes, sub_batches
-from lamella.llm.word_model import spelled_codes
-from lamella.plans.session import checkpointed, saved, small_batches
-
-ORDER = 4
-BITS = 6
-CLASSES = 1 << BITS
-QUANTILE = 0.999
+from lamella.plans.session import bounded, checkpointed, forget, small_batches
+
+QUANTILE = 0.995
 #: One trusted text in so many gives thresholds and is not counted.
 HELD_OUT = 5
-#: Histogram bins per unit of log-perplexity.
+#: Steps per unit of log-perplexity to which thresholds are rounded up.
 BINS = 1000
-SLICE = 1 << 20
-
-
-def byte_classes() -> np.ndarray:
-    """Class of each byte value."""
-    table = np.full(256, 58, np.uint8)  # other ASCII marks
-    table[ord("a") : ord("z") + 1] = np.arange(26)
-    table[ord("A") : ord("Z") + 1] = np.arange(26, 52)
-    table[ord("0") : ord("9") + 1] = 52
-    table[[0x20]], table[[0x0A]], table[0:0x0A], table[0x0B:0x20], table[0x7F] = 53, 54, 59, 59, 59
-    for mark, c in ((".", 55), (",", 56), ("!", 57), ("|", 60)):
-        table[ord(mark)] = c
-    table[0x80:0xA0], table[0xA0:0xC0], table[0xC0:] = 61, 62, 63
-    return table
-
-
-TABLE = byte_classes()
-
-
-def codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Code of the n-gram that ends at each byte of the column's texts, and the texts' offsets.
-
-    A text is preceded by line ends, so its first bytes have full contexts and no n-gram crosses texts.
-    """
-    data, offsets = flat_bytes(column)
-    n = len(offsets) - 1
-    lengths = np.diff(offsets)
-    spread = np.full(len(data) + n * (ORDER - 1), TABLE[0x0A], np.uint32)
-    at = np.arange(len(data)) + np.repeat((np.arange(n) + 1) * (ORDER - 1), lengths)
-    spread[at] = TABLE[data]
-    code = spread[at]
-    for k in range(1, ORDER):
-        code = code | spread[at - k] << np.uint32(BITS * k)
-    return code, offsets
-
-
-def count_grams(texts: DataFrame, coder=codes) -> DataFrame:
-    """``(code, n)``: 4-gram counts of all ``text`` values, summed map-side first; ``coder`` makes codes of a column."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CLASSES**ORDER, np.uint32)  # a partition has fewer bytes than that counts
-        for batch in (s for b in batches for s in sub_batches(b, "text", SLICE)):
-            found, n = np.unique(coder(batch.column(0))[0], return_counts=True)
-            total[found] += n.astype(np.uint32)
-        found = np.flatnonzero(total)
-        for i in range(0, len(found), 1 << 16):
-            some = found[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some].astype(np.int64))], names=["code", "n"])
-
-    return texts.select("text").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-
-
-class Model:
-    """Natural logarithms of the interpolated probabilities of all 4-grams, from the seen ones and back-off weights."""
-
-    def __init__(self, seen: list[tuple[np.ndarray, np.ndarray]], backoff: list[tuple[np.ndarray, np.ndarray]]):
-        self.seen, self.backoff = seen, backoff
-        self._log: np.ndarray | None = None
-
-    def __getstate__(self):
-        return {"seen": self.seen, "backoff": self.backoff, "_log": None if self.seen else self._log}
-
-    def log(self) -> np.ndarray:
-        """Unseen n-grams get the context's back-off weight (1 for an unseen context) times the lower order's probability."""
-        if self._log is None:
-            p = np.full(CLASSES, 1 / CLASSES, np.float32)
-            for k, (code, prob) in enumerate(self.seen):
-                weight = np.ones(CLASSES**k, np.float32)
-                weight[self.backoff[k][0]] = self.backoff[k][1]
-                p = (weight.reshape(CLASSES, -1, 1) * p.reshape(1, -1, CLASSES)).reshape(-1) if k else weight * p
-                p[code] = prob
-            self._log, self.seen, self.backoff = np.log(p, out=p), [], []
-        return self._log
-
-
-def _discounts(counts: DataFrame) -> tuple[float, float, float]:
-    """Modified Kneser-Ney discounts for counts 1, 2 and 3 or more, from the numbers of n-grams seen 1 to 4 times."""
-    n = counts.agg(*[F.count(F.when(F.col("n") == k, 1)).alias(f"n{k}") for k in range(1, 5)]).first()
-    n1, n2, n3, n4 = (float(x) for x in n)
-    if not (n1 and n2):
-        return 0.5, 0.75, 0.9
-    y = n1 / (n1 + 2 * n2)
-    d = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3 if n3 else 0.9]
-    return tuple(min(max(x, 0.1), k - 0.05) for k, x in enumerate(d, 1))
-
-
-def fit(trusted: DataFrame, coder=codes) -> Model:
-    """The model of all rows of ``trusted`` (column ``text``); without any text all 4-grams are equally likely."""
-    counts = {ORDER: checkpointed(count_grams(trusted, coder))}
-    for k in range(ORDER - 1, 0, -1):  # a lower order counts the different classes seen before an n-gram
-        counts[k] = checkpointed(counts[k + 1].groupBy(F.col("code").bitwiseAND(CLASSES**k - 1).alias("code")).agg(F.count("*").alias("n")))
-    seen, backoff, lower = [], [], None
-    for k in range(1, ORDER + 1):
-        d1, d2, d3 = _discounts(counts[k])
-        taken = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
-        c = counts[k].withColumn("context", F.shiftright("code", BITS))
-        contexts = c.groupBy("context").agg(F.sum("n").alias("total"), F.sum(taken).alias("freed")).select("context", "total", (F.col("freed") / F.col("total")).alias("weight"))
-        p = c.join(contexts, "context").withColumn("own", (F.col("n") - taken) / F.col("total"))
-        if lower is None:
-            p = p.select("code", (F.col("own") + F.col("weight") / CLASSES).alias("p"))
-        else:
-            p = p.withColumn("suffix", F.col("code").bitwiseAND(CLASSES ** (k - 1) - 1)).join(lower.select(F.col("code").alias("suffix"), F.col("p").alias("q")), "suffix")
-            p = p.select("code", (F.col("own") + F.col("weight") * F.col("q")).alias("p"))
-        lower = checkpointed(p)
-        for df, out in ((lower, seen), (contexts.select("context", "weight"), backoff)):
-            table = df.toArrow()  # at most CLASSES ** k rows
-            out.append((table.column(0).to_numpy(), table.column(1).to_numpy().astype(np.float32)))
-    return Model(seen, backoff)
 
 
 def thresholds(scores: DataFrame, quantile: float = QUANTILE) -> DataFrame:
-    """``(lang, threshold)``: that quantile of ``nll`` per language, rounded up to a histogram bin; null is a language of its own.
+    """``(lang, threshold)``: that quantile of ``nll``, in steps of 1 / BINS, per language; null is a language of its own.
 
-    Histograms are complete and as small as languages times bins.
+    Tasks send counts per step, so a language with a third of all rows is as small as any other.
     """
-    bins = scores.where("nll is not null").groupBy("lang", F.ceil(F.col("nll") * BINS).alias("bin")).agg(F.count("*").alias("n"))
-    upto = Window.partitionBy("lang").orderBy("bin")
-    ranked = bins.withColumn("upto", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(Window.partitionBy("lang")))
-    return ranked.where(F.col("upto") >= F.lit(quantile) * F.col("all")).groupBy("lang").agg((F.min("bin") / BINS).alias("threshold"))
+    return scores.where("nll is not null").groupBy("lang").agg((F.percentile(F.ceil(F.col("nll") * BINS), F.lit(quantile)) / BINS).alias("threshold"))
 
 
 def trusted_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of ``docs`` labelled 1 for quality; repeated labels count once, null ids match none.
 
-    Labels grow with the documents, so both sides are shuffled at every size and nothing is broadcast.
+    The ids are broadcast while they are few enough (see :func:`bounded`), else both sides are shuffled.
     """
-    return docs.join(labels.where("quality = 1").select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
+    return docs.join(bounded(labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()), "doc_id", "left_semi")
 
 
-def classify(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = ("doc_id",), quantile: float = QUANTILE) -> DataFrame:
-    """Per row of ``docs``: ``row`` (struct of ``carry``), perplexity per byte, threshold (null: no trusted text in the language), rejected.
-
-    One trusted text in ``HELD_OUT`` is kept from the model and gives its language's threshold; a language without any
-    such text takes the trusted texts it has. Null and empty texts have no perplexity and aren't rejected, nor is a
-    document of a language without trusted text. Repeated rows are scored alike. Other columns are not read.
-    """
+def _scored(docs: DataFrame, labels: DataFrame, quantile: float) -> tuple[DataFrame, DataFrame]:
+    """``(text_id, nll)`` of all distinct texts and ``(lang, threshold)`` of all languages with trusted text."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), "doc_id", "lang", F.xxhash64("text").alias("text_id"), (F.length("text") > 0).alias("some"))
     held = F.pmod(F.xxhash64("text"), F.lit(HELD_OUT)) == 0  # copies of a text are on one side
-    known = saved(trusted_documents(docs.select("doc_id", "text"), labels).where(~F.coalesce(held, F.lit(True))).select("text"), "trusted")
-    spelling = docs.sparkSession.sparkContext.broadcast(fit(known, spelled_codes))
-    terms, w0 = word_model.fit(known, spelling)
-    scored = saved(word_model.scores(docs.select("text"), terms, w0, spelling), "scores")
-    sure = trusted_documents(rows.where("some").select("doc_id", "lang", "text_id"), labels).join(scored, "text_id")
+    known = trusted_documents(docs.select("doc_id", "text"), labels).where("length(text) > 0")
+    terms, unknown = word_model.fit(known.where(~held).select("text"))
+    scored = word_model.scores(docs.select("text"), terms, unknown)
+    forget(terms)
+    rows = docs.where("length(text) > 0").select("doc_id", "lang", F.xxhash64("text").alias("text_id"))
+    sure = trusted_documents(rows, labels).join(scored, "text_id")
     sure = checkpointed(sure.select("lang", "nll", (F.pmod("text_id", F.lit(HELD_OUT)) == 0).alias("held")))
     out = thresholds(sure.where("held"), quantile).select("lang", F.col("threshold").alias("out"))
     every = thresholds(sure, quantile).select(F.col("lang").alias("known"), "threshold")
-    limits = checkpointed(every.join(out, F.col("lang").eqNullSafe(F.col("known")), "left").select(F.col("known").alias("lang"), F.coalesce("out", "threshold").alias("threshold")))
-    languages = {r["lang"]: r["threshold"] for r in limits.limit(10_000).collect()}
-    if len(languages) == 10_000:
-        raise ValueError("lang holds no languages")
-    limit = F.lit(None).cast("double")
-    for lang, threshold in languages.items():
-        limit = F.when(F.col("lang").eqNullSafe(F.lit(lang)), threshold).otherwise(limit)
-    met = rows.withColumn("text_id", F.when(F.col("some"), F.col("text_id"))).join(scored.hint("merge"), "text_id", "left").withColumn("limit", limit)
-    return met.select("row", F.exp("nll").alias("perplexity"), F.exp("limit").alias("threshold"), F.coalesce(F.col("nll") > F.col("limit"), F.lit(False)).alias("rejected"))
-
-
-def good_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """``docs`` without the rejected ones."""
-    return classify(docs, labels, tuple(docs.columns), **options).where("not rejected").select("row.*")
+    limits = every.join(out, F.col("lang").eqNullSafe(F.col("known")), "left").select(F.col("known").alias("limit_lang"), F.coalesce("out", "threshold").alias("threshold"))
+    return scored, bounded(checkpointed(limits))
+
+
+def classify(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = ("doc_id",), quantile: float = QUANTILE) -> DataFrame:
+    """Per row of ``docs``: ``row`` (struct of ``carry``), perplexity per word, threshold (null: no trusted text in the language), rejected.
+
+    One trusted text in ``HELD_OUT`` is kept from the model and gives its language's threshold; a language without any
+    such text takes the trusted texts it has. Null and empty texts have no perplexity and aren't rejected, nor is a
+    document of a language without trusted text. Repeated rows are scored alike. Texts of any length are counted and
+    scored whole, a slice of rows at a time. Other columns are not read; carried ones may have any name.
+    """
+    scored, limits = _scored(docs, labels, quantile)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), F.col("lang").alias("own_lang"), F.when(F.length("text") > 0, F.xxhash64("text")).alias("text_id"))
+    met = rows.join(scored.hint("merge"), "text_id", "left").join(limits, F.col("own_lang").eqNullSafe(F.col("limit_lang")), "left")
+    return met.select("row", F.exp("nll").alias("perplexity"), F.exp("threshold").alias("threshold"), F.coalesce(F.col("nll") > F.col("threshold"), F.lit(False)).alias("rejected"))
+
+
+def good_documents(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
+    """``docs`` without those that :func:`classify` rejects; the rejected texts' ids and languages go to the documents."""
+    scored, limits = _scored(docs, labels, quantile)
+    rows = docs.where("length(text) > 0").select(F.col("lang").alias("bad_lang"), F.xxhash64("text").alias("bad_id")).distinct()
+    met = rows.join(scored, F.col("bad_id") == F.col("text_id")).join(limits, F.col("bad_lang").eqNullSafe(F.col("limit_lang")))
+    bad = bounded(met.where("nll > threshold").select("bad_lang", "bad_id"))
+    return docs.join(bad, (F.xxhash64(docs["text"]) == bad["bad_id"]) & docs["lang"].eqNullSafe(bad["bad_lang"]) & (F.length(docs["text"]) > 0), "left_anti")

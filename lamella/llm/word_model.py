@@ -1,15 +1,17 @@
-"""Interpolated modified Kneser-Ney model of words (order 3) for the quality classifier.
+"""Interpolated modified Kneser-Ney model of word pairs for the quality classifier.
 
-Words are what ASCII spaces separate, byte for byte; a text ends with an end token. Words and n-grams are known by 64-bit
-hashes, none is left out, and their counts are partitioned tables that grow with the text. An unseen word is spelled: the
-model of byte classes in :mod:`lamella.llm.quality`, fitted on words, is the order below the unigrams.
+Words are what ASCII spaces separate, byte for byte; a text begins with a start token and ends with an end token. Words
+and pairs are known by 64-bit hashes, none is left out, and their counts are partitioned tables that grow with the text.
+A unigram's probability comes from the number of different words before it; below it all words of the model and one
+unknown word are equally likely.
 
-The logarithm of a token's probability is a sum with a term for each n-gram and each context that the model has seen and
-none for others (see :func:`fit`). So documents are scored by an equi-join of their n-grams with the terms and a sum.
+The logarithm of a text's probability is a sum over its words and pairs with a term for each one that the model has seen
+and none for others (see :func:`fit`). So texts are scored by an equi-join of their words and pairs with the terms.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,47 +20,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lamella.llm.arrow import flat_bytes, sub_batches
-from lamella.plans.session import saved
-
-SLICE = 1 << 20
-#: Entries that tasks look up themselves: the n-grams counted most often, which would crowd single tasks of the join.
-FREQUENT = 1 << 17
+from lamella.plans.session import forget, saved
+
+SLICE = 4 << 20
+#: Terms that tasks look up themselves: the words and pairs counted most often, which would crowd single tasks of the join.
+FREQUENT = 1 << 19
+#: Words whose statistics are broadcast when the pairs' terms are made, for the same reason.
+FREQUENT_WORDS = 1 << 17
+#: Parts in which texts are scored, so that the rows of one part are on disk at a time.
+ROUNDS = 4
 START, END = 0x1B873593CC9E2D51, 0x2545F4914F6CDD1D
 _BASE, _BYTES = 0x5851F42D4C957F2D, np.random.default_rng(10).integers(1, 1 << 63, 256, np.uint64)
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-def _rolled(h: np.ndarray, k: int) -> np.ndarray:
-    return h << np.uint64(k) | h >> np.uint64(64 - k)
-
-
 def pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return _rolled(a, 21) ^ b ^ np.uint64(0x632BE59BD9B4E019)
-
-
-def triple_key(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return _rolled(a, 42) ^ _rolled(b, 21) ^ c ^ np.uint64(0x1F83D9ABFB41BD6B)
-
-
-def _rolled_column(c: str, k: int) -> Column:
-    return F.shiftleft(c, k).bitwiseOR(F.shiftrightunsigned(c, 64 - k))
+    return (a << np.uint64(21) | a >> np.uint64(43)) ^ b ^ np.uint64(0x632BE59BD9B4E019)
 
 
 def _pair(a: str, b: str) -> Column:
-    return _rolled_column(a, 21).bitwiseXOR(F.col(b)).bitwiseXOR(F.lit(0x632BE59BD9B4E019))
-
-
-def _triple(a: str, b: str, c: str) -> Column:
-    return _rolled_column(a, 42).bitwiseXOR(_rolled_column(b, 21)).bitwiseXOR(F.col(c)).bitwiseXOR(F.lit(0x1F83D9ABFB41BD6B))
+    return F.shiftleft(a, 21).bitwiseOR(F.shiftrightunsigned(a, 43)).bitwiseXOR(F.col(b)).bitwiseXOR(F.lit(0x632BE59BD9B4E019))
 
 
 class Words:
-    """The words of a column's texts: ``begin`` and ``end`` in ``data``, ``text`` (row), ``hash``; each text has an empty one at its end."""
+    """Hashes of the words of a column's texts, each text's end token included, with the hash ``before`` and the ``text`` (row)."""
 
     def __init__(self, column: pa.Array):
-        self.data, self.offsets = flat_bytes(column)
-        n, rows = len(self.data), len(self.offsets) - 1
-        blank = (self.data == 32) | (self.data >= 9) & (self.data <= 13)
+        data, self.offsets = flat_bytes(column)
+        n, rows = len(data), len(self.offsets) - 1
+        blank = (data == 32) | (data >= 9) & (data <= 13)
         first = np.zeros(n + 1, bool)
         first[self.offsets] = True
         before = np.concatenate(([True], blank[:-1])) if n else blank
@@ -67,155 +57,129 @@ class Words:
         end = np.flatnonzero(~blank & (after | first[1:])) + 1
         text = np.searchsorted(self.offsets, begin, "right") - 1
         power, undo = (np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, x, np.uint64)))) for x in (_BASE, _INVERSE))
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTES[self.data] * power[:n], dtype=np.uint64)))
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTES[data] * power[:n], dtype=np.uint64)))
         h = (total[end] - total[begin]) * undo[begin]
         for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
             h = (h ^ h >> np.uint64(shift)) * np.uint64(factor)
         h ^= h >> np.uint64(31)
         last = np.searchsorted(text, np.arange(rows), "right")
-        stop = self.offsets[1:]
-        self.begin, self.end = np.insert(begin, last, stop), np.insert(end, last, stop)
         self.text, self.hash = np.insert(text, last, np.arange(rows)), np.insert(h, last, np.uint64(END))
         start = np.concatenate(([True], self.text[1:] != self.text[:-1])) if rows else np.zeros(0, bool)
-        begun = np.full(1, START, np.uint64)
-        self.start = start
-        self.one = np.where(start, begun, np.concatenate((begun, self.hash[:-1]))[: len(start)])
-        self.two = np.where(start, begun, np.concatenate((begun, self.one[:-1]))[: len(start)])
-
-    def spelled(self) -> tuple[np.ndarray, np.ndarray]:
-        """Classes of all words, three blanks before and one after each, as codes; and where each word's codes begin."""
-        from lamella.llm.quality import BITS, ORDER, TABLE
-
-        size = self.end - self.begin
-        width = size + ORDER
-        at = np.cumsum(width) - width
-        line = np.full(int(width.sum()), TABLE[0x20], np.uint32)
-        inner = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        line[np.repeat(at + ORDER - 1, size) + inner] = TABLE[self.data[np.repeat(self.begin, size) + inner]]
-        begins = np.cumsum(size + 1) - (size + 1)
-        step = np.arange(int((size + 1).sum())) - np.repeat(begins, size + 1)
-        here = np.repeat(at + ORDER - 1, size + 1) + step
-        code = line[here]
-        for k in range(1, ORDER):
-            code = code | line[here - k] << np.uint32(BITS * k)
-        return code, begins
-
-    def spelling(self, log: np.ndarray) -> np.ndarray:
-        """Logarithm of each word's probability when it is spelled; bytes of a class are equally likely."""
-        from lamella.llm.quality import TABLE
-
-        code, begins = self.spelled()
-        if not len(begins):
-            return np.zeros(0)
-        share = np.log(np.bincount(TABLE, minlength=64))[TABLE]
-        inside = np.concatenate(([0.0], np.cumsum(share[self.data])))
-        return np.add.reduceat(log[code].astype(np.float64), begins) - (inside[self.end] - inside[self.begin])
-
-
-def spelled_codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    return Words(column).spelled()
+        self.before = np.where(start, np.uint64(START), np.concatenate((np.full(1, START, np.uint64), self.hash[:-1]))[: len(start)])
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return (s for b in batches for s in sub_batches(b, "text", SLICE))
 
 
-def count_words(texts: DataFrame, spelling) -> DataFrame:
-    """``(a, b, c, n, spell)``: trigrams of word hashes, how often they occur and the log-probability of spelling c."""
+def count_pairs(texts: DataFrame) -> DataFrame:
+    """``(b, c, n)``: pairs of word hashes of all ``text`` values and how often c follows b; a slice's are summed before they leave."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _pieces(batches):
             w = Words(part.column(part.schema.get_field_index("text")))
-            _, at, n = np.unique(triple_key(w.two, w.one, w.hash), return_index=True, return_counts=True)
-            spell = w.spelling(spelling.value.log())
-            cols = [pa.array(x[at].view(np.int64)) for x in (w.two, w.one, w.hash)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(n.astype(np.int64)), pa.array(spell[at])], names=["a", "b", "c", "n", "spell"])
+            _, at, n = np.unique(pair_key(w.before, w.hash), return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(w.before[at].view(np.int64)), pa.array(w.hash[at].view(np.int64)), pa.array(n.astype(np.int64))], names=["b", "c", "n"])
 
-    rows = texts.select("text").mapInArrow(count, "a long, b long, c long, n long, spell double")
-    return rows.groupBy("a", "b", "c").agg(F.sum("n").alias("n"), F.min("spell").alias("spell"))
+    return texts.select("text").mapInArrow(count, "b long, c long, n long").groupBy("b", "c").agg(F.sum("n").alias("n"))
 
 
-def fit(trusted: DataFrame, spelling) -> tuple[DataFrame, float]:
-    """Terms ``(key, n, term)`` of the log-probability, and the one that every token has besides its spelling.
+def _discounts(counts: DataFrame, n: str) -> tuple[float, float, float]:
+    """Modified Kneser-Ney discounts for counts 1, 2 and 3 or more, from the numbers of entries seen 1 to 4 times."""
+    seen = counts.agg(*[F.count(F.when(F.col(n) == k, 1)).alias(f"n{k}") for k in range(1, 5)]).first()
+    n1, n2, n3, n4 = (float(x) for x in seen)
+    if not (n1 and n2):
+        return 0.5, 0.75, 0.9
+    y = n1 / (n1 + 2 * n2)
+    d = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3 if n3 else 0.9]
+    return tuple(min(max(x, 0.1), k - 0.05) for k, x in enumerate(d, 1))
 
-    With w the back-off weight of a seen context (1 for others) and p the interpolated probability, a seen n-gram has the
-    term log p - log w(context) - log p(shorter n-gram), and a seen context the term log w. A bigram may be both, under one
-    key. The sum over a token's three n-grams and their contexts is log p of the longest one seen, backed off as usual.
+
+def _taken(n: str, d: tuple[float, float, float]) -> Column:
+    return F.when(F.col(n) == 1, d[0]).when(F.col(n) == 2, d[1]).otherwise(d[2])
+
+
+def fit(trusted: DataFrame) -> tuple[DataFrame, float]:
+    """Saved terms ``(key, n, term)`` of the log-probability, and the logarithm of an unknown word's probability.
+
+    With w the back-off weight of a context and p the interpolated probability, a seen pair has the term
+    log p(c|b) - log w(b) - log p(c) under its key. A seen word has, under its hash, log p(c) less the unknown word's
+    logarithm and, if words follow it, log w as a context: every word of a text is followed by one, so each occurrence
+    is both. With the unknown word's logarithm for each token the sum is log p of the pair, backed off where unseen.
     """
-    from lamella.llm.quality import _discounts
-
-    c3 = saved(count_words(trusted, spelling), "trigrams")
-    c2 = saved(c3.groupBy("b", "c").agg(F.count("*").alias("n"), F.min("spell").alias("spell")), "bigrams")
-    c1 = saved(c2.groupBy("c").agg(F.count("*").alias("n"), F.min("spell").alias("spell")), "words")
-
-    def taken(counts: DataFrame) -> Column:
-        d1, d2, d3 = _discounts(counts)
-        return F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
-
-    t1, t2, t3 = taken(c1), taken(c2), taken(c3)
-    whole = c1.agg(F.sum("n").alias("n"), F.sum(t1).alias("freed")).first()
-    if not whole["n"]:
-        return c1.select(F.col("c").alias("key"), "n", F.lit(0.0).alias("term")), 0.0
-    w0 = whole["freed"] / whole["n"]
-    p1 = c1.withColumn("p", (F.col("n") - t1) / whole["n"] + w0 * F.exp("spell"))
-    w1 = c2.groupBy("b").agg(F.sum("n").alias("total"), (F.sum(t2) / F.sum("n")).alias("w"))
-    p2 = c2.select("b", "c", "n", t2.alias("t")).join(w1, "b").join(p1.select("c", F.col("p").alias("q")), "c")
-    p2 = saved(p2.withColumn("p", (F.col("n") - F.col("t")) / F.col("total") + F.col("w") * F.col("q")).select("b", "c", "n", "p", "w", "q"), "bigram-terms")
-    w2 = c3.groupBy("a", "b").agg(F.sum("n").alias("total"), (F.sum(t3) / F.sum("n")).alias("w"))
-    p3 = c3.select("a", "b", "c", "n", t3.alias("t")).join(w2, ["a", "b"]).join(p2.select("b", "c", F.col("p").alias("q")), ["b", "c"])
-    p3 = p3.withColumn("p", (F.col("n") - F.col("t")) / F.col("total") + F.col("w") * F.col("q"))
-    term = F.log("p") - F.log("w") - F.log("q")
-    parts = [
-        p1.select(F.col("c").alias("key"), "n", (F.log("p") - F.lit(float(np.log(w0))) - F.col("spell")).alias("term")),
-        w1.select(F.col("b").alias("key"), F.col("total").alias("n"), F.log("w").alias("term")),
-        p2.select(_pair("b", "c").alias("key"), "n", term.alias("term")),
-        w2.select(_pair("a", "b").alias("key"), F.col("total").alias("n"), F.log("w").alias("term")),
-        p3.select(_triple("a", "b", "c").alias("key"), "n", term.alias("term")),
-    ]
-    terms = parts[0]
-    for part in parts[1:]:
-        terms = terms.unionByName(part)
-    merged = terms.groupBy("key").agg(F.max("n").alias("n"), F.sum("term").alias("term"))
-    return saved(merged, "terms"), float(np.log(w0))
-
-
-def scores(texts: DataFrame, terms: DataFrame, w0: float, spelling) -> DataFrame:
-    """``(text_id, nll)``: mean negative log-probability per byte of each distinct ``text`` that isn't empty; text_id is its xxhash64.
-
-    A task sends a row for each text and n-gram with its count. The frequent n-grams, at most ``FREQUENT``, are looked up
-    where they are read; all others meet their terms in a join by n-gram. Copies of a text add up above and below the line.
+    c2 = saved(count_pairs(trusted).sortWithinPartitions("b"), "pairs")
+    d2 = _discounts(c2, "n")
+    words = c2.groupBy(F.col("c").alias("word")).agg(F.count("*").alias("k"))
+    context = c2.groupBy(F.col("b").alias("word")).agg(F.sum("n").alias("total"), (F.sum(_taken("n", d2)) / F.sum("n")).alias("w"))
+    words = saved(words.join(context, "word", "full"), "words")
+    d1 = _discounts(words, "k")
+    whole = words.where("k is not null").agg(F.sum("k").alias("k"), F.sum(_taken("k", d1)).alias("freed"), F.count("*").alias("v")).first()
+    if not whole["k"]:
+        return words.select(F.col("word").alias("key"), F.col("k").alias("n"), F.lit(0.0).cast("float").alias("term")), 0.0
+    unknown = whole["freed"] / whole["k"] / (whole["v"] + 1)
+    known = words.select("word", "total", "w", F.when(F.col("k").isNotNull(), (F.col("k") - _taken("k", d1)) / whole["k"] + unknown).alias("p"), F.coalesce("total", "k").alias("n"))
+    often = known.orderBy(F.desc("n"), "word").limit(FREQUENT_WORDS)
+
+    def met(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
+        """``rows`` with the columns of their word ``key``; frequent words are broadcast, only rows of others move."""
+        some = F.broadcast(often.select(F.col("word").alias(key), *columns))
+        near = rows.join(some, key, "left")
+        far = near.where(F.col(columns[0]).isNull()).drop(*columns).join(known.select(F.col("word").alias(key), *columns).hint("merge"), key)
+        return near.where(F.col(columns[0]).isNotNull()).unionByName(far)
+
+    pairs = met(c2, "b", ["w", "total"])
+    pairs = pairs.select("b", "c", "n", ((F.col("n") - _taken("n", d2)) / F.col("total")).cast("float").alias("own"), F.col("w").cast("float").alias("w"))
+    pairs = met(pairs, "c", ["p"])
+    term = F.log(F.col("own") + F.col("w") * F.col("p")) - F.log("w") - F.log("p")
+    one = F.coalesce(F.log("p") - F.lit(math.log(unknown)), F.lit(0.0)) + F.coalesce(F.log("w"), F.lit(0.0))
+    terms = pairs.select(_pair("b", "c").alias("key"), "n", term.cast("float").alias("term"))
+    terms = saved(terms.unionByName(known.select(F.col("word").alias("key"), "n", one.cast("float").alias("term"))), "terms")
+    forget(c2, words)
+    return terms, math.log(unknown)
+
+
+def scores(texts: DataFrame, terms: DataFrame, unknown: float, frequent: int | None = None) -> DataFrame:
+    """``(text_id, nll)``, saved: mean negative log-probability per token of each distinct ``text`` that isn't empty; text_id is its xxhash64.
+
+    A task sends a row for each text and each word or pair with its count. The frequent ones, at most ``FREQUENT``, are
+    looked up where they are read; all others meet their terms in a join. Copies of a text add up above and below the line.
     """
-    table = terms.orderBy(F.desc("n"), "key").limit(FREQUENT).select("key", "term").toArrow()
+    table = terms.orderBy(F.desc("n"), "key").limit(FREQUENT if frequent is None else frequent).select("key", "term").toArrow()
     keys, values = table.column(0).to_numpy().view(np.uint64), table.column(1).to_numpy()
     order = np.argsort(keys)
-    frequent = texts.sparkSession.sparkContext.broadcast((keys[order], values[order]))
+    shared = texts.sparkSession.sparkContext.broadcast((keys[order], values[order]))
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, worth = frequent.value
+        known, worth = shared.value
         for part in _pieces(batches):
             w = Words(part.column(part.schema.get_field_index("text")))
             ids = part.column(part.schema.get_field_index("text_id")).to_numpy(zero_copy_only=False)
-            total = np.bincount(w.text, w.spelling(spelling.value.log()) + w0, minlength=len(ids))
-            begun, none = np.flatnonzero(w.start), np.full(len(ids), START, np.uint64)
-            key = np.concatenate((w.hash, pair_key(w.one, w.hash), triple_key(w.two, w.one, w.hash), none, pair_key(none, none)))
-            text = np.concatenate((w.text, w.text, w.text, w.text[begun], w.text[begun]))
+            tokens = np.bincount(w.text, minlength=len(ids))
+            total = tokens * unknown
+            key = np.concatenate((w.hash, pair_key(w.before, w.hash), np.full(len(ids), START, np.uint64)))
+            text = np.concatenate((w.text, w.text, np.arange(len(ids))))
+            place = np.searchsorted(known, key).clip(max=max(0, len(known) - 1))
+            here = known[place] == key if len(known) else np.zeros(len(key), bool)
+            total += np.bincount(text[here], worth[place[here]], minlength=len(ids)) if here.any() else 0
+            key, text = key[~here], text[~here]
             order = np.lexsort((key, text))
             key, text = key[order], text[order]
             at = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (text[1:] != text[:-1])))) if len(key) else np.zeros(0, int)
             n = np.diff(np.append(at, len(key)))
             key, text = key[at], text[at]
-            place = np.searchsorted(known, key).clip(max=max(0, len(known) - 1))
-            here = known[place] == key if len(known) else np.zeros(len(key), bool)
-            total += np.bincount(text[here], worth[place[here]] * n[here], minlength=len(ids)) if here.any() else 0
-            key, text, n = key[~here], text[~here], n[~here]
-            zero = np.zeros(len(key))
-            cols = [ids[text], key.view(np.int64), n, zero, np.zeros(len(key), np.int64)]
-            own = [ids, ids, np.zeros(len(ids), np.int64), total, np.diff(w.offsets)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((x, y))) for x, y in zip(own, cols, strict=True)], names=["text_id", "key", "n", "base", "bytes"])
+            own, gram = [ids, ids, tokens, total], [ids[text], key.view(np.int64), n, np.zeros(len(key))]
+            missing = np.concatenate((np.zeros(len(ids), bool), np.ones(len(key), bool)))
+            cols = [pa.array(np.concatenate(x)) for x in zip(own, gram, strict=True)]
+            yield pa.RecordBatch.from_arrays([*cols[:2], cols[2].cast(pa.int32()), pa.array(np.concatenate((total, gram[3])), mask=missing)], names=["text_id", "key", "n", "base"])
 
     rows = texts.where("length(text) > 0").select(F.xxhash64("text").alias("text_id"), "text")
-    rows = rows.mapInArrow(grams, "text_id long, key long, n long, base double, bytes long")
-    # only ids and n-grams travel; a text's own row has its id for a key, so it is spread like the others
-    met = rows.join(terms.select("key", "term").hint("merge"), "key", "left")
-    total = F.sum("base") + F.sum(F.coalesce(F.col("n") * F.col("term"), F.lit(0.0)))
-    return met.groupBy("text_id").agg((-total / F.sum("bytes")).alias("nll"))
+    out = None
+    for k in range(ROUNDS):
+        some = rows.where(F.pmod(F.shiftright("text_id", 3), F.lit(ROUNDS)) == k).mapInArrow(grams, "text_id long, key long, n int, base double")
+        # only ids and n-grams travel; a text's own row has its id for a key, so it is spread like the others
+        met = some.join(terms.select("key", "term").hint("merge"), "key", "left")
+        own = F.col("base").isNotNull()
+        total = F.sum(F.when(own, F.col("base")).otherwise(F.col("n") * F.coalesce("term", F.lit(0.0))))
+        part = saved(met.groupBy("text_id").agg((-total / F.sum(F.when(own, F.col("n")))).alias("nll")), "scores")
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -239,51 +239,98 @@ def test_packer_takes_the_tightest_bin_and_closes_the_fullest():
 # quality
 
 
-def plain_kneser_ney(texts):
-    """Interpolated modified Kneser-Ney log-probabilities by dictionaries."""
-    seqs = [[int(quality.TABLE[10])] * 3 + [int(quality.TABLE[b]) for b in t.encode()] for t in texts]
-    counts = {4: Counter(tuple(s[i - 3 : i + 1]) for s in seqs for i in range(3, len(s)))}
-    for k in (3, 2, 1):
-        counts[k] = Counter(g[1:] for g in counts[k + 1])
-    d, context = {}, {}
-    for k, c in counts.items():
-        n = [sum(v == j for v in c.values()) for j in range(1, 5)]
+def plain_word_model(texts):
+    """Interpolated modified Kneser-Ney log-probability of a text, pair by pair, by dictionaries."""
+    seqs = [["<s>", *WORD.findall(t), ""] for t in texts]
+    pairs = Counter((s[i - 1], s[i]) for s in seqs for i in range(1, len(s)))
+    words = Counter(c for _, c in pairs)
+
+    def discounts(counts):
+        n = [sum(v == j for v in counts.values()) for j in range(1, 5)]
+        if not (n[0] and n[1]):
+            return [0.5, 0.75, 0.9]
         y = n[0] / (n[0] + 2 * n[1])
-        raw = [1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2]]
-        d[k] = [min(max(x, 0.1), j - 0.05) for j, x in enumerate(raw, 1)]
-        context[k] = defaultdict(list)
-        for g, v in c.items():
-            context[k][g[:-1]].append(v)
-
-    def p(g):
-        if not g:
-            return 1 / quality.CLASSES
-        k = len(g)
-        seen = context[k].get(g[:-1])
-        if not seen:
-            return p(g[1:])
-        disc = lambda v: d[k][min(v, 3) - 1]
-        v = counts[k].get(g, 0)
-        return ((v - disc(v)) if v else 0) / sum(seen) + sum(map(disc, seen)) / sum(seen) * p(g[1:])
-
-    return p
-
-
-def test_quality_model(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    labels = spark.read.parquet(f"{SF}/labels.parquet")
-    trusted = [r.text for r in quality.trusted_documents(docs, labels).collect()]
-    model, p = quality.fit(quality.trusted_documents(docs, labels)), plain_kneser_ney(trusted)
-    rng = random.Random(5)
-    for _ in range(300):
-        t = rng.choice(trusted)
-        i = rng.randrange(max(1, len(t) - 4))
-        g = tuple(int(quality.TABLE[b]) for b in t.encode()[i : i + 4]) if rng.random() < 0.7 else tuple(rng.randrange(64) for _ in range(4))
-        if len(g) == 4:
-            code = g[0] << 18 | g[1] << 12 | g[2] << 6 | g[3]
-            assert np.isclose(model.log()[code], np.log(p(g)), rtol=1e-3, atol=1e-3)
-    totals = np.exp(model.log().astype(float)).reshape(-1, 64).sum(axis=1)
-    assert np.allclose(totals, 1, atol=1e-3)
+        raw = [1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2] if n[2] else 0.9]
+        return [min(max(x, 0.1), j - 0.05) for j, x in enumerate(raw, 1)]
+
+    d1, d2, follow = discounts(words), discounts(pairs), defaultdict(list)
+    for (b, _), v in pairs.items():
+        follow[b].append(v)
+    every = sum(words.values())
+
+    def left(v, d):
+        return sum(d[min(x, 3) - 1] for x in v)
+
+    def less(v, d):
+        return v - d[min(v, 3) - 1] if v else 0
+
+    unseen, weight = left(words.values(), d1) / every / (len(words) + 1), {b: left(v, d2) / sum(v) for b, v in follow.items()}
+    total = {b: sum(v) for b, v in follow.items()}
+
+    def one(c):
+        return less(words[c], d1) / every + unseen
+
+    def two(b, c):
+        if b not in follow:
+            return one(c)
+        return less(pairs[b, c], d2) / total[b] + weight[b] * one(c)
+
+    def mean(text):
+        s = ["<s>", *WORD.findall(text), ""]
+        return -sum(np.log(two(s[i - 1], s[i])) for i in range(1, len(s))) / (len(s) - 1)
+
+    return mean
+
+
+def hash_of(spark, texts):
+    return {r.text: r.h for r in spark.createDataFrame([(t,) for t in set(texts)], "text string").select("text", F.xxhash64("text").alias("h")).collect()}
+
+
+def test_word_model(spark):
+    rng = random.Random(6)
+    words = [f"w{i}é," for i in range(60)]
+    text = lambda extra=(): " ".join(rng.choice(words + list(extra)) for _ in range(rng.randrange(1, 60)))
+    trusted = [text() for _ in range(60)]
+    asked = [text(("NEW!", "||", "x" * 30)) for _ in range(30)] + trusted[:5] + ["  \n ", "w1é,", "word " * 3000, asked_twice := text(), asked_twice]
+    mean = plain_word_model(trusted)
+    terms, unknown = word_model.fit(spark.createDataFrame([(t,) for t in trusted], "text string").repartition(3))
+    grams = {g for t in trusted for s in [["<s>", *WORD.findall(t), ""]] for i in range(1, len(s)) for g in ((s[i],), (s[i - 1], s[i]))}
+    assert terms.count() == len(grams) + 1  # none is left out; the start has a row as a context
+    docs = spark.createDataFrame([(t,) for t in asked] + [(None,), ("",)], "text string").repartition(3)
+    ids = hash_of(spark, asked)
+    for frequent in (1, 50, 1 << 17):  # joined and looked up
+        got = {r.text_id: r.nll for r in word_model.scores(docs, terms, unknown, frequent).collect()}
+        assert set(got) == set(ids.values()) and all(np.isclose(got[ids[t]], mean(t), rtol=1e-5) for t in asked)
+
+
+def test_rare_words_meet_by_join(spark, monkeypatch):
+    trusted = ["a b c d e a b", "b c d e f", "c a a b", "x y z a"]
+    want = {tuple(r) for r in word_model.fit(spark.createDataFrame([(t,) for t in trusted], "text string"))[0].collect()}
+    monkeypatch.setattr(word_model, "FREQUENT_WORDS", 2)
+    assert {tuple(r) for r in word_model.fit(spark.createDataFrame([(t,) for t in trusted], "text string"))[0].collect()} == want
+
+
+def test_quality_by_brute_force(spark):
+    """Perplexity, threshold and verdict of each document."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    data, good = docs.collect(), {r.doc_id for r in labels.where("quality = 1").collect()}
+    ids = hash_of(spark, [r.text for r in data])
+    mean = plain_word_model([r.text for r in data if r.doc_id in good and ids[r.text] % quality.HELD_OUT])
+    nll, limit = {t: mean(t) for t in ids}, {}
+    for lang in {r.lang for r in data}:
+        own = [r for r in data if r.lang == lang and r.doc_id in good]
+        own = [r for r in own if ids[r.text] % quality.HELD_OUT == 0] or own
+        if own:
+            limit[lang] = np.quantile([np.ceil(nll[r.text] * quality.BINS) for r in own], quality.QUANTILE) / quality.BINS
+    got = {r.row.doc_id: r for r in quality.classify(docs, labels).collect()}
+    assert len(got) == len(data)
+    for r in data:
+        out = got[r.doc_id]
+        assert np.isclose(np.log(out.perplexity), nll[r.text], rtol=1e-5)
+        assert (out.threshold is None) == (r.lang not in limit) and (out.threshold is None or abs(np.log(out.threshold) - limit[r.lang]) < 2 / quality.BINS)
+        assert out.rejected == (out.threshold is not None and out.perplexity > out.threshold)
+    kept = {r.doc_id for r in quality.good_documents(docs, labels).collect()}
+    assert kept == {i for i, r in got.items() if not r.rejected}
 
 
 def test_quality_awkward(spark):
@@ -303,7 +350,7 @@ def test_quality_separates(spark):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     got = quality.classify(spark.read.parquet(f"{sf}/documents.parquet"), labels).select("row.doc_id", "rejected").join(labels, "doc_id").groupBy("quality").agg(F.avg(F.col("rejected").cast("int"))).collect()
     share = dict(map(tuple, got))
-    assert share[1] < 0.02 and share[0] > 0.5
+    assert share[1] < 0.02 and share[0] > 0.9
 
 
 # pipeline
@@ -323,78 +370,3 @@ def test_pipeline_stages(spark):
             root = plain_components([p for p in itertools.combinations(fps, 2) if (p[0] ^ p[1]).bit_count() <= 2], fps)
             assert docs.count() == len(set(root.values()))
     assert Counter(r.doc_id for r in corpus_pipeline.run(spark, SF).where("piece = 0").collect()) == Counter(r.doc_id for r in docs.collect())
-
-
-# word model
-
-
-def plain_word_model(texts, spell):
-    """Interpolated modified Kneser-Ney log-probability of a token by dictionaries; ``spell`` is the probability below the unigrams."""
-    seqs = [["<s>", "<s>", *WORD.findall(t), ""] for t in texts]
-    counts = {3: Counter(tuple(s[i - 2 : i + 1]) for s in seqs for i in range(2, len(s)))}
-    for k in (2, 1):
-        counts[k] = Counter(g[1:] for g in counts[k + 1])
-    d, context = {}, {}
-    for k, c in counts.items():
-        n = [sum(v == j for v in c.values()) for j in range(1, 5)]
-        y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0
-        raw = [1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2] if n[2] else 0.9] if n[0] and n[1] else [0.5, 0.75, 0.9]
-        d[k] = [min(max(x, 0.1), j - 0.05) for j, x in enumerate(raw, 1)]
-        context[k] = defaultdict(list)
-        for g, v in c.items():
-            context[k][g[:-1]].append(v)
-
-    def p(g, word):
-        if not g:
-            return spell(word)
-        k = len(g)
-        seen = context[k].get(g[:-1])
-        if not seen:
-            return p(g[1:], word)
-        disc = lambda v: d[k][min(v, 3) - 1]
-        v = counts[k].get(g, 0)
-        return ((v - disc(v)) if v else 0) / sum(seen) + sum(map(disc, seen)) / sum(seen) * p(g[1:], word)
-
-    return p
-
-
-def test_word_model(spark, monkeypatch):
-    rng = random.Random(6)
-    words = [f"w{i}é," for i in range(60)]
-    text = lambda extra=(): " ".join(rng.choice(words + list(extra)) for _ in range(rng.randrange(1, 60)))
-    trusted = [text() for _ in range(60)]
-    asked = [text(("NEW!", "||", "x" * 30)) for _ in range(30)] + trusted[:5] + ["  \n ", "w1é,", asked_twice := text(), asked_twice]
-    known = spark.createDataFrame([(t,) for t in trusted], "text string").repartition(3)
-    spelling = spark.sparkContext.broadcast(quality.fit(known, word_model.spelled_codes))
-    log = spelling.value.log()
-
-    def spell(word):
-        c = [int(quality.TABLE[32])] * 3 + [int(quality.TABLE[b]) for b in word.encode()] + [int(quality.TABLE[32])]
-        share = np.bincount(quality.TABLE, minlength=64)
-        return np.exp(sum(float(log[c[i - 3] << 18 | c[i - 2] << 12 | c[i - 1] << 6 | c[i]]) for i in range(3, len(c)))) / np.prod([float(share[quality.TABLE[b]]) for b in word.encode()])
-
-    p, want = plain_word_model(trusted, spell), {}
-    for t in asked:
-        s = ["<s>", "<s>", *WORD.findall(t), ""]
-        want[t] = -sum(np.log(p(tuple(s[i - 2 : i + 1]), s[i])) for i in range(2, len(s))) / len(t.encode())
-    docs = spark.createDataFrame([(t,) for t in asked] + [(None,), ("",)], "text string").repartition(3)
-    terms, w0 = word_model.fit(known, spelling)
-    grams = {tuple(s[max(0, i - k) : i + 1]) for t in trusted for s in [["<s>", "<s>", *WORD.findall(t), ""]] for i in range(2, len(s)) for k in range(3)}
-    assert terms.count() == len(grams) + 2  # none is left out; the contexts that start a text have rows too
-    for frequent in (1, 1 << 17):  # joined and looked up
-        monkeypatch.setattr(word_model, "FREQUENT", frequent)
-        got = word_model.scores(docs, terms, w0, spelling).join(docs.select("text", F.xxhash64("text").alias("text_id")).distinct(), "text_id").collect()
-        assert {r.text for r in got} == set(want) and all(np.isclose(r.nll, want[r.text], rtol=1e-6) for r in got)
-
-
-def test_word_scores_are_joined(spark, monkeypatch):
-    monkeypatch.setattr(word_model, "FREQUENT", 3)
-    known = spark.createDataFrame([("a b c d e",), ("b c d e f",)], "text string")
-    spelling = spark.sparkContext.broadcast(quality.fit(known, word_model.spelled_codes))
-    sent, plain = [], spark.sparkContext.broadcast
-    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda x: sent.append(x) or plain(x))
-    terms, w0 = word_model.fit(known, spelling)
-    once = word_model.scores(known.limit(1), terms, w0, spelling).first()
-    copies = known.limit(1).crossJoin(spark.range(6)).select("text").repartition(3)
-    assert abs(word_model.scores(copies, terms, w0, spelling).first().nll - once.nll) < 1e-9  # copies in several tasks
-    assert [len(k) for k, _ in sent] == [3, 3] and terms.count() > 20  # most of the table is met by the join
