@@ -1 +1 @@
-"""Functions of the library, all expressed on DataFrames."""
+"""Column functions shared by the survey jobs."""

@@ -17,8 +17,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     """``(node, root)`` for every node of an undirected edge table; root is the smallest node reachable.
 
     Alternates the large-star and small-star steps, so the number of rounds grows with the logarithm of the
-    longest path and the edge table never grows. Every step is a partial aggregate plus an equi-join that AQE can
-    split when a hub holds many edges; each round ends in a reliable checkpoint.
+    longest path and the edge table never grows. The smallest neighbours of each half-round, a partial aggregate, are
+    stored before they are joined, so that both sides of the join are plain exchanges and AQE can split a hub's edges.
 
     Edges with a null end and self-loops are ignored; repeated edges count once; an empty table gives an empty result.
     """
@@ -28,10 +28,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     for _ in range(max_rounds):
         # large star: every larger neighbour of u moves to the smallest neighbour of u
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = checkpointed(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         e = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: every smaller neighbour of u, and u itself, move to the smallest of them
-        least = e.groupBy("u").agg(F.min("v").alias("m"))
+        e = checkpointed(e)
+        least = checkpointed(e.groupBy("u").agg(F.min("v").alias("m")))
         moved = e.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = checkpointed(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         after = _mark(e)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,23 +37,49 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, label: str, **options: str) -> DataFrame:
-    """``df`` written as compressed Parquet in the shared folder and reread; its shuffle files go once it is written."""
-    path, spark = scratch(df.sparkSession, label), df.sparkSession
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a query go as soon as it has ended, not when its plan is collected."""
     before = spark.conf.get(CLEANUP)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").options(**options).parquet(path)
+        yield
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+
+
+def saved(df: DataFrame, label: str, **options: str) -> DataFrame:
+    """``df`` written as compressed Parquet in the shared folder and reread."""
+    path = scratch(df.sparkSession, label)
+    with tidy(df.sparkSession):
+        df.write.option("compression", "zstd").options(**options).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(parts: list[DataFrame], key: str, label: str) -> DataFrame:
+    """The union of ``parts`` as a table in as many buckets of ``key`` as there are shuffle partitions, so joins by it leave it in place.
+
+    The parts are exchanged one after another. :func:`forget` drops the table.
+    """
+    spark = parts[0].sparkSession
+    name, n = f"{label}_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch(spark, label)
+    with tidy(spark):
+        for part in parts:
+            part.repartition(n, key).write.format("parquet").option("compression", "zstd").bucketBy(n, key).mode("append").option("path", path).saveAsTable(name)
+    table = spark.table(name)
+    table.table_name = name
+    return table
 
 
 def forget(*tables: DataFrame) -> None:
-    """Deletes the files of tables that :func:`saved` made, once all that was computed from them is stored."""
+    """Deletes tables that :func:`saved` or :func:`bucketed` made, once all that was computed from them is stored."""
     for table in tables:
+        folders = {f.rpartition("/")[0] for f in table.inputFiles()}
+        if name := getattr(table, "table_name", None):
+            table.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
         jvm, conf = table.sparkSession._jvm, table.sparkSession._jsc.hadoopConfiguration()
-        for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
+        for folder in folders:
             path = jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(conf).delete(path, True)
 
