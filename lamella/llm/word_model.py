@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lamella.llm.arrow import flat_bytes, sub_batches
-from lamella.plans.session import forget, saved
+from lamella.plans.session import bucketed, forget, saved
 
 SLICE = 4 << 20
 #: Terms that tasks look up themselves: the words and pairs counted most often, which would crowd single tasks of the join.
@@ -29,6 +29,10 @@ FREQUENT = 1 << 19
 FREQUENT_WORDS = 1 << 17
 #: Parts in which texts are scored, so that the rows of one part are on disk at a time.
 ROUNDS = 4
+#: Parts in which the terms are exchanged, for the same reason.
+PARTS = 2
+#: Bytes of text whose pairs a task sums before it sends them.
+HELD = 16 << 20
 START, END = 0x1B873593CC9E2D51, 0x2545F4914F6CDD1D
 _BASE, _BYTES = 0x5851F42D4C957F2D, np.random.default_rng(10).integers(1, 1 << 63, 256, np.uint64)
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -73,13 +77,26 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def count_pairs(texts: DataFrame) -> DataFrame:
-    """``(b, c, n)``: pairs of word hashes of all ``text`` values and how often c follows b; a slice's are summed before they leave."""
+    """``(b, c, n)``: pairs of word hashes of all ``text`` values and how often c follows b; those of ``HELD`` bytes of text are summed before they leave."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def summed() -> pa.RecordBatch:
+            b, c = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            _, at, n = np.unique(pair_key(b, c), return_index=True, return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(b[at].view(np.int64)), pa.array(c[at].view(np.int64)), pa.array(n.astype(np.int64))], names=["b", "c", "n"])
+
         for part in _pieces(batches):
             w = Words(part.column(part.schema.get_field_index("text")))
-            _, at, n = np.unique(pair_key(w.before, w.hash), return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(w.before[at].view(np.int64)), pa.array(w.hash[at].view(np.int64)), pa.array(n.astype(np.int64))], names=["b", "c", "n"])
+            held.append((w.before, w.hash))
+            size += int(w.offsets[-1])
+            if size >= HELD:
+                yield summed()
+                size = 0
+        if held:
+            yield summed()
 
     return texts.select("text").mapInArrow(count, "b long, c long, n long").groupBy("b", "c").agg(F.sum("n").alias("n"))
 
@@ -100,7 +117,7 @@ def _taken(n: str, d: tuple[float, float, float]) -> Column:
 
 
 def fit(trusted: DataFrame) -> tuple[DataFrame, float]:
-    """Saved terms ``(key, n, term)`` of the log-probability, and the logarithm of an unknown word's probability.
+    """Terms ``(key, n, term)`` of the log-probability, in a table bucketed by key, and the logarithm of an unknown word's probability.
 
     With w the back-off weight of a context and p the interpolated probability, a seen pair has the term
     log p(c|b) - log w(b) - log p(c) under its key. A seen word has, under its hash, log p(c) less the unknown word's
@@ -115,26 +132,33 @@ def fit(trusted: DataFrame) -> tuple[DataFrame, float]:
     d1 = _discounts(words, "k")
     whole = words.where("k is not null").agg(F.sum("k").alias("k"), F.sum(_taken("k", d1)).alias("freed"), F.count("*").alias("v")).first()
     if not whole["k"]:
-        return words.select(F.col("word").alias("key"), F.col("k").alias("n"), F.lit(0.0).cast("float").alias("term")), 0.0
+        return bucketed([words.select(F.col("word").alias("key"), F.col("k").alias("n"), F.lit(0.0).cast("float").alias("term"))], "key", "terms"), 0.0
     unknown = whole["freed"] / whole["k"] / (whole["v"] + 1)
     known = words.select("word", "total", "w", F.when(F.col("k").isNotNull(), (F.col("k") - _taken("k", d1)) / whole["k"] + unknown).alias("p"), F.coalesce("total", "k").alias("n"))
     often = known.orderBy(F.desc("n"), "word").limit(FREQUENT_WORDS)
-
-    def met(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
-        """``rows`` with the columns of their word ``key``; frequent words are broadcast, only rows of others move."""
-        some = F.broadcast(often.select(F.col("word").alias(key), *columns))
-        near = rows.join(some, key, "left")
-        far = near.where(F.col(columns[0]).isNull()).drop(*columns).join(known.select(F.col("word").alias(key), *columns).hint("merge"), key)
-        return near.where(F.col(columns[0]).isNotNull()).unionByName(far)
-
-    pairs = met(c2, "b", ["w", "total"])
-    pairs = pairs.select("b", "c", "n", ((F.col("n") - _taken("n", d2)) / F.col("total")).cast("float").alias("own"), F.col("w").cast("float").alias("w"))
-    pairs = met(pairs, "c", ["p"])
-    term = F.log(F.col("own") + F.col("w") * F.col("p")) - F.log("w") - F.log("p")
+    some_b = F.broadcast(often.select(F.col("word").alias("b"), "total", "w"))
+    some_c = F.broadcast(often.select(F.col("word").alias("c"), "p"))
+    every_b = known.select(F.col("word").alias("b"), "total", "w").hint("merge")
+    every_c = known.select(F.col("word").alias("c"), "p").hint("merge")
+
+    def term(rows: DataFrame) -> DataFrame:
+        p = (F.col("n") - _taken("n", d2)) / F.col("total") + F.col("w") * F.col("p")
+        return rows.select("key", "n", (F.log(p) - F.log("w") - F.log("p")).cast("float").alias("term"))
+
+    keyed = c2.withColumn("key", _pair("b", "c"))
+    near = keyed.join(some_b, "b", "left").join(some_c, "c", "left")  # frequent words don't move
+    first = near.where("w is null").drop("total", "w").join(every_b, "b")
+    second = near.where("w is not null").unionByName(first).where("p is null").drop("p").join(every_c, "c")
+    far = saved(term(first.where("p is not null")).unionByName(term(second)), "terms")
     one = F.coalesce(F.log("p") - F.lit(math.log(unknown)), F.lit(0.0)) + F.coalesce(F.log("w"), F.lit(0.0))
-    terms = pairs.select(_pair("b", "c").alias("key"), "n", term.cast("float").alias("term"))
-    terms = saved(terms.unionByName(known.select(F.col("word").alias("key"), "n", one.cast("float").alias("term"))), "terms")
-    forget(c2, words)
+    single = known.select(F.col("word").alias("key"), "n", one.cast("float").alias("term"))
+    parts = []
+    for k in range(PARTS):
+        mine = F.pmod(F.shiftright("key", 5), F.lit(PARTS)) == k
+        close = keyed.where(mine).join(some_b, "b").join(some_c, "c")
+        parts.append(term(close).unionByName(far.where(mine)).unionByName(single.where(mine)))
+    terms = bucketed(parts, "key", "terms")
+    forget(c2, words, far)
     return terms, math.log(unknown)
 
 
@@ -177,7 +201,7 @@ def scores(texts: DataFrame, terms: DataFrame, unknown: float, frequent: int | N
     for k in range(ROUNDS):
         some = rows.where(F.pmod(F.shiftright("text_id", 3), F.lit(ROUNDS)) == k).mapInArrow(grams, "text_id long, key long, n int, base double")
         # only ids and n-grams travel; a text's own row has its id for a key, so it is spread like the others
-        met = some.join(terms.select("key", "term").hint("merge"), "key", "left")
+        met = some.join(terms.select("key", "term").hint("merge"), "key", "left")  # the terms stay in their buckets
         own = F.col("base").isNotNull()
         total = F.sum(F.when(own, F.col("base")).otherwise(F.col("n") * F.coalesce("term", F.lit(0.0))))
         part = saved(met.groupBy("text_id").agg((-total / F.sum(F.when(own, F.col("n")))).alias("nll")), "scores")
