@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lamella.plans.session import checkpointed
 
-BLOCK_BYTES = 8192
+BLOCK_BYTES = 2048
 
 
 def _routing(block: Column) -> Column:
@@ -90,7 +90,8 @@ def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", block_
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.sha2(body, 256).alias("sha"), body.alias("bytes"))
     ids = checkpointed(block_identities(rows, "bytes", block_bytes).select("row", "level", "name", F.monotonically_increasing_id().alias("rid")))
-    best = ids.groupBy("level", "name").agg(F.max(F.struct(F.col("row.key").alias("key"), F.col("rid"))).alias("best"), F.count("*").alias("group_size"))
+    # stored, so that both sides of the join are plain exchanges and AQE can split a text of very many rows
+    best = checkpointed(ids.groupBy("level", "name").agg(F.max(F.struct(F.col("row.key").alias("key"), F.col("rid"))).alias("best"), F.count("*").alias("group_size")))
     return ids.join(best, ["level", "name"]).select(
         F.col("row.key").alias(key), F.col("best.key").alias("keep_id"), "group_size", (F.col("rid") == F.col("best.rid")).alias("kept"), F.col("row.sha").alias("text_sha256")
     )
@@ -98,7 +99,7 @@ def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", block_
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that :func:`exact_dedup` drops; one row stays of rows equal in id and text."""
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_k_id"), F.col("text_sha256").alias("_k_sha"))
-    rows = docs.withColumn("_k_text", F.sha2(F.coalesce("text", F.lit("")), 256))
-    same = rows.join(kept, (rows["_k_text"] == kept["_k_sha"]) & rows["doc_id"].eqNullSafe(kept["_k_id"]), "left_semi")
-    return same.dropDuplicates(["_k_text", "doc_id"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("digest"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"), F.col("doc_id").alias("own"))
+    same = rows.join(kept, (F.col("sha") == F.col("digest")) & F.col("own").eqNullSafe(F.col("id")), "left_semi")
+    return same.dropDuplicates(["sha", "own"]).select("row.*")

@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lamella.plans.session import checkpointed
+
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 #: Per weight class (time, weight) knots over the run: the heavy class fades out, the light one fades in.
@@ -64,13 +66,15 @@ def mix(docs: DataFrame, carry: Sequence[str] = ("doc_id",), weights: Sequence[i
     ``takes[k]`` are the words taken in pass k (all, or the first ones of the document at the target's edge, or 0) and
     ``positions[k]`` in [0, 1] says where in training they come (null: not taken). Sources are ranked by code point,
     null last, and get the weights in turn; together they get ``budget`` times all words and none more than ``passes``
-    times its own. Inside a source documents come in the order of the MD5 of their id, so reruns agree; a null id
-    counts as empty and rows equal in id and size are interchangeable. Null or empty texts have size 0 and are never
+    times its own. Inside a source documents come in the order of the MD5 of their id, so reruns agree; for a null id
+    the text's hash stands in, and rows equal in id and size are interchangeable. Null or empty texts have size 0 and are never
     taken. Extra columns are read only if carried.
     """
-    draw = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    draw = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.xxhash64("text").cast("string")))
     skey = F.coalesce(F.concat(F.lit("a"), F.col("source")), F.lit("b"))  # keeps code point order, null last
     sized = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), skey.alias("skey"), draw.alias("draw"), F.substring(draw, 1, 3).alias("bucket"), F.col("doc_id").alias("id"), word_count("text").alias("size"))
+    if "text" not in carry:  # narrow rows are stored, so that words are counted once
+        sized = checkpointed(sized)
     sums = sized.groupBy("skey", "bucket").agg(F.sum("size").alias("size"))
     targets = source_targets(sums, weights, budget, passes).withColumnRenamed("skey", "tkey")
     offsets = sums.withColumn("begin", F.coalesce(F.sum("size").over(Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

@@ -25,7 +25,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents"))
-    return mixed.select("row.doc_id", "size", "source_size", "target", "taken", F.col("positions")[0].alias("position"), F.col("positions")[1].alias("repeat_position")).orderBy("position")
+    # documents that aren't taken come after the others, spread over the tasks of the range sort
+    last = F.coalesce(F.col("positions")[0], 2 + F.pmod(F.xxhash64("row.doc_id"), F.lit(1 << 30)))
+    return mixed.select("row.doc_id", "size", "source_size", "target", "taken", F.col("positions")[0].alias("position"), F.col("positions")[1].alias("repeat_position")).orderBy(last)
 
 
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -151,7 +151,7 @@ def near_copies(docs: DataFrame, most: int = MAX_BITS) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each component, the one with the smallest id."""
-    kept = near_copies(docs).where("kept").select(F.col("doc_id").alias("_k_id"), F.col("text_hash").alias("_k_hash"))
-    rows = docs.withColumn("_k_text", F.xxhash64("text"))
-    same = rows.join(kept, rows["doc_id"].eqNullSafe(kept["_k_id"]) & (rows["_k_text"] == kept["_k_hash"]), "left_semi")
-    return same.dropDuplicates(["doc_id", "_k_text"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = near_copies(docs).where("kept").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64("text").alias("own_hash"), F.col("doc_id").alias("own"))
+    same = rows.join(kept, F.col("own").eqNullSafe(F.col("id")) & (F.col("own_hash") == F.col("hash")), "left_semi")
+    return same.dropDuplicates(["own", "own_hash"]).select("row.*")

@@ -17,12 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.plans.session import checkpointed, scratch
+from lamella.plans.session import bounded, checkpointed, scratch
 
 MAGIC = b"WARC/1."
 END = b"\r\n\r\n"
 LEAST_PAYLOAD = 100
 RECORDS_PER_FILE = 4096
+#: Digests of repeated payloads that may be broadcast.
+REPEATED = 500_000
 HEAD = re.compile(rb"WARC/1\.[01]\r\n((?:[^\s:]+:[^\r\n]*\r\n(?:[ \t][^\r\n]*\r\n)*)+)\r\n")
 FOLD = re.compile(rb"\r\n[ \t]+")
 
@@ -38,7 +40,7 @@ def records(pages: DataFrame) -> DataFrame:
     html = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", F.regexp_replace(F.coalesce("url", F.lit("")), "[\r\n]", " ").alias("url"), html.alias("html"), F.octet_length(html).cast("long").alias("n"), F.sha2(html, 256).alias("digest"))
     firsts = rows.where(F.col("n") >= LEAST_PAYLOAD).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1 and first is not null")
-    rows = rows.join(firsts.select("digest", "first"), "digest", "left")
+    rows = rows.join(bounded(firsts.select("digest", "first"), REPEATED), "digest", "left")
     revisit = F.coalesce((F.col("n") >= LEAST_PAYLOAD) & ~F.col("page_id").eqNullSafe(F.col("first")) & F.col("first").isNotNull(), F.lit(False))
     kind, body = F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")), F.when(revisit, F.lit("")).otherwise(F.col("html"))
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">\r\n"))
