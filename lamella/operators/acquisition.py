@@ -30,6 +30,22 @@ def longest_block(entries: DataFrame) -> DataFrame:
     return blocks(entries).groupBy("dataset").agg(best).select("dataset", (-F.col("best.first")).alias("lo"), F.col("best.hi").alias("hi"), F.col("best.n").alias("n"))
 
 
+def chosen_run(entries: DataFrame, ranges: DataFrame) -> DataFrame:
+    """The run of each dataset: the range ``(dataset, lo, hi)`` that a user gave, refused if lo > hi, else the longest block; with the reason."""
+    asked = ranges.select("dataset", F.col("lo").alias("ulo"), F.col("hi").alias("uhi"))
+    n = entries.select("dataset", "trial", "type").join(asked, "dataset").where("type = 'Snapshot' AND trial BETWEEN ulo AND uhi").groupBy("dataset").agg(F.count("*").alias("un"))
+    rows = longest_block(entries).join(asked, "dataset", "full").join(n, "dataset", "left")
+    own = F.col("ulo").isNotNull() & F.col("uhi").isNotNull()
+    why = F.when(own & (F.col("ulo") > F.col("uhi")), "refused").when(own, "asked").otherwise("longest")
+    pick = lambda a, b: F.when(why == "asked", F.col(a)).when(why == "longest", F.col(b))
+    return rows.select("dataset", pick("ulo", "lo").alias("lo"), pick("uhi", "hi").alias("hi"), F.when(why == "asked", F.coalesce("un", F.lit(0))).when(why == "longest", F.col("n")).alias("n"), why.alias("why"))
+
+
+def square(meta: DataFrame, side: int = 512) -> DataFrame:
+    """Trials whose frames are squares of ``side``, the ones a run of square frames is chosen from."""
+    return meta.where((F.col("w") == side) & (F.col("h") == side)).select("dataset", "trial")
+
+
 def gaps(entries: DataFrame) -> DataFrame:
     """Consecutive snapshots that aren't adjacent."""
     after = F.lead("trial").over(Window.partitionBy("dataset").orderBy("trial"))
@@ -42,19 +58,19 @@ def timing_split(entries: DataFrame) -> DataFrame:
     A fifth of all steps (half-even, at least one) is left out on either side; equal pauses go to the earliest; a
     dataset without candidates is undetected and counts all its snapshots before the split.
     """
-    by = Window.partitionBy("dataset").orderBy("trial")
-    steps = snapshot_gaps(entries).select("dataset", "trial", F.lead("gap_s").over(by).alias("gap"))
-    per = steps.groupBy("dataset").agg(F.count("gap").alias("n"), F.median("gap").alias("median_gap_s"), F.count("*").alias("trials"))
+    by, all_ = Window.partitionBy("dataset").orderBy("trial"), Window.partitionBy("dataset")
+    steps = snapshot_gaps(entries).select("dataset", "trial", F.lead("gap_s").over(by).alias("gap"), (F.row_number().over(by) - 1).alias("i"), F.count("gap_s").over(all_).alias("n"))
     m = F.greatest(F.lit(1), F.bround(F.lit(SIDE) * F.col("n")).cast("int"))
-    inside = steps.where("gap IS NOT NULL").withColumn("i", F.row_number().over(by) - 1).join(per, "dataset").where((F.col("i") >= m) & (F.col("i") < F.col("n") - m))
-    rank = F.row_number().over(Window.partitionBy("dataset").orderBy(F.desc("gap"), "trial"))
-    top = inside.withColumn("rank", rank).where("rank <= 2").groupBy("dataset").agg(
-        F.max(F.when(F.col("rank") == 1, F.col("trial"))).alias("split"), F.max(F.when(F.col("rank") == 1, F.col("gap"))).alias("gap_s"), F.max(F.when(F.col("rank") == 2, F.col("gap"))).alias("runner_up_s")
-    )
-    before = steps.join(top.select("dataset", "split"), "dataset").where("trial <= split").groupBy("dataset").agg(F.count("*").alias("n_before"))
+    inside = F.col("gap").isNotNull() & (F.col("i") >= m) & (F.col("i") < F.col("n") - m)
+    # the two longest pauses inside, the earlier of equal ones first; an acquisition has some hundreds
+    pause = F.when(inside, F.struct("gap", (-F.col("trial")).alias("t"), "i"))
+    top = F.slice(F.sort_array(F.collect_list(pause), asc=False), 1, 2)
+    per = steps.groupBy("dataset").agg(F.median("gap").alias("median_gap_s"), F.count("*").alias("trials"), top.alias("top"))
+    first, second = F.try_element_at("top", F.lit(1)), F.try_element_at("top", F.lit(2))
+    per = per.select("dataset", (-first["t"]).alias("split"), first["gap"].alias("gap_s"), "median_gap_s", second["gap"].alias("runner_up_s"), "trials", (first["i"] + 1).cast("long").alias("before"))
     decisive = F.coalesce((F.col("gap_s") > 2 * F.col("median_gap_s")) & (F.col("runner_up_s").isNull() | (F.col("gap_s") >= 2 * F.col("runner_up_s"))), F.lit(False))
-    n_before = F.coalesce("n_before", "trials")
-    return per.join(top, "dataset", "left").join(before, "dataset", "left").select("dataset", "split", "gap_s", "median_gap_s", "runner_up_s", decisive.alias("decisive"), n_before.alias("n_before"), (F.col("trials") - n_before).alias("n_after"))
+    n_before = F.coalesce("before", "trials")
+    return per.select("dataset", "split", "gap_s", "median_gap_s", "runner_up_s", decisive.alias("decisive"), n_before.alias("n_before"), (F.col("trials") - n_before).alias("n_after"))
 
 
 def run_summary(entries: DataFrame) -> DataFrame:
@@ -76,8 +92,9 @@ def median_gap(entries: DataFrame) -> DataFrame:
 
 
 def shape_groups(meta: DataFrame) -> DataFrame:
-    """A2: frames by shape, the most frequent shape first."""
-    counts = meta.groupBy("dataset", "w", "h").agg(F.count("*").alias("n"), F.min("trial").alias("first"), F.max("trial").alias("last"))
+    """A2: frames by shape with their trials in order, the most frequent shape first; an acquisition has some hundreds of trials."""
+    listed = F.concat_ws(" ", F.array_sort(F.collect_list("trial")))
+    counts = meta.groupBy("dataset", "w", "h").agg(F.count("*").alias("n"), F.min("trial").alias("first"), F.max("trial").alias("last"), listed.alias("trials"))
     return counts.withColumn("place", F.row_number().over(Window.partitionBy("dataset").orderBy(F.desc("n"), "w", "h")).cast("long"))
 
 

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lamella.functions.scalars import position_line
+
 MOVED, APART, BLOCK = 0.5, 10.0, 256
 PLACED = "state IN ('anchor', 'human', 'unverified') AND x IS NOT NULL AND y IS NOT NULL"
 
@@ -37,15 +39,16 @@ def normalised(tiles: DataFrame) -> DataFrame:
     return rows.select("dataset", "trial", at("x", "ox").alias("nx"), at("y", "oy").alias("ny"), (F.col("mx") - F.col("ox")).alias("nmx"), (F.col("my") - F.col("oy")).alias("nmy"), moved.alias("moved_px"))
 
 
-def provenance(tiles: DataFrame) -> DataFrame:
-    """A document with any machine position isn't independent, whatever it claims."""
-    n = F.count("mx")
-    return tiles.groupBy("dataset").agg(n.alias("n_machine"), F.when(n > 0, "machine").otherwise("independent").alias("provenance"))
+def provenance(tiles: DataFrame, builds: DataFrame) -> DataFrame:
+    """A document with a build ``(dataset, build)`` or any machine position isn't independent, whatever it claims."""
+    per = tiles.groupBy("dataset").agg(F.count("mx").alias("n_machine")).join(builds.groupBy("dataset").agg(F.max("build").alias("build")), "dataset", "left")
+    seeded = F.when(F.col("build").isNotNull(), "build").when(F.col("n_machine") > 0, "machine").otherwise("independent")
+    return per.select("dataset", "n_machine", seeded.alias("provenance"))
 
 
 def trusted(tiles: DataFrame, margin: float = 0.2, ncc: float = 0.65, apart: float = APART) -> DataFrame:
-    """The match stands unless it is unsure and the solver is over ``apart`` pixels away; a null ncc doesn't make it unsure."""
-    sure = ~(F.coalesce(F.col("margin") < margin, F.lit(True)) | F.coalesce(F.col("ncc") < ncc, F.lit(False)))
+    """The match stands unless it is unsure and the solver is over ``apart`` pixels away; a null margin or ncc doesn't make it unsure."""
+    sure = ~(F.coalesce(F.col("margin") < margin, F.lit(False)) | F.coalesce(F.col("ncc") < ncc, F.lit(False)))
     far = F.coalesce(F.hypot(F.col("x") - F.col("mx"), F.col("y") - F.col("my")) > apart, F.lit(False))
     return tiles.select("dataset", "trial", sure.alias("confident"), F.when(~sure & far, "solver").otherwise("match").alias("used"))
 
@@ -58,6 +61,29 @@ def rescoped(tiles: DataFrame, trials: DataFrame) -> DataFrame:
     return old.join(new, ["dataset", "trial"], "full").select("dataset", "trial", fate.alias("fate"))
 
 
+def kept_blanks(blank: DataFrame, trials: DataFrame) -> DataFrame:
+    """The blank list pruned to the trials that stay."""
+    return blank.select("dataset", "trial").join(trials.select("dataset", "trial").distinct(), ["dataset", "trial"], "left_semi")
+
+
+def active(tiles: DataFrame) -> DataFrame:
+    """P5: trials that a build is given: all but the excluded ones."""
+    return tiles.where("state <> 'excluded'").select("dataset", "trial")
+
+
+def placed_by_machine(tiles: DataFrame, found: DataFrame) -> DataFrame:
+    """Tiles that nobody has ruled on take the recomputed position ``(dataset, trial, px, py)`` and are unverified; all others stay as they are."""
+    rows = tiles.join(found.select("dataset", "trial", "px", "py"), ["dataset", "trial"], "left")
+    new = ~F.col("state").isin("anchor", "human", "excluded") & F.col("px").isNotNull() & F.col("py").isNotNull()
+    put = lambda c, p: F.when(new, F.col(p)).otherwise(F.col(c)).alias(c)
+    return rows.select("dataset", "trial", F.when(new, "unverified").otherwise(F.col("state")).alias("state"), put("x", "px"), put("y", "py"), put("mx", "px"), put("my", "py"))
+
+
+def unknown_trials(trials: DataFrame, inventory: DataFrame) -> DataFrame:
+    """Trials of a list that the inventory doesn't have."""
+    return trials.select("dataset", "trial").distinct().join(inventory, ["dataset", "trial"], "left_anti")
+
+
 def without_machine(tiles: DataFrame) -> DataFrame:
     """Unverified tiles lose their position; machine fields of all tiles go, states stay."""
     loose = F.col("state") == "unverified"
@@ -82,11 +108,18 @@ def blank_proposal(frames: DataFrame, splits: DataFrame, least: int = 20) -> Dat
 
 
 def edit_tallies(tiles: DataFrame) -> DataFrame:
-    """How far people moved placed tiles from the machine; median and most over moved ones only."""
-    d = F.hypot(F.col("x") - F.col("mx"), F.col("y") - F.col("my"))
-    rows = tiles.where(PLACED).select("dataset", d.alias("d"))
+    """How far people moved placed tiles from the machine; median and most over moved ones only.
+
+    A placed tile without machine position is rescued if the document has such positions at all; diverted tiles
+    (column ``diverted``) count unless excluded.
+    """
+    d = F.when(F.expr(PLACED), F.hypot(F.col("x") - F.col("mx"), F.col("y") - F.col("my")))
+    rows = tiles.select("dataset", d.alias("d"), F.expr(f"{PLACED} AND mx IS NULL").alias("alone"), "mx", F.expr("diverted AND state <> 'excluded'").alias("diverted"))
     moved = F.when(F.col("d") >= MOVED, F.col("d"))
-    return rows.groupBy("dataset").agg(F.count_if(F.col("d") < MOVED).alias("n_accepted"), F.count(moved).alias("n_moved"), F.round(F.median(moved), 6).alias("median_moved"), F.round(F.max(moved), 6).alias("most_moved"))
+    return rows.groupBy("dataset").agg(
+        F.count_if(F.col("d") < MOVED).alias("n_accepted"), F.count(moved).alias("n_moved"), F.round(F.median(moved), 6).alias("median_moved"), F.round(F.max(moved), 6).alias("most_moved"),
+        F.when(F.count("mx") > 0, F.count_if("alone")).otherwise(0).alias("n_rescued"), F.count_if("diverted").alias("n_diverted"),
+    )
 
 
 def residual_statistics(links: DataFrame, tiles: DataFrame, gate: float = 500.0) -> DataFrame:
@@ -107,14 +140,17 @@ def tile_quality(links: DataFrame) -> DataFrame:
 
 
 def leaderboard(links: DataFrame, good: float = 0.5, bad: float = 0.3) -> DataFrame:
-    """Median ncc of each build, good links and bad tiles; sort by the first for a ranking."""
+    """Median ncc of each build with good links and bad tiles, and its place by that median (ties by dataset)."""
     tiles = tile_quality(links).groupBy("dataset").agg(F.count_if(F.col("median_ncc") < bad).alias("n_bad_tiles"))
     builds = links.groupBy("dataset").agg(F.round(F.median("ncc"), 6).alias("median_ncc"), F.count_if(F.col("ncc") > good).alias("n_good"), F.count("*").alias("n"))
-    return builds.join(tiles, "dataset")
+    # one row a build enters the ranking
+    return builds.join(tiles, "dataset").withColumn("place", F.row_number().over(Window.orderBy(F.desc("median_ncc"), "dataset")).cast("long"))
 
 
 def gated_links(links: DataFrame, chain: DataFrame, most: float = 60.0) -> DataFrame:
-    """Links between tiles of one run, two or more trials apart, whose dx is over ``most`` pixels from the chain's."""
+    """Links between tiles of one run, two or more trials apart, whose dx is over ``most`` pixels from the chain's; turned so that a < b."""
+    turned = F.col("a") > F.col("b")
+    links = links.select("dataset", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(turned, -F.col("dx")).otherwise(F.col("dx")).alias("dx"))
     a = chain.select("dataset", "run", F.col("trial").alias("a"), F.col("local_x").alias("ax"))
     b = chain.select("dataset", F.col("run").alias("run_b"), F.col("trial").alias("b"), F.col("local_x").alias("bx"))
     rows = links.where("b - a >= 2").join(a, ["dataset", "a"]).join(b, ["dataset", "b"]).where("run = run_b")
@@ -134,11 +170,27 @@ def seed_shift(tiles: DataFrame) -> DataFrame:
     return rows.groupBy("dataset").agg(F.median(F.col("x") - F.col("mx")).alias("sx"), F.median(F.col("y") - F.col("my")).alias("sy"), F.count("*").alias("n_shared"))
 
 
+def seeded(tiles: DataFrame, build: DataFrame) -> DataFrame:
+    """Tiles after a build ``(dataset, trial, bx, by)`` is put into the frame of the anchored and human ones, ``refused`` where nothing ties the two.
+
+    The shift is the median over the tiles that people placed and the build has; it is 0 where people placed none. They
+    and excluded tiles keep all but the machine's position; of the others those in the build become unverified there.
+    """
+    own = F.col("state").isin("anchor", "human") & F.col("x").isNotNull() & F.col("y").isNotNull()
+    rows = tiles.join(build.select("dataset", "trial", "bx", "by"), ["dataset", "trial"], "left").withColumn("own", own)
+    tie = F.when(F.col("own") & F.col("bx").isNotNull(), F.col("x") - F.col("bx")), F.when(F.col("own") & F.col("bx").isNotNull(), F.col("y") - F.col("by"))
+    shift = rows.groupBy("dataset").agg(F.median(tie[0]).alias("sx"), F.median(tie[1]).alias("sy"), F.count_if("own").alias("n_own"))
+    rows = rows.join(shift, "dataset").withColumn("refused", (F.col("n_own") > 0) & F.col("sx").isNull())
+    nx, ny = (F.when(~F.col("refused"), F.col(b) + F.coalesce(s, F.lit(0.0))) for b, s in (("bx", "sx"), ("by", "sy")))
+    new = nx.isNotNull() & ~F.col("own") & (F.col("state") != "excluded")
+    pick = lambda c, v: F.when(new, v).otherwise(F.col(c)).alias(c)
+    return rows.select("dataset", "trial", F.when(new, "unverified").otherwise(F.col("state")).alias("state"), pick("x", nx), pick("y", ny), F.coalesce(nx, "mx").alias("mx"), F.coalesce(ny, "my").alias("my"), "refused")
+
+
 def position_stamp(tiles: DataFrame) -> DataFrame:
-    """A stamp of a layout whatever its row order: the sum of row hashes, so no list is gathered."""
-    line = F.concat_ws(":", "trial", F.col("x").cast("long"), F.col("y").cast("long"))
-    part = F.conv(F.substring(F.md5(line), 1, 8), 16, 10).cast("long")
-    return tiles.where(PLACED).groupBy("dataset").agg(F.count("*").alias("n"), F.sum(part).alias("stamp"))
+    """A stamp of a layout to two decimals whatever its row order: the sum of 48 bits of each row's hash, so no list is gathered."""
+    part = F.conv(F.substring(F.md5(position_line(F.col("trial"), F.col("x"), F.col("y"))), 1, 12), 16, 10).cast("decimal(20,0)")
+    return tiles.where(PLACED).groupBy("dataset").agg(F.count("*").alias("n"), F.sum(part).cast("string").alias("stamp"))
 
 
 def stale(current: DataFrame, recorded: DataFrame) -> DataFrame:
@@ -160,23 +212,48 @@ def stale_after(tiles: DataFrame, edits: DataFrame) -> DataFrame:
     return rows.select("dataset", "trial")
 
 
-def problems(tiles: DataFrame, moved: float = 6.0) -> DataFrame:
-    """One row per problem of a tile; a tile may have several."""
-    d = F.hypot(F.col("x") - F.col("mx"), F.col("y") - F.col("my"))
-    rules = F.array(
-        F.when((F.col("state") == "anchor") & (F.col("x").isNull() | F.col("y").isNull()), F.lit("anchor_unplaced")),
-        F.when((F.col("state") == "excluded") & F.col("x").isNotNull(), F.lit("excluded_placed")),
-        F.when(d > moved, F.lit("moved_far")),
-        F.when(F.col("ncc") < 0.1, F.lit("weak_match")),
-    )
-    return tiles.select("dataset", "trial", F.explode(rules).alias("problem")).where("problem IS NOT NULL")
+STATES = ("anchor", "human", "unverified", "excluded", "unplaced")
+
+
+def problems(tiles: DataFrame, documents: DataFrame, blank: DataFrame) -> DataFrame:
+    """``(dataset, trial, kind, problem)``: hard ones refuse a document, derived ones are repaired on saving, others warn; trial is null for the document's own.
+
+    ``tiles`` has ``(dataset, trial, status, state, x, y)``, ``documents`` ``(dataset, lo, hi, origin, cursor)``,
+    ``blank`` the blank lists. No trial is a problem for being the one it is.
+    """
+    bad_range = F.col("lo").isNull() | F.col("hi").isNull() | (F.col("lo") > F.col("hi"))
+    rows = tiles.join(documents.select("dataset", "lo", "hi"), "dataset", "left")
+    known, placed = F.col("state").isin(*STATES), F.coalesce("state", "status").isin("anchor", "human", "unverified")
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    rules = [
+        ("derived", "no_state", F.col("state").isNull()), ("hard", "unknown_state", ~known), ("hard", "status_disagrees", known & (F.col("status") != F.col("state"))),
+        ("hard", "placed_without_position", placed & ~(finite("x") & finite("y"))), ("hard", "position_kept", F.coalesce("state", "status").isin("excluded", "unplaced") & (F.col("x").isNotNull() | F.col("y").isNotNull())),
+        ("hard", "outside_range", ~bad_range & ~F.col("trial").between(F.col("lo"), F.col("hi"))),
+    ]
+    found = F.array(*[F.when(rule, F.struct(F.lit(kind).alias("kind"), F.lit(problem).alias("problem"))) for kind, problem, rule in rules])
+    out = rows.select("dataset", "trial", F.explode(found).alias("p")).where("p IS NOT NULL").select("dataset", "trial", "p.kind", "p.problem")
+
+    first = tiles.where(PLACED).groupBy("dataset").agg(F.coalesce(F.min(F.when(F.col("state") == "anchor", F.col("trial"))), F.min("trial")).alias("want"))
+    zero = tiles.where("x = 0 AND y = 0").select("dataset", F.col("trial").alias("want"), F.lit(True).alias("zero"))
+    docs = documents.join(first.join(zero, ["dataset", "want"], "left"), "dataset", "left")
+    there = tiles.select("dataset", F.col("trial").alias("cursor"), F.lit(True).alias("there"))
+    docs = docs.join(there, ["dataset", "cursor"], "left")
+    own = [
+        ("hard", "bad_range", bad_range), ("derived", "wrong_origin", F.col("want").isNotNull() & ~F.col("origin").eqNullSafe(F.col("want"))),
+        ("derived", "origin_not_at_zero", F.col("want").isNotNull() & F.col("zero").isNull()), ("warn", "cursor_unknown", F.col("cursor").isNotNull() & F.col("there").isNull()),
+    ]
+    found = F.array(*[F.when(rule, F.struct(F.lit(kind).alias("kind"), F.lit(problem).alias("problem"))) for kind, problem, rule in own])
+    out = out.unionByName(docs.select("dataset", F.lit(None).cast("long").alias("trial"), F.explode(found).alias("p")).where("p IS NOT NULL").select("dataset", "trial", "p.kind", "p.problem"))
+    stray = unknown_trials(blank, tiles.select("dataset", "trial"))
+    return out.unionByName(stray.select("dataset", "trial", F.lit("warn").alias("kind"), F.lit("blank_unknown").alias("problem")))
 
 
 def edge_trim(electrodes: DataFrame, share: float = 0.2) -> DataFrame:
-    """First and last column with at least max(2, ceil(share * most)) detected pads."""
-    lines = electrodes.where("kind = 1").groupBy("mosaic", "col").agg(F.count("*").alias("n"))
-    need = lines.groupBy("mosaic").agg(F.greatest(F.lit(2), F.ceil(F.lit(share) * F.max("n"))).alias("need"))
-    return lines.join(need, "mosaic").where("n >= need").groupBy("mosaic").agg(F.min("col").alias("first"), F.max("col").alias("last"))
+    """Per axis the first and last line with at least max(2, ceil(share * most)) detected pads; what is outside is trimmed from each end."""
+    pads = electrodes.where("kind = 1").select("mosaic", F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.col(a).alias("line")) for a in ("col", "row")])).alias("at"))
+    lines = pads.groupBy("mosaic", "at.axis", "at.line").agg(F.count("*").alias("n"))
+    need = lines.groupBy("mosaic", "axis").agg(F.greatest(F.lit(2), F.ceil(F.lit(share) * F.max("n"))).alias("need"))
+    return lines.join(need, ["mosaic", "axis"]).where("n >= need").groupBy("mosaic", "axis").agg(F.min("line").alias("first"), F.max("line").alias("last"))
 
 
 def zoom_consensus(readings: DataFrame, snr: float = 12.0, within: float = 0.05) -> DataFrame:

@@ -12,9 +12,10 @@ OVERLAP_SIDE, OVERLAP_AREA, NEAR, TILE = 40, 3600, 480, 512
 
 
 def state_counts(tiles: DataFrame) -> DataFrame:
-    """A3: tiles by state."""
+    """A3: tiles by state, and the diverted ones (column ``diverted``) that are unverified with a position."""
     states = ("anchor", "unverified", "human", "excluded")
-    return tiles.groupBy("dataset").agg(*[F.count_if(F.col("state") == s).alias(f"n_{s}") for s in states])
+    diverted = F.count_if(F.col("diverted") & (F.col("state") == "unverified") & F.col("x").isNotNull())
+    return tiles.groupBy("dataset").agg(*[F.count_if(F.col("state") == s).alias(f"n_{s}") for s in states], diverted.alias("n_diverted"))
 
 
 def placed(tiles: DataFrame, unverified: bool = False) -> DataFrame:
@@ -50,6 +51,9 @@ def nearby_pairs(tiles: DataFrame, near: float = NEAR) -> DataFrame:
 LINK_LIMITS = {"seq": (0.06, 100.0), "cross": (0.12, 300.0), "bridge": (0.06, None)}
 
 
+REJECTIONS = ("no_overlap_at_prior", "weak_phase_response", "correction_too_large", "no_overlap_at_measured", "low_ncc_at_measured")
+
+
 def _overlap(x, y, width: int, height: int):
     """Pixels that two frames share at an offset, in whole blocks of 16; none if a side is under 32."""
     w, h = (F.floor((size - F.abs(F.bround(off))) / 16) * 16 for off, size in ((x, width), (y, height)))
@@ -83,9 +87,12 @@ def link_verdicts(links: DataFrame, response: float = 0.08, limits: dict = LINK_
 
 
 def link_statistics(links: DataFrame, **limits) -> DataFrame:
-    """Verdicts by kind, medians over accepted links; ``limits`` as in :func:`link_verdicts`."""
+    """Accepted links by kind with their medians, and how many links each check rejects; ``limits`` as in :func:`link_verdicts`."""
     ok = F.col("verdict") == "ok"
-    return link_verdicts(links, **limits).groupBy("dataset", "kind").agg(F.count("*").alias("n"), F.count_if(ok).alias("n_ok"), F.median(F.when(ok, F.col("response"))).alias("median_response"), F.median(F.when(ok, F.col("ncc"))).alias("median_ncc"))
+    rejected = [F.count_if(F.col("verdict") == v).alias(f"n_{v}") for v in REJECTIONS]
+    return link_verdicts(links, **limits).groupBy("dataset", "kind").agg(
+        F.count("*").alias("n"), F.count_if(ok).alias("n_ok"), F.median(F.when(ok, F.col("response"))).alias("median_response"), F.median(F.when(ok, F.col("ncc"))).alias("median_ncc"), *rejected
+    )
 
 
 def top_links(links: DataFrame, most: int = 6) -> DataFrame:
@@ -113,11 +120,14 @@ def rigid_runs(tiles: DataFrame, floor: float = 0.55, adjacent: int = 1) -> Data
 
 
 def link_components(links: DataFrame, **limits) -> DataFrame:
-    """Components of accepted links with their sizes; the largest (ties by smallest node) is component 0."""
-    nodes = connected_components(link_verdicts(links, **limits).where("verdict = 'ok'").select("a", "b"))
-    sizes = checkpointed(nodes.groupBy("root").agg(F.count("*").alias("n")))
-    largest = sizes.agg(F.max_by("root", F.struct(F.col("n"), -F.col("root")))).first()[0]
-    return sizes.select("root", "n", F.coalesce(F.col("root") == largest, F.lit(False)).alias("largest"))
+    """``(dataset, node, component, n)``: components of a dataset's accepted links, numbered from the largest on (ties by smallest node), with their sizes."""
+    ok = link_verdicts(links, **limits).where("verdict = 'ok' AND a IS NOT NULL AND b IS NOT NULL")
+    at = lambda c: F.struct("dataset", F.col(c).alias("node")).alias(c)
+    nodes = checkpointed(connected_components(ok.select(at("a"), at("b"))))
+    sizes = nodes.groupBy("root").agg(F.count("*").alias("n")).select("root.dataset", "root", "n")
+    number = F.row_number().over(Window.partitionBy("dataset").orderBy(F.desc("n"), "root.node")) - 1
+    sizes = checkpointed(sizes.select("root", "n", number.cast("long").alias("component")))
+    return nodes.join(sizes, "root").select("node.dataset", "node.node", "component", "n")
 
 
 def electrodes_in_regions(electrodes: DataFrame, regions: DataFrame, cell: float = 128.0) -> DataFrame:
@@ -131,23 +141,35 @@ def electrodes_in_regions(electrodes: DataFrame, regions: DataFrame, cell: float
 
 
 def nearest_electrode(electrodes: DataFrame, points: DataFrame, radius: float = 30.0) -> DataFrame:
-    """Nearest electrode within ``radius`` of each point ``(region, mosaic, x, y)`` (ties by col, row)."""
+    """Nearest electrode within ``radius`` of each point ``(region, mosaic, x, y)`` (ties by col, row); points may have a smaller ``radius`` of their own."""
     e = electrodes.select("mosaic", "col", "row", F.col("x").alias("ex"), F.col("y").alias("ey"), F.floor(F.col("x") / radius).alias("bx"), F.floor(F.col("y") / radius).alias("by"))
     near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    p = points.select("region", "mosaic", "x", "y", F.explode(near).alias("o"))
-    p = p.select("region", "mosaic", "x", "y", (F.floor(F.col("x") / radius) + F.col("o.i")).alias("bx"), (F.floor(F.col("y") / radius) + F.col("o.j")).alias("by"))
+    own = F.least(F.col("radius"), F.lit(radius)) if "radius" in points.columns else F.lit(radius)
+    p = points.select("region", "mosaic", "x", "y", own.alias("own"), F.explode(near).alias("o"))
+    p = p.select("region", "mosaic", "x", "y", "own", (F.floor(F.col("x") / radius) + F.col("o.i")).alias("bx"), (F.floor(F.col("y") / radius) + F.col("o.j")).alias("by"))
     d2 = (F.col("x") - F.col("ex")) ** 2 + (F.col("y") - F.col("ey")) ** 2
-    found = p.join(e, ["mosaic", "bx", "by"]).withColumn("d2", d2).where(F.col("d2") <= radius * radius)
+    found = p.join(e, ["mosaic", "bx", "by"]).withColumn("d2", d2).where(F.col("d2") <= F.col("own") * F.col("own"))
     best = found.groupBy("region").agg(F.min(F.struct("d2", "col", "row")).alias("best"))
     return best.select("region", F.col("best.col").alias("col"), F.col("best.row").alias("row"), F.round(F.sqrt("best.d2"), 6).alias("distance"))
 
 
-def step_statistics(electrodes: DataFrame, apart: int = 1) -> DataFrame:
-    """Steps between detected neighbours along a row, whose columns are ``apart``."""
-    e = electrodes.where("kind = 1").select("mosaic", "col", "row", "x", "y").alias("a")
-    nxt = e.select("mosaic", (F.col("col") - apart).alias("col"), "row", F.col("x").alias("nx"), F.col("y").alias("ny"))
-    step = F.hypot(F.col("nx") - F.col("x"), F.col("ny") - F.col("y"))
-    return e.join(nxt, ["mosaic", "col", "row"]).groupBy("mosaic").agg(F.count("*").alias("n"), F.round(F.median(step), 6).alias("median_step"), F.round(F.percentile(step, 0.95), 6).alias("p95_step"))
+def neighbour_steps(electrodes: DataFrame) -> DataFrame:
+    """``(mosaic, col, row, axis, dx, dy)`` from each detected cell to the detected ones in the next column and the next row."""
+    e = electrodes.where("kind = 1").select("mosaic", "col", "row", "x", "y")
+    ends = F.array(*[F.struct(F.lit(a).alias("axis"), c.alias("c"), r.alias("r")) for a, c, r in (("col", F.col("col") - 1, F.col("row")), ("row", F.col("col"), F.col("row") - 1))])
+    after = e.select("mosaic", F.col("x").alias("nx"), F.col("y").alias("ny"), F.explode(ends).alias("o")).select("mosaic", "nx", "ny", "o.axis", F.col("o.c").alias("col"), F.col("o.r").alias("row"))
+    return e.join(after, ["mosaic", "col", "row"]).select("mosaic", "col", "row", "axis", (F.col("nx") - F.col("x")).alias("dx"), (F.col("ny") - F.col("y")).alias("dy"))
+
+
+def step_statistics(electrodes: DataFrame) -> DataFrame:
+    """Detected and inferred cells, and how far steps between detected neighbours are from the mean step along their axis."""
+    steps = neighbour_steps(electrodes)
+    mean = steps.groupBy("mosaic", "axis").agg(F.avg("dx").alias("mx"), F.avg("dy").alias("my"))
+    off = F.hypot(F.col("dx") - F.col("mx"), F.col("dy") - F.col("my"))
+    per = steps.join(mean, ["mosaic", "axis"]).groupBy("mosaic").agg(F.count("*").alias("n_steps"), F.round(F.median(off), 6).alias("median_px"), F.round(F.percentile(off, 0.95), 6).alias("p95_px"))
+    found, all_ = F.count_if(F.col("kind") == 1), F.count_if(F.col("kind").isin(1, 2))
+    cells = electrodes.groupBy("mosaic").agg(found.alias("n_detected"), F.count_if(F.col("kind") == 2).alias("n_inferred"), F.round(found / F.greatest(all_, F.lit(1)), 4).alias("detected_share"))
+    return cells.join(per, "mosaic", "left")
 
 
 def score(build: DataFrame, truth: DataFrame, ladder=(5, 10, 25, 50, 96, 256)) -> DataFrame:

@@ -1,111 +1,10 @@
-"""Measured shifts of overlapping frames (H1, H2, H3, P12): pairs are a Spark table, numpy works on the two frames of a pair.
-
-Frames are ``(dataset, trial, h, w, px)``, px little-endian unsigned 16-bit bytes or an array of numbers, row-major.
-"""
+"""Confidence of matches."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import cache
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LOW, HIGH, WHITEN, WINDOW = 3.0, 30.0, -0.65, 5
-
-
-@cache
-def _smoother(n: int, sigma: float) -> np.ndarray:
-    """The Gaussian filter of a line of ``n`` pixels, mirrored at its ends, as a matrix."""
-    reach = int(round(4 * sigma))
-    taps = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
-    source = np.arange(n)[:, None] + np.arange(-reach, reach + 1)[None]
-    source = (n - 1) - np.abs((source % max(1, 2 * n - 2)) - (n - 1))
-    out = np.zeros((n, n))
-    np.add.at(out, (np.repeat(np.arange(n), taps.size), source.ravel()), np.tile(taps / taps.sum(), n))
-    return out.astype("f4")
-
-
-def band_pass(frame: np.ndarray, low: float = LOW, high: float = HIGH) -> np.ndarray:
-    """H1: difference of two Gaussian blurs."""
-    fine, coarse = (_smoother(frame.shape[0], s) @ frame @ _smoother(frame.shape[1], s).T for s in (low, high))
-    return fine - coarse
-
-
-def phase_shift(fixed: np.ndarray, moving: np.ndarray) -> tuple[float, float, float]:
-    """H2: where ``moving`` lies relative to ``fixed`` (x, y) and the peak's height in standard deviations.
-
-    Only the fixed frame fades to its mean at the edges (here by a Hann window); the spectrum is partly whitened and the
-    peak refined by the centre of mass around it.
-    """
-    h, w = fixed.shape
-    fade = np.outer(np.hanning(h), np.hanning(w))
-    a = fade * (fixed - fixed.mean())
-    cross = np.fft.rfft2(a - a.mean()) * np.conj(np.fft.rfft2(moving - moving.mean()))
-    plane = np.fft.irfft2(cross * np.maximum(np.abs(cross), 1e-12) ** WHITEN, s=(h, w))
-    y, x = np.unravel_index(int(plane.argmax()), plane.shape)
-    k = np.arange(-WINDOW, WINDOW + 1)
-    near = plane[np.ix_((y + k) % h, (x + k) % w)]
-    near = np.maximum(near - near.mean(), 0)
-    total = near.sum() + 1e-40
-    sx, sy = (x - w if 2 * x >= w else x), (y - h if 2 * y >= h else y)
-    height = (plane.max() - plane.mean()) / (plane.std() + 1e-40)
-    return sx + float(near.sum(0) @ k) / total, sy + float(near.sum(1) @ k) / total, float(height)
-
-
-def overlap_ncc(a: np.ndarray, b: np.ndarray, sx: float, sy: float, side: int, area: int) -> float | None:
-    """H3: correlation of the overlap when ``b`` lies at the rounded shift; None where it is too small or flat."""
-    x, y = round(sx), round(sy)
-    w, h = a.shape[1] - abs(x), a.shape[0] - abs(y)
-    if min(w, h) < side or w * h < area:
-        return None
-    p = a[max(0, y) : max(0, y) + h, max(0, x) : max(0, x) + w]
-    q = b[max(0, -y) : max(0, -y) + h, max(0, -x) : max(0, -x) + w]
-    p, q = p - p.mean(), q - q.mean()
-    size = float(np.sqrt((p * p).sum() * (q * q).sum()))
-    return float((p * q).sum()) / size if size > 0 else None
-
-
-def _image(px, h: float, w: float) -> np.ndarray | None:
-    """The frame as numbers; None for a null in any part or a size other than h times w."""
-    if px is None or pd.isna(h) or pd.isna(w):
-        return None
-    if isinstance(px, (bytes, bytearray)):
-        values = np.frombuffer(px, "<u2") if len(px) % 2 == 0 else np.empty(0)
-    else:
-        values = np.asarray(px)
-    return values.reshape(int(h), int(w)).astype("f4") if values.size == int(h) * int(w) else None
-
-
-def measured_shifts(pairs: DataFrame, frames: DataFrame, side: int = 40, area: int = 3600) -> DataFrame:
-    """One row ``(dataset, a, b, dx, dy, height, ncc)`` per pair; dx, dy lead from a to b.
-
-    All measures are null for a pair of different shapes, or with a null or mis-sized frame; a pair whose frame isn't
-    in the table gives no row. Spark
-    bounds what a worker holds by ``spark.sql.execution.arrow.maxBytesPerBatch``, 64 MB unless set.
-    """
-    one = frames.select("dataset", F.col("trial").alias("a"), F.col("h").alias("ha"), F.col("w").alias("wa"), F.col("px").alias("pa"))
-    two = frames.select("dataset", F.col("trial").alias("b"), F.col("h").alias("hb"), F.col("w").alias("wb"), F.col("px").alias("pb"))
-    rows = pairs.select("dataset", "a", "b").join(one, ["dataset", "a"]).join(two, ["dataset", "b"]).select("dataset", "a", "b", "ha", "wa", "pa", "hb", "wb", "pb")
-
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for r in batch.itertuples(index=False):
-                found = (None,) * 4
-                p, q = _image(r.pa, r.ha, r.wa), _image(r.pb, r.hb, r.wb)
-                if p is not None and q is not None and p.shape == q.shape and p.size:
-                    p, q = band_pass(p), band_pass(q)
-                    shift = phase_shift(p, q)
-                    found = (*shift, overlap_ncc(p, q, *shift[:2], side, area))
-                out.append((r.dataset, r.a, r.b, *found))
-            yield pd.DataFrame(out, columns=["dataset", "a", "b", "dx", "dy", "height", "ncc"])
-
-    types = dict(rows.dtypes)
-    return rows.mapInPandas(measure, ", ".join(f"{c} {types[c]}" for c in ("dataset", "a", "b")) + ", dx double, dy double, height double, ncc double")
-
 
 def confident(matches: DataFrame, margin: float = 0.10, ncc: float = 0.12) -> DataFrame:
     """Matches with enough margin and ncc; a null in either isn't confident."""

@@ -1,15 +1,17 @@
 """Camera tracks of survey videos: black frames, segments, travel, dwell, keyframes and their candidates.
 
-A track has rows ``(video, frame, gray, step)``; step is the distance to the frame before, in hundredths of a pixel.
+A track has rows ``(video, frame, gray, step, response)``; step is the distance to the frame before, in hundredths of a pixel.
 Frames without a grey value count as black.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLACK, BREAK, STILL, SHOULDER, TRAVEL = 3.0, 600, 50, 5, 3000
+BLACK, BREAK, STILL, SHOULDER, TRAVEL, DWELL = 3.0, 600, 50, 5, 3000, 3
+REASONS = ("travel", "dwell", "segment-start")
 
 
 def lit_frames(track: DataFrame) -> DataFrame:
@@ -39,11 +41,42 @@ def dwells(track: DataFrame, still: int = STILL, least: int = 2) -> DataFrame:
     return slow.withColumn("island", island).groupBy("video", "segment", "island").agg(F.min("frame").alias("first"), F.max("frame").alias("last"), F.count("*").alias("n")).where(F.col("n") >= least).drop("island")
 
 
-def travel_keyframes(track: DataFrame, every: int = TRAVEL) -> DataFrame:
-    """First frame of each segment, and every frame whose travel passes another multiple of ``every``."""
-    cell = F.floor(F.col("travel") / every)
-    before = F.lag(cell).over(Window.partitionBy("video", "segment").orderBy("frame"))
-    return segments(track).withColumn("before", before).where(F.col("before").isNull() | (cell > F.col("before"))).select("video", "segment", "frame", "travel")
+KEYFRAMES = "video long, segment long, frame long, travel long, reason string"
+
+
+class Walk:
+    """Keyframes along one segment: its first frame, every ``TRAVEL`` since the last keyframe, the ``DWELL``-th still frame in a row.
+
+    The batch query and the stream both take their steps here.
+    """
+
+    def __init__(self, travel: int = 0, slow: int = 0):
+        self.travel, self.slow = travel, slow
+
+    def step(self, length: int) -> str | None:
+        """The reason why the frame after a step of ``length`` is a keyframe, if it is one; travel counts from there on."""
+        self.travel, self.slow = self.travel + length, self.slow + 1 if length < STILL else 0
+        if self.travel < TRAVEL and self.slow != DWELL:
+            return None
+        reason, self.travel = "travel" if self.travel >= TRAVEL else "dwell", 0
+        return reason
+
+
+def travel_keyframes(track: DataFrame) -> DataFrame:
+    """Keyframes ``(video, segment, frame, travel, reason)`` by the rule of :class:`Walk`; travel is the segment's own.
+
+    A segment is walked in one task; long videos are cut at their black frames and jumps.
+    """
+
+    def walk(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, out, w = rows.sort_values("frame"), [], Walk()
+        for i, (frame, step, travel) in enumerate(zip(rows.frame, rows.step, rows.travel, strict=True)):
+            if reason := w.step(int(step)) if i else "segment-start":
+                out.append((rows.video.iloc[0], rows.segment.iloc[0], frame, travel, reason))
+        return pd.DataFrame(out, columns=["video", "segment", "frame", "travel", "reason"])
+
+    rows = segments(track).select("video", "segment", "frame", F.coalesce("step", F.lit(0)).alias("step"), F.coalesce("travel", F.lit(0)).alias("travel"))
+    return rows.groupBy("video", "segment").applyInPandas(walk, KEYFRAMES)
 
 
 def sequential_candidates(keyframes: DataFrame) -> DataFrame:
@@ -53,28 +86,48 @@ def sequential_candidates(keyframes: DataFrame) -> DataFrame:
     return rows.select("video", "segment", F.col("frame").alias("a"), F.explode(F.array("one", "two")).alias("b")).where("b IS NOT NULL")
 
 
-def bridge_candidates(keyframes: DataFrame, back: int = 3, tail: int = 4, head: int = 3) -> DataFrame:
-    """The last ``tail`` keyframes of each of the ``back`` previous segments with the first ``head`` of a segment."""
+def bridge_candidates(keyframes: DataFrame, back: int = 3, tail: int = 4, head: int = 3, to_first: bool = False) -> DataFrame:
+    """The last ``tail`` keyframes of each of the ``back`` previous segments, on refining of segment 0 too, with the first ``head`` of a segment."""
     by = Window.partitionBy("video", "segment")
     ends = keyframes.withColumn("up", F.row_number().over(by.orderBy("frame"))).withColumn("down", F.row_number().over(by.orderBy(F.desc("frame"))))
     late = ends.where(F.col("down") <= tail).select("video", "segment", F.col("frame").alias("a"))
-    early = ends.where(F.col("up") <= head).select("video", F.col("frame").alias("b"), F.explode(F.sequence(F.col("segment") - back, F.col("segment") - 1)).alias("segment"))
+    before = F.sequence(F.greatest(F.lit(0), F.col("segment") - back), F.col("segment") - 1)
+    before = F.array_union(F.array(F.lit(0).cast("long")), before) if to_first else before
+    early = ends.where((F.col("up") <= head) & (F.col("segment") > 0)).select("video", F.col("frame").alias("b"), F.explode(before).alias("segment"))
     return late.join(early, ["video", "segment"]).select("video", "a", "b")
 
 
 def track_statistics(track: DataFrame) -> DataFrame:
-    """Frames, black frames, segments, longest travel and the median of steps that move."""
+    """Frames, black ones, segments and breaks inside the light, path, longest travel, median positive response (column ``response``), keyframes by reason."""
     every = track.groupBy("video").agg(F.count("*").alias("n"), F.count_if(F.coalesce(F.col("gray") < BLACK, F.lit(True))).alias("n_black"))
-    used = segments(track).groupBy("video").agg((F.max("segment") + 1).alias("n_segments"), F.max("travel").alias("longest"), F.median(F.when(F.col("step") > 0, F.col("step"))).alias("median_step"))
-    return every.join(used, "video", "left").select("video", "n", "n_black", F.coalesce("n_segments", F.lit(0)).alias("n_segments"), "longest", "median_step")
+    by = Window.partitionBy("video").orderBy("frame")
+    lit = lit_frames(track).withColumn("jump", (F.col("frame") - F.lag("frame").over(by) == 1) & (F.col("step") > BREAK))
+    lit = lit.groupBy("video").agg(F.count_if("jump").alias("n_breaks"), F.round(F.median(F.when(F.col("response") > 0, F.col("response"))), 6).alias("median_response"))
+    last = segments(track).groupBy("video", "segment").agg(F.max("travel").alias("travel"))
+    used = last.groupBy("video").agg(F.count("*").alias("n_segments"), F.max("travel").alias("longest"), F.sum("travel").alias("path"))
+    reasons = travel_keyframes(track).groupBy("video").agg(*[F.count_if(F.col("reason") == r).alias(f"n_{r.replace('-', '_')}") for r in REASONS])
+    rows = every.join(lit, "video", "left").join(used, "video", "left").join(reasons, "video", "left")
+    none = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return rows.select("video", "n", "n_black", none("n_segments"), none("n_breaks"), "longest", "path", "median_response", *[none(f"n_{r.replace('-', '_')}") for r in REASONS])
 
 
-def sampled_frames(track: DataFrame, most: int = 96) -> DataFrame:
-    """Up to ``most`` frames of each video a whole stride apart, from its first."""
+def _placed(track: DataFrame) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("video").orderBy("frame")) - 1
-    rows = track.select("video", "frame", place.alias("i"), F.count("*").over(Window.partitionBy("video")).alias("n"))
-    stride = F.greatest(F.lit(1), F.floor(F.col("n") / most))
-    return rows.where((F.col("i") % stride == 0) & (F.col("i") / stride < most)).select("video", "frame")
+    return track.select("video", "frame", place.alias("i"), F.count("*").over(Window.partitionBy("video")).alias("n"))
+
+
+def sampled_frames(track: DataFrame, most: int = 96) -> DataFrame:
+    """Up to ``most`` frames of each video spread evenly from its first to its last, both included."""
+    rows = _placed(track)
+    spots = rows.where(F.col("i") == 0).select("video", "n", F.explode(F.sequence(F.lit(0), F.least("n", F.lit(most)) - 1)).alias("k"))
+    spots = spots.select("video", F.when(F.col("n") <= most, F.col("k")).otherwise(F.rint(F.col("k") * (F.col("n") - 1) / max(1, most - 1))).cast("long").alias("i")).distinct()
+    return rows.withColumn("i", F.col("i").cast("long")).join(spots, ["video", "i"], "left_semi").select("video", "frame")
+
+
+def tone_frames(track: DataFrame, most: int = 96) -> DataFrame:
+    """The first ``most`` frames that are a whole stride apart, the sample that the tone is measured on."""
+    rows = _placed(track).withColumn("stride", F.greatest(F.lit(1), F.floor(F.col("n") / most)))
+    return rows.where((F.col("i") % F.col("stride") == 0) & (F.col("i") / F.col("stride") < most)).select("video", "frame")
 
 
 def activity(track: DataFrame) -> DataFrame:

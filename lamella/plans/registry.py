@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lamella.operators import acquisition as acq
+from lamella.functions.scalars import hit_radius
 from lamella.operators import documents, layout, matching, pixels, tracks
+from lamella.plans import survey
 from lamella.sources import logs, views
 from lamella.streaming import tracks as live
 
@@ -41,11 +42,11 @@ QUERIES = {
     "link_statistics": lambda spark, sf_dir: layout.link_statistics(views.links(spark, sf_dir), **_LIMITS),
     "top_links": _over(layout.top_links, "links"),
     "match_margins": _over(layout.margins, "links"),
-    "rigid_runs": lambda spark, sf_dir: layout.rigid_runs(views.tiles(spark, sf_dir), adjacent=10),  # each tenth key is in a dataset
+    "rigid_runs": _over(layout.rigid_runs, "tiles"),
     "link_components": lambda spark, sf_dir: layout.link_components(views.links(spark, sf_dir), **_LIMITS),
     "electrodes_in_regions": _over(layout.electrodes_in_regions, "electrodes", "regions"),
-    "nearest_electrode": _over(layout.nearest_electrode, "electrodes", "regions"),
-    "step_statistics": lambda spark, sf_dir: layout.step_statistics(views.electrodes(spark, sf_dir), apart=3),  # each third column is in a mosaic
+    "nearest_electrode": lambda spark, sf_dir: layout.nearest_electrode(views.electrodes(spark, sf_dir), views.regions(spark, sf_dir).withColumn("radius", hit_radius(F.lit(4.2), F.lit(14.0), (1 + F.col("region") % 5) / 4.0))),
+    "step_statistics": _over(layout.step_statistics, "electrodes"),
     "build_score": lambda spark, sf_dir: layout.score(views.tiles(spark, sf_dir).select("dataset", "trial", F.col("mx").alias("x"), F.col("my").alias("y")), views.tiles(spark, sf_dir).where("state = 'anchor'")),
 }
 
@@ -65,7 +66,7 @@ def _kept(spark, sf_dir):
 
 def _own_links(spark, sf_dir):
     """Links keyed by the dataset of their first tile."""
-    return views.links(spark, sf_dir).withColumn("dataset", F.col("a") % 10)
+    return views.links(spark, sf_dir).withColumn("dataset", F.floor(F.col("a") / 20))
 
 
 def _keyed(tiles):
@@ -74,9 +75,9 @@ def _keyed(tiles):
 
 
 def _stale(spark, sf_dir):
-    """Stamps recorded before even datasets moved by a pixel."""
+    """Stamps recorded before every seventh tile moved by a quarter of a pixel; none recorded for every fifth dataset."""
     t = views.tiles(spark, sf_dir)
-    return documents.stale(documents.position_stamp(t.withColumn("x", F.col("x") + (F.col("dataset") % 2 == 0).cast("int"))), documents.position_stamp(t))
+    return documents.stale(documents.position_stamp(t.withColumn("x", F.col("x") + F.when(F.col("trial") % 77 == 0, 0.25).otherwise(0.0))), documents.position_stamp(t.where("dataset % 5 <> 0")))
 
 
 def _stateless(tiles):
@@ -85,15 +86,7 @@ def _stateless(tiles):
     return tiles.select("dataset", "trial", F.when(F.col("trial") % 3 == 0, F.col("state")).alias("state"), status.alias("status"), F.when(F.col("trial") % 4 != 0, F.col("x")).alias("x"), "y")
 
 
-def _frame_shifts(spark, sf_dir):
-    """Shifts between consecutive frames of a group."""
-    frames = views.frames8(spark, sf_dir).select(F.col("grp").alias("dataset"), F.col("frame").alias("trial"), F.lit(8).alias("h"), F.lit(8).alias("w"), "px")
-    pairs = frames.select("dataset", F.col("trial").alias("a"), F.lead("trial").over(Window.partitionBy("dataset").orderBy("trial")).alias("b")).where("b IS NOT NULL")
-    return matching.measured_shifts(pairs, frames, side=2, area=4)
-
-
 QUERIES |= {
-    "frame_shifts": _frame_shifts,
     "confident_matches": lambda spark, sf_dir: matching.confident(views.tiles(spark, sf_dir).select("dataset", "trial", "margin", "ncc")),
     "tile_states": lambda spark, sf_dir: documents.tile_states(_stateless(views.tiles(spark, sf_dir))).select("dataset", "trial", "state"),
     "chain_breaks": _with_split(documents.chain_breaks),
@@ -109,23 +102,22 @@ QUERIES |= {
     "activity": _over(tracks.activity, "frame_track"),
     "live_keyframes": live.live_keyframes,
     "normalised_layout": lambda spark, sf_dir: documents.normalised(_keyed(views.tiles(spark, sf_dir))),
-    "provenance": lambda spark, sf_dir: documents.provenance(_keyed(views.tiles(spark, sf_dir))),
-    "trusted_matches": lambda spark, sf_dir: documents.trusted(views.tiles(spark, sf_dir), apart=5.0),
+    "provenance": lambda spark, sf_dir: documents.provenance(_keyed(views.tiles(spark, sf_dir)), views.tiles(spark, sf_dir).where("dataset % 3 = 0").select("dataset", F.lit("b").alias("build"))),
+    "trusted_matches": lambda spark, sf_dir: documents.trusted(views.tiles(spark, sf_dir).withColumn("margin", F.when(F.col("trial") % 4 != 0, F.col("margin"))), apart=5.0),
     "rescoped_tiles": lambda spark, sf_dir: documents.rescoped(_keyed(views.tiles(spark, sf_dir)), _kept(spark, sf_dir)),
     "without_machine": _over(documents.without_machine, "tiles"),
     "solvable": _with_split(documents.solvable),
     "blank_proposal": _with_split(documents.blank_proposal),
-    "edit_tallies": _over(documents.edit_tallies, "tiles"),
+    "edit_tallies": lambda spark, sf_dir: documents.edit_tallies(_keyed(views.tiles(spark, sf_dir))),
     "residual_statistics": lambda spark, sf_dir: documents.residual_statistics(_own_links(spark, sf_dir), views.tiles(spark, sf_dir)),
     "tile_quality": _over(documents.tile_quality, "links"),
     "leaderboard": _over(documents.leaderboard, "links"),
-    "gated_links": lambda spark, sf_dir: documents.gated_links(_own_links(spark, sf_dir), layout.rigid_runs(views.tiles(spark, sf_dir), adjacent=10)),
+    "gated_links": lambda spark, sf_dir: documents.gated_links(_own_links(spark, sf_dir), layout.rigid_runs(views.tiles(spark, sf_dir))),
     "covered_blocks": _over(documents.covered_blocks, "tiles"),
     "seed_shift": _over(documents.seed_shift, "tiles"),
     "position_stamp": _over(documents.position_stamp, "tiles"),
     "stale_artefacts": _stale,
     "tile_neighbours": _over(documents.neighbours, "tiles"),
-    "tile_problems": lambda spark, sf_dir: documents.problems(_keyed(views.tiles(spark, sf_dir))),
     "edge_trim": _over(documents.edge_trim, "electrodes"),
     "zoom_consensus": _over(documents.zoom_consensus, "readings"),
     "pixel_statistics": _over(pixels.pixel_statistics, "frames8"),
@@ -164,11 +156,11 @@ _SQL = {
     "timing_split": ("entries", _SNAP + ", " + _SPLIT, "SELECT * FROM z"),
     "log_counts": ("entries", "", "SELECT dataset, count(*) FILTER (type = 'Snapshot') AS n_snapshots, count(*) FILTER (type <> 'Snapshot') AS n_others, arg_min(type, trial) AS first_type, arg_max(type, trial) AS last_type FROM entries GROUP BY dataset"),
     "median_gap": ("entries", _GAPS, "SELECT dataset, median(gap_s) AS median_gap_s FROM g GROUP BY dataset"),
-    "shape_groups": ("trial_meta", "", "SELECT dataset, w, h, count(*) AS n, min(trial) AS first, max(trial) AS last, row_number() OVER (PARTITION BY dataset ORDER BY count(*) DESC, w, h) AS place FROM trial_meta GROUP BY dataset, w, h"),
+    "shape_groups": ("trial_meta", "", "SELECT dataset, w, h, count(*) AS n, min(trial) AS first, max(trial) AS last, string_agg(trial, ' ' ORDER BY trial) AS trials, row_number() OVER (PARTITION BY dataset ORDER BY count(*) DESC, w, h) AS place FROM trial_meta GROUP BY dataset, w, h"),
     "shape_gate": ("entries trial_meta", "q AS (SELECT dataset, unnest(range(min(trial), max(trial) + 1)) AS trial FROM entries GROUP BY dataset)",
       "SELECT q.dataset, q.trial, CASE WHEN w IS NULL THEN 'not_snapshot' WHEN w <> 512 OR h <> 512 THEN 'off_shape' END AS reason FROM q LEFT JOIN trial_meta m ON q.dataset = m.dataset AND q.trial = m.trial"),
     "log_and_frames": ("entries trial_meta", _SNAP, "SELECT coalesce(s.dataset, m.dataset) AS dataset, coalesce(s.trial, m.trial) AS trial, CASE WHEN m.trial IS NULL THEN 'no_frame' WHEN s.trial IS NULL THEN 'no_log' ELSE 'both' END AS side FROM s FULL JOIN trial_meta m ON s.dataset = m.dataset AND s.trial = m.trial"),
-    "state_counts": ("tiles", "", "SELECT dataset, " + ", ".join(f"count(*) FILTER (state = '{s}') AS n_{s}" for s in ("anchor", "unverified", "human", "excluded")) + " FROM tiles GROUP BY dataset"),
+    "state_counts": ("tiles", "", "SELECT dataset, " + ", ".join(f"count(*) FILTER (state = '{s}') AS n_{s}" for s in ("anchor", "unverified", "human", "excluded")) + ", count(*) FILTER (diverted AND state = 'unverified') AS n_diverted FROM tiles GROUP BY dataset"),
     "placed_tiles": ("tiles", "", "SELECT dataset, trial, x, y, state FROM tiles WHERE state IN ('anchor', 'human')"),
     "moved_tiles": ("tiles", "m AS (SELECT dataset, trial, round(sqrt((x - mx) ** 2 + (y - my) ** 2), 4) AS moved_px FROM tiles WHERE state <> 'excluded')",
       "SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY moved_px DESC, trial) AS place FROM m"),
@@ -176,18 +168,22 @@ _SQL = {
       WHERE (a.x - b.x) ** 2 + (a.y - b.y) ** 2 < 480 * 480 AND 512 - abs(a.x - b.x) >= 40 AND 512 - abs(a.y - b.y) >= 40 AND (512 - abs(a.x - b.x)) * (512 - abs(a.y - b.y)) >= 3600"""),
     "link_verdicts": ("links", _VERDICT, "SELECT dataset, verdict, count(*) AS n FROM v GROUP BY dataset, verdict"),
     "link_verdict_rows": ("links", _VERDICT, "SELECT dataset, a, b, kind, verdict FROM v"),
-    "link_statistics": ("links", _VERDICT, "SELECT dataset, kind, count(*) AS n, count(*) FILTER (verdict = 'ok') AS n_ok, median(response) FILTER (verdict = 'ok') AS median_response, median(ncc) FILTER (verdict = 'ok') AS median_ncc FROM v GROUP BY dataset, kind"),
+    "link_statistics": ("links", _VERDICT, "SELECT dataset, kind, count(*) AS n, count(*) FILTER (verdict = 'ok') AS n_ok, median(response) FILTER (verdict = 'ok') AS median_response, median(ncc) FILTER (verdict = 'ok') AS median_ncc, " + ", ".join(f"count(*) FILTER (verdict = '{v}') AS n_{v}" for v in layout.REJECTIONS) + " FROM v GROUP BY dataset, kind"),
+    "link_components": ("links", _VERDICT + """, e AS (SELECT DISTINCT dataset, a AS u, b AS v FROM v WHERE verdict = 'ok' UNION SELECT dataset, b, a FROM v WHERE verdict = 'ok'), w(dataset, node, root) USING KEY (dataset, node) AS (SELECT DISTINCT dataset, u, u FROM e
+      UNION (SELECT e.dataset, e.u, min(y.root) FROM recurring.w AS y JOIN e ON e.dataset = y.dataset AND e.v = y.node JOIN recurring.w AS x ON x.dataset = e.dataset AND x.node = e.u WHERE y.root < x.root GROUP BY e.dataset, e.u)),
+      z AS (SELECT dataset, root, count(*) AS n FROM w GROUP BY dataset, root), c AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY n DESC, root) - 1 AS component FROM z)""", "SELECT w.dataset, w.node, component, n FROM w JOIN c ON w.dataset = c.dataset AND w.root = c.root"),
     "top_links": ("links", _PAIRS + ", e AS (SELECT *, a AS e FROM p UNION ALL SELECT *, b FROM p)", "SELECT DISTINCT dataset, a, b, ncc FROM (SELECT *, row_number() OVER (PARTITION BY dataset, e ORDER BY ncc DESC, a, b) AS k FROM e) WHERE k <= 6"),
     "match_margins": ("links", _PAIRS, "SELECT dataset, a, round(max(CASE WHEN k = 1 THEN ncc END) - max(CASE WHEN k = 2 THEN ncc END), 6) AS margin FROM (SELECT *, row_number() OVER (PARTITION BY dataset, a ORDER BY ncc DESC, b) AS k FROM p) WHERE k <= 2 GROUP BY dataset, a"),
-    "rigid_runs": ("tiles", """c AS (SELECT *, lag(x) OVER w AS px, CASE WHEN lag(trial) OVER w IS NULL OR trial - lag(trial) OVER w > 10 OR ncc < 0.55 THEN 1 ELSE 0 END AS cut FROM tiles WINDOW w AS (PARTITION BY dataset ORDER BY trial)),
+    "rigid_runs": ("tiles", """c AS (SELECT *, lag(x) OVER w AS px, CASE WHEN lag(trial) OVER w IS NULL OR trial - lag(trial) OVER w > 1 OR ncc < 0.55 THEN 1 ELSE 0 END AS cut FROM tiles WINDOW w AS (PARTITION BY dataset ORDER BY trial)),
       r AS (SELECT *, (sum(cut) OVER (PARTITION BY dataset ORDER BY trial))::BIGINT AS run FROM c)""",
       "SELECT dataset, trial, run, sum(CASE WHEN cut = 1 THEN 0 ELSE x - px END) OVER (PARTITION BY dataset, run ORDER BY trial) AS local_x FROM r"),
     "electrodes_in_regions": ("electrodes regions", "", """SELECT region, count(*) AS n, count(*) FILTER (kind = 1) AS n_detected, string_agg(col || '-' || row, ' ' ORDER BY col || '-' || row) AS ids
       FROM electrodes e JOIN regions r ON e.mosaic = r.mosaic AND e.x >= r.x AND e.x < r.x + r.w AND e.y >= r.y AND e.y < r.y + r.h GROUP BY region"""),
     "nearest_electrode": ("electrodes regions", "d AS (SELECT region, col, row, (e.x - r.x) ** 2 + (e.y - r.y) ** 2 AS d2 FROM electrodes e JOIN regions r ON e.mosaic = r.mosaic WHERE abs(e.x - r.x) <= 30 AND abs(e.y - r.y) <= 30)",
-      "SELECT region, col, row, round(sqrt(d2), 6) AS distance FROM d WHERE d2 <= 900 QUALIFY row_number() OVER (PARTITION BY region ORDER BY d2, col, row) = 1"),
-    "step_statistics": ("electrodes", "e AS (SELECT a.mosaic, sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2) AS step FROM electrodes a JOIN electrodes b ON a.mosaic = b.mosaic AND b.col = a.col + 3 AND a.row = b.row WHERE a.kind = 1 AND b.kind = 1)",
-      "SELECT mosaic, count(*) AS n, round(median(step), 6) AS median_step, round(quantile_cont(step, 0.95), 6) AS p95_step FROM e GROUP BY mosaic"),
+      "SELECT region, col, row, round(sqrt(d2), 6) AS distance FROM d WHERE d2 <= least(greatest(4.2, 4.0 / ((1 + region % 5) / 4.0)), greatest(4.2, 14.0 * sqrt(0.5))) ** 2 QUALIFY row_number() OVER (PARTITION BY region ORDER BY d2, col, row) = 1"),
+    "step_statistics": ("electrodes", """e AS (SELECT a.mosaic, b.row - a.row AS axis, b.x - a.x AS dx, b.y - a.y AS dy FROM electrodes a JOIN electrodes b ON a.mosaic = b.mosaic AND (b.col = a.col + 1 AND b.row = a.row OR b.col = a.col AND b.row = a.row + 1) WHERE a.kind = 1 AND b.kind = 1),
+      m AS (SELECT mosaic, axis, avg(dx) AS mx, avg(dy) AS my FROM e GROUP BY mosaic, axis), r AS (SELECT mosaic, count(*) AS n_steps, round(median(sqrt((dx - mx) ** 2 + (dy - my) ** 2)), 6) AS median_px, round(quantile_cont(sqrt((dx - mx) ** 2 + (dy - my) ** 2), 0.95), 6) AS p95_px FROM e JOIN m USING (mosaic, axis) GROUP BY mosaic)""",
+      "SELECT mosaic, count(*) FILTER (kind = 1) AS n_detected, count(*) FILTER (kind = 2) AS n_inferred, round(count(*) FILTER (kind = 1) / count(*)::DOUBLE, 4) AS detected_share, any_value(n_steps) AS n_steps, any_value(median_px) AS median_px, any_value(p95_px) AS p95_px FROM electrodes LEFT JOIN r USING (mosaic) GROUP BY mosaic"),
     "build_score": ("tiles", """b AS (SELECT dataset, mx - x AS ex, my - y AS ey FROM tiles WHERE state = 'anchor'), m AS (SELECT dataset, median(ex) AS sx, median(ey) AS sy FROM b GROUP BY dataset),
       e AS (SELECT dataset, sqrt((ex - sx) ** 2 + (ey - sy) ** 2) AS err FROM b JOIN m USING (dataset))""",
       "SELECT dataset, count(*) AS n_shared, " + ", ".join(f"count(*) FILTER (err <= {t}) AS within_{t}" for t in (5, 10, 25, 50, 96, 256)) + ", round(median(err), 6) AS median_err, round(quantile_cont(err, 0.9), 6) AS p90_err FROM e GROUP BY dataset"),
@@ -196,15 +192,20 @@ _SQL = {
 _SEGMENTS = """u AS (SELECT *, coalesce(frame - lag(frame) OVER w > 1 OR step > 600, true) OR lag(frame) OVER w IS NULL AS start FROM frame_track WHERE gray >= 3 WINDOW w AS (PARTITION BY video ORDER BY frame)),
   v AS (SELECT *, (sum(start::INT) OVER (PARTITION BY video ORDER BY frame))::BIGINT - 1 AS segment FROM u),
   g AS (SELECT video, frame, segment, step, (sum(CASE WHEN start THEN 0 ELSE step END) OVER (PARTITION BY video, segment ORDER BY frame))::BIGINT AS travel FROM v)"""
-_KEYFRAMES = _SEGMENTS + """, k AS (SELECT video, segment, frame, travel FROM (SELECT *, lag(travel // 3000) OVER (PARTITION BY video, segment ORDER BY frame) AS before FROM g) WHERE before IS NULL OR travel // 3000 > before)"""
+_KEYFRAMES = _SEGMENTS + """, o AS (SELECT *, row_number() OVER (PARTITION BY video, segment ORDER BY frame) AS rn FROM g),
+  y AS (SELECT video, segment, frame, travel, rn, 0::BIGINT AS since, 0 AS slow, 'segment-start' AS reason FROM o WHERE rn = 1 UNION ALL
+    SELECT video, segment, frame, travel, rn, CASE WHEN reason IS NULL THEN since ELSE 0 END, slow, reason FROM (SELECT *, CASE WHEN since >= 3000 THEN 'travel' WHEN slow = 3 THEN 'dwell' END AS reason FROM
+      (SELECT o.video, o.segment, o.frame, o.travel, o.rn, y.since + o.step AS since, CASE WHEN o.step < 50 THEN y.slow + 1 ELSE 0 END AS slow FROM y JOIN o ON o.video = y.video AND o.segment = y.segment AND o.rn = y.rn + 1))),
+  k AS (SELECT video, segment, frame, travel, reason FROM y WHERE reason IS NOT NULL)"""
 _KEYED = "q AS (SELECT * REPLACE (CASE WHEN dataset NOT IN (3, 4) THEN mx END AS mx, CASE WHEN trial % 6 <> 0 THEN x END AS x) FROM tiles)"
-_OWN = "l AS (SELECT * REPLACE (a % 10 AS dataset) FROM links)"
+_OWN = "l AS (SELECT * REPLACE (a // 20 AS dataset) FROM links)"
 _ON = "state <> 'excluded' AND x IS NOT NULL AND y IS NOT NULL"
 _PIXELS = "e AS (SELECT frame, grp, x, y, unnest(px) AS value, generate_subscripts(px, 1) - 1 AS pixel FROM frames8)"
-_STAMP = "count(*) AS n, sum(('0x' || md5(concat_ws(':', trial, {x}::BIGINT, y::BIGINT))[1:8])::BIGINT)::BIGINT AS stamp FROM tiles WHERE state <> 'excluded' GROUP BY dataset"
+_STAMP = "SELECT dataset, count(*) AS n, sum(('0x' || md5(concat_ws(':', trial, printf('%.2f', {x}), printf('%.2f', y)))[1:12])::BIGINT)::VARCHAR AS stamp FROM tiles WHERE state <> 'excluded'{more} GROUP BY dataset"
 _SQL |= {
     "confident_matches": ("tiles", "", "SELECT dataset, trial, margin, ncc, coalesce(margin >= 0.1 AND ncc >= 0.12, false) AS confident FROM tiles"),
-    "tile_states": ("tiles", "", "SELECT dataset, trial, CASE WHEN trial % 3 = 0 THEN state WHEN trial % 5 <> 0 THEN state WHEN trial % 4 <> 0 THEN 'unverified' ELSE 'unplaced' END AS state FROM tiles"),
+    "tile_states": ("tiles", "q AS (SELECT dataset, trial, CASE WHEN trial % 3 = 0 THEN state END AS state, CASE WHEN trial % 5 = 0 THEN 'odd' ELSE state END AS status, CASE WHEN trial % 4 <> 0 THEN x END AS x, y FROM tiles)",
+      "SELECT dataset, trial, CASE WHEN state IS NOT NULL THEN state WHEN status IN ('anchor', 'human', 'unverified', 'excluded', 'unplaced') THEN status WHEN x IS NOT NULL AND y IS NOT NULL THEN 'unverified' ELSE 'unplaced' END AS state FROM q"),
     "chain_breaks": ("entries", _SNAP + ", " + _SPLIT + ", n AS (SELECT dataset, trial AS before, lead(trial) OVER (PARTITION BY dataset ORDER BY trial) AS after FROM s)",
       "SELECT * FROM (SELECT n.dataset, before, after, CASE WHEN before <= split AND after > split THEN 'pass_boundary' WHEN after > before + 1 THEN 'gap' END AS reason FROM n LEFT JOIN z USING (dataset)) WHERE reason IS NOT NULL AND after IS NOT NULL"),
     "parsed_log": ("entries", "", "SELECT user_id AS dataset, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS trial, CASE WHEN event_type IN ('view','click','signup') THEN 'Snapshot' ELSE 'Other' END AS type, epoch_us(ts) // 1000000 AS s FROM events"),
@@ -214,13 +215,17 @@ _SQL |= {
     "travel_keyframes": ("frame_track", _KEYFRAMES, "SELECT * FROM k"),
     "sequential_candidates": ("frame_track", _KEYFRAMES, "SELECT x.video, x.segment, x.frame AS a, y.frame AS b FROM (SELECT *, row_number() OVER (PARTITION BY video, segment ORDER BY frame) AS i FROM k) x JOIN (SELECT *, row_number() OVER (PARTITION BY video, segment ORDER BY frame) AS i FROM k) y ON x.video = y.video AND x.segment = y.segment AND y.i - x.i IN (1, 2)"),
     "bridge_candidates": ("frame_track", _KEYFRAMES + ", r AS (SELECT *, row_number() OVER (PARTITION BY video, segment ORDER BY frame) AS up, row_number() OVER (PARTITION BY video, segment ORDER BY frame DESC) AS down FROM k)", "SELECT a.video, a.frame AS a, b.frame AS b FROM r a JOIN r b ON a.video = b.video AND b.segment - a.segment IN (1, 2, 3) WHERE a.down <= 4 AND b.up <= 3"),
-    "track_statistics": ("frame_track", _SEGMENTS + ", s AS (SELECT video, max(segment) + 1 AS n_segments, max(travel) AS longest, median(step) FILTER (step > 0) AS median_step FROM g GROUP BY video)", "SELECT video, n, n_black, coalesce(n_segments, 0) AS n_segments, longest, median_step FROM (SELECT video, count(*) AS n, count(*) FILTER (coalesce(gray < 3, true)) AS n_black FROM frame_track GROUP BY video) LEFT JOIN s USING (video)"),
-    "sampled_frames": ("frame_track", "", "SELECT video, frame FROM (SELECT video, frame, row_number() OVER (PARTITION BY video ORDER BY frame) - 1 AS i, greatest(1, count(*) OVER (PARTITION BY video) // 96) AS stride FROM frame_track) WHERE i % stride = 0 AND i // stride < 96"),
+    "track_statistics": ("frame_track", _KEYFRAMES + """, p AS (SELECT video, segment, max(travel) AS travel FROM g GROUP BY video, segment), s AS (SELECT video, count(*) AS n_segments, max(travel) AS longest, sum(travel)::BIGINT AS path FROM p GROUP BY video),
+      b AS (SELECT video, count(*) FILTER (frame - before = 1 AND step > 600) AS n_breaks, round(median(response) FILTER (response > 0), 6) AS median_response FROM (SELECT *, lag(frame) OVER (PARTITION BY video ORDER BY frame) AS before FROM frame_track WHERE gray >= 3) GROUP BY video),
+      h AS (SELECT video, count(*) FILTER (reason = 'travel') AS n_travel, count(*) FILTER (reason = 'dwell') AS n_dwell, count(*) FILTER (reason = 'segment-start') AS n_segment_start FROM k GROUP BY video),
+      a AS (SELECT video, count(*) AS n, count(*) FILTER (coalesce(gray < 3, true)) AS n_black FROM frame_track GROUP BY video)""",
+      "SELECT video, n, n_black, coalesce(n_segments, 0) AS n_segments, coalesce(n_breaks, 0) AS n_breaks, longest, path, median_response, coalesce(n_travel, 0) AS n_travel, coalesce(n_dwell, 0) AS n_dwell, coalesce(n_segment_start, 0) AS n_segment_start FROM a LEFT JOIN s USING (video) LEFT JOIN b USING (video) LEFT JOIN h USING (video)"),
+    "sampled_frames": ("frame_track", "r AS (SELECT video, frame, row_number() OVER (PARTITION BY video ORDER BY frame) - 1 AS i, count(*) OVER (PARTITION BY video) AS n FROM frame_track)", "SELECT video, frame FROM r WHERE n <= 96 OR EXISTS (SELECT 1 FROM range(0, 96) AS t(k) WHERE round_even(k * (n - 1) / 95.0::DOUBLE, 0) = i)"),
     "activity": ("frame_track", "", "SELECT video, min(frame) AS first, max(frame) AS last, count(*) AS n FROM (SELECT video, frame, frame - row_number() OVER (PARTITION BY video ORDER BY frame) AS island FROM frame_track WHERE gray >= 3) GROUP BY video, island"),
     "normalised_layout": ("tiles", _KEYED + f", f AS (SELECT dataset, coalesce(min(trial) FILTER (state = 'anchor'), min(trial)) AS origin FROM q WHERE {_ON} GROUP BY dataset), o AS (SELECT q.dataset, x AS ox, y AS oy FROM q JOIN f ON q.dataset = f.dataset AND q.trial = f.origin)",
       f"SELECT q.dataset, trial, CASE WHEN {_ON} THEN x - ox END AS nx, CASE WHEN {_ON} THEN y - oy END AS ny, mx - ox AS nmx, my - oy AS nmy, CASE WHEN {_ON} THEN round(sqrt((x - mx) ** 2 + (y - my) ** 2), 4) END AS moved_px FROM q LEFT JOIN o ON q.dataset = o.dataset"),
-    "provenance": ("tiles", _KEYED, "SELECT dataset, count(mx) AS n_machine, CASE WHEN count(mx) > 0 THEN 'machine' ELSE 'independent' END AS provenance FROM q GROUP BY dataset"),
-    "trusted_matches": ("tiles", "", "SELECT dataset, trial, margin >= 0.2 AND ncc >= 0.65 AS confident, CASE WHEN NOT (margin >= 0.2 AND ncc >= 0.65) AND (x - mx) ** 2 + (y - my) ** 2 > 25 THEN 'solver' ELSE 'match' END AS used FROM tiles"),
+    "provenance": ("tiles", _KEYED, "SELECT dataset, count(mx) AS n_machine, CASE WHEN dataset % 3 = 0 THEN 'build' WHEN count(mx) > 0 THEN 'machine' ELSE 'independent' END AS provenance FROM q GROUP BY dataset"),
+    "trusted_matches": ("tiles", "", "SELECT dataset, trial, (trial % 4 = 0 OR margin >= 0.2) AND ncc >= 0.65 AS confident, CASE WHEN NOT ((trial % 4 = 0 OR margin >= 0.2) AND ncc >= 0.65) AND (x - mx) ** 2 + (y - my) ** 2 > 25 THEN 'solver' ELSE 'match' END AS used FROM tiles"),
     "rescoped_tiles": ("tiles", _KEYED + ", n AS (SELECT dataset, trial FROM tiles WHERE trial % 4 <> 0 UNION ALL SELECT dataset, trial + 1000000 FROM tiles WHERE trial % 50 = 0)",
       f"SELECT coalesce(q.dataset, n.dataset) AS dataset, coalesce(q.trial, n.trial) AS trial, CASE WHEN q.trial IS NULL THEN 'added' WHEN n.trial IS NOT NULL THEN 'kept' WHEN {_ON} THEN 'placed_lost' ELSE 'removed' END AS fate FROM q FULL JOIN n ON q.dataset = n.dataset AND q.trial = n.trial"),
     "without_machine": ("tiles", "", "SELECT dataset, trial, state, CASE WHEN state <> 'unverified' THEN x END AS x, CASE WHEN state <> 'unverified' THEN y END AS y, NULL::DOUBLE AS mx, NULL::DOUBLE AS my FROM tiles"),
@@ -229,20 +234,19 @@ _SQL |= {
     "blank_proposal": ("entries", _SNAP + ", " + _SPLIT + """, w AS (SELECT s.dataset, texture, coalesce(trial <= split, true) AS one FROM s LEFT JOIN z USING (dataset)),
       h AS (SELECT dataset, CASE WHEN count(texture) FILTER (one) >= 20 THEN quantile_cont(texture, 0.02) FILTER (one) END AS thr FROM w GROUP BY dataset)""",
       "SELECT dataset, round(any_value(thr), 6) AS threshold, count(*) FILTER (texture < thr) AS n_blank, round(min(texture - thr) FILTER (texture >= thr), 6) AS margin FROM w JOIN h USING (dataset) GROUP BY dataset"),
-    "edit_tallies": ("tiles", f"d AS (SELECT dataset, sqrt((x - mx) ** 2 + (y - my) ** 2) AS d FROM tiles WHERE {_ON})", "SELECT dataset, count(*) FILTER (d < 0.5) AS n_accepted, count(*) FILTER (d >= 0.5) AS n_moved, round(median(d) FILTER (d >= 0.5), 6) AS median_moved, round(max(d) FILTER (d >= 0.5), 6) AS most_moved FROM d GROUP BY dataset"),
+    "edit_tallies": ("tiles", _KEYED + f", d AS (SELECT dataset, mx, {_ON} AND mx IS NULL AS alone, diverted AND state <> 'excluded' AS div, CASE WHEN {_ON} THEN sqrt((x - mx) ** 2 + (y - my) ** 2) END AS d FROM q)", "SELECT dataset, count(*) FILTER (d < 0.5) AS n_accepted, count(*) FILTER (d >= 0.5) AS n_moved, round(median(d) FILTER (d >= 0.5), 6) AS median_moved, round(max(d) FILTER (d >= 0.5), 6) AS most_moved, CASE WHEN count(mx) > 0 THEN count(*) FILTER (alone) ELSE 0 END AS n_rescued, count(*) FILTER (div) AS n_diverted FROM d GROUP BY dataset"),
     "residual_statistics": ("links tiles", _OWN + f", p AS (SELECT * FROM tiles WHERE {_ON}), r AS (SELECT l.dataset, sqrt((b.x - a.x - l.dx) ** 2 + (b.y - a.y - l.dy) ** 2) AS r FROM l JOIN p a ON l.dataset = a.dataset AND l.a = a.trial JOIN p b ON l.dataset = b.dataset AND l.b = b.trial)",
       "SELECT dataset, count(*) FILTER (r <= 500) AS n_kept, count(*) FILTER (r > 500) AS n_dropped, round(median(r) FILTER (r <= 500), 6) AS median_px, round(quantile_cont(r, 0.95) FILTER (r <= 500), 6) AS p95_px FROM r GROUP BY dataset"),
     "tile_quality": ("links", "e AS (SELECT dataset, a AS tile, ncc FROM links UNION ALL SELECT dataset, b, ncc FROM links)", "SELECT dataset, tile, count(*) AS n, round(median(ncc), 6) AS median_ncc FROM e GROUP BY dataset, tile"),
     "leaderboard": ("links", "e AS (SELECT dataset, a AS tile, ncc FROM links UNION ALL SELECT dataset, b, ncc FROM links), t AS (SELECT dataset, count(*) FILTER (m < 0.3) AS n_bad_tiles FROM (SELECT dataset, tile, round(median(ncc), 6) AS m FROM e GROUP BY dataset, tile) GROUP BY dataset)",
-      "SELECT dataset, round(median(ncc), 6) AS median_ncc, count(*) FILTER (ncc > 0.5) AS n_good, count(*) AS n, any_value(n_bad_tiles) AS n_bad_tiles FROM links JOIN t USING (dataset) GROUP BY dataset"),
-    "gated_links": ("links tiles", _OWN + ", " + _SQL["rigid_runs"][1] + ", h AS (" + _SQL["rigid_runs"][2] + ")", "SELECT l.dataset, l.a, l.b, l.dx FROM l JOIN h x ON l.dataset = x.dataset AND l.a = x.trial JOIN h y ON l.dataset = y.dataset AND l.b = y.trial WHERE l.b - l.a >= 2 AND x.run = y.run AND abs(l.dx - (y.local_x - x.local_x)) > 60"),
+      "SELECT dataset, round(median(ncc), 6) AS median_ncc, count(*) FILTER (ncc > 0.5) AS n_good, count(*) AS n, any_value(n_bad_tiles) AS n_bad_tiles, row_number() OVER (ORDER BY round(median(ncc), 6) DESC, dataset) AS place FROM links JOIN t USING (dataset) GROUP BY dataset"),
+    "gated_links": ("links tiles", "l AS (SELECT a // 20 AS dataset, least(a, b) AS a, greatest(a, b) AS b, CASE WHEN a > b THEN -dx ELSE dx END AS dx FROM links), " + _SQL["rigid_runs"][1] + ", h AS (" + _SQL["rigid_runs"][2] + ")", "SELECT l.dataset, l.a, l.b, l.dx FROM l JOIN h x ON l.dataset = x.dataset AND l.a = x.trial JOIN h y ON l.dataset = y.dataset AND l.b = y.trial WHERE l.b - l.a >= 2 AND x.run = y.run AND abs(l.dx - (y.local_x - x.local_x)) > 60"),
     "covered_blocks": ("tiles", f"q AS (SELECT dataset, y, unnest(range(floor(x / 256)::BIGINT, ceil((x + 512) / 256)::BIGINT)) AS block_x FROM tiles WHERE {_ON}), r AS (SELECT dataset, block_x, unnest(range(floor(y / 256)::BIGINT, ceil((y + 512) / 256)::BIGINT)) AS block_y FROM q)", "SELECT dataset, block_x, block_y, count(*) AS n FROM r GROUP BY dataset, block_x, block_y"),
     "seed_shift": ("tiles", "", "SELECT dataset, median(x - mx) AS sx, median(y - my) AS sy, count(*) AS n_shared FROM tiles WHERE state IN ('anchor', 'human') GROUP BY dataset"),
-    "position_stamp": ("tiles", "", "SELECT dataset, " + _STAMP.format(x="x")),
-    "stale_artefacts": ("tiles", "", "SELECT DISTINCT dataset, dataset % 2 = 0 AS stale FROM tiles WHERE state <> 'excluded'"),
+    "position_stamp": ("tiles", "", _STAMP.format(x="x", more="")),
+    "stale_artefacts": ("tiles", "n AS (" + _STAMP.format(x="x + CASE WHEN trial % 77 = 0 THEN 0.25 ELSE 0.0 END", more="") + "), r AS (" + _STAMP.format(x="x", more=" AND dataset % 5 <> 0") + ")", "SELECT coalesce(n.dataset, r.dataset) AS dataset, NOT coalesce(n.stamp = r.stamp, false) AS stale FROM n FULL JOIN r ON n.dataset = r.dataset"),
     "tile_neighbours": ("tiles", "", "SELECT dataset, trial, lag(trial) OVER w AS previous, lead(trial) OVER w AS next FROM tiles WHERE state <> 'excluded' WINDOW w AS (PARTITION BY dataset ORDER BY trial)"),
-    "tile_problems": ("tiles", _KEYED, "SELECT dataset, trial, 'anchor_unplaced' AS problem FROM q WHERE state = 'anchor' AND x IS NULL UNION ALL SELECT dataset, trial, 'excluded_placed' FROM q WHERE state = 'excluded' AND x IS NOT NULL UNION ALL SELECT dataset, trial, 'moved_far' FROM q WHERE (x - mx) ** 2 + (y - my) ** 2 > 36 UNION ALL SELECT dataset, trial, 'weak_match' FROM q WHERE ncc < 0.1"),
-    "edge_trim": ("electrodes", "l AS (SELECT mosaic, col, count(*) AS n FROM electrodes WHERE kind = 1 GROUP BY mosaic, col), m AS (SELECT mosaic, greatest(2, ceil(0.2 * max(n))) AS need FROM l GROUP BY mosaic)", "SELECT mosaic, min(col) AS first, max(col) AS last FROM l JOIN m USING (mosaic) WHERE n >= need GROUP BY mosaic"),
+    "edge_trim": ("electrodes", "l AS (SELECT mosaic, 'col' AS axis, col AS line, count(*) AS n FROM electrodes WHERE kind = 1 GROUP BY mosaic, col UNION ALL SELECT mosaic, 'row', row, count(*) FROM electrodes WHERE kind = 1 GROUP BY mosaic, row), m AS (SELECT mosaic, axis, greatest(2, ceil(0.2 * max(n))) AS need FROM l GROUP BY mosaic, axis)", "SELECT mosaic, axis, min(line) AS first, max(line) AS last FROM l JOIN m USING (mosaic, axis) WHERE n >= need GROUP BY mosaic, axis"),
     "zoom_consensus": ("readings", """g AS (SELECT *, floor(ln(pitch) * 1e6)::BIGINT AS lp FROM readings WHERE snr >= 12), v AS (SELECT a.recording, a.pitch, a.snr, count(*) OVER (PARTITION BY recording ORDER BY lp RANGE BETWEEN 48790 PRECEDING AND 48790 FOLLOWING) AS votes, count(*) OVER (PARTITION BY recording) AS n FROM g a)""",
       "SELECT recording, pitch, votes, n FROM v WHERE votes >= 2 OR n = 1 QUALIFY row_number() OVER (PARTITION BY recording ORDER BY votes DESC, snr DESC, pitch DESC) = 1"),
     "pixel_statistics": ("frames8", _PIXELS, "SELECT grp, pixel, round(median(value), 6) AS median_px, round(max(value), 6) AS max_px, round(stddev_pop(value), 6) AS std_px FROM e GROUP BY grp, pixel"),
@@ -252,4 +256,7 @@ _SQL |= {
     "composite": ("frames8", _PIXELS + ", w AS (SELECT grp, x + pixel % 8 AS cx, y + pixel // 8 AS cy, value, greatest(0.001, least(pixel % 8 + 1, 8 - pixel % 8) / 4.0 * (least(pixel // 8 + 1, 8 - pixel // 8) / 4.0))::DOUBLE AS w FROM e)", "SELECT grp, cx, cy, round(sum(w * value) / sum(w), 6) AS px, count(*) AS n FROM w GROUP BY grp, cx, cy"),
 }
 
-ORACLES = {name: "WITH " + ", ".join([f"{t} AS ({views.SQL[t]})" for t in tables.split()] + [more] * bool(more)) + "\n" + body for name, (tables, more, body) in _SQL.items()}
+QUERIES |= survey.QUERIES
+_SQL |= {name: (tables, more.replace("{keyframes}", _KEYFRAMES), body) for name, (tables, more, body) in survey.SQL.items()}
+
+ORACLES = {name: "WITH RECURSIVE " + ", ".join([f"{t} AS ({views.SQL[t]})" for t in tables.split()] + [more] * bool(more)) + "\n" + body if tables or more else body for name, (tables, more, body) in _SQL.items()}

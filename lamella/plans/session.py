@@ -56,13 +56,13 @@ def saved(df: DataFrame, label: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bucketed(parts: list[DataFrame], key: str, label: str) -> DataFrame:
-    """The union of ``parts`` as a table in as many buckets of ``key`` as there are shuffle partitions, so joins by it leave it in place.
+def bucketed(parts: list[DataFrame], key: str, label: str, n: int = 1) -> DataFrame:
+    """The union of ``parts`` as a table in ``n`` buckets of ``key``, at least as many as there are shuffle partitions, so joins by it leave it in place.
 
-    The parts are exchanged one after another. :func:`forget` drops the table.
+    The parts are computed and exchanged one after another. :func:`forget` drops the table.
     """
     spark = parts[0].sparkSession
-    name, n = f"{label}_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name, n = f"{label}_{uuid.uuid4().hex}", max(n, int(spark.conf.get("spark.sql.shuffle.partitions")))
     path = scratch(spark, label)
     with tidy(spark):
         for part in parts:

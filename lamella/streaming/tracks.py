@@ -1,4 +1,4 @@
-"""Keyframes of a camera track as it arrives."""
+"""Camera tracks as they arrive: keyframes and a bounded sample of moving frames."""
 
 from __future__ import annotations
 
@@ -9,16 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lamella.operators.tracks import BLACK, BREAK, STILL, TRAVEL
+from lamella.operators.tracks import BLACK, BREAK, STILL, Walk
 from lamella.plans.session import scratch
 
+SAMPLE = 16
 OUT = "video long, frame long, segment long, reason string"
 STATE = "last long, segment long, travel long, slow long, open boolean"
-DWELL = 3
 
 
 def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     last, segment, travel, slow, inside = state.get if state.exists else (-1, -1, 0, 0, False)
+    walk = Walk(travel, slow)
     rows, out = pd.concat(list(batches)).sort_values(["frame", "step"]), []
     for frame, gray, step in zip(rows.frame, rows.gray, rows.step):
         if frame <= last:
@@ -28,19 +29,16 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
         if not gray >= BLACK:
             inside = False
         elif not inside or not step <= BREAK:
-            inside, segment, travel, slow = True, segment + 1, 0, 0
+            inside, segment, walk = True, segment + 1, Walk()
             out.append((key[0], frame, segment, "segment-start"))
-        else:
-            travel, slow = travel + step, slow + 1 if step < STILL else 0
-            if travel >= TRAVEL or slow == DWELL:
-                out.append((key[0], frame, segment, "travel" if travel >= TRAVEL else "dwell"))
-                travel = 0
-    state.update((int(last), int(segment), int(travel), int(slow), bool(inside)))
+        elif reason := walk.step(int(step)):
+            out.append((key[0], frame, segment, reason))
+    state.update((int(last), int(segment), int(walk.travel), int(walk.slow), bool(inside)))
     yield pd.DataFrame(out, columns=["video", "frame", "segment", "reason"])
 
 
 def keyframes(track: DataFrame) -> DataFrame:
-    """Keyframes of the stream ``(video, frame, gray, step)``: segment starts, travel of ``TRAVEL``, the third still frame in a row.
+    """Keyframes of the stream ``(video, frame, gray, step)`` by the rule of the batch, :class:`lamella.operators.tracks.Walk`.
 
     A batch is put in frame order for each video; frames no later than one already seen come out as ``late`` and change
     nothing. A frame without grey value is black, one without step starts a segment. State is five numbers a video.
@@ -48,12 +46,52 @@ def keyframes(track: DataFrame) -> DataFrame:
     return track.where("video IS NOT NULL AND frame IS NOT NULL").groupBy("video").applyInPandasWithState(_advance, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+def _offer(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    last, seen, stride, held = state.get if state.exists else (-1, 0, 1, [])
+    rows, held = pd.concat(list(batches)).sort_values("frame"), list(held)
+    for frame in rows.frame:
+        if frame <= last:
+            continue
+        last = frame
+        if seen % stride == 0:
+            held.append(int(frame))
+            if len(held) >= 2 * SAMPLE:
+                held, stride = held[::2], 2 * stride
+        seen += 1
+    state.update((int(last), int(seen), int(stride), held))
+    yield pd.DataFrame([(key[0], int(seen), int(stride), held)], columns=["video", "seen", "stride", "frames"])
+
+
+def moving_sample(track: DataFrame) -> DataFrame:
+    """T4: after each batch an evenly spread sample of a video's moving frames so far ``(video, seen, stride, frames)``.
+
+    Every ``stride``-th frame is kept; at ``2 * SAMPLE`` of them each second one goes and the stride doubles, so state is
+    bounded. The row with the largest ``seen`` is the last. Frames no later than one already seen are left out.
+    """
+    moving = track.where((F.col("gray") >= BLACK) & (F.col("step") >= STILL) & F.col("frame").isNotNull()).select("video", "frame")
+    return moving.groupBy("video").applyInPandasWithState(_offer, "video long, seen long, stride long, frames array<long>", "last long, seen long, stride long, held array<long>", "append", GroupStateTimeout.NoTimeout)
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{sf_dir}/events.parquet"
+    rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path + "*")
+    return rows.select(F.col("user_id").alias("video"), F.col("event_id").alias("frame"), F.col("value").alias("gray"), (F.floor(F.col("value") * 100).cast("long") % 700).alias("step"))
+
+
+def _to_the_end(stream: DataFrame, label: str) -> DataFrame:
+    """All that a stream gives until its source's present end."""
+    at = scratch(stream.sparkSession, label)
+    stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{at}/out")
+
+
 def live_keyframes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyframes of all events read as a stream until its present end; frames are numbered by event."""
-    path, at = f"{sf_dir}/events.parquet", scratch(spark, "keyframes")
-    schema = spark.read.parquet(path).schema
-    rows = spark.readStream.schema(schema).parquet(path + "*")
-    track = rows.select(F.col("user_id").alias("video"), F.col("event_id").alias("frame"), F.col("value").alias("gray"), (F.floor(F.col("value") * 100).cast("long") % 700).alias("step"))
-    query = keyframes(track).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema(OUT).parquet(f"{at}/out")
+    return _to_the_end(keyframes(_events(spark, sf_dir)), "keyframes")
+
+
+def live_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last sample of each video's moving frames when all events are read as a stream."""
+    rows = _to_the_end(moving_sample(_events(spark, sf_dir)), "sample")
+    last = rows.groupBy("video").agg(F.max(F.struct("seen", "stride", "frames")).alias("s"))
+    return last.select("video", "s.seen", "s.stride", F.posexplode("s.frames").alias("place", "frame"))

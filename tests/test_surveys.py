@@ -1,11 +1,16 @@
 """Logs, position files and streamed keyframes against plain Python; edge cases of the document operators."""
 
-import numpy as np
+import json
+import random
+from collections import Counter
+
 import pandas as pd
 
-from lamella.operators import documents, layout, matching, pixels, tracks
+from lamella.operators import documents, layout, pixels, review, scoring, spatial, tracks
 from lamella.plans import registry
-from lamella.sources import logs
+from lamella.sources import acquisition, logs
+from lamella.sources import documents as tables
+from lamella.streaming import logs as live_logs
 from lamella.streaming import tracks as live
 
 SF = "/root/testdata/sf0.001"
@@ -78,18 +83,18 @@ def test_keyframes_over_batches(spark, tmp_path):
 
 
 def test_empty_and_null_rows(spark):
-    track = "video long, frame long, gray double, step long"
-    tiles = "dataset long, trial long, state string, x double, y double, mx double, my double, ncc double, margin double"
-    for rows in ([], [(1, 1, None, None), (1, 2, 9.0, None)]):
+    track = "video long, frame long, gray double, step long, response double"
+    tiles = "dataset long, trial long, state string, x double, y double, mx double, my double, ncc double, margin double, diverted boolean, stale boolean, seq long, status string"
+    for rows in ([], [(1, 1, None, None, None), (1, 2, 9.0, None, None)]):
         df = spark.createDataFrame(rows, track)
-        for f in (tracks.segments, tracks.shoulders, tracks.dwells, tracks.travel_keyframes, tracks.track_statistics, tracks.sampled_frames, tracks.activity):
+        for f in (tracks.segments, tracks.shoulders, tracks.dwells, tracks.travel_keyframes, tracks.track_statistics, tracks.sampled_frames, tracks.tone_frames, tracks.activity):
             f(df).collect()
-    for rows in ([], [(1, 1, None, None, None, None, None, None, None), (1, 2, "anchor", None, 1.0, None, None, None, None)]):
+    for rows in ([], [(1, 1, *[None] * 11), (1, 2, "anchor", None, 1.0, *[None] * 8)]):
         df = spark.createDataFrame(rows, tiles)
-        for f in (documents.normalised, documents.provenance, documents.trusted, documents.without_machine, documents.edit_tallies, documents.covered_blocks, documents.seed_shift, documents.position_stamp, documents.neighbours, documents.problems):
+        for f in (documents.normalised, lambda t: documents.provenance(t, t.selectExpr("dataset", "state as build")), documents.trusted, spatial.pair_blocks, spatial.coverage, layout.state_counts, documents.active, documents.without_machine, documents.edit_tallies, documents.covered_blocks, documents.seed_shift, documents.position_stamp, documents.neighbours, lambda t: documents.problems(t, t.selectExpr("dataset", "trial as lo", "trial as hi", "trial as origin", "trial as cursor"), t), lambda t: documents.seeded(t, t.selectExpr("dataset", "trial", "x as bx", "y as by")), lambda t: review.quality_report(t, review.build_staleness(t, t, t)), lambda t: review.rechecked(t, t.selectExpr("dataset", "trial", "x as bx", "y as by")), lambda t: scoring.report(t, t.withColumn("r", t["x"]), t)):
             f(df).collect()
     frames = spark.createDataFrame([(1, 1, 0, 0, None), (2, 1, 0, 0, [])], "frame long, grp long, x long, y long, px array<double>")
-    for f in (pixels.pixel_statistics, pixels.exposure, pixels.peaks, pixels.composite):
+    for f in (pixels.pixel_statistics, pixels.exposure, pixels.peaks, pixels.composite, pixels.median_composite, pixels.tone):
         assert f(frames).collect() == []
 
 
@@ -99,24 +104,6 @@ def test_stale_after(spark):
     assert [tuple(r) for r in documents.stale_after(tiles, edits).collect()] == [(1, 3)]
 
 
-def test_planted_shifts(spark):
-    rng = np.random.default_rng(3)
-    scene = matching.band_pass(rng.normal(0, 1, (800, 900)).astype("f4"), 2.0, 12.0)
-    scene = (2000 + 400 * scene / scene.std()).clip(0, 65535)
-    at = {1: (40, 30), 2: (240, 90), 3: (160, 130)}
-    rows = [("d", t, 512, 512, bytearray((scene[y : y + 512, x : x + 512] + rng.normal(0, 20, (512, 512))).astype("<u2").tobytes())) for t, (x, y) in at.items()]
-    rows += [("d", 4, 128, 512, bytearray(2 * 128 * 512)), ("d", 5, 512, 512, None), ("d", 6, 512, 512, bytearray(7)), ("d", 7, None, 512, bytearray(8))]
-    frames = spark.createDataFrame(rows, "dataset string, trial long, h int, w int, px binary")
-    pairs = spark.createDataFrame([("d", 1, 2), ("d", 2, 1), ("d", 1, 3), ("d", 1, 4), ("d", 1, 5), ("d", 1, 6), ("d", 1, 7), ("d", 1, 9)], "dataset string, a long, b long")
-    got = {(r.a, r.b): r for r in matching.measured_shifts(pairs, frames).collect()}
-    assert set(got) == {(1, 2), (2, 1), (1, 3), (1, 4), (1, 5), (1, 6), (1, 7)}
-    for a, b in ((1, 2), (2, 1), (1, 3)):
-        r = got[a, b]
-        assert abs(r.dx - at[b][0] + at[a][0]) < 1 and abs(r.dy - at[b][1] + at[a][1]) < 1 and r.ncc > 0.8
-    assert all(got[1, b].dx is None and got[1, b].ncc is None for b in (4, 5, 6, 7))
-    assert matching.overlap_ncc(scene, scene, 870, 0, 40, 3600) is None
-
-
 def test_link_verdicts_by_kind(spark):
     rows = [  # kind, prior, measured, response, ncc; frames of 512 x 512
         ("seq", (100.0, 0.0), (190.0, 0.0), 0.1, 0.9, "ok"), ("seq", (100.0, 0.0), (201.0, 0.0), 0.1, 0.9, "correction_too_large"),
@@ -138,4 +125,87 @@ def test_runs_and_steps_of_dense_tables(spark):
     links = spark.createDataFrame([(1, 1, 3, 500.0), (1, 3, 5, 500.0)], "dataset long, a long, b long, dx double")
     assert [(r.a, r.b) for r in documents.gated_links(links, layout.rigid_runs(tiles)).collect()] == [(1, 3)]
     grid = spark.createDataFrame([(1, c, 1, 14.0 * c, 0.0, 1) for c in range(1, 6)], "mosaic long, col long, row long, x double, y double, kind int")
-    assert [tuple(r) for r in layout.step_statistics(grid).collect()] == [(1, 4, 14.0, 14.0)]
+    assert [tuple(r) for r in layout.neighbour_steps(grid).orderBy("col").collect()] == [(1, c, 1, "col", 14.0, 0.0) for c in range(1, 5)]
+    assert [tuple(r) for r in layout.step_statistics(grid).collect()] == [(1, 5, 0, 1.0, 4, 0.0, 0.0)]
+
+
+def test_budget_is_greedy(spark):
+    rng = random.Random(3)
+    rows = list({(v, a, b): (v, a, b, float(rng.randrange(40))) for v in (1, 2) for _ in range(400) for a, b in [sorted(rng.sample(range(60), 2))]}.values())
+    want = set()
+    for v in (1, 2):
+        used = Counter()
+        for _, a, b, d in sorted((r for r in rows if r[0] == v), key=lambda r: (r[3], r[1], r[2])):
+            if used[a] < 6 and used[b] < 6:
+                used[a], used[b] = used[a] + 1, used[b] + 1
+                want.add((v, a, b, d))
+    got = spatial.budgeted(spark.createDataFrame(rows, "video long, a long, b long, distance double")).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_xml_files_and_frames(spark, tmp_path):
+    head = '<?xml version="1.0"?><trial><info type="{t}" trial="{k}" date="260620" time="154810"/><ccd><camera frames="{f}" serpix="4" parpix="2" typebytes="2" type="uint16">{x}</camera></ccd></trial>'
+    flip = '<transform ax="-1" ay="1"/>'
+    (tmp_path / "one").mkdir()
+    for k, text in enumerate([head.format(t="snapshot", k=1, f=1, x=flip), head.format(t="movie", k=2, f=1, x=""), head.format(t="snapshot", k=3, f=2, x=""), "<trial><info", head.format(t="snapshot", k=5, f=1, x=""), ""], 1):
+        (tmp_path / "one" / f"{k:03d}.xml").write_text(text)
+    for k, n in ((1, 16), (5, 15)):
+        (tmp_path / "one" / f"{k:03d}-ccd.dat").write_bytes(bytes(range(n)))
+    (tmp_path / "one" / "log.txt").write_text("x")
+    meta = acquisition.trial_meta(acquisition.read_xml(spark, str(tmp_path)))
+    assert sorted((r.trial, r.time, r.w, r.h, r.flip_x, r.flip_y) for r in meta.collect()) == [(1, "2026-06-20T15:48:10Z", 4, 2, True, False), (5, "2026-06-20T15:48:10Z", 4, 2, False, False)]
+    files = acquisition.list_files(spark, str(tmp_path))
+    frames = acquisition.frame_files(files)
+    assert [r.trial for r in acquisition.inventory(meta, frames).collect()] == [1]
+    raw = spark.read.format("binaryFile").load(f"{tmp_path}/one/*.dat").selectExpr("'one' AS dataset", "cast(regexp_extract(path, '([0-9]{3})-ccd', 1) as long) AS trial", "content AS px")
+    got = {r.trial: (r.px, r.refused) for r in acquisition.load_frames(meta, raw).collect()}
+    le = [i + 256 * (i + 1) for i in range(0, 16, 2)]
+    assert got == {1: ([float(v) for v in le[3::-1] + le[:3:-1]], None), 5: (None, "size")}
+    root = files.first().path.rsplit("/", 2)[0]
+    assert [tuple(r) for r in acquisition.scan(files, root).collect()] == [("one", 5)]  # an empty file is not listed
+
+
+def test_maps_and_canvases_on_disk(spark, tmp_path):
+    e = spark.createDataFrame([(1, 2, 1, 10.0, 20.0, 1), (1, 1, 1, 1.005, 2.0, 2), (1, 1, 2, 5.0, 6.0, 1)], "mosaic long, col long, row long, x double, y double, kind int")
+    (row,) = tables.electrode_payload(e, coverage="full").collect()
+    doc = json.loads(row.json)
+    assert doc["cells"]["col"] == [1, 2, 1] and doc["cells"]["row"] == [1, 1, 2] and doc["cells"]["kind"] == [2, 1, 1] and doc["array_coverage"] == "full"
+    tables.write_electrodes(e, f"{tmp_path}/e")
+    lines = next((tmp_path / "e" / "mosaic=1").glob("*.csv")).read_text().splitlines()
+    assert lines[0] == "electrode,col,row,x,y,x_um,y_um,kind,coverage" and [x.split(",")[0] for x in lines[1:]] == ["1-1", "2-1", "1-2"]
+    frames = registry.V["frames8"](spark, SF).limit(50)
+    pixels.write_canvas(frames, f"{tmp_path}/c", block=16)
+    back = spark.read.parquet(f"{tmp_path}/c")
+    want = {(r.grp, r.cx, r.cy): r.px for r in pixels.composite(frames, block=16).collect()}
+    got = {(r.grp, r.bx * 16 + i % 16, r.by * 16 + i // 16): v for r in back.collect() for i, (v, c) in enumerate(zip(r.px, r.covered)) if c}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in got)
+
+
+def test_live_log_over_batches(spark, tmp_path):
+    lines = ["06/20/26 23:59:30 Trial 010: Snapshot", "00:00:10 Trial 011: Other", "nonsense", "00:00:20 Trial 012: Snapshot", "06/25/26 01:00:00 Trial 013: Snapshot"]
+    schema = "dataset string, line_no long, value string"
+    for part in ([(0, lines[0]), (1, lines[1])], [(3, lines[3]), (2, lines[2]), (4, lines[4])], [(1, lines[1]), (5, None)]):
+        spark.createDataFrame([("d", k, v) for k, v in part], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = live_logs.entries(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in"))
+    stream.writeStream.option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/log").format("parquet").trigger(availableNow=True).start().awaitTermination()
+    got = sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").where("not late").select("trial", "s", "gap_s").collect())
+    batch = logs.parse(spark.createDataFrame([("d", k, v) for k, v in enumerate(lines)], schema))
+    s = {r.trial: r.s for r in batch.collect()}
+    assert got == [(10, s[10], None), (11, s[11], None), (12, s[12], float(s[12] - s[10])), (13, s[13], float(s[13] - s[12]))]
+    assert [tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").where("late").select("line_no").collect()] == [(1,)]
+
+
+def test_sample_stays_spread(spark):
+    track = pd.read_parquet(f"{SF}/events.parquet")
+    got = registry.QUERIES["live_sample"](spark, SF).toPandas()
+    for user, rows in track.groupby("user_id"):
+        seen, stride, held = 0, 1, []
+        for e, v in sorted(zip(rows.event_id, rows.value)):
+            if v >= 3 and int(v * 100 // 1) % 700 >= 50:
+                if seen % stride == 0:
+                    held.append(e)
+                    if len(held) >= 2 * live.SAMPLE:
+                        held, stride = held[::2], 2 * stride
+                seen += 1
+        own = got[got.video == user].sort_values("place")
+        assert own.frame.tolist() == held and (not held or (own.seen.iloc[0], own.stride.iloc[0]) == (seen, stride))
