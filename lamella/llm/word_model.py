@@ -28,9 +28,11 @@ FREQUENT = 1 << 19
 #: Words whose statistics are broadcast when the pairs' terms are made, for the same reason.
 FREQUENT_WORDS = 1 << 17
 #: Parts in which texts are scored, so that the rows of one part are on disk at a time.
-ROUNDS = 4
-#: Parts in which the terms are exchanged, for the same reason.
-PARTS = 2
+ROUNDS = 8
+#: Parts in which the terms are made, for the same reason.
+PARTS = 6
+#: Rows that a bucket of the terms has at most, about.
+BUCKET_ROWS = 2_000_000
 #: Bytes of text whose pairs a task sums before it sends them.
 HELD = 16 << 20
 START, END = 0x1B873593CC9E2D51, 0x2545F4914F6CDD1D
@@ -128,7 +130,8 @@ def fit(trusted: DataFrame) -> tuple[DataFrame, float]:
     d2 = _discounts(c2, "n")
     words = c2.groupBy(F.col("c").alias("word")).agg(F.count("*").alias("k"))
     context = c2.groupBy(F.col("b").alias("word")).agg(F.sum("n").alias("total"), (F.sum(_taken("n", d2)) / F.sum("n")).alias("w"))
-    words = saved(words.join(context, "word", "full"), "words")
+    buckets = -(-c2.count() // BUCKET_ROWS)
+    words = bucketed([words.join(context, "word", "full")], "word", "words", buckets)
     d1 = _discounts(words, "k")
     whole = words.where("k is not null").agg(F.sum("k").alias("k"), F.sum(_taken("k", d1)).alias("freed"), F.count("*").alias("v")).first()
     if not whole["k"]:
@@ -145,20 +148,18 @@ def fit(trusted: DataFrame) -> tuple[DataFrame, float]:
         p = (F.col("n") - _taken("n", d2)) / F.col("total") + F.col("w") * F.col("p")
         return rows.select("key", "n", (F.log(p) - F.log("w") - F.log("p")).cast("float").alias("term"))
 
-    keyed = c2.withColumn("key", _pair("b", "c"))
-    near = keyed.join(some_b, "b", "left").join(some_c, "c", "left")  # frequent words don't move
-    first = near.where("w is null").drop("total", "w").join(every_b, "b")
-    second = near.where("w is not null").unionByName(first).where("p is null").drop("p").join(every_c, "c")
-    far = saved(term(first.where("p is not null")).unionByName(term(second)), "terms")
     one = F.coalesce(F.log("p") - F.lit(math.log(unknown)), F.lit(0.0)) + F.coalesce(F.log("w"), F.lit(0.0))
     single = known.select(F.col("word").alias("key"), "n", one.cast("float").alias("term"))
     parts = []
     for k in range(PARTS):
         mine = F.pmod(F.shiftright("key", 5), F.lit(PARTS)) == k
-        close = keyed.where(mine).join(some_b, "b").join(some_c, "c")
-        parts.append(term(close).unionByName(far.where(mine)).unionByName(single.where(mine)))
-    terms = bucketed(parts, "key", "terms")
-    forget(c2, words, far)
+        near = c2.withColumn("key", _pair("b", "c")).where(mine).join(some_b, "b", "left").join(some_c, "c", "left")  # frequent words don't move
+        first = near.where("w is null").drop("total", "w").join(every_b, "b")
+        second = near.where("w is not null").unionByName(first).where("p is null").drop("p").join(every_c, "c")
+        rows = near.where("w is not null and p is not null").unionByName(first.where("p is not null")).unionByName(second)
+        parts.append(term(rows).unionByName(single.where(mine)))
+    terms = bucketed(parts, "key", "terms", buckets)
+    forget(c2, words)
     return terms, math.log(unknown)
 
 
