@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamella.llm.arrow import byte_values
-from lamella.llm.recurrence import DONE, FOUND, RUN, Spec, intervals, recurring, removed
+from lamella.llm.recurrence import DONE, FOUND, HOT, RUN, Spec, hot_windows, intervals, recurring, removed
 from lamella.llm.windows import prefix_sums, span_hashes
 
 WINDOW = 13
@@ -44,7 +44,7 @@ def _finish(text: bytes) -> tuple[int, str]:
     return len(words), hashlib.sha256(b" ".join(words)).hexdigest()
 
 
-SPEC = Spec(k=6, w=WINDOW - 5, hot_k=11, hot=20_000, units=_units, finish=_finish)
+SPEC = Spec(k=6, w=WINDOW - 5, hot=4000, units=_units, finish=_finish)
 
 
 def _order(doc_id) -> tuple:
@@ -53,11 +53,11 @@ def _order(doc_id) -> tuple:
 
 
 def _once(rows: Iterator[tuple]) -> Iterator[tuple]:
-    """Of equal runs in a slice those of the smallest id are sent; the others are found to repeat it."""
+    """Of equal runs and equal hot windows in a slice those of the smallest id are sent; the others are found to repeat it."""
     seen: dict[tuple[int, bytes], list[tuple]] = {}
     for row in rows:
-        if row[0] == RUN:
-            seen.setdefault((row[5], row[8]), []).append(row)
+        if row[0] == RUN or row[0] == HOT:
+            seen.setdefault((row[5], row[8] if row[0] == RUN else row[7]), []).append(row)
         else:
             yield row
     for same in seen.values():
@@ -66,7 +66,7 @@ def _once(rows: Iterator[tuple]) -> Iterator[tuple]:
             if _order(r[2]) == least:
                 yield r
             else:
-                yield FOUND, r[1], None, None, None, None, r[6], r[7], None
+                yield FOUND, r[1], None, None, None, None, r[6], r[7] if r[0] == RUN else r[6], None
 
 
 class Reference:
@@ -152,7 +152,7 @@ def remove_duplicates(docs: DataFrame, spec: Spec = SPEC) -> DataFrame:
     """
     rows = recurring(docs, spec, _once)
     sent = rows.where(F.col("kind") == RUN).select("key", "doc_id", "body", "rid", "first").repartition("key").sortWithinPartitions("key", F.col("doc_id").asc_nulls_last())
-    found = sent.mapInArrow(resolve, "rid long, first long, last long")
+    found = sent.mapInArrow(resolve, "rid long, first long, last long").unionByName(hot_windows(rows, F.col("own") > F.col("least")))
     kind = docs.schema["doc_id"].dataType.simpleString()
     done = rows.where(F.col("kind") == DONE).select("doc_id", F.col("n").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.col("digest").alias("kept_sha256"))
     return done.unionByName(removed(rows, found, _cut, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string"))

@@ -4,8 +4,9 @@
    count, so that an anchor of a third of all rows is still one row per block.
 2. Anchors seen twice or more go back to the blocks that have them; texts and anchors meet there in one exchange.
 3. Documents without such an anchor are finished on the spot. Of the others, the runs of recurring anchors leave with
-   their text. A run that occurs several times in a block is sent once. Anchors with very many runs are split by
-   longer k-grams of the same windows, so that no group grows with the corpus because of one common passage.
+   their text. A run that occurs several times in a block is sent once. Runs of an anchor with very many of them are
+   split into their windows, of which only 128 bits of hash leave, one row for equal windows of a slice; so no task
+   gets more than ``hot`` texts of one anchor, however many documents share a passage in different surroundings.
 """
 
 from __future__ import annotations
@@ -16,26 +17,25 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lamella.llm.arrow import sub_batches
-from lamella.llm.windows import runs
-from lamella.plans.session import saved
+from lamella.llm.windows import mixed, prefix_sums, runs, span_hashes
+from lamella.plans.session import checkpointed, saved
 
 SLICE = 1 << 20
 #: Runs whose anchors a task combines before it sends them.
 FLUSH = 2 << 20
-DONE, DOCUMENT, RUN, FOUND = range(4)
+DONE, DOCUMENT, RUN, FOUND, HOT = range(5)
 
 
 @dataclass(frozen=True)
 class Spec:
-    """Windows of ``k + w - 1`` units; anchors with more than ``hot`` runs use k-grams of ``hot_k`` units."""
+    """Windows of ``k + w - 1`` units; runs of anchors that have more than ``hot`` are split into windows."""
 
     k: int
     w: int
-    hot_k: int
     hot: int
     #: texts -> (bytes, unit values, units' offsets by text, first byte of each unit, byte after each unit)
     units: Callable[[pa.Array], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
@@ -123,7 +123,7 @@ class _Block:
         return found, found & self.hot[at]
 
     def read(self, ids: list, texts: pa.Array) -> Iterator[tuple]:
-        """Rows ``(kind, rid, doc_id, n, digest, key, first, last, body)``."""
+        """Rows ``(kind, rid, doc_id, n, digest, key, first, last, body)``; of a HOT row key and last are a window's hashes."""
         spec = self.spec
         data, values, offsets, begin, end = spec.units(texts)
         text, first, last, key, _ = runs(values, offsets, spec.k, spec.w)
@@ -132,22 +132,27 @@ class _Block:
         plain = np.flatnonzero(found & ~hot)
         for t, a, b, h in zip(text[plain].tolist(), first[plain].tolist(), last[plain].tolist(), key[plain].tolist(), strict=True):
             per_text.setdefault(t, []).append((a, b, h))
-        for r in np.flatnonzero(hot):  # the run's windows again, by longer k-grams
-            a, b, o = first[r], last[r], offsets[text[r]]
-            some = values[o + a : o + b + spec.length]
-            _, f, z, h, _ = runs(some, np.array([0, len(some)]), spec.hot_k, spec.length - spec.hot_k + 1)
-            per_text.setdefault(int(text[r]), []).extend(zip((a + f).tolist(), (a + z).tolist(), h.tolist(), strict=True))
+        split: dict[int, list[tuple[int, int, int]]] = {}
+        if hot.any():
+            sums = prefix_sums(values), prefix_sums(mixed(values))
+            for r in np.flatnonzero(hot):
+                at = np.arange(first[r], last[r] + 1)
+                o = int(offsets[text[r]])
+                h = (span_hashes(x, o + at, o + at + spec.length).view(np.int64).tolist() for x in sums)
+                split.setdefault(int(text[r]), []).extend(zip(at.tolist(), *h, strict=True))
         raw = data.tobytes()
         for t, doc_id in enumerate(ids):
             rid, self.rows = self.base + self.rows, self.rows + 1
             whole, o = texts[t], int(offsets[t])
             body = whole.as_py() or b""
             n, digest = spec.finish(body)
-            if t not in per_text:
+            if t not in per_text and t not in split:
                 yield DONE, rid, doc_id, n, digest, None, None, None, None
                 continue
             yield DOCUMENT, rid, doc_id, n, None, None, None, None, body
-            for a, b, h in per_text[t]:
+            for at, h, g in split.get(t, ()):
+                yield HOT, rid, doc_id, 1, None, h, at, g, None
+            for a, b, h in per_text.get(t, ()):
                 yield RUN, rid, doc_id, None, None, h, a, b, raw[begin[o + a] : end[o + b + spec.length - 1]]
 
 
@@ -190,6 +195,17 @@ def recurring(docs: DataFrame, spec: Spec, local: Callable[[Iterator[tuple]], It
     return saved(met.mapInArrow(read, f"kind int, rid long, doc_id {kind}, n long, digest string, key long, first long, last long, body binary"), "windows", compression="zstd")
 
 
+def hot_windows(rows: DataFrame, kept: Column) -> DataFrame:
+    """Ranges ``(rid, first, last)`` of the HOT windows of which ``kept`` says so, given ``n`` and ``least`` of all equal ones.
+
+    ``n`` counts equal windows; ``least`` is the smallest ``own``, the order of a document's id with null last.
+    """
+    hot = rows.where(F.col("kind") == HOT)
+    hot = hot.select("rid", "first", F.col("n").alias("one"), F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("id")).alias("own"), "key", F.col("last").alias("other"))
+    equal = checkpointed(hot.groupBy("key", "other").agg(F.sum("one").alias("n"), F.min("own").alias("least")).where("n > 1"))
+    return hot.join(equal, ["key", "other"]).where(kept).select("rid", "first", F.col("first").alias("last"))
+
+
 def removed(rows: DataFrame, found: DataFrame, cut: Callable, schema: str) -> DataFrame:
     """Results of all documents: those done at once, and those that ``cut`` makes of (doc_id, n, body, ranges).
 

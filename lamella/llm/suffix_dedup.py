@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamella.llm.arrow import flat_bytes
-from lamella.llm.recurrence import DONE, FOUND, RUN, Spec, intervals, recurring, removed
+from lamella.llm.recurrence import DONE, FOUND, HOT, RUN, Spec, hot_windows, intervals, recurring, removed
 
 WINDOW = 400
 SHARD = 1 << 20
@@ -32,22 +32,22 @@ def _units(texts: pa.Array):
     return data, data.astype(np.uint64) + np.uint64(1), offsets, at, at + 1
 
 
-SPEC = Spec(k=100, w=WINDOW - 99, hot_k=300, hot=20_000, units=_units, finish=lambda text: (len(text), hashlib.sha256(text).hexdigest()))
+SPEC = Spec(k=100, w=WINDOW - 99, hot=4000, units=_units, finish=lambda text: (len(text), hashlib.sha256(text).hexdigest()))
 
 
 def _once(rows: Iterator[tuple]) -> Iterator[tuple]:
-    """Runs that a slice has several times are repeats throughout: found at once, and sent once for the other slices."""
+    """Runs and hot windows that a slice has several times are repeats throughout: found at once, and sent once for the other slices."""
     seen: dict[tuple[int, bytes], list[tuple]] = {}
     for row in rows:
-        if row[0] == RUN:
-            seen.setdefault((row[5], row[8]), []).append(row)
+        if row[0] == RUN or row[0] == HOT:
+            seen.setdefault((row[5], row[8] if row[0] == RUN else row[7]), []).append(row)
         else:
             yield row
     for same in seen.values():
-        yield same[0]
+        yield same[0] if same[0][0] == RUN else (*same[0][:3], len(same), *same[0][4:])
         if len(same) > 1:
             for r in same:
-                yield FOUND, r[1], None, None, None, None, r[6], r[7], None
+                yield FOUND, r[1], None, None, None, None, r[6], r[7] if r[0] == RUN else r[6], None
 
 
 def words8(data: np.ndarray) -> np.ndarray:
@@ -321,7 +321,7 @@ def remove_repeats(docs: DataFrame, spec: Spec = SPEC) -> DataFrame:
     """
     rows = recurring(docs, spec, _once)
     sent = rows.where(F.col("kind") == RUN).select("key", "body", "rid", "first").repartition("key").sortWithinPartitions("key")
-    found = sent.mapInArrow(resolve, "rid long, first long, last long")
+    found = sent.mapInArrow(resolve, "rid long, first long, last long").unionByName(hot_windows(rows, F.lit(True)))
     kind = docs.schema["doc_id"].dataType.simpleString()
     done = rows.where(F.col("kind") == DONE).select("doc_id", F.col("n").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("digest").alias("kept_sha256"))
     return done.unionByName(removed(rows, found, _cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))

@@ -123,7 +123,7 @@ def test_repeats(spark):
 
 @pytest.mark.parametrize("hot", [20_000, 2])
 def test_repeats_in_passages(spark, hot):
-    spec = recurrence.Spec(100, 301, 300, hot, suffix_dedup._units, suffix_dedup.SPEC.finish)
+    spec = recurrence.Spec(100, 301, hot, suffix_dedup._units, suffix_dedup.SPEC.finish)
     texts = [*passages(4, 40, 90), "ab" * 700, "é" * 300, "x" * 399, "y" * 400, None]
     check_repeats(spark.createDataFrame(rows(*texts), SCHEMA).repartition(5), spec)
 
@@ -215,13 +215,30 @@ def test_duplicates(spark):
 
 @pytest.mark.parametrize("hot", [20_000, 2])
 def test_duplicates_in_passages(spark, hot):
-    spec = recurrence.Spec(6, 8, 11, hot, lz_dedup._units, lz_dedup._finish)
+    spec = recurrence.Spec(6, 8, hot, lz_dedup._units, lz_dedup._finish)
     texts = [*passages(6, 60, 13), "a b " * 40, "b a " * 40, None, " ", "a b " * 40]
     ids = [*range(60), 70, 61, 62, 63, None]
     random.Random(1).shuffle(ids)
     check_duplicates(spark.createDataFrame(rows(*texts, ids=ids), SCHEMA).repartition(5), spec)
 
 
+def test_a_passage_that_all_documents_share(spark):
+    """No anchor sends more texts than ``hot``, whatever surrounds the passage; results are those of brute force."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7)))
+    passage = " ".join(word() for _ in range(100))
+    texts = [" ".join([*(word() for _ in range(30)), passage, *(word() for _ in range(30))]) for _ in range(400)]
+    docs = spark.createDataFrame(rows(*texts), SCHEMA).repartition(6)
+    for spec, check, once in (
+        (recurrence.Spec(6, 8, 50, lz_dedup._units, lz_dedup._finish), check_duplicates, lz_dedup._once),
+        (recurrence.Spec(100, 301, 50, suffix_dedup._units, suffix_dedup.SPEC.finish), check_repeats, suffix_dedup._once),
+    ):
+        sent = recurrence.recurring(docs, spec, once)
+        assert sent.where(F.col("kind") == recurrence.HOT).count() > 0
+        assert all(r["count"] <= 50 for r in sent.where(F.col("kind") == recurrence.RUN).groupBy("key").count().collect())
+        check(docs, spec)
+
+
 def test_parsing_looks_across_factor_boundaries():
     w = [b"w%d" % i for i in range(60)]
     r = lz_dedup.Reference()
