@@ -25,7 +25,7 @@ WINDOW = 13
 SPACE = 0x20
 
 
-def _units(texts: pa.Array):
+def word_units(texts: pa.Array):
     """Words of each text, joined by one space; a word is a run of bytes other than the six ASCII spaces."""
     joined = [b" ".join(t.split()) for t in byte_values(texts)]
     data = np.frombuffer(b" ".join(joined) + b" ", np.uint8)
@@ -44,7 +44,7 @@ def _finish(text: bytes) -> tuple[int, str]:
     return len(words), hashlib.sha256(b" ".join(words)).hexdigest()
 
 
-SPEC = Spec(k=6, w=WINDOW - 5, hot=4000, units=_units, finish=_finish)
+SPEC = Spec(k=6, w=WINDOW - 5, hot=4000, units=word_units, finish=_finish)
 
 
 def _order(doc_id) -> tuple:

@@ -17,17 +17,22 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import ArrayType, LongType
 
 from lamella.llm.arrow import byte_values
+from lamella.llm.lz_dedup import word_units
+from lamella.llm.windows import gram_hashes, mixed, prefix_sums, span_hashes
 from lamella.operators.graph import connected_components
-from lamella.plans.session import checkpointed, small_batches
+from lamella.plans.session import bounded, checkpointed, forget, saved, small_batches
 
 SEED = 42
 SHINGLE_WORDS = 3
 MAX_BITS = 2
 #: A cell with more fingerprints is searched by blocks of bits, of which at least one is equal in any pair to be found.
 CROWDED = 64
+#: Near copies of the pipeline's stage: words of a shingle and similarity; orders and smallest hashes of its candidates.
+STAGE_WORDS, SIMILARITY, ORDERS, SMALLEST = 5, 0.8, 8, 3
+_SEEDS, _FACTORS = np.random.default_rng(7).integers(1, 1 << 63, (2, 16), np.uint64)
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE_WORDS) -> int:
@@ -47,9 +52,12 @@ def fingerprint(text: bytes, shingle: int = SHINGLE_WORDS) -> int:
     return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
 
 
-@F.arrow_udf(LongType())
-def _fingerprints(texts: pa.Array) -> pa.Array:
-    return pa.array(np.fromiter(map(fingerprint, byte_values(texts)), np.uint64, len(texts)).view(np.int64))
+def _fingerprint_udf(shingle: int = SHINGLE_WORDS):
+    @F.arrow_udf(LongType())
+    def fingerprints(texts: pa.Array) -> pa.Array:
+        return pa.array(np.fromiter((fingerprint(t, shingle) for t in byte_values(texts)), np.uint64, len(texts)).view(np.int64))
+
+    return fingerprints
 
 
 def cells(fp: str) -> Column:
@@ -137,7 +145,7 @@ def near_copies(docs: DataFrame, most: int = MAX_BITS) -> DataFrame:
     component is kept (equal rows apart): the smallest by id, then by text_hash. Other columns are not read.
     """
     small_batches(docs.sparkSession)
-    rows = checkpointed(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), _fingerprints(F.coalesce("text", F.lit(""))).alias("fp")))
+    rows = checkpointed(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), _fingerprint_udf()(F.coalesce("text", F.lit(""))).alias("fp")))
     order = F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("doc_id"), F.col("text_hash").alias("text_hash"))
     fps = checkpointed(rows.groupBy("fp").agg(F.min(order).alias("best")))
     roots = connected_components(simhash_links(fps.select("fp"), most))
@@ -149,9 +157,98 @@ def near_copies(docs: DataFrame, most: int = MAX_BITS) -> DataFrame:
     )
 
 
+def _shingles(texts: pa.Array, size: int) -> list[np.ndarray]:
+    """Distinct hashes of each text's shingles of ``size`` lower-cased words; of fewer words the whole sequence is one, also of none."""
+    lowered = pa.array([t.lower() for t in byte_values(texts)], pa.large_binary())
+    _, values, offsets, _, _ = word_units(lowered)
+    grams, sums = gram_hashes(values, size), prefix_sums(values)
+    whole = span_hashes(sums, offsets[:-1], offsets[1:])
+    return [np.unique(grams[a : b - size + 1]) if b - a >= size else whole[i : i + 1] for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True))]
+
+
+def _sketch(size: int):
+    @F.arrow_udf(ArrayType(LongType()))
+    def sketch(texts: pa.Array) -> pa.Array:
+        """For each order of the hashes one number made of the smallest ones."""
+        out = np.zeros((len(texts), ORDERS), np.uint64)
+        for i, own in enumerate(_shingles(texts, size)):
+            for k in range(ORDERS):
+                h = mixed(own ^ _SEEDS[k])
+                h = np.sort(np.partition(h, SMALLEST - 1)[:SMALLEST] if len(h) > SMALLEST else h)
+                out[i, k] = mixed(np.array([(h * _FACTORS[: len(h)]).sum()], np.uint64))[0]
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * ORDERS), pa.array(out.ravel().view(np.int64)))
+
+    return sketch
+
+
+def _sets(size: int):
+    @F.arrow_udf(ArrayType(LongType()))
+    def sets(texts: pa.Array) -> pa.Array:
+        own = _shingles(texts, size)
+        ends = np.concatenate(([0], np.cumsum([len(x) for x in own]))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *own]).view(np.int64)))
+
+    return sets
+
+
+def similar_links(docs: DataFrame, shingle: int = STAGE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """``(a, b)``: links between texts (their xxhash64) whose sets of word shingles have that Jaccard similarity or more.
+
+    At 0.8 two fingerprints of 64 bits are about 10 bits apart, where popcounts no longer tell texts from others. So
+    candidates come from two sources: fingerprints within ``MAX_BITS``, and numbers made of the ``SMALLEST`` smallest
+    shingle hashes in each of ``ORDERS`` orders, of which texts of similarity 0.8 share one with probability 0.997. The
+    texts of a number are each compared with the two at its ends, never with all others. Every candidate is verified by
+    its whole sets.
+    """
+    texts = docs.select(F.xxhash64("text").alias("node"), F.coalesce("text", F.lit("")).alias("text"))
+    nodes = checkpointed(texts.select("node", _sketch(shingle)("text").alias("keys"), _fingerprint_udf(shingle)("text").alias("fp")))
+    keyed = nodes.select("node", F.posexplode("keys").alias("k", "key")).distinct()
+    ends = checkpointed(keyed.groupBy("k", "key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi"))
+    met = keyed.join(ends, ["k", "key"]).select("node", F.explode(F.array("lo", "hi")).alias("end"))
+    fps = checkpointed(nodes.groupBy("fp").agg(F.min("node").alias("rep")))
+    same = nodes.join(fps, "fp").select("node", F.col("rep").alias("end"))
+    links = simhash_links(fps.select("fp"))
+    across = links.join(fps.select(F.col("fp").alias("a"), F.col("rep").alias("node")), "a").join(fps.select(F.col("fp").alias("b"), F.col("rep").alias("end")), "b").select("node", "end")
+    pairs = met.unionByName(same).unionByName(across).where("node <> end").select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b")).distinct()
+    pairs = checkpointed(pairs)
+    wanted = bounded(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    sets = saved(texts.join(wanted, "node", "left_semi").select("node", _sets(shingle)("text").alias("set")).dropDuplicates(["node"]), "shingles")
+    both = pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")).hint("merge"), "b").join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")).hint("merge"), "a")
+    shared = F.size(F.array_intersect("x", "y"))
+    links = checkpointed(both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b"))
+    forget(sets)
+    return links
+
+
+def similar_copies(docs: DataFrame, shingle: int = STAGE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """One row per row of ``docs``: doc_id, text_hash, component_id, kept; components are what :func:`similar_links` join up.
+
+    Null texts are empty; texts without words are alike. Equal texts are one component. component_id is the smallest
+    doc_id of the component, null last; one document of each is kept: the smallest by id, then by text_hash, equal rows apart.
+    """
+    small_batches(docs.sparkSession)
+    order = F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("doc_id"), F.col("node").alias("text_hash"))
+    rows = checkpointed(docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("node")))
+    texts = checkpointed(rows.groupBy("node").agg(F.min(order).alias("best")))
+    roots = connected_components(similar_links(docs.select(F.coalesce("text", F.lit("")).alias("text")), shingle, similarity))
+    rooted = texts.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("node", "best", F.coalesce("root", "node").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("best").alias("best"))
+    classes = checkpointed(rooted.select("node", "root").join(least, "root").select("node", "best"))
+    return rows.join(classes, "node").select("doc_id", F.col("node").alias("text_hash"), F.col("best.doc_id").alias("component_id"), (order == F.col("best")).alias("kept"))
+
+
+def drop_similar(docs: DataFrame, shingle: int = STAGE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` with one document of each component of :func:`similar_copies`, the one with the smallest id; other columns may have any name."""
+    return _kept(docs, similar_copies(docs, shingle, similarity), F.xxhash64(F.coalesce("text", F.lit(""))))
+
+
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component, the one with the smallest id."""
-    kept = near_copies(docs).where("kept").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64("text").alias("own_hash"), F.col("doc_id").alias("own"))
+    """``docs`` with one document of each component of :func:`near_copies`, the one with the smallest id."""
+    return _kept(docs, near_copies(docs), F.xxhash64("text"))
+
+
+def _kept(docs: DataFrame, copies: DataFrame, text_hash: Column) -> DataFrame:
+    kept = copies.where("kept").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_hash.alias("own_hash"), F.col("doc_id").alias("own"))
     same = rows.join(kept, F.col("own").eqNullSafe(F.col("id")) & (F.col("own_hash") == F.col("hash")), "left_semi")
     return same.dropDuplicates(["own", "own_hash"]).select("row.*")

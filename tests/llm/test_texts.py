@@ -215,7 +215,7 @@ def test_duplicates(spark):
 
 @pytest.mark.parametrize("hot", [20_000, 2])
 def test_duplicates_in_passages(spark, hot):
-    spec = recurrence.Spec(6, 8, hot, lz_dedup._units, lz_dedup._finish)
+    spec = recurrence.Spec(6, 8, hot, lz_dedup.word_units, lz_dedup._finish)
     texts = [*passages(6, 60, 13), "a b " * 40, "b a " * 40, None, " ", "a b " * 40]
     ids = [*range(60), 70, 61, 62, 63, None]
     random.Random(1).shuffle(ids)
@@ -230,7 +230,7 @@ def test_a_passage_that_all_documents_share(spark):
     texts = [" ".join([*(word() for _ in range(30)), passage, *(word() for _ in range(30))]) for _ in range(400)]
     docs = spark.createDataFrame(rows(*texts), SCHEMA).repartition(6)
     for spec, check, once in (
-        (recurrence.Spec(6, 8, 50, lz_dedup._units, lz_dedup._finish), check_duplicates, lz_dedup._once),
+        (recurrence.Spec(6, 8, 50, lz_dedup.word_units, lz_dedup._finish), check_duplicates, lz_dedup._once),
         (recurrence.Spec(100, 301, 50, suffix_dedup._units, suffix_dedup.SPEC.finish), check_repeats, suffix_dedup._once),
     ):
         sent = recurrence.recurring(docs, spec, once)
