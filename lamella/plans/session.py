@@ -72,16 +72,27 @@ def bucketed(parts: list[DataFrame], key: str, label: str, n: int = 1) -> DataFr
     return table
 
 
+def forget_path(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder that :func:`scratch` named."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def settled(df: DataFrame, label: str, *tables: DataFrame) -> DataFrame:
+    """``df`` saved, and the wider tables that it was computed from deleted."""
+    out = saved(df, label)
+    forget(*tables)
+    return out
+
+
 def forget(*tables: DataFrame) -> None:
     """Deletes tables that :func:`saved` or :func:`bucketed` made, once all that was computed from them is stored."""
     for table in tables:
         folders = {f.rpartition("/")[0] for f in table.inputFiles()}
         if name := getattr(table, "table_name", None):
             table.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
-        jvm, conf = table.sparkSession._jvm, table.sparkSession._jsc.hadoopConfiguration()
         for folder in folders:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+            forget_path(table.sparkSession, folder)
 
 
 def bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
