@@ -18,8 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamella.llm.arrow import byte_values
-from lamella.llm.recurrence import DONE, FOUND, HOT, RUN, Spec, hot_windows, intervals, recurring, removed
+from lamella.llm.recurrence import DONE, FOUND, HOT, RUN, Spec, documents_with_ranges, hot_found, hot_windows, intervals, recurring, removed
 from lamella.llm.windows import prefix_sums, span_hashes
+from lamella.plans.session import settled
 
 WINDOW = 13
 SPACE = 0x20
@@ -60,13 +61,17 @@ def _once(rows: Iterator[tuple]) -> Iterator[tuple]:
             seen.setdefault((row[5], row[8] if row[0] == RUN else row[7]), []).append(row)
         else:
             yield row
+    places: dict[int, list[int]] = {}
     for same in seen.values():
         least = min(_order(r[2]) for r in same)
         for r in same:
             if _order(r[2]) == least:
                 yield r
+            elif r[0] == HOT:
+                places.setdefault(r[1], []).append(r[6])
             else:
-                yield FOUND, r[1], None, None, None, None, r[6], r[7] if r[0] == RUN else r[6], None
+                yield FOUND, r[1], None, None, None, None, r[6], r[7], None
+    yield from hot_found(places)
 
 
 class Reference:
@@ -131,7 +136,7 @@ def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for doc_id, n, body, firsts, lasts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for doc_id, n, body, firsts, lasts in documents_with_ranges(batch):
             begin, end = intervals(firsts, lasts, WINDOW)
             words, kept, at = body.split(), [], 0
             for a, z in zip(begin.tolist(), end.tolist(), strict=True):
@@ -155,4 +160,4 @@ def remove_duplicates(docs: DataFrame, spec: Spec = SPEC) -> DataFrame:
     found = sent.mapInArrow(resolve, "rid long, first long, last long").unionByName(hot_windows(rows, F.col("own") > F.col("least")))
     kind = docs.schema["doc_id"].dataType.simpleString()
     done = rows.where(F.col("kind") == DONE).select("doc_id", F.col("n").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.col("digest").alias("kept_sha256"))
-    return done.unionByName(removed(rows, found, _cut, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string"))
+    return settled(done.unionByName(removed(rows, found, _cut, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")), "kept", rows)

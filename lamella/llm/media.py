@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lamella.llm.arrow import byte_values, sub_batches
-from lamella.plans.session import saved, small_batches
+from lamella.plans.session import saved, settled, small_batches
 
 UNIT = 64
 TIMESCALE = 8000
@@ -200,4 +200,5 @@ def probe(stored: DataFrame, keep: tuple[str, ...] = ("doc_id", "n_bytes")) -> D
 def stored_and_probed(docs: DataFrame) -> DataFrame:
     """Writes the media table in the shared folder, rereads it and probes every row; equal texts give equal values."""
     small_batches(docs.sparkSession)
-    return probe(saved(store(docs), "media", compression="zstd"))
+    stored = saved(store(docs), "media")
+    return settled(probe(stored), "probed", stored)

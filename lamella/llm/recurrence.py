@@ -17,12 +17,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamella.llm.arrow import sub_batches
+from lamella.llm.arrow import byte_values, sub_batches
 from lamella.llm.windows import mixed, prefix_sums, runs, span_hashes
-from lamella.plans.session import checkpointed, saved
+from lamella.plans.session import checkpointed, saved, small_batches
 
 SLICE = 1 << 20
 #: Runs whose anchors a task combines before it sends them.
@@ -161,6 +161,7 @@ def recurring(docs: DataFrame, spec: Spec, local: Callable[[Iterator[tuple]], It
 
     ``local`` sees the rows of a slice and may answer some runs by itself, as rows of kind FOUND.
     """
+    small_batches(docs.sparkSession)
     docs = as_table(docs.select("doc_id", F.col("text").cast("binary").alias("text")))
     blocks = docs.select(F.spark_partition_id().alias("p")).agg(F.max("p")).first()[0]
     blocks = 1 if blocks is None else blocks + 1
@@ -203,7 +204,26 @@ def hot_windows(rows: DataFrame, kept: Column) -> DataFrame:
     hot = rows.where(F.col("kind") == HOT)
     hot = hot.select("rid", "first", F.col("n").alias("one"), F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("id")).alias("own"), "key", F.col("last").alias("other"))
     equal = checkpointed(hot.groupBy("key", "other").agg(F.sum("one").alias("n"), F.min("own").alias("least")).where("n > 1"))
-    return hot.join(equal, ["key", "other"]).where(kept).select("rid", "first", F.col("first").alias("last"))
+    found = hot.join(equal, ["key", "other"]).where(kept).select("rid", "first")
+    island = F.col("first") - F.row_number().over(Window.partitionBy("rid").orderBy("first"))  # adjacent windows are one range
+    return found.withColumn("island", island).groupBy("rid", "island").agg(F.min("first").alias("first"), F.max("first").alias("last")).drop("island")
+
+
+def hot_found(places: dict[int, list[int]]) -> Iterator[tuple]:
+    """FOUND rows of windows by rid, adjacent ones in one."""
+    for rid, at in places.items():
+        a = np.unique(np.array(at, np.int64))
+        cut = np.flatnonzero(np.diff(a) > 1)
+        for first, last in zip(a[np.append(0, cut + 1)].tolist(), a[np.append(cut, len(a) - 1)].tolist(), strict=True):
+            yield FOUND, rid, None, None, None, None, first, last, None
+
+
+def documents_with_ranges(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """``(doc_id, n, body, firsts, lasts)`` of the rows of :func:`removed`; ranges stay arrays."""
+    bodies = byte_values(batch.column(2))
+    for i, (doc_id, n, body) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), bodies, strict=True)):
+        firsts, lasts = (batch.column(k)[i].values for k in (3, 4))
+        yield doc_id, n, body, *(None if x is None else x.to_numpy(zero_copy_only=False) for x in (firsts, lasts))
 
 
 def removed(rows: DataFrame, found: DataFrame, cut: Callable, schema: str) -> DataFrame:
@@ -219,9 +239,9 @@ def removed(rows: DataFrame, found: DataFrame, cut: Callable, schema: str) -> Da
     return joined.mapInArrow(cut, schema)
 
 
-def intervals(firsts: list | None, lasts: list | None, length: int) -> tuple[np.ndarray, np.ndarray]:
+def intervals(firsts: np.ndarray | None, lasts: np.ndarray | None, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Maximal covered stretches ``[begin, end)`` of windows that start in the ranges."""
-    if not firsts:
+    if firsts is None or not len(firsts):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     a, z = np.array(firsts, np.int64), np.array(lasts, np.int64) + length
     order = np.argsort(a, kind="stable")

@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamella.llm.arrow import flat_bytes
-from lamella.llm.recurrence import DONE, FOUND, HOT, RUN, Spec, hot_windows, intervals, recurring, removed
+from lamella.llm.recurrence import DONE, FOUND, HOT, RUN, Spec, documents_with_ranges, hot_found, hot_windows, intervals, recurring, removed
+from lamella.plans.session import settled
 
 WINDOW = 400
 SHARD = 1 << 20
@@ -43,11 +44,15 @@ def _once(rows: Iterator[tuple]) -> Iterator[tuple]:
             seen.setdefault((row[5], row[8] if row[0] == RUN else row[7]), []).append(row)
         else:
             yield row
+    places: dict[int, list[int]] = {}
     for same in seen.values():
         yield same[0] if same[0][0] == RUN else (*same[0][:3], len(same), *same[0][4:])
-        if len(same) > 1:
-            for r in same:
-                yield FOUND, r[1], None, None, None, None, r[6], r[7] if r[0] == RUN else r[6], None
+        for r in same if len(same) > 1 else ():
+            if r[0] == HOT:
+                places.setdefault(r[1], []).append(r[6])
+            else:
+                yield FOUND, r[1], None, None, None, None, r[6], r[7], None
+    yield from hot_found(places)
 
 
 def words8(data: np.ndarray) -> np.ndarray:
@@ -300,7 +305,7 @@ def resolve(batches: Iterator[pa.RecordBatch], shard_bytes: int = SHARD) -> Iter
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for doc_id, n, body, firsts, lasts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for doc_id, n, body, firsts, lasts in documents_with_ranges(batch):
             begin, end = intervals(firsts, lasts, WINDOW)
             digest, at = hashlib.sha256(), 0
             for a, z in zip(begin.tolist(), end.tolist(), strict=True):
@@ -324,4 +329,4 @@ def remove_repeats(docs: DataFrame, spec: Spec = SPEC) -> DataFrame:
     found = sent.mapInArrow(resolve, "rid long, first long, last long").unionByName(hot_windows(rows, F.lit(True)))
     kind = docs.schema["doc_id"].dataType.simpleString()
     done = rows.where(F.col("kind") == DONE).select("doc_id", F.col("n").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("digest").alias("kept_sha256"))
-    return done.unionByName(removed(rows, found, _cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
+    return settled(done.unionByName(removed(rows, found, _cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")), "kept", rows)

@@ -17,11 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.plans.session import bounded, checkpointed, scratch
+from lamella.plans.session import bounded, checkpointed, forget_path, saved, scratch
 
 MAGIC = b"WARC/1."
 END = b"\r\n\r\n"
 LEAST_PAYLOAD = 100
+#: Fixed value of the format: how a revisit is alike.
+PROFILE = "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORDS_PER_FILE = 4096
 #: Digests of repeated payloads that may be broadcast.
 REPEATED = 500_000
@@ -47,7 +49,7 @@ def records(pages: DataFrame) -> DataFrame:
     head = F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: "), kind, F.lit("\r\nWARC-Record-ID: "), urn(F.col("page_id")), F.lit("WARC-Date: 1970-01-01T00:00:00Z\r\nWARC-Target-URI: "), F.col("url"),
         F.lit("\r\nWARC-Payload-Digest: sha256:"), F.col("digest"), F.lit("\r\nWARC-Payload-Length: "), F.col("n").cast("string"), F.lit("\r\n"),
-        F.when(revisit, F.concat(F.lit("WARC-Refers-To: "), urn(F.col("first")))).otherwise(F.lit("")),
+        F.when(revisit, F.concat(F.lit(PROFILE), F.lit("\r\nWARC-Refers-To: "), urn(F.col("first")))).otherwise(F.lit("")),
         F.lit("Content-Type: text/html\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"),
     )
     return rows.select(F.concat(head, body).alias("record"))
@@ -148,4 +150,6 @@ def written_and_read(pages: DataFrame) -> DataFrame:
     """Every page as its record in an archive in the shared folder says."""
     path = scratch(pages.sparkSession, "warc")
     write(pages, path)
-    return read(pages.sparkSession, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    out = saved(read(pages.sparkSession, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), "records")
+    forget_path(pages.sparkSession, path)
+    return out

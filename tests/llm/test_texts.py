@@ -260,7 +260,7 @@ def test_toxicity(spark):
     held = [r for r in scored if r.held_out]
     toxic = [r.predicted for r in held if r.toxic == 1]
     clean = [r.predicted for r in held if r.toxic == 0]
-    assert sum(toxic) > 0.75 * len(toxic) and sum(clean) < 0.02 * len(clean)
+    assert sum(toxic) > 0.88 * len(toxic) and sum(clean) < 0.02 * len(clean)
 
 
 def test_toxicity_awkward(spark):
@@ -272,6 +272,55 @@ def test_toxicity_awkward(spark):
     assert len(toxicity.score_toxicity(docs, labels.where("doc_id < 0")).collect()) == docs.count()
 
 
+def small_network(seed):
+    network, rng = toxicity.Network(seed), np.random.default_rng(seed)
+    words = rng.integers(0, 40, 60)
+    begins = np.array([0, 0, 1, 3, 20, 41, 60])
+    network.embedding[:40] = rng.normal(0, 0.5, (40, toxicity.DIM))
+    network.out[:] = rng.normal(0, 0.5, len(network.out))
+    return network, words, begins, rng.integers(0, 2, 6).astype(float)
+
+
+def plain_logit(network, words):
+    """Filters slid over a text by loops; no window, or none above 0, leaves 0."""
+    total = float(network.constant)
+    for k, w in enumerate(toxicity.WIDTHS):
+        for f in range(toxicity.FILTERS):
+            best = 0.0
+            for i in range(len(words) - w + 1):
+                best = max(best, float(network.bias[k][f]) + sum(float(network.embedding[words[i + j]] @ network.filters[k][j][:, f]) for j in range(w)))
+            total += best * float(network.out[k * toxicity.FILTERS + f])
+    return total
+
+
+def test_toxicity_forward_pass_and_gradients():
+    network, words, begins, y = small_network(3)
+    texts = [words[a:b] for a, b in zip(begins, begins[1:], strict=False)]
+    want = [1 / (1 + np.exp(-plain_logit(network, t))) for t in texts]
+    assert np.allclose(network.score(words, begins), want, atol=1e-5)
+
+    def loss():
+        p = np.array([1 / (1 + np.exp(-plain_logit(network, t))) for t in texts])
+        return float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
+
+    grad, rng, eps = network.gradients(words, begins, y), np.random.default_rng(1), 1e-2
+    places = [(network.out, grad["out"])] + [(network.filters[k], grad[f"filter{k}"]) for k in range(3)] + [(network.bias[k], grad[f"bias{k}"]) for k in range(3)]
+    full = np.zeros((40, toxicity.DIM), np.float32)
+    full[grad["touched"]] = grad["embedding"]
+    close = 0
+    for value, own in [*places, (network.embedding[:40], full)]:
+        for _ in range(6):
+            at = tuple(int(rng.integers(n)) for n in value.shape)
+            old = value[at]
+            value[at] = old + eps
+            up = loss()
+            value[at] = old - eps
+            down = loss()
+            value[at] = old
+            close += abs((up - down) / (2 * eps) - own[at]) < 2e-3
+    assert close >= 46  # of 48; a step of eps may change which window is the largest
+
+
 def test_toxicity_words():
     words, begins = toxicity.hashed_words(pa.array(["You, IDIOT! you", "", None, "l'été 12", "idiot" * 30]))
     assert begins.tolist() == [0, 3, 3, 3, 5, 6] and words[0] == words[2]
@@ -316,7 +365,6 @@ def test_reachable(spark):
 def test_every_operator_is_registered():
     assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 11))
     assert set(queries.ORACLES) <= set(queries.QUERIES)
-    assert F.lit(1) is not None
 
 
 def archive(version, colon, pages):
