@@ -64,9 +64,10 @@ def bucketed(parts: list[DataFrame], key: str, label: str, n: int = 1) -> DataFr
     spark = parts[0].sparkSession
     name, n = f"{label}_{uuid.uuid4().hex}", max(n, int(spark.conf.get("spark.sql.shuffle.partitions")))
     path = scratch(spark, label)
-    with tidy(spark):
-        for part in parts:
+    for part in parts:
+        with tidy(spark):  # and what commands inside a command leave, as the driver's collector finds
             part.repartition(n, key).write.format("parquet").option("compression", "zstd").bucketBy(n, key).mode("append").option("path", path).saveAsTable(name)
+        spark._jvm.System.gc()
     table = spark.table(name)
     table.table_name = name
     return table
