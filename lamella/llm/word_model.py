@@ -26,11 +26,11 @@ SLICE = 4 << 20
 #: Terms that tasks look up themselves: the words and pairs counted most often, which would crowd single tasks of the join.
 FREQUENT = 1 << 19
 #: Words whose statistics are broadcast when the pairs' terms are made, for the same reason.
-FREQUENT_WORDS = 1 << 17
+FREQUENT_WORDS = 1 << 16
 #: Parts in which texts are scored, so that the rows of one part are on disk at a time.
 ROUNDS = 8
 #: Parts in which the terms are made, for the same reason.
-PARTS = 6
+PARTS = 3
 #: Rows that a bucket of the terms has at most, about.
 BUCKET_ROWS = 2_000_000
 #: Bytes of text whose pairs a task sums before it sends them.
@@ -154,10 +154,8 @@ def fit(trusted: DataFrame) -> tuple[DataFrame, float]:
     for k in range(PARTS):
         mine = F.pmod(F.shiftright("key", 5), F.lit(PARTS)) == k
         near = c2.withColumn("key", _pair("b", "c")).where(mine).join(some_b, "b", "left").join(some_c, "c", "left")  # frequent words don't move
-        first = near.where("w is null").drop("total", "w").join(every_b, "b")
-        second = near.where("w is not null").unionByName(first).where("p is null").drop("p").join(every_c, "c")
-        rows = near.where("w is not null and p is not null").unionByName(first.where("p is not null")).unionByName(second)
-        parts.append(term(rows).unionByName(single.where(mine)))
+        far = near.where("w is null or p is null").select("key", "b", "c", "n").join(every_b, "b").join(every_c, "c")
+        parts.append(term(near.where("w is not null and p is not null").unionByName(far, allowMissingColumns=True)).unionByName(single.where(mine)))
     terms = bucketed(parts, "key", "terms", buckets)
     forget(c2, words)
     return terms, math.log(unknown)
