@@ -390,6 +390,18 @@ def test_quality_separates(spark):
 # pipeline
 
 
+def test_pipeline_of_awkward_and_empty_tables(spark):
+    """Null and empty texts, texts of 45 KB, ties, repeated rows and clashing names go through every stage; so does nothing."""
+    docs, nothing = awkward(spark), empty(spark)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        before, docs, nothing = docs, corpus_pipeline.saved(stage(spark, docs, SF), "test"), stage(spark, nothing, SF)
+        assert docs.columns == before.columns == nothing.columns and nothing.isEmpty()
+    texts = {r.text for r in docs.collect()}
+    assert texts and all(t.strip() for t in texts) and len(texts) >= 4  # texts without words are never taken by the mix
+    packed = corpus_pipeline.STAGES[-1][1]
+    assert packed(spark, docs, SF).where("piece = 0").count() == docs.count() and packed(spark, nothing, SF).isEmpty()
+
+
 def test_pipeline_stages(spark):
     docs = before = spark.read.parquet(f"{SF}/documents.parquet")
     names = [n for n, _ in corpus_pipeline.STAGES]
