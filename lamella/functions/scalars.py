@@ -59,14 +59,9 @@ def scale_ladder(low: float = 0.25, high: float = 4.0, n: int = 13) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.bround(F.exp(F.lit(math.log(low)) + i * F.lit(step)), 4))
 
 
-def flat_corrected(px: Column, flat: Column, level: Column) -> Column:
-    """Pixels over the flat field's (mean 1), less the dataset's level; a flat of 0 leaves the pixel."""
-    return F.zip_with(px, flat, lambda v, f: F.when(f != 0, v / f).otherwise(v) - level)
-
-
 def tone_mapped(px: Column, low: Column, high: Column) -> Column:
-    """Pixels on a window as whole numbers from 0 to 255."""
-    return F.transform(px, lambda v: F.rint(F.greatest(F.lit(0.0), F.least(F.lit(255.0), (v - low) / (high - low) * 255.0))).cast("int"))
+    """Pixels on a window as whole numbers from 0 to 255, cut off below the next one."""
+    return F.transform(px, lambda v: F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), (v - low) / (high - low) * 255.0))).cast("int"))
 
 
 def signal_plane(b: Column, g: Column, r: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lamella.functions.scalars import position_line
 
-MOVED, APART, BLOCK = 0.5, 10.0, 256
+MOVED, APART, BLOCK, PLACED_RADIUS, UNPLACED_RADIUS = 0.5, 10.0, 256, 96.0, 256.0
 PLACED = "state IN ('anchor', 'human', 'unverified') AND x IS NOT NULL AND y IS NOT NULL"
 
 
@@ -29,14 +29,20 @@ def chain_breaks(trials: DataFrame, splits: DataFrame) -> DataFrame:
 
 
 def normalised(tiles: DataFrame) -> DataFrame:
-    """Positions from the smallest anchored trial, else the smallest placed one; the machine's move along; null where unplaced."""
+    """Positions from the smallest anchored trial, else the smallest placed one; null where unplaced.
+
+    The machine's and the last positions (``last_x, last_y``) move along. A placed tile keeps a radius below 256 and else
+    has 96; others have 256 unless they have one.
+    """
     anchored = F.when(F.expr(PLACED) & (F.col("state") == "anchor"), F.col("trial"))
     first = tiles.where(PLACED).groupBy("dataset").agg(F.coalesce(F.min(anchored), F.min("trial")).alias("origin"))
     zero = tiles.join(first, "dataset").where("trial = origin").select("dataset", F.col("x").alias("ox"), F.col("y").alias("oy"))
     rows = tiles.join(zero, "dataset", "left")
     at = lambda c, o: F.when(F.expr(PLACED), F.col(c) - F.col(o))
     moved = F.round(F.when(F.expr(PLACED), F.hypot(F.col("x") - F.col("mx"), F.col("y") - F.col("my"))), 4)
-    return rows.select("dataset", "trial", at("x", "ox").alias("nx"), at("y", "oy").alias("ny"), (F.col("mx") - F.col("ox")).alias("nmx"), (F.col("my") - F.col("oy")).alias("nmy"), moved.alias("moved_px"))
+    own = F.when((F.col("r") > 0) & (F.col("r") < UNPLACED_RADIUS), F.col("r"))
+    radius = F.when(F.expr(PLACED), F.coalesce(own, F.lit(PLACED_RADIUS))).otherwise(F.coalesce("r", F.lit(UNPLACED_RADIUS)))
+    return rows.select("dataset", "trial", at("x", "ox").alias("nx"), at("y", "oy").alias("ny"), (F.col("mx") - F.col("ox")).alias("nmx"), (F.col("my") - F.col("oy")).alias("nmy"), moved.alias("moved_px"), (F.col("last_x") - F.col("ox")).alias("nlx"), (F.col("last_y") - F.col("oy")).alias("nly"), radius.alias("r"))
 
 
 def provenance(tiles: DataFrame, builds: DataFrame) -> DataFrame:

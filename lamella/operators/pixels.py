@@ -43,6 +43,12 @@ def percentile_of(values: Column, share: float) -> Column:
     return _once(F.array_sort(values), of)
 
 
+def flat_corrected(px: Column, flat: Column, level: float) -> Column:
+    """Pixels over the flat field's, at least 0.001, scaled so that their median is the dataset's ``level``."""
+    over = F.zip_with(px, flat, lambda v, f: v / F.greatest(f, F.lit(1e-3)))
+    return _once(over, lambda c: _once(F.lit(level) / F.greatest(percentile_of(c, 0.5), F.lit(1e-3)), lambda g: F.transform(c, lambda v: v * g)))
+
+
 def exposure(frames: DataFrame, floor: float = 0.05, share: float = 0.01) -> DataFrame:
     """60th percentile of a frame's pixels above ``floor``, or 0 where at most ``share`` of them are. No row leaves its task."""
     lit = F.filter("px", lambda v: v > floor)

@@ -181,6 +181,12 @@ def wanted_kinds(requests: DataFrame) -> DataFrame:
     return requests.select("request", F.posexplode(F.array_distinct("kinds")).alias("place", "kind"))
 
 
+def chosen_stills(matches: DataFrame) -> DataFrame:
+    """Of a recording's stills ``(recording, still, margin, ncc)`` the one with the largest margin to four decimals, then ncc; nulls count as -1."""
+    order = F.struct(F.round(F.coalesce("margin", F.lit(-1.0)), 4).alias("m"), F.coalesce("ncc", F.lit(-1.0)).alias("n"), "still")
+    return matches.groupBy("recording").agg(F.max(order).alias("best")).select("recording", "best.still")
+
+
 def tints(evidence: DataFrame, pure: float = 0.985, grey: float = 0.30) -> DataFrame:
     """The tint (b, g, r with the largest 1) of ``(video, n_px, n_frames, cb, cg, cr)``, mean unit colours; null unless there is one hue, off grey."""
     top, low = F.greatest("cb", "cg", "cr"), F.least("cb", "cg", "cr")

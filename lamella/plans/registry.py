@@ -71,7 +71,8 @@ def _own_links(spark, sf_dir):
 
 def _keyed(tiles):
     """Tiles where the machine placed none in datasets 3 and 4, and the sixth unplaced."""
-    return tiles.withColumn("mx", F.when(~F.col("dataset").isin(3, 4), F.col("mx"))).withColumn("x", F.when(F.col("trial") % 6 != 0, F.col("x")))
+    rows = tiles.withColumn("r", F.when(F.col("trial") % 3 == 0, 40.0).when(F.col("trial") % 5 == 0, 256.0)).withColumn("last_x", F.when(F.col("state") == "excluded", F.col("x"))).withColumn("last_y", F.when(F.col("state") == "excluded", F.col("y")))
+    return rows.withColumn("mx", F.when(~F.col("dataset").isin(3, 4), F.col("mx"))).withColumn("x", F.when(F.col("trial") % 6 != 0, F.col("x")))
 
 
 def _stale(spark, sf_dir):
@@ -197,7 +198,7 @@ _KEYFRAMES = _SEGMENTS + """, o AS (SELECT *, row_number() OVER (PARTITION BY vi
     SELECT video, segment, frame, travel, rn, CASE WHEN reason IS NULL THEN since ELSE 0 END, slow, reason FROM (SELECT *, CASE WHEN since >= 3000 THEN 'travel' WHEN slow = 3 THEN 'dwell' END AS reason FROM
       (SELECT o.video, o.segment, o.frame, o.travel, o.rn, y.since + o.step AS since, CASE WHEN o.step < 50 THEN y.slow + 1 ELSE 0 END AS slow FROM y JOIN o ON o.video = y.video AND o.segment = y.segment AND o.rn = y.rn + 1))),
   k AS (SELECT video, segment, frame, travel, reason FROM y WHERE reason IS NOT NULL)"""
-_KEYED = "q AS (SELECT * REPLACE (CASE WHEN dataset NOT IN (3, 4) THEN mx END AS mx, CASE WHEN trial % 6 <> 0 THEN x END AS x) FROM tiles)"
+_KEYED = "q AS (SELECT * REPLACE (CASE WHEN dataset NOT IN (3, 4) THEN mx END AS mx, CASE WHEN trial % 6 <> 0 THEN x END AS x), x AS lx FROM tiles)"
 _OWN = "l AS (SELECT * REPLACE (a // 20 AS dataset) FROM links)"
 _ON = "state <> 'excluded' AND x IS NOT NULL AND y IS NOT NULL"
 _PIXELS = "e AS (SELECT frame, grp, x, y, unnest(px) AS value, generate_subscripts(px, 1) - 1 AS pixel FROM frames8)"
@@ -223,7 +224,7 @@ _SQL |= {
     "sampled_frames": ("frame_track", "r AS (SELECT video, frame, row_number() OVER (PARTITION BY video ORDER BY frame) - 1 AS i, count(*) OVER (PARTITION BY video) AS n FROM frame_track)", "SELECT video, frame FROM r WHERE n <= 96 OR EXISTS (SELECT 1 FROM range(0, 96) AS t(k) WHERE round_even(k * (n - 1) / 95.0::DOUBLE, 0) = i)"),
     "activity": ("frame_track", "", "SELECT video, min(frame) AS first, max(frame) AS last, count(*) AS n FROM (SELECT video, frame, frame - row_number() OVER (PARTITION BY video ORDER BY frame) AS island FROM frame_track WHERE gray >= 3) GROUP BY video, island"),
     "normalised_layout": ("tiles", _KEYED + f", f AS (SELECT dataset, coalesce(min(trial) FILTER (state = 'anchor'), min(trial)) AS origin FROM q WHERE {_ON} GROUP BY dataset), o AS (SELECT q.dataset, x AS ox, y AS oy FROM q JOIN f ON q.dataset = f.dataset AND q.trial = f.origin)",
-      f"SELECT q.dataset, trial, CASE WHEN {_ON} THEN x - ox END AS nx, CASE WHEN {_ON} THEN y - oy END AS ny, mx - ox AS nmx, my - oy AS nmy, CASE WHEN {_ON} THEN round(sqrt((x - mx) ** 2 + (y - my) ** 2), 4) END AS moved_px FROM q LEFT JOIN o ON q.dataset = o.dataset"),
+      f"SELECT q.dataset, trial, CASE WHEN {_ON} THEN x - ox END AS nx, CASE WHEN {_ON} THEN y - oy END AS ny, mx - ox AS nmx, my - oy AS nmy, CASE WHEN {_ON} THEN round(sqrt((x - mx) ** 2 + (y - my) ** 2), 4) END AS moved_px, CASE WHEN state = 'excluded' THEN lx - ox END AS nlx, CASE WHEN state = 'excluded' THEN y - oy END AS nly, CASE WHEN trial % 3 = 0 THEN 40.0 WHEN {_ON} THEN 96.0 ELSE 256.0 END::DOUBLE AS r FROM q LEFT JOIN o ON q.dataset = o.dataset"),
     "provenance": ("tiles", _KEYED, "SELECT dataset, count(mx) AS n_machine, CASE WHEN dataset % 3 = 0 THEN 'build' WHEN count(mx) > 0 THEN 'machine' ELSE 'independent' END AS provenance FROM q GROUP BY dataset"),
     "trusted_matches": ("tiles", "", "SELECT dataset, trial, (trial % 4 = 0 OR margin >= 0.2) AND ncc >= 0.65 AS confident, CASE WHEN NOT ((trial % 4 = 0 OR margin >= 0.2) AND ncc >= 0.65) AND (x - mx) ** 2 + (y - my) ** 2 > 25 THEN 'solver' ELSE 'match' END AS used FROM tiles"),
     "rescoped_tiles": ("tiles", _KEYED + ", n AS (SELECT dataset, trial FROM tiles WHERE trial % 4 <> 0 UNION ALL SELECT dataset, trial + 1000000 FROM tiles WHERE trial % 50 = 0)",

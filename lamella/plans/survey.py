@@ -255,7 +255,7 @@ def merged_summaries(spark, sf_dir):
 @query("scalar_functions", "", "", """SELECT o_orderkey AS k, (o_orderkey * 13 % 720 - 360 + 45.0) - 90 * floor((o_orderkey * 13 % 720 - 360 + 45.0) / 90) - 45 AS folded, greatest(96, least(768, round_even(1.25 * (o_orderkey % 900) + 64.0, 0)))::INT AS reach,
   CASE WHEN o_orderkey % 4 = 0 THEN 'unknown' WHEN o_orderkey % 4 = 1 THEN 'refused' ELSE 'supplied' END AS scale, strftime(make_timestamp(o_orderkey * 1000000000), '%Y-%m-%dT%H:%M:%SZ') AS stamp,
   round_even(exp(ln(0.25) + (o_orderkey % 13) * (ln(4.0) - ln(0.25)) / 12), 4) AS step, round_even(least(255, (o_orderkey % 256) * 0.5), 0)::INT AS red, greatest(o_orderkey % 5, o_orderkey % 7, o_orderkey % 11) AS signal,
-  'survey' || o_orderkey || '-' || sha1(lower('/Data/Survey' || o_orderkey)).substr(1, 8) AS key, substr(sha1('{"k":' || o_orderkey || '}'), 1, 10) AS config, greatest(0, least(255, round_even((o_orderkey % 300 - 20) / 200.0 * 255, 0)))::INT AS toned FROM orders""")
+  'survey' || o_orderkey || '-' || sha1(lower('/Data/Survey' || o_orderkey)).substr(1, 8) AS key, substr(sha1('{"k":' || o_orderkey || '}'), 1, 10) AS config, floor(greatest(0, least(255, (o_orderkey % 300 - 20) / 200.0::DOUBLE * 255)))::INT AS toned FROM orders""")
 def scalar_functions(spark, sf_dir):
     k, text = F.col("k"), F.col("k").cast("string")
     return _orders(spark, sf_dir).select(
@@ -624,6 +624,20 @@ def tints(spark, sf_dir):
     return review.tints(pixels.colour_evidence(rows, share=0.2, enough=20), pure=0.9)
 
 
+@query("flat_corrected", "frames8", "c AS (SELECT frame, list_transform(px, lambda v, i: abs(v) / greatest(0.5 + i % 3 * 0.5, 0.001)) AS c FROM frames8), m AS (SELECT frame, c, list_median(c) AS m FROM c)", "SELECT frame, round(list_sum(list_transform(c, lambda v, i: i * v * (100.0 / greatest(m, 0.001)))), 3) AS checksum FROM m")
+def flat_corrected(spark, sf_dir):
+    flat = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: 0.5 + i % 3 * 0.5)
+    rows = views.frames8(spark, sf_dir).select("frame", pixels.flat_corrected(F.transform("px", lambda v: F.abs(v)), flat, 100.0).alias("c"))
+    return rows.select("frame", F.round(F.aggregate(F.transform("c", lambda v, i: v * (i + 1)), F.lit(0.0), lambda s, v: s + v), 3).alias("checksum"))
+
+
+@query("chosen_stills", "", "r AS (SELECT c_custkey % 30 AS recording, 'still' || c_custkey AS still, CASE WHEN c_custkey % 7 <> 0 THEN c_custkey * 11 % 41 / 100.0 END AS margin, c_custkey * 13 % 97 / 100.0 AS ncc FROM customer)", "SELECT recording, still FROM r QUALIFY row_number() OVER (PARTITION BY recording ORDER BY coalesce(margin, -1) DESC, ncc DESC, still DESC) = 1")
+def chosen_stills(spark, sf_dir):
+    k = F.col("c_custkey")
+    rows = views.read(spark, sf_dir, "customer").select((k % 30).alias("recording"), F.concat(F.lit("still"), k.cast("string")).alias("still"), F.when(k % 7 != 0, k * 11 % 41 / 100.0).alias("margin"), (k * 13 % 97 / 100.0).alias("ncc"))
+    return review.chosen_stills(rows)
+
+
 @query("median_composite", "frames8", "e AS (SELECT grp, x, y, unnest(px) AS value, generate_subscripts(px, 1) - 1 AS pixel FROM frames8)", "SELECT grp, x + pixel % 8 AS cx, y + pixel // 8 AS cy, round(median(value), 6) AS px FROM e GROUP BY ALL")
 def median_composite(spark, sf_dir):
     return pixels.median_composite(views.frames8(spark, sf_dir))

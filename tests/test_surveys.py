@@ -84,12 +84,12 @@ def test_keyframes_over_batches(spark, tmp_path):
 
 def test_empty_and_null_rows(spark):
     track = "video long, frame long, gray double, step long, response double"
-    tiles = "dataset long, trial long, state string, x double, y double, mx double, my double, ncc double, margin double, diverted boolean, stale boolean, seq long, status string"
+    tiles = "dataset long, trial long, state string, x double, y double, mx double, my double, ncc double, margin double, diverted boolean, stale boolean, seq long, status string, r double, last_x double, last_y double"
     for rows in ([], [(1, 1, None, None, None), (1, 2, 9.0, None, None)]):
         df = spark.createDataFrame(rows, track)
         for f in (tracks.segments, tracks.shoulders, tracks.dwells, tracks.travel_keyframes, tracks.track_statistics, tracks.sampled_frames, tracks.tone_frames, tracks.activity):
             f(df).collect()
-    for rows in ([], [(1, 1, *[None] * 11), (1, 2, "anchor", None, 1.0, *[None] * 8)]):
+    for rows in ([], [(1, 1, *[None] * 14), (1, 2, "anchor", None, 1.0, *[None] * 11)]):
         df = spark.createDataFrame(rows, tiles)
         for f in (documents.normalised, lambda t: documents.provenance(t, t.selectExpr("dataset", "state as build")), documents.trusted, spatial.pair_blocks, spatial.coverage, layout.state_counts, documents.active, documents.without_machine, documents.edit_tallies, documents.covered_blocks, documents.seed_shift, documents.position_stamp, documents.neighbours, lambda t: documents.problems(t, t.selectExpr("dataset", "trial as lo", "trial as hi", "trial as origin", "trial as cursor"), t), lambda t: documents.seeded(t, t.selectExpr("dataset", "trial", "x as bx", "y as by")), lambda t: review.quality_report(t, review.build_staleness(t, t, t)), lambda t: review.rechecked(t, t.selectExpr("dataset", "trial", "x as bx", "y as by")), lambda t: scoring.report(t, t.withColumn("r", t["x"]), t)):
             f(df).collect()
