@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lamella.llm.arrow import flat_bytes, sub_batches
-from lamella.plans.session import bucketed, forget, saved
+from lamella.plans.session import bucketed, checkpointed, forget, saved
 
 SLICE = 4 << 20
 #: Terms that tasks look up themselves: the words and pairs counted most often, which would crowd single tasks of the join.
@@ -30,7 +30,7 @@ FREQUENT_WORDS = 1 << 16
 #: Parts in which texts are scored, so that the rows of one part are on disk at a time.
 ROUNDS = 8
 #: Parts in which the terms are made, for the same reason.
-PARTS = 3
+PARTS = 4
 #: Rows that a bucket of the terms has at most, about.
 BUCKET_ROWS = 2_000_000
 #: Bytes of text whose pairs a task sums before it sends them.
@@ -118,6 +118,17 @@ def _taken(n: str, d: tuple[float, float, float]) -> Column:
     return F.when(F.col(n) == 1, d[0]).when(F.col(n) == 2, d[1]).otherwise(d[2])
 
 
+def _most_counted(rows: DataFrame, most: int) -> DataFrame:
+    """Rows counted often enough that at most ``most`` are; the least count is read from how many rows have each count, without a sort."""
+    upto, least = 0, None
+    for r in rows.groupBy("n").agg(F.count("*").alias("rows")).orderBy(F.desc("n")).limit(most).toLocalIterator():
+        upto += r["rows"]
+        if upto > most:
+            break
+        least = r["n"]
+    return rows.where(F.lit(False) if least is None else F.col("n") >= least)
+
+
 def fit(trusted: DataFrame) -> tuple[DataFrame, float]:
     """Terms ``(key, n, term)`` of the log-probability, in a table bucketed by key, and the logarithm of an unknown word's probability.
 
@@ -138,7 +149,7 @@ def fit(trusted: DataFrame) -> tuple[DataFrame, float]:
         return bucketed([words.select(F.col("word").alias("key"), F.col("k").alias("n"), F.lit(0.0).cast("float").alias("term"))], "key", "terms"), 0.0
     unknown = whole["freed"] / whole["k"] / (whole["v"] + 1)
     known = words.select("word", "total", "w", F.when(F.col("k").isNotNull(), (F.col("k") - _taken("k", d1)) / whole["k"] + unknown).alias("p"), F.coalesce("total", "k").alias("n"))
-    often = known.orderBy(F.desc("n"), "word").limit(FREQUENT_WORDS)
+    often = checkpointed(_most_counted(known, FREQUENT_WORDS))
     some_b = F.broadcast(often.select(F.col("word").alias("b"), "total", "w"))
     some_c = F.broadcast(often.select(F.col("word").alias("c"), "p"))
     every_b = known.select(F.col("word").alias("b"), "total", "w").hint("merge")
@@ -167,7 +178,7 @@ def scores(texts: DataFrame, terms: DataFrame, unknown: float, frequent: int | N
     A task sends a row for each text and each word or pair with its count. The frequent ones, at most ``FREQUENT``, are
     looked up where they are read; all others meet their terms in a join. Copies of a text add up above and below the line.
     """
-    table = terms.orderBy(F.desc("n"), "key").limit(FREQUENT if frequent is None else frequent).select("key", "term").toArrow()
+    table = _most_counted(terms, FREQUENT if frequent is None else frequent).select("key", "term").toArrow()
     keys, values = table.column(0).to_numpy().view(np.uint64), table.column(1).to_numpy()
     order = np.argsort(keys)
     shared = texts.sparkSession.sparkContext.broadcast((keys[order], values[order]))
@@ -200,7 +211,7 @@ def scores(texts: DataFrame, terms: DataFrame, unknown: float, frequent: int | N
     for k in range(ROUNDS):
         some = rows.where(F.pmod(F.shiftright("text_id", 3), F.lit(ROUNDS)) == k).mapInArrow(grams, "text_id long, key long, n int, base double")
         # only ids and n-grams travel; a text's own row has its id for a key, so it is spread like the others
-        met = some.join(terms.select("key", "term").hint("merge"), "key", "left")  # the terms stay in their buckets
+        met = some.join(terms.select("key", "term").hint("shuffle_hash"), "key", "left")  # the terms stay in their buckets, of BUCKET_ROWS each
         own = F.col("base").isNotNull()
         total = F.sum(F.when(own, F.col("base")).otherwise(F.col("n") * F.coalesce("term", F.lit(0.0))))
         part = saved(met.groupBy("text_id").agg((-total / F.sum(F.when(own, F.col("n")))).alias("nll")), "scores")
