@@ -42,6 +42,22 @@ def test_media(spark):
     assert media.stored_and_probed(empty(spark)).collect() == []
 
 
+def test_media_query(spark):
+    """All columns of the query against files made and walked here; equal texts have equal values."""
+    got = queries.op2_media(spark, SF).collect()
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    seen = {}
+    for r in got:
+        data = (texts[r.doc_id] or "").encode()
+        stored = media.container(data + bytes(-len(data) % 64 if data else 64))
+        track, _ = media.read(stored)
+        keys = ",".join(f"{o}+{n}" for o, n in zip(track.key_offsets, track.key_sizes, strict=True))
+        want = ";".join([track.codec, f"{track.duration}/{track.timescale}", f"{len(track.key_offsets)}/{r.payload_bytes // 64}", hashlib.sha256(keys.encode()).hexdigest()])
+        assert (r.media_bytes, r.media_sha256, r.feature) == (len(stored), hashlib.sha256(stored).hexdigest(), want)
+        assert seen.setdefault(data, tuple(r)[1:]) == tuple(r)[1:]
+    assert len(got) == len(texts)
+
+
 def test_media_keyframes_point_into_the_file():
     payload = random.Random(2).randbytes(64 * 777)
     data = media.container(payload)
