@@ -41,6 +41,8 @@ class Spec:
     units: Callable[[pa.Array], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
     #: text -> (number of units, digest when nothing is removed)
     finish: Callable[[bytes], tuple[int, str]]
+    #: bytes of text whose rows a task holds at a time; a window may be a row
+    held: int = SLICE
 
     @property
     def length(self) -> int:
@@ -185,7 +187,7 @@ def recurring(docs: DataFrame, spec: Spec, local: Callable[[Iterator[tuple]], It
                 if not order[a]:
                     state.learn(np.asarray(part.column(2)), np.asarray(part.column(3).to_numpy(zero_copy_only=False), bool))
                     continue
-                for some in sub_batches(part, "text", SLICE):
+                for some in sub_batches(part, "text", spec.held):
                     rows = list(local(state.read(some.column(4).to_pylist(), some.column(5).fill_null(b""))))
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types(some.schema.field(4).type), strict=True)], names=names)
 

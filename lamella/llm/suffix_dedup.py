@@ -33,7 +33,7 @@ def _units(texts: pa.Array):
     return data, data.astype(np.uint64) + np.uint64(1), offsets, at, at + 1
 
 
-SPEC = Spec(k=100, w=WINDOW - 99, hot=4000, units=_units, finish=lambda text: (len(text), hashlib.sha256(text).hexdigest()))
+SPEC = Spec(k=100, w=WINDOW - 99, hot=4000, units=_units, finish=lambda text: (len(text), hashlib.sha256(text).hexdigest()), held=1 << 18)
 
 
 def _once(rows: Iterator[tuple]) -> Iterator[tuple]:
