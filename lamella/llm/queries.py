@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lamella.llm.divergence import divergence
 from lamella.llm.exact_dedup import exact_dedup
+from lamella.llm.html_text import extracted
 from lamella.llm.lz_dedup import remove_duplicates
 from lamella.llm.media import stored_and_probed
 from lamella.llm.mixing import mix
 from lamella.llm.packing import packed
+from lamella.llm.phrases import collocations
 from lamella.llm.quality import classify
 from lamella.llm.simhash import near_copies
 from lamella.llm.suffix_dedup import remove_repeats
@@ -70,6 +73,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("row.doc_id", "perplexity", "threshold", "rejected")
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extracted(table(spark, sf_dir, "pages"))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_media": op2_media,
@@ -81,6 +96,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_packing": op9_packing,
     "op10_quality": op10_quality,
+    "op11_divergence": op11_divergence,
+    "op12_html_text": op12_html_text,
+    "op13_phrases": op13_phrases,
 }
 
 ORACLES = {
@@ -149,4 +167,47 @@ removed AS (SELECT doc_id, list(j) AS js FROM covered GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(js), 0)::BIGINT AS n_removed,
        sha256(array_to_string(CASE WHEN js IS NULL THEN w ELSE list_filter(w, lambda x, k: NOT list_contains(js, k)) END, ' ')) AS kept_sha256
 FROM words LEFT JOIN removed USING (doc_id)""",
+    "op11_divergence": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words
+  FROM documents),
+o AS (SELECT row, lang, source, unnest(words) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM o GROUP BY ALL HAVING count(DISTINCT row) >= 10),
+c AS (SELECT lang, source, term, count(*) AS n FROM o SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+l AS (SELECT lang, coalesce(v, 0) AS v, coalesce(total, 0) AS total FROM (SELECT DISTINCT lang FROM d) LEFT JOIN (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang) USING (lang)),
+g AS (SELECT d.lang, d.source, coalesce(any_value(total), 0) AS total FROM (SELECT DISTINCT lang, source FROM d) AS d LEFT JOIN (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL) AS t ON t.lang = d.lang AND t.source = d.source GROUP BY ALL),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, (1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 2) // (g.total + 2 * l.v))::BIGINT AS p,
+         (1 + 1000000000::HUGEINT * (k.n + 2) // (l.total + 2 * l.v))::BIGINT AS q
+  FROM g JOIN l USING (lang) JOIN kept AS k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+pair AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM p AS a JOIN p AS b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+every AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM g AS a JOIN g AS b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p WHERE n > 0 AND p > q)
+SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM every
+QUALIFY part = 'pair' OR rank <= 10""",
+    "op13_phrases": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (
+  SELECT lang, m, array_to_string(w[i : i + m - 1], ' ') AS phrase
+  FROM words, unnest(range(1, 6)) AS x(m), unnest(range(1, greatest(len(w) - m + 2, 1))) AS y(i)),
+counts AS (SELECT lang, m, phrase, count(*) AS n FROM grams GROUP BY ALL),
+totals AS (SELECT lang, sum(n) AS total FROM counts WHERE m = 1 GROUP BY lang),
+cand AS (SELECT *, string_split(phrase, ' ') AS w FROM counts WHERE m > 1 AND n >= 100),
+longer AS (
+  SELECT lang, array_to_string(w[i : i + k - 1], ' ') AS phrase, max(n) AS longer
+  FROM cand, unnest(range(2, 5)) AS x(k), unnest(range(1, 5)) AS y(i) WHERE k < m AND i + k - 1 <= m GROUP BY ALL),
+alive AS (SELECT c.* FROM cand AS c LEFT JOIN longer USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 100 * n),
+cuts AS (SELECT lang, phrase, n AS a, k, array_to_string(w[1 : k], ' ') AS one, array_to_string(w[k + 1 : m], ' ') AS rest FROM alive, unnest(range(1, 5)) AS x(k) WHERE k < m),
+scored AS (
+  SELECT c.lang, c.phrase, a, k, l.n AS l, r.n AS r, total::BIGINT AS n, (1000::HUGEINT * a * total // (l.n::HUGEINT * r.n))::BIGINT AS score
+  FROM cuts AS c JOIN counts AS l ON l.lang = c.lang AND l.phrase = one AND l.m = k JOIN counts AS r ON r.lang = c.lang AND r.phrase = rest JOIN totals AS t ON t.lang = c.lang),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM lowest QUALIFY rank <= 2000""",
 }
