@@ -71,7 +71,8 @@ def block_identities(rows: DataFrame, data: str, block_bytes: int = BLOCK_BYTES,
             "row",
             F.posexplode(F.expr("transform(sequence(0, cast(ceil(size(names) / 2.0) as int) - 1), i -> struct(names[2 * i] as a, get(names, 2 * i + 1) as b))")).alias("pos", "pair"),
         ).select("rid", "row", "pos", F.col("pair.a").alias("a"), F.coalesce("pair.b", F.lit(-(2**63) + 1)).alias("b"))
-        names = pairs.select("a", "b").distinct().sortWithinPartitions("a", "b").select("a", "b", F.monotonically_increasing_id().alias("name"))
+        # stored like level 0, so that both sides of the join are plain exchanges and AQE can split a pair of very many rows
+        names = checkpointed(pairs.select("a", "b").distinct().sortWithinPartitions("a", "b").select("a", "b", F.monotonically_increasing_id().alias("name")))
         current = checkpointed(gathered(pairs.join(names, ["a", "b"])))
         longest = -(-longest // 2)
     out = done[0]
