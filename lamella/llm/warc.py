@@ -13,18 +13,21 @@ import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.plans.session import bounded, checkpointed, forget_path, saved, scratch
+from lamella.plans.session import bounded, checkpointed, forget_path, saved, scratch, small_batches
 
 MAGIC = b"WARC/1."
 END = b"\r\n\r\n"
 LEAST_PAYLOAD = 100
 #: Fixed value of the format: how a revisit is alike.
 PROFILE = "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-RECORDS_PER_FILE = 4096
+#: Bytes of records after which a file is closed; a longer record has a file of its own.
+FILE_BYTES = 64 << 20
 #: Digests of repeated payloads that may be broadcast.
 REPEATED = 500_000
 HEAD = re.compile(rb"WARC/1\.[01]\r\n((?:[^\s:]+:[^\r\n]*\r\n(?:[ \t][^\r\n]*\r\n)*)+)\r\n")
@@ -55,9 +58,26 @@ def records(pages: DataFrame) -> DataFrame:
     return rows.select(F.concat(head, body).alias("record"))
 
 
-def write(pages: DataFrame, path: str) -> None:
-    """Gzip-compressed archives, at most 4,096 records each, below ``path``."""
-    records(pages).write.option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+def _in_files(file_bytes: int):
+    """Records with the number of their file in their task: the running sum of their bytes decides."""
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = 0
+        for b in batches:
+            size = pc.add(pc.binary_length(b.column(0)), len(END)).to_numpy(zero_copy_only=False).astype(np.int64)
+            upto = before + np.cumsum(size)
+            file = (upto - size) // file_bytes
+            before += int(size.sum())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(file)], names=["record", "file"])
+
+    return number
+
+
+def write(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None:
+    """Gzip-compressed archives of about ``file_bytes`` each, or of one longer record, in folders below ``path``."""
+    small_batches(pages.sparkSession)
+    dealt = records(pages).mapInArrow(_in_files(file_bytes), "record string, file long")
+    dealt.write.partitionBy("file").option("lineSep", END.decode()).option("compression", "gzip").text(path)
 
 
 def _parsed(data: bytes, at: int) -> tuple | None:
@@ -72,7 +92,7 @@ def _parsed(data: bytes, at: int) -> tuple | None:
     end = m.end() + int(size)
     if data[end : end + len(END)] != END:
         return None
-    page = lambda x: int(i) if (i := x.removeprefix(b"<urn:page:").removesuffix(b">")).lstrip(b"-").isdigit() else None
+    page = lambda x: x.decode("utf-8", "replace")
     kind, body = fields.get(b"warc-type", b"").decode(), data[m.end() : end]
     refers = page(fields[b"warc-refers-to"]) if b"warc-refers-to" in fields else None
     digest, n = hashlib.sha256(body).hexdigest(), len(body)
@@ -110,11 +130,11 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
                         rows.append((file, at, *got))
                     at += len(MAGIC)
                 rows.append((file, len(data), *[None] * 6))
-                types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+                types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), *[pa.string()] * 3]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["file", "at", "next", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    return files.mapInArrow(scan, "file string, at long, next long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    return files.mapInArrow(scan, "file string, at long, next long, page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string")
 
 
 def reachable(links: DataFrame) -> DataFrame:
@@ -135,7 +155,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """The records of the archives below ``path``: file, at, next, page_id, payload_bytes, payload_digest, record_type, refers_to.
 
     Digests and lengths of responses are taken from the bytes read; revisits carry those of the payload they refer to.
-    A file whose chain of records does not end where the file does is an error.
+    A file whose chain of records does not end where the file does is an error, and so is a record whose id isn't a page's.
     """
     found = checkpointed(candidates(spark, path))
     links = found.where("next is not null")
@@ -143,7 +163,15 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     broken = found.where("next is null and at > 0").join(reached, ["file", "at"], "left_anti").select("file").first()
     if broken:
         raise ValueError(f"the records of {broken['file']} do not lead to its end")
-    return links.join(reached, ["file", "at"], "left_semi")
+    rows = links.join(reached, ["file", "at"], "left_semi")
+    return rows.withColumns({c: _page(c) for c in ("page_id", "refers_to")})
+
+
+def _page(urn: str) -> Column:
+    """The page's number in a record's id: null for ``null`` and where there is no id; any other id is an error."""
+    number = F.regexp_extract(urn, "^<urn:page:(null|-?[0-9]+)>$", 1)
+    wrong = F.raise_error(F.concat(F.lit("a record has the id "), F.col(urn)))
+    return F.when(F.col(urn).isNull() | (F.col(urn) == "") | (number == "null"), F.lit(None).cast("long")).when(number == "", wrong.cast("long")).otherwise(number.cast("long"))
 
 
 def written_and_read(pages: DataFrame) -> DataFrame:
