@@ -23,7 +23,7 @@ from lamella.llm.arrow import byte_values
 from lamella.llm.lz_dedup import word_units
 from lamella.llm.windows import gram_hashes, mixed, prefix_sums, span_hashes
 from lamella.operators.graph import connected_components
-from lamella.plans.session import bounded, checkpointed, forget, saved, small_batches
+from lamella.plans.session import bounded, checkpointed, forget, saved, settled, small_batches
 
 SEED = 42
 SHINGLE_WORDS = 3
@@ -31,7 +31,9 @@ MAX_BITS = 2
 #: A cell with more fingerprints is searched by blocks of bits, of which at least one is equal in any pair to be found.
 CROWDED = 64
 #: Near copies of the pipeline's stage: words of a shingle and similarity; orders and smallest hashes of its candidates.
-STAGE_WORDS, SIMILARITY, ORDERS, SMALLEST = 5, 0.8, 8, 3
+STAGE_WORDS, SIMILARITY, ORDERS, SMALLEST = 5, 0.8, 12, 3
+#: Texts of a number that are compared with all others of it in one round, about.
+PIVOTS = 64
 _SEEDS, _FACTORS = np.random.default_rng(7).integers(1, 1 << 63, (2, 16), np.uint64)
 
 
@@ -191,32 +193,70 @@ def _sets(size: int):
     return sets
 
 
-def similar_links(docs: DataFrame, shingle: int = STAGE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """``(a, b)``: links between texts (their xxhash64) whose sets of word shingles have that Jaccard similarity or more.
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Of ``(a, b)`` those whose whole sets have that Jaccard similarity; sets too unlike in size to have it aren't fetched twice."""
+    one = sets.select(F.col("node").alias("b"), F.col("set").alias("y")).hint("merge")
+    two = sets.select(F.col("node").alias("a"), F.col("set").alias("x")).hint("merge")
+    shared = F.size(F.array_intersect("x", "y"))
+    return checkpointed(pairs.join(one, "b").join(two, "a").where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b"))
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    return rows.where("node <> end").select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b")).distinct()
+
+
+def similar_links(docs: DataFrame, shingle: int = STAGE_WORDS, similarity: float = SIMILARITY, pivots: int = PIVOTS) -> DataFrame:
+    """``(a, b)``: links that join up texts (their xxhash64) whose sets of word shingles have that Jaccard similarity or more.
 
     At 0.8 two fingerprints of 64 bits are about 10 bits apart, where popcounts no longer tell texts from others. So
     candidates come from two sources: fingerprints within ``MAX_BITS``, and numbers made of the ``SMALLEST`` smallest
-    shingle hashes in each of ``ORDERS`` orders, of which texts of similarity 0.8 share one with probability 0.997. The
-    texts of a number are each compared with the two at its ends, never with all others. Every candidate is verified by
-    its whole sets.
+    shingle hashes in each of ``ORDERS`` orders, of which texts of similarity 0.8 share one with probability 0.9998. Every
+    candidate is verified by its whole sets.
+
+    The texts of a number are first compared with the two at its ends. Where that leaves several components, texts outside
+    the number's largest component become pivots, about ``pivots`` of a number a round, and each is compared with all
+    texts of the number in other components, until every text outside the largest one has been a pivot. So no pair of a
+    number is passed over, and texts that are already joined up are never paired.
     """
     texts = docs.select(F.xxhash64("text").alias("node"), F.coalesce("text", F.lit("")).alias("text"))
     nodes = checkpointed(texts.select("node", _sketch(shingle)("text").alias("keys"), _fingerprint_udf(shingle)("text").alias("fp")))
-    keyed = nodes.select("node", F.posexplode("keys").alias("k", "key")).distinct()
-    ends = checkpointed(keyed.groupBy("k", "key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi"))
-    met = keyed.join(ends, ["k", "key"]).select("node", F.explode(F.array("lo", "hi")).alias("end"))
+    keyed = nodes.select("node", F.posexplode("keys").alias("k", "key")).select("node", F.xxhash64("k", "key").alias("bucket")).distinct()
+    ends = checkpointed(keyed.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi"))
+    met = saved(keyed.join(ends, "bucket"), "met")
     fps = checkpointed(nodes.groupBy("fp").agg(F.min("node").alias("rep")))
     same = nodes.join(fps, "fp").select("node", F.col("rep").alias("end"))
     links = simhash_links(fps.select("fp"))
     across = links.join(fps.select(F.col("fp").alias("a"), F.col("rep").alias("node")), "a").join(fps.select(F.col("fp").alias("b"), F.col("rep").alias("end")), "b").select("node", "end")
-    pairs = met.unionByName(same).unionByName(across).where("node <> end").select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b")).distinct()
-    pairs = checkpointed(pairs)
+    pairs = checkpointed(_pairs(met.select("node", F.explode(F.array("lo", "hi")).alias("end")).unionByName(same).unionByName(across)))
     wanted = bounded(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     sets = saved(texts.join(wanted, "node", "left_semi").select("node", _sets(shingle)("text").alias("set")).dropDuplicates(["node"]), "shingles")
-    both = pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")).hint("merge"), "b").join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")).hint("merge"), "a")
-    shared = F.size(F.array_intersect("x", "y"))
-    links = checkpointed(both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b"))
-    forget(sets)
+    links = _verified(pairs, sets, similarity)
+    open_rows, used, size = met.select("bucket", "node"), ends.select("bucket", F.explode(F.array("lo", "hi")).alias("node")), F.size("set")
+    sizes = checkpointed(sets.select("node", size.alias("size")))
+    for step in range(1 << 30):
+        roots = connected_components(links).withColumnRenamed("node", "of")
+        rooted = open_rows.join(roots, F.col("node") == F.col("of"), "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+        crowd = rooted.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+        state = crowd.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("roots")).where("roots > 1")
+        state = checkpointed(state.select("bucket", F.col("most.root").alias("main"), (F.col("n") - F.col("most.n")).alias("outside")))
+        rooted = saved(rooted.join(state, "bucket"), "open")
+        waiting = rooted.where("root <> main").join(used.withColumn("done", F.lit(True)), ["bucket", "node"], "left_anti")
+        turn = F.pmod(F.xxhash64("node", F.lit(step)), F.lit(1 << 20)) * F.col("outside") < pivots * (1 << 20)
+        now = checkpointed(waiting.where(turn).select("bucket", F.col("node").alias("end"), F.col("root").alias("end_root")))
+        if now.isEmpty() and waiting.isEmpty():
+            forget(rooted)
+            break
+        fits = (F.col("size") >= similarity * F.col("end_size")) & (F.col("end_size") >= similarity * F.col("size"))
+        facing = rooted.join(now, "bucket").where("root <> end_root").select("node", "end").distinct()
+        facing = facing.join(sizes, "node").join(sizes.select(F.col("node").alias("end"), F.col("size").alias("end_size")), "end").where(fits)
+        links = checkpointed(links.unionByName(_verified(checkpointed(_pairs(facing)), sets, similarity)))
+        used = checkpointed(used.unionByName(now.select("bucket", F.col("end").alias("node"))))
+        if step:
+            forget(open_rows)
+        open_rows = settled(rooted.select("bucket", "node"), "open", rooted)
+    if step:
+        forget(open_rows)
+    forget(sets, met)
     return links
 
 
