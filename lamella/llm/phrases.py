@@ -22,7 +22,7 @@ from lamella.llm.arrow import flat_bytes, sub_batches
 from lamella.llm.terms import lowered, numbered, strings
 from lamella.plans.session import forget, saved, small_batches
 
-SLICE = 4 << 20
+SLICE, ROWS = 4 << 20, 1 << 16
 LEAST, WORDS, TOP, PERCENT = 100, 5, 2000, 100
 #: Bits of the bitmap of frequent pairs; a fixed size, so more pairs than bits only let more pass.
 BITS = 1 << 26
@@ -41,29 +41,30 @@ def equal_partitions(keys: list[np.ndarray], pointers: np.ndarray) -> list[tuple
     the next key.
     """
     out = [([], []) for _ in keys]
-    start = np.zeros(1 if len(pointers) else 0, np.int64)
-    depth = np.zeros(len(start), np.int64)
-    table = np.stack([*keys, np.zeros_like(keys[0])])
+    start = np.zeros(1 if len(pointers) else 0, np.int32)
+    depth = np.zeros(len(start), np.int8)
+    table = np.stack(keys)
+    pointers = pointers.astype(np.int32)
     while len(pointers):
         size = np.diff(np.append(start, len(pointers)))
-        seg = np.repeat(np.arange(len(start)), size)
+        seg = np.repeat(np.arange(len(start), dtype=np.int32), size)
         key = table[depth[seg], pointers]
         pivot = key[start + size // 2]
         side = np.sign(key - pivot[seg]).astype(np.int8) + 1
-        counts = np.zeros((3, len(start)), np.int64)
-        target = np.empty(len(pointers), np.int64)
+        counts = np.zeros((3, len(start)), np.int32)
+        target = np.empty(len(pointers), np.int32)
         base = start.copy()
         for s in range(3):
             mine = side == s
-            run = np.cumsum(mine)
-            before = run[start] - mine[start]
-            target[mine] = (base[seg] + run - 1 - before[seg])[mine]
-            counts[s] = np.add.reduceat(mine, start, dtype=np.int64)
+            run = np.cumsum(mine, dtype=np.int32)
+            before = base - 1 - (run[start] - mine[start])
+            target[mine] = run[mine] + before[seg[mine]]
+            counts[s] = np.add.reduceat(mine, start, dtype=np.int32)
             base += counts[s]
         moved = np.empty_like(pointers)
         moved[target] = pointers
         begins = np.stack([start, start + counts[0], start + counts[0] + counts[1]])
-        new_depth = np.stack([depth, depth + 1, depth])
+        new_depth = np.stack([depth, depth + np.int8(1), depth])
         real = pivot > 0  # suffixes that end here are the least: their partition is not a phrase
         for d in np.unique(depth):
             found = (depth == d) & real
@@ -71,9 +72,9 @@ def equal_partitions(keys: list[np.ndarray], pointers: np.ndarray) -> list[tuple
             out[d][1].append(counts[1][found])
         on = np.stack([counts[0] > 0, real & (depth + 1 < len(keys)), counts[2] > 0]).T.ravel()
         begins, sizes, new_depth = begins.T.ravel()[on], counts.T.ravel()[on], new_depth.T.ravel()[on]
-        pointers = moved[np.repeat(begins - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
-        start, depth = np.cumsum(sizes) - sizes, new_depth
-    none = np.zeros(0, np.int64)
+        start, depth = (np.cumsum(sizes) - sizes).astype(np.int32), new_depth
+        pointers = moved[np.repeat(begins - start, sizes) + np.arange(sizes.sum(), dtype=np.int32)]
+    none = np.zeros(0, np.int32)
     return [(np.concatenate([none, *p]), np.concatenate([none, *n])) for p, n in out]
 
 
@@ -91,22 +92,21 @@ class Slice:
         inside = ~(ends | space)
         before = np.concatenate(([False], inside[:-1])) if len(data) else inside
         after = np.concatenate((inside[1:], [False])) if len(data) else inside
-        self.begin = np.flatnonzero(inside & (~before | edge[:-1]))
-        self.end = np.flatnonzero(inside & (~after | edge[1:])) + 1
+        self.begin = np.flatnonzero(inside & (~before | edge[:-1])).astype(np.int32)
+        self.end = np.flatnonzero(inside & (~after | edge[1:])).astype(np.int32) + np.int32(1)
         row = np.searchsorted(offsets, self.begin, "right") - 1
-        self.lang = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)[row]
-        breaks = np.concatenate(([0], np.cumsum(ends)))
+        self.lang = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32)[row]
+        breaks = np.concatenate(([0], np.cumsum(ends))).astype(np.int32)
         self.joined = np.append((row[1:] == row[:-1]) & (breaks[self.begin[1:]] == breaks[self.begin[:-1]]), False) if len(row) else np.zeros(0, bool)
         ids, _, first = numbered(self.data, self.begin, self.end)
-        self.ids, self.words = ids + 1, first
+        self.ids, self.words = (ids + 1).astype(np.int32), len(first)
 
     def text(self, pointers: np.ndarray, words: int) -> pa.Array:
         """The phrases at pointers, their words joined by one space."""
-        size = self.end - self.begin
-        each = (pointers[:, None] + np.arange(words)).ravel()
-        length = size[each] + 1
-        stop = np.cumsum(length)
-        source = np.repeat(self.begin[each] - (stop - length), length) + np.arange(int(stop[-1]) if len(stop) else 0)
+        each = (pointers[:, None] + np.arange(words, dtype=np.int32)).ravel()
+        length = self.end[each] - self.begin[each] + np.int32(1)
+        stop = np.cumsum(length, dtype=np.int32)
+        source = np.repeat(self.begin[each] - (stop - length), length) + np.arange(int(stop[-1]) if len(stop) else 0, dtype=np.int32)
         joined = np.append(self.data, np.uint8(32))[np.minimum(source, len(self.data))]
         joined[stop - 1] = 32
         ends = stop[words - 1 :: words]
@@ -119,8 +119,9 @@ def _hash(lang: str, phrase: str) -> int:
 
 def _rows(cut: Slice, found: list[tuple[np.ndarray, np.ndarray]], least_words: int) -> Iterator[pa.RecordBatch]:
     for words, (pointers, n) in enumerate(found, 1):
-        if words >= least_words and len(pointers):
-            yield pa.RecordBatch.from_arrays([cut.langs.take(pa.array(cut.lang[pointers])), cut.text(pointers, words), pa.array(np.full(len(n), words, np.int32)), pa.array(n)], names=["lang", "phrase", "words", "n"])
+        for i in range(0, len(pointers) if words >= least_words else 0, ROWS):
+            some, count = pointers[i : i + ROWS], n[i : i + ROWS].astype(np.int64)
+            yield pa.RecordBatch.from_arrays([cut.langs.take(pa.array(cut.lang[some])), cut.text(some, words), pa.array(np.full(len(some), words, np.int32)), pa.array(count)], names=["lang", "phrase", "words", "n"])
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[Slice]:
@@ -129,11 +130,12 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[Slice]:
 
 def _keys(cut: Slice, go_on: np.ndarray, depth: int) -> list[np.ndarray]:
     """Keys of the suffix at each word: the language with the first word, then the numbers of the next, 0 where it stops."""
-    n, keys, still = len(cut.ids), [cut.ids * len(cut.langs) + cut.lang], np.ones(len(cut.ids), bool)
+    n, still = len(cut.ids), np.ones(len(cut.ids), bool)
+    keys = [cut.ids if len(cut.langs) == 1 else (np.unique(cut.ids.astype(np.int64) * len(cut.langs) + cut.lang, return_inverse=True)[1] + 1).astype(np.int32)]
     for d in range(1, depth):
         still[n - d :] = False
         still[: max(0, n - d)] &= go_on[d - 1 : n - 1][: max(0, n - d)]
-        key = np.zeros(n, np.int64)
+        key = np.zeros(n, np.int32)
         key[: max(0, n - d)] = np.where(still[: max(0, n - d)], cut.ids[d:], 0)
         keys.append(key)
     return keys
@@ -171,10 +173,14 @@ def deeper_counts(texts: DataFrame, pairs: DataFrame, words: int = WORDS, bits:
         known = shared.value
         for cut in _slices(batches):
             at = np.flatnonzero(cut.joined)
-            code = (cut.lang[at] * (len(cut.words) + 1) + cut.ids[at]) * (len(cut.words) + 1) + cut.ids[at + 1]
-            code, first, back = np.unique(code, return_index=True, return_inverse=True)
-            langs, some = cut.langs.to_pylist(), at[first]
-            h = np.array([_hash(langs[k], p) for k, p in zip(cut.lang[some].tolist(), cut.text(some, 2).to_pylist(), strict=True)], np.uint64).view(np.int64) % bits
+            code = (cut.lang[at].astype(np.int64) * (cut.words + 1) + cut.ids[at]) * (cut.words + 1) + cut.ids[at + 1]
+            _, first, back = np.unique(code, return_index=True, return_inverse=True)
+            langs, some = cut.langs.to_pylist(), at[first].astype(np.int32)
+            h = np.empty(len(some), np.uint64)
+            for i in range(0, len(some), ROWS):
+                part = some[i : i + ROWS]
+                h[i : i + ROWS] = [_hash(langs[k], p) for k, p in zip(cut.lang[part].tolist(), cut.text(part, 2).to_pylist(), strict=True)]
+            h = h.view(np.int64) % bits
             passed = (known[h >> 6] >> (h & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
             go_on = np.zeros(len(cut.ids), bool)
             go_on[at] = passed[back]

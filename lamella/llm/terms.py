@@ -62,11 +62,11 @@ def numbered(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.n
 
 def strings(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
     """The spans of ``data``, which are UTF-8, as an Arrow column."""
-    size = end - begin
-    stop = np.cumsum(size)
-    place = np.repeat(begin - (stop - size), size) + np.arange(int(stop[-1]) if len(stop) else 0)
-    offsets = np.concatenate((np.zeros(1, np.int64), stop))
-    return pa.LargeStringArray.from_buffers(len(begin), pa.py_buffer(offsets), pa.py_buffer(data[place])).cast(pa.string())
+    size = (end - begin).astype(np.int32)
+    stop = np.cumsum(size, dtype=np.int32)
+    place = np.repeat((begin - (stop - size)).astype(np.int32), size) + np.arange(int(stop[-1]) if len(stop) else 0, dtype=np.int32)
+    offsets = np.concatenate((np.zeros(1, np.int32), stop))
+    return pa.StringArray.from_buffers(len(begin), pa.py_buffer(offsets), pa.py_buffer(data[place]))
 
 
 def lowered(data: np.ndarray) -> np.ndarray:
