@@ -5,6 +5,7 @@ import random
 import duckdb
 import pytest
 
+from lamella.operators import graph
 from lamella.operators.graph import connected_components
 from lamella.plans import registry
 
@@ -45,3 +46,25 @@ def test_components(spark):
     got = connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert {r.node: r.root for r in got} == {x: find(x) for x in root} and len(got) == len(root)
     assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+@pytest.mark.parametrize("size", [1 << 20, 40])
+def test_potentials(spark, monkeypatch, size):
+    """Every node's steps to its root, with slices of a task of any size; a wrong edge is found, and only its component is in doubt."""
+    monkeypatch.setattr(graph, "SLICE", size)
+    rng = random.Random(size)
+    at = {i: (rng.randrange(-50, 50), rng.randrange(90)) for i in range(700)}
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(300)] + [(400 + i, 401 + i) for i in range(200)] + [(3, 3), (None, 4), (650, 651), (651, 652), (652, 650)]
+    edges = [(a, b, None if a is None else at[a][0] - at[b][0], at[b][1] * 0 if a is None else at[a][1] - at[b][1]) for a, b in edges]
+    edges[-1] = (652, 650, at[652][0] - at[650][0] + 1, at[652][1] - at[650][1])
+    rows = spark.createDataFrame(edges, "a long, b long, c long, r long").repartition(3)
+    found = connected_components(rows, steps=["c", "r"])
+    plain = {r.node: r.root for r in connected_components(rows).collect()}
+    got = {r.node: (r.root, r.c, r.r) for r in found.collect()}
+    assert {n: root for n, (root, *_) in got.items()} == plain
+    assert all((c, r) == (at[n][0] - at[root][0], at[n][1] - at[root][1]) for n, (root, c, r) in got.items() if n < 650)
+    wrong = graph.contradictions(rows, found, ["c", "r"]).collect()
+    assert len(wrong) == 1 and {wrong[0].a, wrong[0].b} <= {650, 651, 652}
+    texts = connected_components(rows.selectExpr("cast(a AS string) AS a", "cast(b AS string) AS b", "c", "r"), steps=["c", "r"]).collect()
+    assert all((t.c, t.r) == (at[int(t.node)][0] - at[int(t.root)][0], at[int(t.node)][1] - at[int(t.root)][1]) and t.root <= t.node for t in texts if int(t.node) < 650) and len(texts) == len(got)
+    assert connected_components(rows.limit(0), steps=["c"]).collect() == []
