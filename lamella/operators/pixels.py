@@ -12,19 +12,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lamella.operators.blocks import frame_statistics, median_blocks
+
 SIDE = 8
 #: Side of a canvas block, and the canvas pixels that a task holds before it sends its sums.
 BLOCK, HELD = 32, 4 << 20
 
 
-def pixels(frames: DataFrame) -> DataFrame:
-    return frames.select("frame", "grp", F.posexplode("px").alias("pixel", "value"))
-
-
-def pixel_statistics(frames: DataFrame) -> DataFrame:
-    """Median, largest and standard deviation of each pixel over the frames of a group."""
-    by = pixels(frames).groupBy("grp", "pixel")
-    return by.agg(F.round(F.median("value"), 6).alias("median_px"), F.round(F.max("value"), 6).alias("max_px"), F.round(F.stddev_pop("value"), 6).alias("std_px"))
+def pixel_statistics(frames: DataFrame, side: int = SIDE) -> DataFrame:
+    """Median, largest and standard deviation of each pixel over the frames of a group; pieces of frames travel, not pixels."""
+    cut = frame_statistics(frames, side * side)
+    rows = cut.select("grp", "first", F.posexplode(F.arrays_zip("median", "largest", "deviation")).alias("k", "s"))
+    return rows.select("grp", (F.col("first") + F.col("k")).alias("pixel"), *[F.round(f"s.{c}", 6).alias(n) for c, n in (("median", "median_px"), ("largest", "max_px"), ("deviation", "std_px"))])
 
 
 def _once(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -181,11 +180,10 @@ def composite(frames: DataFrame, side: int = SIDE, block: int = BLOCK) -> DataFr
     )
 
 
-def median_composite(frames: DataFrame, side: int = SIDE) -> DataFrame:
-    """The median of the frames over each canvas pixel, without those that don't cover it."""
-    rows = frames.select("grp", "x", "y", F.posexplode("px").alias("pixel", "value"))
-    rows = rows.select("grp", (F.col("x") + F.col("pixel") % side).alias("cx"), (F.col("y") + F.floor(F.col("pixel") / side)).alias("cy"), "value")
-    return rows.groupBy("grp", "cx", "cy").agg(F.round(F.median("value"), 6).alias("px"))
+def median_composite(frames: DataFrame, side: int = SIDE, block: int = BLOCK) -> DataFrame:
+    """The median of the frames over each canvas pixel, without those that don't cover it; pieces of frames travel, not pixels."""
+    rows = median_blocks(frames, side, block).select("grp", "bx", "by", F.posexplode("px").alias("i", "px")).where(~F.isnan("px"))
+    return rows.select("grp", (F.col("bx") * block + F.col("i") % block).alias("cx"), (F.col("by") * block + F.floor(F.col("i") / block)).alias("cy"), F.round("px", 6).alias("px"))
 
 
 def write_canvas(frames: DataFrame, path: str, side: int = SIDE, block: int = BLOCK) -> None:

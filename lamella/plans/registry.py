@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lamella.operators import acquisition as acq
 from lamella.functions.scalars import hit_radius
 from lamella.operators import documents, layout, matching, pixels, tracks
-from lamella.plans import survey
+from lamella.plans import measuring, survey  # noqa: F401  registers its queries with survey's
 from lamella.sources import logs, views
 from lamella.streaming import tracks as live
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+INFERENCE = "spark.sql.constraintPropagation.enabled"
 #: Rows of ids that may be broadcast; about 100 MB in an executor.
 BROADCAST_ROWS = 2_000_000
 
@@ -27,9 +28,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder; Spark removes the files when the plan is collected."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """``df`` computed once and kept in the shared folder; Spark removes the files when the plan is collected.
+
+    What the optimizer infers about the columns isn't kept with it: over the rounds of a loop that would grow without end.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    with setting(spark, INFERENCE, "false"):
+        return df.checkpoint()
 
 
 def scratch(spark: SparkSession, label: str) -> str:
@@ -38,14 +44,19 @@ def scratch(spark: SparkSession, label: str) -> str:
 
 
 @contextmanager
-def tidy(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of a query go as soon as it has ended, not when its plan is collected."""
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session setting that holds inside the block only."""
+    before = spark.conf.get(key)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(CLEANUP, before)
+        spark.conf.set(key, before)
+
+
+def tidy(spark: SparkSession):
+    """Shuffle files of a query go as soon as it has ended, not when its plan is collected."""
+    return setting(spark, CLEANUP, "true")
 
 
 def saved(df: DataFrame, label: str, **options: str) -> DataFrame:

@@ -569,10 +569,10 @@ def axis_bands(spark, sf_dir):
     return spatial.axis_bands(views.links(spark, sf_dir))
 
 
-@query("null_draws", "tiles", """l AS (SELECT dataset, trial, row_number() OVER (PARTITION BY dataset ORDER BY trial) - 1 AS i FROM tiles), n AS (SELECT dataset, count(*) AS size FROM l GROUP BY dataset), d AS (SELECT dataset, size, unnest(range(0, 40))::INT AS k FROM n),
+@query("null_draws", "tiles", """l AS (SELECT dataset, trial, row_number() OVER (PARTITION BY dataset ORDER BY trial) - 1 AS i FROM tiles), n AS (SELECT dataset, count(*) AS size FROM l GROUP BY dataset), d AS (SELECT dataset, size, unnest(range(0, 3000))::INT AS k FROM n),
   h AS (SELECT dataset, k, ('0x' || md5('11:' || dataset || ':' || k || ':a')[1:8])::BIGINT % size AS ia, ('0x' || md5('11:' || dataset || ':' || k || ':b')[1:8])::BIGINT % size AS ib FROM d)""", "SELECT h.dataset, k, a.trial AS a, b.trial AS b FROM h JOIN l a ON h.dataset = a.dataset AND ia = a.i JOIN l b ON h.dataset = b.dataset AND ib = b.i")
 def null_draws(spark, sf_dir):
-    return spatial.null_draws(views.tiles(spark, sf_dir), n=40)
+    return spatial.null_draws(views.tiles(spark, sf_dir))
 
 
 @query("null_floor", "links", "m AS (SELECT dataset, a, max(ncc) AS ncc FROM links GROUP BY dataset, a)", "SELECT dataset, round(quantile_cont(ncc, 0.995), 6) AS floor, count(ncc) AS n FROM m GROUP BY dataset")
