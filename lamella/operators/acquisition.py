@@ -12,9 +12,14 @@ def snapshots(entries: DataFrame) -> DataFrame:
     return entries.where("type = 'Snapshot'")
 
 
+def _in_file(entries: DataFrame) -> str:
+    """What the entries of a log are ordered by: their line, or the trial where they have none."""
+    return "line_no" if "line_no" in entries.columns else "trial"
+
+
 def snapshot_gaps(entries: DataFrame) -> DataFrame:
-    """Seconds since the previous snapshot of the dataset, to one decimal; null for the first."""
-    before = F.lag("us").over(Window.partitionBy("dataset").orderBy("trial"))
+    """Seconds since the previous snapshot in the dataset's log, to one decimal; null for the first."""
+    before = F.lag("us").over(Window.partitionBy("dataset").orderBy(_in_file(entries)))
     return snapshots(entries).select("dataset", "trial", (F.floor((F.col("us") - before + 50_000) / 100_000) / 10.0).alias("gap_s"))
 
 
@@ -82,8 +87,9 @@ def run_summary(entries: DataFrame) -> DataFrame:
 
 
 def log_counts(entries: DataFrame) -> DataFrame:
-    """A1: snapshots and others, first and last trial."""
-    return entries.groupBy("dataset").agg(F.count_if(F.col("type") == "Snapshot").alias("n_snapshots"), F.count_if(F.col("type") != "Snapshot").alias("n_others"), F.min_by("type", "trial").alias("first_type"), F.max_by("type", "trial").alias("last_type"))
+    """A1: snapshots and others, types of the log's first and last entry."""
+    place = _in_file(entries)
+    return entries.groupBy("dataset").agg(F.count_if(F.col("type") == "Snapshot").alias("n_snapshots"), F.count_if(F.col("type") != "Snapshot").alias("n_others"), F.min_by("type", place).alias("first_type"), F.max_by("type", place).alias("last_type"))
 
 
 def median_gap(entries: DataFrame) -> DataFrame:

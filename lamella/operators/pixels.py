@@ -96,15 +96,17 @@ def colour_evidence(frames: DataFrame, least: float = 12.0, share: float = 0.98,
 
 
 def peaks(frames: DataFrame, side: int = SIDE) -> DataFrame:
-    """H6: brightest pixel (the first of equal ones) and its sub-pixel offset along x by a parabola, at most half a pixel; null at the border."""
+    """H6: brightest pixel (the first of equal ones) and its sub-pixel offsets along x and y by parabolas, at most half a pixel; null at the border."""
     top = F.array_position("px", F.array_max("px")) - 1
-    rows = frames.select("frame", "px", top.alias("pixel"))
-    left, mid, right = (F.try_element_at("px", (F.col("pixel") + k).cast("int")) for k in (0, 1, 2))
-    inside = (F.col("pixel") % side > 0) & (F.col("pixel") % side < side - 1) & (F.col("pixel") >= 0)
-    bend = left - 2 * mid + right
-    offset = F.when(inside & (bend < 0), F.greatest(F.lit(-0.5), F.least(F.lit(0.5), 0.5 * (left - right) / bend)))
-    # element_at refuses index 0, so the border case is decided before it is read
-    return rows.where("pixel > 0").select("frame", "pixel", F.round(offset, 6).alias("subpixel")).unionByName(rows.where("pixel = 0").select("frame", "pixel", F.lit(None).cast("double").alias("subpixel")))
+    rows = frames.select("frame", "px", top.alias("pixel")).where("pixel >= 0")
+    value = lambda k: F.get("px", (F.col("pixel") + k).cast("int"))
+
+    def offset(step: int, place: Column) -> Column:
+        before, mid, after = value(-step), value(0), value(step)
+        bend = before - 2 * mid + after
+        return F.round(F.when((place > 0) & (place < side - 1) & (bend < 0), F.greatest(F.lit(-0.5), F.least(F.lit(0.5), 0.5 * (before - after) / bend))), 6)
+
+    return rows.select("frame", "pixel", offset(1, F.col("pixel") % side).alias("subpixel"), offset(side, F.floor(F.col("pixel") / side)).alias("subpixel_y"))
 
 
 def _summed(block: int, rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:

@@ -18,7 +18,7 @@ def _over(function, *tables):
     return lambda spark, sf_dir: function(*(V[t](spark, sf_dir) for t in tables))
 
 
-#: Of the links view, whose dx and dy are corrections of a prior of 0.
+#: Of the links view.
 _LIMITS = {"response": 0.2, "limits": {"seq": (0.06, 60.0), "cross": (0.12, 60.0), "bridge": (0.06, 60.0)}}
 
 QUERIES = {
@@ -143,8 +143,10 @@ _SPLIT = """g AS (SELECT dataset, trial, floor((us - lag(us) OVER (PARTITION BY
   d AS (SELECT t.dataset, count(*) AS n_before FROM t JOIN o USING (dataset) WHERE trial <= split GROUP BY t.dataset),
   z AS (SELECT dataset, split, gap_s, median_gap_s, runner_up_s, coalesce(gap_s > 2 * median_gap_s AND (runner_up_s IS NULL OR gap_s >= 2 * runner_up_s), false) AS decisive,
         coalesce(n_before, trials) AS n_before, trials - coalesce(n_before, trials) AS n_after FROM p LEFT JOIN o USING (dataset) LEFT JOIN d USING (dataset))"""
-_VERDICT = """v AS (SELECT *, CASE WHEN response < 0.2 THEN 'weak_phase_response' WHEN sqrt(dx * dx + dy * dy) > 60 THEN 'correction_too_large'
-  WHEN ncc < 0.3 THEN 'low_ncc_at_measured' ELSE 'ok' END AS verdict FROM links)"""
+_SHARED = "CASE WHEN abs({x}) > 480 OR abs({y}) > 480 THEN 0 ELSE floor((512 - abs({x})) / 16) * 16 * floor((512 - abs({y})) / 16) * 16 END"
+_VERDICT = f"""s AS (SELECT *, {_SHARED.format(x="px", y="py")} AS at_prior, {_SHARED.format(x="dx", y="dy")} AS at_measured, CASE kind WHEN 'cross' THEN 0.12 ELSE 0.06 END * 512 * 512 AS area FROM links),
+  v AS (SELECT *, CASE WHEN at_prior = 0 OR at_prior < area THEN 'no_overlap_at_prior' WHEN response < 0.2 THEN 'weak_phase_response' WHEN sqrt((dx - px) ** 2 + (dy - py) ** 2) > 60 THEN 'correction_too_large'
+  WHEN at_measured = 0 OR at_measured < area THEN 'no_overlap_at_measured' WHEN ncc < 0.3 THEN 'low_ncc_at_measured' ELSE 'ok' END AS verdict FROM s)"""
 _PAIRS = "p AS (SELECT dataset, a, b, max(ncc) AS ncc FROM links GROUP BY dataset, a, b)"
 
 _SQL = {
@@ -252,8 +254,8 @@ _SQL |= {
       "SELECT recording, pitch, votes, n FROM v WHERE votes >= 2 OR n = 1 QUALIFY row_number() OVER (PARTITION BY recording ORDER BY votes DESC, snr DESC, pitch DESC) = 1"),
     "pixel_statistics": ("frames8", _PIXELS, "SELECT grp, pixel, round(median(value), 6) AS median_px, round(max(value), 6) AS max_px, round(stddev_pop(value), 6) AS std_px FROM e GROUP BY grp, pixel"),
     "exposure": ("frames8", _PIXELS, "SELECT frame, grp, round(CASE WHEN count(*) FILTER (value > 0.05) > 0.01 * count(*) THEN quantile_cont(value, 0.6) FILTER (value > 0.05) ELSE 0 END, 6) AS level FROM e GROUP BY frame, grp"),
-    "peaks": ("frames8", "t AS (SELECT frame, px, list_position(px, list_max(px)) AS k FROM frames8), b AS (SELECT frame, k - 1 AS pixel, px[k - 1] AS l, px[k] AS c, px[k + 1] AS r FROM t)",
-      "SELECT frame, pixel, CASE WHEN pixel % 8 BETWEEN 1 AND 6 AND l - 2 * c + r < 0 THEN round(greatest(-0.5, least(0.5, 0.5 * (l - r) / (l - 2 * c + r))), 6) END AS subpixel FROM b"),
+    "peaks": ("frames8", "t AS (SELECT frame, px, list_position(px, list_max(px)) AS k FROM frames8), b AS (SELECT frame, k - 1 AS pixel, px[k - 1] AS l, px[k] AS c, px[k + 1] AS r, px[k - 8] AS u, px[k + 8] AS d FROM t)",
+      "SELECT frame, pixel, CASE WHEN pixel % 8 BETWEEN 1 AND 6 AND l - 2 * c + r < 0 THEN round(greatest(-0.5, least(0.5, 0.5 * (l - r) / (l - 2 * c + r))), 6) END AS subpixel, CASE WHEN pixel // 8 BETWEEN 1 AND 6 AND u - 2 * c + d < 0 THEN round(greatest(-0.5, least(0.5, 0.5 * (u - d) / (u - 2 * c + d))), 6) END AS subpixel_y FROM b"),
     "composite": ("frames8", _PIXELS + ", w AS (SELECT grp, x + pixel % 8 AS cx, y + pixel // 8 AS cy, value, greatest(0.001, least(pixel % 8 + 1, 8 - pixel % 8) / 4.0 * (least(pixel // 8 + 1, 8 - pixel // 8) / 4.0))::DOUBLE AS w FROM e)", "SELECT grp, cx, cy, round(sum(w * value) / sum(w), 6) AS px, count(*) AS n FROM w GROUP BY grp, cx, cy"),
 }
 

@@ -92,21 +92,36 @@ def raw_frames(spark, sf_dir):
     return loaded.select("dataset", "trial", "refused", F.when(F.col("refused").isNull(), F.aggregate(weighted, F.lit(0).cast("long"), lambda s, v: s + v)).alias("checksum"))
 
 
-@query("scanned_folders", "", """l AS (SELECT o_orderkey AS k, o_orderkey % 40 AS d FROM orders),
-  p AS (SELECT CASE d % 4 WHEN 0 THEN ['a' || d] || CASE WHEN k % 11 = 0 THEN ['inner'] ELSE [] END WHEN 1 THEN ['b' || d, 'sub' || k % 7] WHEN 2 THEN ['.hid' || d] ELSE ['c' || d, 'x', 'y', 'z'] END AS dirs,
-        CASE k % 5 WHEN 0 THEN 'log.txt' WHEN 1 THEN printf('%03d', k % 1000) || '.xml' ELSE 'note.txt' END AS name FROM l),
-  f AS (SELECT array_to_string(dirs, '/') AS folder, count(*) FILTER (name LIKE '%.xml') AS n_xml, count(*) FILTER (name = 'log.txt') AS n_log FROM p WHERE len(dirs) < 3 AND len(list_filter(dirs, lambda d: d[1] IN ('.', '$'))) = 0 GROUP BY 1),
-  q AS (SELECT * FROM f WHERE n_xml > 0 AND n_log > 0)""", "SELECT folder, n_xml FROM q WHERE NOT EXISTS (SELECT 1 FROM q AS o WHERE starts_with(q.folder, o.folder || '/'))")
-def scanned_folders(spark, sf_dir):
-    rows = _orders(spark, sf_dir).select("k", (F.col("k") % 40).alias("d"))
-    d, k = F.col("d"), F.col("k")
+_LISTED = """l AS (SELECT o_orderkey AS k, o_orderkey % 40 AS d, o_orderkey // 40 AS m FROM orders),
+  p AS (SELECT CASE d % 4 WHEN 0 THEN ['a' || d] || CASE WHEN m % 11 = 0 THEN ['inner'] ELSE [] END WHEN 1 THEN ['b' || d, 'sub' || m % 7] WHEN 2 THEN ['.hid' || d] ELSE ['c' || d, 'x', 'y', 'z'] END AS dirs,
+        CASE m % 5 WHEN 0 THEN 'log.txt' WHEN 1 THEN printf('%03d', k % 1000) || '.xml' ELSE 'note.txt' END AS name, CASE WHEN d % 8 = 4 AND m % 5 = 0 OR d % 8 = 5 AND m % 5 = 1 THEN 0 ELSE 9 END AS length FROM l),
+  f AS (SELECT array_to_string(dirs, '/') AS folder, count(*) FILTER (name LIKE '%.xml') AS n_xml, count(*) FILTER (name = 'log.txt') AS n_log, count(*) FILTER (name LIKE '%.xml' AND length > 0) AS full_xml, count(*) FILTER (name = 'log.txt' AND length > 0) AS full_log
+        FROM p WHERE len(dirs) < 3 AND len(list_filter(dirs, lambda d: d[1] IN ('.', '$'))) = 0 GROUP BY 1),
+  q AS (SELECT *, CASE WHEN full_log = 0 THEN 'the log is empty' WHEN full_xml = 0 THEN 'no trial can be read' END AS reason FROM f WHERE n_xml > 0 AND n_log > 0), t AS (SELECT * FROM q WHERE NOT EXISTS (SELECT 1 FROM q AS o WHERE starts_with(q.folder, o.folder || '/')))"""
+
+
+def _listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of folders at several depths: datasets, datasets inside others, hidden and too deep ones, some with empty files."""
+    rows = _orders(spark, sf_dir).select("k", (F.col("k") % 40).alias("d"), F.floor(F.col("k") / 40).alias("m"))
+    d, k, m = F.col("d"), F.col("k"), F.col("m")
     text = lambda c: c.cast("string")
     folder = (
-        F.when(d % 4 == 0, F.concat(F.lit("a"), text(d), F.when(k % 11 == 0, "/inner").otherwise(""))).when(d % 4 == 1, F.concat(F.lit("b"), text(d), F.lit("/sub"), text(k % 7)))
+        F.when(d % 4 == 0, F.concat(F.lit("a"), text(d), F.when(m % 11 == 0, "/inner").otherwise(""))).when(d % 4 == 1, F.concat(F.lit("b"), text(d), F.lit("/sub"), text(m % 7)))
         .when(d % 4 == 2, F.concat(F.lit(".hid"), text(d))).otherwise(F.concat(F.lit("c"), text(d), F.lit("/x/y/z")))
     )
-    name = F.when(k % 5 == 0, "log.txt").when(k % 5 == 1, F.concat(F.lpad(text(k % 1000), 3, "0"), F.lit(".xml"))).otherwise("note.txt")
-    return acquisition.scan(rows.select(F.concat(F.lit("/data/surveys/"), folder, F.lit("/"), name).alias("path")), "/data/surveys/")
+    name = F.when(m % 5 == 0, "log.txt").when(m % 5 == 1, F.concat(F.lpad(text(k % 1000), 3, "0"), F.lit(".xml"))).otherwise("note.txt")
+    length = F.when((d % 8 == 4) & (m % 5 == 0) | (d % 8 == 5) & (m % 5 == 1), 0).otherwise(9)
+    return rows.select(F.concat(F.lit("/data/surveys/"), folder, F.lit("/"), name).alias("path"), length.alias("length"))
+
+
+@query("scanned_folders", "", _LISTED, "SELECT folder, n_xml FROM t WHERE reason IS NULL")
+def scanned_folders(spark, sf_dir):
+    return acquisition.scan(_listing(spark, sf_dir), "/data/surveys/")
+
+
+@query("skipped_folders", "", _LISTED, "SELECT folder, reason FROM t WHERE reason IS NOT NULL")
+def skipped_folders(spark, sf_dir):
+    return acquisition.skipped_folders(_listing(spark, sf_dir), "/data/surveys/")
 
 
 @query("readable_trials", "entries trial_meta", "s AS (SELECT DISTINCT dataset, trial FROM entries WHERE type = 'Snapshot'), m AS (SELECT DISTINCT dataset, trial FROM trial_meta)", """
@@ -559,7 +574,12 @@ def cross_candidates(spark, sf_dir):
     return spatial.cross_candidates(rows, 480, 320).select("video", "a", "b", F.round("distance", 6).alias("distance"))
 
 
-@query("budgeted_links", "", "", None)
+@query("budgeted_links", "frame_track", "{keyframes}, " + _NUMBERED + """, c AS (SELECT a.video, a.i AS a, b.i AS b, round(sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2), 6) AS distance FROM n a JOIN n b ON a.video = b.video AND b.i >= a.i + 3 AND a.segment // 40 = b.segment // 40
+    WHERE abs(b.x - a.x) < 480 AND abs(b.y - a.y) < 320 AND (480 - abs(b.x - a.x)) * (320 - abs(b.y - a.y)) >= 0.12 * 480 * 320),
+  r AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY distance, a, b) AS rn FROM c),
+  w AS (SELECT DISTINCT video, 0::BIGINT AS rn, []::STRUCT(a BIGINT, b BIGINT, d DOUBLE)[] AS kept FROM r UNION ALL SELECT w.video, r.rn, CASE WHEN len(list_filter(kept, lambda k: r.a IN (k.a, k.b))) < 6 AND len(list_filter(kept, lambda k: r.b IN (k.a, k.b))) < 6
+    THEN list_append(kept, {'a': r.a, 'b': r.b, 'd': r.distance}) ELSE kept END FROM w JOIN r ON r.video = w.video AND r.rn = w.rn + 1),
+  z AS (SELECT video, unnest(kept) AS k FROM (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY video ORDER BY rn DESC) = 1))""", "SELECT video, k.a AS a, k.b AS b, k.d AS distance FROM z")
 def budgeted_links(spark, sf_dir):
     return spatial.budgeted(cross_candidates(spark, sf_dir))
 

@@ -110,20 +110,33 @@ def frame_notes(meta: DataFrame) -> DataFrame:
     return per.select("dataset", note.alias("note"))
 
 
-def scan(files: DataFrame, root: str, depth: int = 3) -> DataFrame:
-    """``(folder, n_xml)`` of the datasets in a listing (column ``path``), folders relative to ``root``.
-
-    A folder with a log and an XML file of a trial is a dataset; what lies inside a dataset, deeper than ``depth``
-    levels or below a folder whose name begins with a dot or dollar sign isn't looked at.
-    """
+def _looked_at(files: DataFrame, root: str, depth: int) -> DataFrame:
+    """``(folder, n_xml, reason)`` of the folders that look like datasets and don't lie inside another; reason says why one can't be read."""
     parts = F.split(F.substring(F.col("path"), F.lit(len(root.rstrip("/")) + 2), F.length("path")), "/")
-    rows = files.where(F.col("path").startswith(root.rstrip("/") + "/")).select(parts.alias("parts"))
-    rows = rows.select(F.element_at("parts", -1).alias("name"), F.slice("parts", 1, F.size("parts") - 1).alias("dirs"))
+    full = F.col("length") > 0 if "length" in files.columns else F.lit(True)
+    rows = files.where(F.col("path").startswith(root.rstrip("/") + "/")).select(parts.alias("parts"), full.alias("full"))
+    rows = rows.select(F.element_at("parts", -1).alias("name"), F.slice("parts", 1, F.size("parts") - 1).alias("dirs"), "full")
     rows = rows.where((F.size("dirs") < depth) & ~F.exists("dirs", lambda d: d.rlike(r"^[.$]")))
-    found = rows.groupBy("dirs").agg(F.count_if(F.col("name") == LOG).alias("n_log"), F.count_if(F.col("name").rlike(XML)).alias("n_xml")).where("n_log > 0 and n_xml > 0")
+    log, xml = F.col("name") == LOG, F.col("name").rlike(XML)
+    found = rows.groupBy("dirs").agg(F.count_if(log).alias("n_log"), F.count_if(xml).alias("n_xml"), F.count_if(log & F.col("full")).alias("full_log"), F.count_if(xml & F.col("full")).alias("full_xml")).where("n_log > 0 and n_xml > 0")
     join = lambda c: F.array_join(c, "/")
     above = F.transform(F.sequence(F.lit(0), F.size("dirs") - 1), lambda k: F.array_join(F.slice("dirs", F.lit(1), k), "/"))
     inner = found.where(F.size("dirs") > 0).select(join("dirs").alias("folder"), F.explode(above).alias("parent"))
-    tops = found.select(join("dirs").alias("folder"), "n_xml")
+    reason = F.when(F.col("full_log") == 0, "the log is empty").when(F.col("full_xml") == 0, "no trial can be read")
+    tops = found.select(join("dirs").alias("folder"), "n_xml", reason.alias("reason"))
     nested = inner.join(tops.select(F.col("folder").alias("parent")), "parent", "left_semi").select("folder")
     return tops.join(nested, "folder", "left_anti")
+
+
+def scan(files: DataFrame, root: str, depth: int = 3) -> DataFrame:
+    """``(folder, n_xml)`` of the datasets in a listing (columns ``path`` and, if known, ``length``), folders relative to ``root``.
+
+    A folder with a log and an XML file of a trial is a dataset; what lies inside a dataset, deeper than ``depth``
+    levels or below a folder whose name begins with a dot or dollar sign isn't looked at.
+    """
+    return _looked_at(files, root, depth).where("reason is null").select("folder", "n_xml")
+
+
+def skipped_folders(files: DataFrame, root: str, depth: int = 3) -> DataFrame:
+    """``(folder, reason)`` of the folders that :func:`scan` takes for datasets but that can't be read."""
+    return _looked_at(files, root, depth).where("reason is not null").select("folder", "reason")

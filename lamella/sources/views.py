@@ -37,11 +37,12 @@ def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Measured links ``(dataset, a, b, dx, dy, response, ncc, kind)`` between different tiles."""
+    """Measured links ``(dataset, a, b, dx, dy, px, py, response, ncc, kind)`` between different tiles; some priors lie at or past the frame's edge."""
     kind = F.element_at(F.array(F.lit("seq"), F.lit("cross"), F.lit("bridge")), (F.col("l_linenumber") % 3 + 1).cast("int"))
     q = F.col("l_quantity")
     rows = read(spark, sf_dir, "lineitem").where("l_partkey <> l_suppkey")
-    return rows.select((F.col("l_orderkey") % 20).alias("dataset"), F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"), q.alias("dx"), (2 * q).alias("dy"), (10 * F.col("l_discount")).alias("response"), (10 * F.col("l_tax")).alias("ncc"), kind.alias("kind"))
+    prior = F.when(F.col("l_orderkey") % 17 == 0, 500.0).when(F.col("l_orderkey") % 19 == 0, 480.0).otherwise(0.0)
+    return rows.select((F.col("l_orderkey") % 20).alias("dataset"), F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"), (q + F.when(prior == 480, 480.0).otherwise(0.0)).alias("dx"), (2 * q).alias("dy"), prior.alias("px"), F.lit(0.0).alias("py"), (10 * F.col("l_discount")).alias("response"), (10 * F.col("l_tax")).alias("ncc"), kind.alias("kind"))
 
 
 def electrodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +92,8 @@ SQL = {
       (178 * (p_partkey % 40))::DOUBLE AS x, (160 * (p_partkey // 40))::DOUBLE AS y, (178 * (p_partkey % 40) + p_partkey % 7)::DOUBLE AS mx,
       (160 * (p_partkey // 40) + p_partkey % 5)::DOUBLE AS my, (p_partkey % 100) / 100.0::DOUBLE AS ncc, (p_partkey % 37) / 100.0::DOUBLE AS margin,
       p_partkey % 9 = 0 AS diverted, p_partkey % 4 = 0 AS stale, p_partkey * 7 % 101 AS seq FROM part""",
-    "links": """SELECT l_orderkey % 20 AS dataset, l_partkey AS a, l_suppkey AS b, l_quantity AS dx, 2 * l_quantity AS dy, 10 * l_discount AS response,
+    "links": """SELECT l_orderkey % 20 AS dataset, l_partkey AS a, l_suppkey AS b, (l_quantity + CASE WHEN l_orderkey % 17 <> 0 AND l_orderkey % 19 = 0 THEN 480 ELSE 0 END)::DOUBLE AS dx, 2 * l_quantity AS dy,
+      CASE WHEN l_orderkey % 17 = 0 THEN 500 WHEN l_orderkey % 19 = 0 THEN 480 ELSE 0 END::DOUBLE AS px, 0::DOUBLE AS py, 10 * l_discount AS response,
       10 * l_tax AS ncc, (['seq','cross','bridge'])[l_linenumber % 3 + 1] AS kind FROM lineitem WHERE l_partkey <> l_suppkey""",
     "electrodes": """SELECT o_orderkey // 600 AS mosaic, 1 + o_orderkey % 600 % 30 AS col, 1 + o_orderkey % 600 // 30 AS row, (14 * (1 + o_orderkey % 600 % 30) + o_orderkey % 3)::DOUBLE AS x,
       (14 * (1 + o_orderkey % 600 // 30) + o_orderkey % 2)::DOUBLE AS y, CASE WHEN o_orderkey % 9 = 0 THEN 2 ELSE 1 END AS kind FROM orders""",
