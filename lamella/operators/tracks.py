@@ -6,12 +6,16 @@ Frames without a grey value count as black.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLACK, BREAK, STILL, SHOULDER, TRAVEL, DWELL = 3.0, 600, 50, 5, 3000, 3
-REASONS = ("travel", "dwell", "segment-start")
+#: Travel that a dwell or a segment's end needs, and the frames looked back from a segment's end.
+LEAST, TAIL = 1000, SHOULDER + 15
+REASONS = ("travel", "dwell", "segment-start", "segment-end")
 
 
 def lit_frames(track: DataFrame) -> DataFrame:
@@ -41,42 +45,94 @@ def dwells(track: DataFrame, still: int = STILL, least: int = 2) -> DataFrame:
     return slow.withColumn("island", island).groupBy("video", "segment", "island").agg(F.min("frame").alias("first"), F.max("frame").alias("last"), F.count("*").alias("n")).where(F.col("n") >= least).drop("island")
 
 
-KEYFRAMES = "video long, segment long, frame long, travel long, reason string"
-
-
 class Walk:
-    """Keyframes along one segment: its first frame, every ``TRAVEL`` since the last keyframe, the ``DWELL``-th still frame in a row.
+    """Keyframes along a video, frame by frame; the batch query and the stream both take their steps here.
 
-    The batch query and the stream both take their steps here.
+    The first frame of a segment is one, and each frame ``TRAVEL`` after the last; where that frame lies within ``SHOULDER``
+    frames of a black one the trigger stays armed until a frame doesn't. The middle of a dwell of ``DWELL`` frames is one if the view
+    moved ``LEAST`` since the last, and so is the newest frame of a segment that ends that far on. What has moved, and an
+    armed trigger, outlast a segment.
     """
 
-    def __init__(self, travel: int = 0, slow: int = 0):
-        self.travel, self.slow = travel, slow
-
-    def step(self, length: int) -> str | None:
-        """The reason why the frame after a step of ``length`` is a keyframe, if it is one; travel counts from there on."""
-        self.travel, self.slow = self.travel + length, self.slow + 1 if length < STILL else 0
-        if self.travel < TRAVEL and self.slow != DWELL:
-            return None
-        reason, self.travel = "travel" if self.travel >= TRAVEL else "dwell", 0
-        return reason
+    FIELDS = ("travel", "armed", "dwell", "first", "last", "blacks", "recent")
+
+    def __init__(self, travel: int = 0, armed: bool = False, dwell: int = -1, first: int = -1, last: int = -1, blacks: list[int] | None = None, recent: list[int] | None = None):
+        self.travel, self.armed, self.dwell, self.first, self.last = travel, armed, dwell, first, last
+        self.blacks, self.recent = list(blacks or []), list(recent or [])
+
+    def _emit(self, frame: int, reason: str, out: list) -> bool:
+        if frame in self.recent or any(abs(frame - b) <= SHOULDER for b in self.blacks):
+            return False
+        oldest = min(self.last, frame, self.dwell if self.dwell >= 0 else frame) - TAIL
+        self.recent = [f for f in self.recent if f >= oldest] + [frame]
+        self.travel, self.armed = 0, False
+        out.append((frame, reason))
+        return True
+
+    def _close_dwell(self, end: int, out: list) -> None:
+        begin, self.dwell = self.dwell, -1
+        if begin >= 0 and end - begin >= DWELL and self.travel >= LEAST:
+            self._emit((begin + end) // 2, "dwell", out)
+
+    def close(self, out: list) -> None:
+        """The segment has ended at the last frame seen."""
+        if self.first >= 0:
+            self._close_dwell(self.last, out)
+            if self.travel > LEAST:
+                any(self._emit(j, "segment-end", out) for j in range(self.last, max(self.first - 1, self.last - TAIL), -1))
+        self.first = -1
+
+    def step(self, frame: int, black: bool, length: int | None, gap: bool = False) -> list[tuple[int, str]]:
+        """Keyframes ``(frame, reason)`` that are known once this frame is seen; length is None where it can't be told."""
+        out: list[tuple[int, str]] = []
+        if black:
+            self.blacks = [*self.blacks[-1:], frame]
+            self.close(out)
+        elif self.first < 0 or gap or length is None or length > BREAK:
+            self.close(out)
+            self.first = self.last = frame
+            self.armed = not self._emit(frame, "segment-start", out)
+        else:
+            self.travel, self.last = self.travel + length, frame
+            if length < STILL:
+                self.dwell = self.dwell if self.dwell >= 0 else frame
+            else:
+                self._close_dwell(frame, out)
+            self.armed = self.armed or self.travel >= TRAVEL
+            if self.armed:
+                self._emit(frame, "travel", out)
+        return out
 
 
 def travel_keyframes(track: DataFrame) -> DataFrame:
     """Keyframes ``(video, segment, frame, travel, reason)`` by the rule of :class:`Walk`; travel is the segment's own.
 
-    A segment is walked in one task; long videos are cut at their black frames and jumps.
+    Of those the ones within ``SHOULDER`` frames of a black one go: lights may go out after a keyframe. A task walks its videos
+    one after another and keeps a few numbers of the one it is in; a video is one chain, so it isn't split.
     """
 
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, out, w = rows.sort_values("frame"), [], Walk()
-        for i, (frame, step, travel) in enumerate(zip(rows.frame, rows.step, rows.travel, strict=True)):
-            if reason := w.step(int(step)) if i else "segment-start":
-                out.append((rows.video.iloc[0], rows.segment.iloc[0], frame, travel, reason))
-        return pd.DataFrame(out, columns=["video", "segment", "frame", "travel", "reason"])
-
-    rows = segments(track).select("video", "segment", "frame", F.coalesce("step", F.lit(0)).alias("step"), F.coalesce("travel", F.lit(0)).alias("travel"))
-    return rows.groupBy("video", "segment").applyInPandas(walk, KEYFRAMES)
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        video, w, before = None, Walk(), 0
+        for batch in batches:
+            out: list[tuple[int, int, str]] = []
+            for v, frame, lit, step in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found: list[tuple[int, str]] = []
+                if v != video:
+                    w.close(found)
+                    out += [(video, *k) for k in found]
+                    video, w, found = v, Walk(), []
+                found += w.step(frame, not lit, step, frame - before > 1)
+                before = frame
+                out += [(video, *k) for k in found]
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string()))], names=["video", "frame", "reason"])
+        found = []
+        w.close(found)
+        yield pa.RecordBatch.from_arrays([pa.array([video] * len(found), pa.int64()), pa.array([k[0] for k in found], pa.int64()), pa.array([k[1] for k in found], pa.string())], names=["video", "frame", "reason"])
+
+    rows = track.where("video is not null and frame is not null").select(F.col("video").cast("long"), F.col("frame").cast("long"), F.coalesce(F.col("gray") >= BLACK, F.lit(False)).alias("lit"), F.col("step").cast("long"))
+    found = rows.repartition("video").sortWithinPartitions("video", "frame").mapInArrow(walk, "video long, frame long, reason string")
+    clean = found.join(shoulders(track), ["video", "frame"], "left_anti")
+    return clean.join(segments(track), ["video", "frame"]).select("video", "segment", "frame", F.coalesce("travel", F.lit(0)).alias("travel"), "reason")
 
 
 def sequential_candidates(keyframes: DataFrame) -> DataFrame:

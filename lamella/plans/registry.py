@@ -195,11 +195,29 @@ _SQL = {
 _SEGMENTS = """u AS (SELECT *, coalesce(frame - lag(frame) OVER w > 1 OR step > 600, true) OR lag(frame) OVER w IS NULL AS start FROM frame_track WHERE gray >= 3 WINDOW w AS (PARTITION BY video ORDER BY frame)),
   v AS (SELECT *, (sum(start::INT) OVER (PARTITION BY video ORDER BY frame))::BIGINT - 1 AS segment FROM u),
   g AS (SELECT video, frame, segment, step, (sum(CASE WHEN start THEN 0 ELSE step END) OVER (PARTITION BY video, segment ORDER BY frame))::BIGINT AS travel FROM v)"""
-_KEYFRAMES = _SEGMENTS + """, o AS (SELECT *, row_number() OVER (PARTITION BY video, segment ORDER BY frame) AS rn FROM g),
-  y AS (SELECT video, segment, frame, travel, rn, 0::BIGINT AS since, 0 AS slow, 'segment-start' AS reason FROM o WHERE rn = 1 UNION ALL
-    SELECT video, segment, frame, travel, rn, CASE WHEN reason IS NULL THEN since ELSE 0 END, slow, reason FROM (SELECT *, CASE WHEN since >= 3000 THEN 'travel' WHEN slow = 3 THEN 'dwell' END AS reason FROM
-      (SELECT o.video, o.segment, o.frame, o.travel, o.rn, y.since + o.step AS since, CASE WHEN o.step < 50 THEN y.slow + 1 ELSE 0 END AS slow FROM y JOIN o ON o.video = y.video AND o.segment = y.segment AND o.rn = y.rn + 1))),
-  k AS (SELECT video, segment, frame, travel, reason FROM y WHERE reason IS NOT NULL)"""
+#: The walk along a video, a frame a round: what has moved, the armed trigger, the open dwell, the segment's first frame, and all keyframes so far.
+_WALK = """wq AS (SELECT video, frame, gray >= 3 AS lit, step, row_number() OVER w AS rn, coalesce(lag(gray >= 3) OVER w, false) AS plit, lag(frame) OVER w AS e, coalesce(max(CASE WHEN gray < 3 THEN frame END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -100) AS lb
+    FROM frame_track WINDOW w AS (PARTITION BY video ORDER BY frame)),
+  wr AS (SELECT video, frame, rn, e, lb, step, lit, NOT lit AS blk, lit AND (NOT plit OR step > 600) AS start, plit AND (NOT lit OR step > 600) AS closing FROM wq {end}),
+  wy AS (SELECT DISTINCT video, 0::BIGINT AS rn, 0::BIGINT AS travel, false AS armed, -1::BIGINT AS dw, -1::BIGINT AS ss, []::BIGINT[] AS kfs, []::STRUCT(f BIGINT, w VARCHAR)[] AS outs FROM wr UNION ALL
+    SELECT video, rn, CASE WHEN a5 THEN 0 ELSE travel END, armed AND NOT a5, dw, ss, CASE WHEN a5 THEN list_append(kfs, frame) ELSE kfs END, CASE WHEN a5 THEN list_append(outs, {{'f': frame, 'w': 'travel'}}) ELSE outs END
+    FROM (SELECT *, armed AND frame - lb > 5 AND lit AND NOT start AS a5 FROM (
+     SELECT video, rn, frame, lb, lit, start, ss, CASE WHEN a4 THEN 0 ELSE travel END AS travel, armed AND NOT a4 OR lit AND NOT start AND NOT a4 AND travel >= 3000 AS armed, CASE WHEN NOT lit OR start THEN dw WHEN step >= 50 THEN -1 WHEN dw < 0 THEN frame ELSE dw END AS dw,
+      CASE WHEN a4 THEN list_append(kfs, (dw + frame) // 2) ELSE kfs END AS kfs, CASE WHEN a4 THEN list_append(outs, {{'f': (dw + frame) // 2, 'w': 'dwell'}}) ELSE outs END AS outs
+     FROM (SELECT *, lit AND NOT start AND step >= 50 AND dw >= 0 AND frame - dw >= 3 AND travel >= 1000 AND NOT list_contains(kfs, (dw + frame) // 2) AND (dw + frame) // 2 - lb > 5 AS a4 FROM (
+      SELECT video, rn, frame, lb, lit, start, step, dw, CASE WHEN start THEN frame ELSE ss END AS ss, CASE WHEN a3 THEN 0 WHEN lit AND NOT start THEN travel + step ELSE travel END AS travel, CASE WHEN start THEN NOT a3 ELSE armed END AS armed,
+       CASE WHEN a3 THEN list_append(kfs, frame) ELSE kfs END AS kfs, CASE WHEN a3 THEN list_append(outs, {{'f': frame, 'w': 'segment-start'}}) ELSE outs END AS outs
+      FROM (SELECT *, start AND frame - lb > 5 AS a3 FROM (
+       SELECT video, rn, frame, lb, lit, start, step, ss, dw, CASE WHEN a2 THEN 0 ELSE travel END AS travel, armed AND NOT a2 AS armed, CASE WHEN a2 THEN list_append(kfs, j) ELSE kfs END AS kfs, CASE WHEN a2 THEN list_append(outs, {{'f': j, 'w': 'segment-end'}}) ELSE outs END AS outs
+       FROM (SELECT *, closing AND travel > 1000 AND j IS NOT NULL AS a2 FROM (SELECT *, CASE WHEN closing THEN list_max(list_filter(range(greatest(ss, e - 19), e + 1), lambda j: NOT list_contains(kfs, j) AND j - lb > 5 AND (NOT blk OR frame - j > 5))) END AS j FROM (
+        SELECT video, rn, frame, e, lb, lit, blk, start, closing, step, ss, CASE WHEN a1 THEN 0 ELSE travel END AS travel, armed AND NOT a1 AS armed, CASE WHEN closing THEN -1 ELSE dw END AS dw, CASE WHEN a1 THEN list_append(kfs, (dw + e) // 2) ELSE kfs END AS kfs,
+         CASE WHEN a1 THEN [{{'f': (dw + e) // 2, 'w': 'dwell'}}] ELSE []::STRUCT(f BIGINT, w VARCHAR)[] END AS outs
+        FROM (SELECT *, closing AND dw >= 0 AND e - dw >= 3 AND travel >= 1000 AND NOT list_contains(kfs, (dw + e) // 2) AND (dw + e) // 2 - lb > 5 AND (NOT blk OR frame - (dw + e) // 2 > 5) AS a1 FROM (
+         SELECT r.video, r.rn, r.frame, r.e, r.lb, r.lit, r.blk, r.start, r.closing, r.step, y.travel, y.armed, y.dw, y.ss, y.kfs FROM wy AS y JOIN wr AS r ON r.video = y.video AND r.rn = y.rn + 1)))))))))))),
+  k AS (SELECT g.video, g.segment, g.frame, g.travel, z.o.w AS reason FROM (SELECT video, unnest(outs) AS o FROM wy) AS z JOIN g ON g.video = z.video AND g.frame = z.o.f
+    WHERE NOT EXISTS (SELECT 1 FROM frame_track AS t WHERE t.video = z.video AND t.gray < 3 AND abs(t.frame - z.o.f) <= 5))"""
+_KEYFRAMES = _SEGMENTS + ", " + _WALK.format(end="UNION ALL SELECT video, 1000000000, rn + 1, frame, CASE WHEN lit THEN lb ELSE frame END, 0, false, false, false, lit FROM wq QUALIFY row_number() OVER (PARTITION BY video ORDER BY rn DESC) = 1")
+_LIVE_KEYFRAMES = _SEGMENTS + ", " + _WALK.format(end="")
 _KEYED = "q AS (SELECT * REPLACE (CASE WHEN dataset NOT IN (3, 4) THEN mx END AS mx, CASE WHEN trial % 6 <> 0 THEN x END AS x), x AS lx FROM tiles)"
 _OWN = "l AS (SELECT * REPLACE (a // 20 AS dataset) FROM links)"
 _ON = "state <> 'excluded' AND x IS NOT NULL AND y IS NOT NULL"
@@ -220,9 +238,10 @@ _SQL |= {
     "bridge_candidates": ("frame_track", _KEYFRAMES + ", r AS (SELECT *, row_number() OVER (PARTITION BY video, segment ORDER BY frame) AS up, row_number() OVER (PARTITION BY video, segment ORDER BY frame DESC) AS down FROM k)", "SELECT a.video, a.frame AS a, b.frame AS b FROM r a JOIN r b ON a.video = b.video AND b.segment - a.segment IN (1, 2, 3) WHERE a.down <= 4 AND b.up <= 3"),
     "track_statistics": ("frame_track", _KEYFRAMES + """, p AS (SELECT video, segment, max(travel) AS travel FROM g GROUP BY video, segment), s AS (SELECT video, count(*) AS n_segments, max(travel) AS longest, sum(travel)::BIGINT AS path FROM p GROUP BY video),
       b AS (SELECT video, count(*) FILTER (frame - before = 1 AND step > 600) AS n_breaks, round(median(response) FILTER (response > 0), 6) AS median_response FROM (SELECT *, lag(frame) OVER (PARTITION BY video ORDER BY frame) AS before FROM frame_track WHERE gray >= 3) GROUP BY video),
-      h AS (SELECT video, count(*) FILTER (reason = 'travel') AS n_travel, count(*) FILTER (reason = 'dwell') AS n_dwell, count(*) FILTER (reason = 'segment-start') AS n_segment_start FROM k GROUP BY video),
+      h AS (SELECT video, count(*) FILTER (reason = 'travel') AS n_travel, count(*) FILTER (reason = 'dwell') AS n_dwell, count(*) FILTER (reason = 'segment-start') AS n_segment_start, count(*) FILTER (reason = 'segment-end') AS n_segment_end FROM k GROUP BY video),
       a AS (SELECT video, count(*) AS n, count(*) FILTER (coalesce(gray < 3, true)) AS n_black FROM frame_track GROUP BY video)""",
-      "SELECT video, n, n_black, coalesce(n_segments, 0) AS n_segments, coalesce(n_breaks, 0) AS n_breaks, longest, path, median_response, coalesce(n_travel, 0) AS n_travel, coalesce(n_dwell, 0) AS n_dwell, coalesce(n_segment_start, 0) AS n_segment_start FROM a LEFT JOIN s USING (video) LEFT JOIN b USING (video) LEFT JOIN h USING (video)"),
+      "SELECT video, n, n_black, coalesce(n_segments, 0) AS n_segments, coalesce(n_breaks, 0) AS n_breaks, longest, path, median_response, coalesce(n_travel, 0) AS n_travel, coalesce(n_dwell, 0) AS n_dwell, coalesce(n_segment_start, 0) AS n_segment_start, coalesce(n_segment_end, 0) AS n_segment_end FROM a LEFT JOIN s USING (video) LEFT JOIN b USING (video) LEFT JOIN h USING (video)"),
+    "live_keyframes": ("frame_track", _LIVE_KEYFRAMES, "SELECT video, frame, segment, reason FROM k"),
     "sampled_frames": ("frame_track", "r AS (SELECT video, frame, row_number() OVER (PARTITION BY video ORDER BY frame) - 1 AS i, count(*) OVER (PARTITION BY video) AS n FROM frame_track)", "SELECT video, frame FROM r WHERE n <= 96 OR EXISTS (SELECT 1 FROM range(0, 96) AS t(k) WHERE round_even(k * (n - 1) / 95.0::DOUBLE, 0) = i)"),
     "activity": ("frame_track", "", "SELECT video, min(frame) AS first, max(frame) AS last, count(*) AS n FROM (SELECT video, frame, frame - row_number() OVER (PARTITION BY video ORDER BY frame) AS island FROM frame_track WHERE gray >= 3) GROUP BY video, island"),
     "normalised_layout": ("tiles", _KEYED + f", f AS (SELECT dataset, coalesce(min(trial) FILTER (state = 'anchor'), min(trial)) AS origin FROM q WHERE {_ON} GROUP BY dataset), o AS (SELECT q.dataset, x AS ox, y AS oy FROM q JOIN f ON q.dataset = f.dataset AND q.trial = f.origin)",

@@ -9,39 +9,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lamella.operators.tracks import BLACK, BREAK, STILL, Walk
+from lamella.operators.tracks import BLACK, SHOULDER, STILL, Walk
 from lamella.plans.session import scratch
 
 SAMPLE = 16
 OUT = "video long, frame long, segment long, reason string"
-STATE = "last long, segment long, travel long, slow long, open boolean"
+STATE = "last long, seen long, segment long, travel long, armed boolean, dwell long, first long, end long, blacks array<long>, recent array<long>"
 
 
 def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    last, segment, travel, slow, inside = state.get if state.exists else (-1, -1, 0, 0, False)
-    walk = Walk(travel, slow)
-    rows, out = pd.concat(list(batches)).sort_values(["frame", "step"]), []
+    last, seen, segment, *fields = state.get if state.exists else (-1, 0, -1)
+    walk, out = Walk(*fields), []
+    rows = pd.concat(list(batches)).sort_values(["frame", "step"])
     for frame, gray, step in zip(rows.frame, rows.gray, rows.step):
         if frame <= last:
             out.append((key[0], frame, segment, "late"))
             continue
-        last = frame
-        if not gray >= BLACK:
-            inside = False
-        elif not inside or not step <= BREAK:
-            inside, segment, walk = True, segment + 1, Walk()
-            out.append((key[0], frame, segment, "segment-start"))
-        elif reason := walk.step(int(step)):
-            out.append((key[0], frame, segment, reason))
-    state.update((int(last), int(segment), int(walk.travel), int(walk.slow), bool(inside)))
+        last, seen, black = frame, seen + 1, not gray >= BLACK
+        if black:
+            out += [(key[0], k, segment, "withdrawn") for k in walk.recent if seen - k <= SHOULDER]
+        first = walk.first
+        found = walk.step(seen, black, int(step) if step == step else None)
+        opened = walk.first == seen and walk.first != first
+        # what closes a segment belongs to the one before
+        out += [(key[0], k, segment + int(opened and k == seen), reason) for k, reason in found]
+        segment += int(opened)
+    state.update((int(last), seen, segment, int(walk.travel), bool(walk.armed), int(walk.dwell), int(walk.first), int(walk.last), [int(b) for b in walk.blacks], [int(k) for k in walk.recent]))
     yield pd.DataFrame(out, columns=["video", "frame", "segment", "reason"])
 
 
 def keyframes(track: DataFrame) -> DataFrame:
     """Keyframes of the stream ``(video, frame, gray, step)`` by the rule of the batch, :class:`lamella.operators.tracks.Walk`.
 
-    A batch is put in frame order for each video; frames no later than one already seen come out as ``late`` and change
-    nothing. A frame without grey value is black, one without step starts a segment. State is five numbers a video.
+    ``frame`` in the result is the frame's place in its video, from 1. A batch is put in frame order for each video; frames no
+    later than one already seen come out as ``late``, by their own number, and change nothing. A keyframe that a later black
+    frame is too near to comes out again as ``withdrawn``. A frame without grey value is black, one without step starts a
+    segment. State is a few numbers a video.
     """
     return track.where("video IS NOT NULL AND frame IS NOT NULL").groupBy("video").applyInPandasWithState(_advance, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
@@ -86,8 +89,10 @@ def _to_the_end(stream: DataFrame, label: str) -> DataFrame:
 
 
 def live_keyframes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keyframes of all events read as a stream until its present end; frames are numbered by event."""
-    return _to_the_end(keyframes(_events(spark, sf_dir)), "keyframes")
+    """Keyframes of all events read as a stream until its present end, without those withdrawn; frames are numbered in their video."""
+    rows = _to_the_end(keyframes(_events(spark, sf_dir)), "keyframes")
+    gone = rows.where("reason in ('withdrawn', 'late')").select("video", "frame")
+    return rows.join(gone, ["video", "frame"], "left_anti").select("video", "frame", "segment", "reason")
 
 
 def live_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
