@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from lamella.plans.session import checkpointed
 
 #: Edges that a task joins up at a time.
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 
 def stars(u: np.ndarray, v: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -54,17 +54,24 @@ def _starred(edges: DataFrame, steps: list[str]) -> DataFrame:
     """Edges ``(u, v, *steps)`` of longs, those of a task replaced by stars a slice at a time; u is the larger end."""
     size = SLICE
 
+    def starred(held: list[list[np.ndarray]]) -> list[np.ndarray]:
+        u, v, *own = (np.concatenate(x) for x in zip(*held, strict=True))
+        node, root, own = stars(u, v, np.array(own, np.int64).reshape(len(steps), len(u)))
+        return [node, root, *own]
+
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64) for _ in range(2 + len(steps))]
-        for batch in (*batches, None):
-            if batch is not None:
-                held = [np.concatenate((h, c.to_numpy(zero_copy_only=False))) for h, c in zip(held, batch.columns, strict=True)]
-            if len(held[0]) > size or batch is None and len(held[0]):
-                node, root, own = stars(held[0], held[1], np.array(held[2:], np.int64).reshape(len(steps), len(held[0])))
-                held = [node, root, *own]
-                if batch is None or len(node) > size // 2:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], names=["u", "v", *steps])
-                    held = [h[:0] for h in held]
+        held, rows = [], 0
+        for batch in batches:
+            held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            rows += batch.num_rows
+            if rows > size:
+                held = [starred(held)]
+                rows = len(held[0][0])
+                if rows > size // 2:  # mostly nodes of their own: sent on as they are
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], names=["u", "v", *steps])
+                    held, rows = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in starred(held)], names=["u", "v", *steps])
 
     return edges.mapInArrow(join, ", ".join(f"{c} long" for c in ("u", "v", *steps)))
 
