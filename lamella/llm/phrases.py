@@ -14,15 +14,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamella.llm.arrow import flat_bytes, sub_batches
-from lamella.llm.terms import lowered, numbered, strings
+from lamella.llm.terms import lowered, numbered, radix_order, strings
+from lamella.llm.windows import mixed, prefix_sums, span_hashes
 from lamella.plans.session import forget, saved, small_batches
 
-SLICE, ROWS = 4 << 20, 1 << 16
+SLICE, ROWS = 3 << 20, 1 << 16
 LEAST, WORDS, TOP, PERCENT = 100, 5, 2000, 100
 #: Bits of the bitmap of frequent pairs; a fixed size, so more pairs than bits only let more pass.
 BITS = 1 << 26
@@ -36,44 +37,59 @@ _SPACE[[32, 9]] = True
 def equal_partitions(keys: list[np.ndarray], pointers: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """Per depth, a pointer of each equal partition and the partition's size, by multikey three-way quicksort of ``pointers``.
 
-    ``keys[d]`` is the d-th key of each suffix, 0 past its end, where the suffix takes no further part. All partitions are
-    split at once: each by its middle pointer's key into less, equal and greater, by ranks within it; equal ones go on to
-    the next key.
+    ``keys[d]`` is the d-th key of each suffix, 0 past its end, where the suffix takes no further part. First keys are
+    numbers, so their partitions come from a radix sort. Then all partitions are split at once: each by its middle
+    pointer's key into less, equal and greater, by ranks within it; equal ones go on to the next key. A partition of one
+    pointer is done.
     """
     out = [([], []) for _ in keys]
-    start = np.zeros(1 if len(pointers) else 0, np.int32)
-    depth = np.zeros(len(start), np.int8)
     table = np.stack(keys)
-    pointers = pointers.astype(np.int32)
-    while len(pointers):
-        size = np.diff(np.append(start, len(pointers)))
+    pointers = pointers[keys[0][pointers] > 0].astype(np.int32)
+    pointers = pointers[radix_order([keys[0][pointers].astype(np.uint64)])]
+    first = keys[0][pointers]
+    start = np.flatnonzero(np.concatenate((np.ones(min(1, len(first)), bool), first[1:] != first[:-1]))).astype(np.int32)
+    size = np.diff(np.append(start, np.int32(len(pointers))))
+    out[0][0].append(pointers[start])
+    out[0][1].append(size)
+    depth = np.ones(len(start), np.int8)
+    while len(pointers) and len(keys) > 1:
+        single = size == 1
+        alone, at = pointers[start[single]], depth[single]
+        for d in range(1, len(keys)):
+            alone, at = (x[go] for go in [(table[d, alone] > 0) | (at > d)] for x in (alone, at))
+            found = alone[at <= d]
+            out[d][0].append(found)
+            out[d][1].append(np.ones(len(found), np.int32))
+        stay = ~single
+        start, size, depth = start[stay], size[stay], depth[stay]
+        if not len(start):
+            break
+        begin = (np.cumsum(size) - size).astype(np.int32)
+        pointers = pointers[np.repeat(start - begin, size) + np.arange(size.sum(), dtype=np.int32)]
+        start = begin
         seg = np.repeat(np.arange(len(start), dtype=np.int32), size)
-        key = table[depth[seg], pointers]
+        key = table[np.repeat(depth, size), pointers]
         pivot = key[start + size // 2]
-        side = np.sign(key - pivot[seg]).astype(np.int8) + 1
-        counts = np.zeros((3, len(start)), np.int32)
-        target = np.empty(len(pointers), np.int32)
-        base = start.copy()
-        for s in range(3):
-            mine = side == s
-            run = np.cumsum(mine, dtype=np.int32)
-            before = base - 1 - (run[start] - mine[start])
-            target[mine] = run[mine] + before[seg[mine]]
-            counts[s] = np.add.reduceat(mine, start, dtype=np.int32)
-            base += counts[s]
+        middle = np.repeat(pivot, size)
+        less, more = key < middle, key > middle
+        n_less, n_more = (np.add.reduceat(x, start, dtype=np.int32) for x in (less, more))
+        n_same = size - n_less - n_more
         moved = np.empty_like(pointers)
-        moved[target] = pointers
-        begins = np.stack([start, start + counts[0], start + counts[0] + counts[1]])
-        new_depth = np.stack([depth, depth + np.int8(1), depth])
+        for mine, to, n in ((less, start, n_less), (~(less | more), start + n_less, n_same), (more, start + size - n_more, n_more)):
+            own = np.flatnonzero(mine)
+            before = (np.cumsum(n) - n).astype(np.int32)
+            moved[np.arange(len(own), dtype=np.int32) + (to - before)[seg[own]]] = pointers[own]
         real = pivot > 0  # suffixes that end here are the least: their partition is not a phrase
-        for d in np.unique(depth):
+        same = start + n_less
+        for d in range(1, len(keys)):
             found = (depth == d) & real
-            out[d][0].append(moved[begins[1][found]])
-            out[d][1].append(counts[1][found])
-        on = np.stack([counts[0] > 0, real & (depth + 1 < len(keys)), counts[2] > 0]).T.ravel()
-        begins, sizes, new_depth = begins.T.ravel()[on], counts.T.ravel()[on], new_depth.T.ravel()[on]
-        start, depth = (np.cumsum(sizes) - sizes).astype(np.int32), new_depth
-        pointers = moved[np.repeat(begins - start, sizes) + np.arange(sizes.sum(), dtype=np.int32)]
+            out[d][0].append(moved[same[found]])
+            out[d][1].append(n_same[found])
+        on = np.stack([n_less > 0, real & (depth + 1 < len(keys)), n_more > 0]).T.ravel()
+        start = np.stack([start, same, start + size - n_more]).T.ravel()[on]
+        size = np.stack([n_less, n_same, n_more]).T.ravel()[on]
+        depth = np.stack([depth, depth + np.int8(1), depth]).T.ravel()[on]
+        pointers = moved
     none = np.zeros(0, np.int32)
     return [(np.concatenate([none, *p]), np.concatenate([none, *n])) for p, n in out]
 
@@ -99,7 +115,7 @@ class Slice:
         breaks = np.concatenate(([0], np.cumsum(ends))).astype(np.int32)
         self.joined = np.append((row[1:] == row[:-1]) & (breaks[self.begin[1:]] == breaks[self.begin[:-1]]), False) if len(row) else np.zeros(0, bool)
         ids, _, first = numbered(self.data, self.begin, self.end)
-        self.ids, self.words = (ids + 1).astype(np.int32), len(first)
+        self.ids, self.first = (ids + 1).astype(np.int32), first
 
     def text(self, pointers: np.ndarray, words: int) -> pa.Array:
         """The phrases at pointers, their words joined by one space."""
@@ -113,8 +129,18 @@ class Slice:
         return strings(joined, np.concatenate(([0], ends[:-1]))[: len(ends)], ends - 1)
 
 
-def _hash(lang: str, phrase: str) -> int:
-    return xxhash.xxh64_intdigest(phrase, xxhash.xxh64_intdigest(lang, 42))
+def pair_bits(words: np.ndarray, a: np.ndarray, b: np.ndarray, lang: np.ndarray, bits: int) -> np.ndarray:
+    """The bit of each pair of words of a language, from hashes of the words and languages."""
+    return (mixed(words[a] + mixed(words[b] + mixed(lang))) % np.uint64(bits)).astype(np.int64)
+
+
+def _hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return span_hashes(prefix_sums(data.astype(np.uint64) + np.uint64(1)), begin, end)
+
+
+def _text_hashes(texts: pa.Array) -> np.ndarray:
+    data, offsets = flat_bytes(texts)
+    return _hashes(data, offsets[:-1], offsets[1:])
 
 
 def _rows(cut: Slice, found: list[tuple[np.ndarray, np.ndarray]], least_words: int) -> Iterator[pa.RecordBatch]:
@@ -156,11 +182,19 @@ def _summed(rows: DataFrame) -> DataFrame:
 
 
 def bitmap(pairs: DataFrame, bits: int = BITS) -> np.ndarray:
-    """Bits set by the hashes of (lang, phrase), combined in tasks; at most ``bits`` / 64 rows of one long leave them."""
-    bit = F.pmod(F.xxhash64("lang", "phrase"), F.lit(bits))
-    rows = pairs.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit").bitwiseAND(F.lit(63)).cast("int"))).alias("word"))
+    """Bits set by pairs (lang, phrase), combined in tasks; at most ``bits`` / 64 rows of one long leave them."""
+
+    def where(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = pc.split_pattern(b.column(1), " ")
+            hashes = _text_hashes(words.flatten())
+            at = np.arange(0, 2 * b.num_rows, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(pair_bits(hashes, at, at + 1, _text_hashes(b.column(0)), bits))], names=["bit"])
+
+    found = pairs.select("lang", "phrase").mapInArrow(where, "bit long")
+    rows = found.groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit").bitwiseAND(F.lit(63)).cast("int"))).alias("word"))
     got = rows.toArrow()
-    out = np.zeros(bits // 64, np.uint64)
+    out = np.zeros(-(-bits // 64), np.uint64)
     out[got.column(0).to_numpy()] = got.column(1).to_numpy().view(np.uint64)
     return out
 
@@ -173,17 +207,10 @@ def deeper_counts(texts: DataFrame, pairs: DataFrame, words: int = WORDS, bits:
         known = shared.value
         for cut in _slices(batches):
             at = np.flatnonzero(cut.joined)
-            code = (cut.lang[at].astype(np.int64) * (cut.words + 1) + cut.ids[at]) * (cut.words + 1) + cut.ids[at + 1]
-            _, first, back = np.unique(code, return_index=True, return_inverse=True)
-            langs, some = cut.langs.to_pylist(), at[first].astype(np.int32)
-            h = np.empty(len(some), np.uint64)
-            for i in range(0, len(some), ROWS):
-                part = some[i : i + ROWS]
-                h[i : i + ROWS] = [_hash(langs[k], p) for k, p in zip(cut.lang[part].tolist(), cut.text(part, 2).to_pylist(), strict=True)]
-            h = h.view(np.int64) % bits
-            passed = (known[h >> 6] >> (h & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+            own = _hashes(cut.data, cut.begin[cut.first], cut.end[cut.first])
+            bit = pair_bits(own, cut.ids[at] - 1, cut.ids[at + 1] - 1, _text_hashes(cut.langs)[cut.lang[at]], bits)
             go_on = np.zeros(len(cut.ids), bool)
-            go_on[at] = passed[back]
+            go_on[at] = (known[bit >> 6] >> (bit & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
             three = np.flatnonzero(go_on[:-1] & go_on[1:]) if len(go_on) > 1 else at[:0]  # others have no third word
             yield from _rows(cut, equal_partitions(_keys(cut, go_on, words), three), 3)
 
