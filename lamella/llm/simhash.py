@@ -17,13 +17,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from lamella.llm.arrow import byte_values
 from lamella.llm.lz_dedup import word_units
 from lamella.llm.windows import gram_hashes, mixed, prefix_sums, span_hashes
 from lamella.operators.graph import connected_components
-from lamella.plans.session import bounded, checkpointed, forget, saved, settled, small_batches
+from lamella.plans.session import bounded, checkpointed, forget, saved, small_batches
 
 SEED = 42
 SHINGLE_WORDS = 3
@@ -32,8 +32,10 @@ MAX_BITS = 2
 CROWDED = 64
 #: Near copies of the pipeline's stage: words of a shingle and similarity; orders and smallest hashes of its candidates.
 STAGE_WORDS, SIMILARITY, ORDERS, SMALLEST = 5, 0.8, 12, 3
-#: Texts of a number that are compared with all others of it in one round, about.
-PIVOTS = 64
+#: Ranges of hashes of a sketch, what its estimate may be too low by (four deviations), texts of a number that meet in a task at once, rows compared between looks at the components.
+BINS, SLACK, TOGETHER, COMPARED = 256, 0.1, 8192, 64
+#: Pairs of a text with another component that a number's second search gives.
+TRIED = 4
 _SEEDS, _FACTORS = np.random.default_rng(7).integers(1, 1 << 63, (2, 16), np.uint64)
 
 
@@ -169,16 +171,22 @@ def _shingles(texts: pa.Array, size: int) -> list[np.ndarray]:
 
 
 def _sketch(size: int):
-    @F.arrow_udf(ArrayType(LongType()))
+    @F.arrow_udf(StructType([StructField("keys", ArrayType(LongType())), StructField("size", LongType()), StructField("bins", BinaryType())]))
     def sketch(texts: pa.Array) -> pa.Array:
-        """For each order of the hashes one number made of the smallest ones."""
-        out = np.zeros((len(texts), ORDERS), np.uint64)
+        """For each order of the hashes one number made of the smallest ones; the size of the set; of each of ``BINS`` ranges of hashes a byte of the smallest, 0 if none."""
+        keys, bins, sizes = np.zeros((len(texts), ORDERS), np.uint64), np.zeros((len(texts), BINS), np.uint8), []
+        edges = np.arange(BINS, dtype=np.uint64) * np.uint64((1 << 64) // BINS)
         for i, own in enumerate(_shingles(texts, size)):
             for k in range(ORDERS):
                 h = mixed(own ^ _SEEDS[k])
                 h = np.sort(np.partition(h, SMALLEST - 1)[:SMALLEST] if len(h) > SMALLEST else h)
-                out[i, k] = mixed(np.array([(h * _FACTORS[: len(h)]).sum()], np.uint64))[0]
-        return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * ORDERS), pa.array(out.ravel().view(np.int64)))
+                keys[i, k] = mixed(np.array([(h * _FACTORS[: len(h)]).sum()], np.uint64))[0]
+            first = np.searchsorted(own, edges)
+            some = np.flatnonzero(first < np.append(first[1:], len(own)))
+            bins[i, some] = own[first[some]] % np.uint64(255) + np.uint64(1)
+            sizes.append(len(own))
+        keys = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * ORDERS), pa.array(keys.ravel().view(np.int64)))
+        return pa.StructArray.from_arrays([keys, pa.array(sizes, pa.int64()), pa.array([b.tobytes() for b in bins], pa.binary())], names=["keys", "size", "bins"])
 
     return sketch
 
@@ -201,11 +209,103 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return checkpointed(pairs.join(one, "b").join(two, "a").where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b"))
 
 
-def _pairs(rows: DataFrame) -> DataFrame:
-    return rows.where("node <> end").select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b")).distinct()
+def _alike(bins: np.ndarray, i: int, size: np.ndarray, similarity: float) -> np.ndarray:
+    """The estimated similarity of each text to text ``i``; 0 where by size or by the estimate, less ``SLACK``, it can't be similar."""
+    out = np.zeros(len(bins))
+    near = np.flatnonzero((size >= similarity * size[i] - 1e-9) & (size[i] >= similarity * size - 1e-9))
+    some, filled = bins[near], bins[i] > 0
+    share = np.count_nonzero((some == bins[i]) & filled, axis=1) / np.count_nonzero((some > 0) | filled, axis=1)
+    out[near] = np.where(share >= similarity - SLACK, share, 0)
+    return out
+
 
+def joining_pairs(node: np.ndarray, size: np.ndarray, bins: np.ndarray, keys: np.ndarray, root: np.ndarray, without: set[tuple[int, int]], similarity: float, most: int | None = None) -> tuple[list[tuple[int, int]], bool]:
+    """Pairs of texts of a number that may be similar and are in different components, none of them in ``without``; and whether that is all.
 
-def similar_links(docs: DataFrame, shingle: int = STAGE_WORDS, similarity: float = SIMILARITY, pivots: int = PIVOTS) -> DataFrame:
+    Each text outside the largest component is compared with all. Without ``most`` a forest is enough: texts that a chosen
+    pair joins up are not paired again. Else a text is paired with the ``most`` texts of each other component that seem nearest.
+    ``keys`` are the texts' numbers in earlier orders: two texts that share one of those have met there and don't meet here.
+    """
+    if not len(node):
+        return [], True
+    order = np.argsort(node, kind="stable")
+    node, size, bins, keys = node[order], size[order], bins[order], keys[order]
+    label = np.unique(root[order], return_inverse=True)[1]
+    stars = _Stars(len(node))
+    stars.add(np.unique(label, return_index=True)[1][label], np.arange(len(node)))
+    at = {int(x): i for i, x in enumerate(node)}
+    away: dict[int, list[int]] = {}
+    for a, b in without:
+        if a in at and b in at:
+            away.setdefault(at[a], []).append(at[b])
+            away.setdefault(at[b], []).append(at[a])
+    found, whole, done = [], True, np.zeros(len(node), bool)
+    while True:
+        main = np.bincount(stars.root).argmax()
+        todo = np.flatnonzero((stars.root != main) & ~done)
+        if not len(todo):
+            return [(int(node[min(i, j)]), int(node[max(i, j)])) for i, js in found for j in js.tolist()], whole
+        for i in todo[:COMPARED].tolist():
+            if stars.root[i] == main:
+                continue
+            share = _alike(bins, i, size, similarity)
+            share[away.get(i, [])] = 0
+            share[done | (stars.root == stars.root[i])] = 0
+            near = np.flatnonzero(share)
+            share[near[(keys[near] == keys[i]).any(axis=1)]] = 0
+            done[i] = True
+            other = np.flatnonzero(share)
+            other = other[np.lexsort((-share[other], stars.root[other]))]
+            root = stars.root[other]
+            first = np.flatnonzero(np.concatenate((np.ones(min(1, len(root)), bool), root[1:] != root[:-1])))
+            rank = np.arange(len(root)) - np.repeat(first, np.diff(np.append(first, len(root))))
+            if most is None:
+                other = other[rank == 0]
+                stars.add(np.full(len(other), i), other)
+            else:
+                whole = whole and bool((rank < most).all())
+                other = other[rank < most]
+            if len(other):
+                found.append((i, other))
+
+
+_GROUP = ["bucket", "i", "j"]
+
+
+def _candidates(rows: DataFrame, similarity: float, most: int | None) -> DataFrame:
+    """``(bucket, i, j, a, b)`` of rows ``(bucket, i, j, node, size, bins, keys, root, other, tried)``; a row that is ``tried`` is a pair known to be unlike.
+
+    A row without a and b says that not all pairs of the group are here.
+    """
+
+    def one(rows: list) -> pa.RecordBatch:
+        bucket, i, j, node, size, bins, keys, root, other, tried = rows
+        without = set(zip(node[tried].tolist(), other[tried].tolist(), strict=True))
+        real = np.flatnonzero(~tried)
+        table = np.frombuffer(b"".join(bins[k] for k in real), np.uint8).reshape(len(real), BINS)
+        earlier = np.array([keys[k] for k in real], np.int64).reshape(len(real), -1)
+        pairs, whole = joining_pairs(node[real], size[real].astype(np.int64), table, earlier, root[real].astype(np.int64), without, similarity, most)
+        pairs += [] if whole else [(None, None)]
+        a, b = (pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1))
+        return pa.RecordBatch.from_arrays([*[pa.array(np.full(len(pairs), x[0])) for x in (bucket, i, j)], a, b], names=[*_GROUP, "a", "b"])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            rows = rows if held is None else [np.concatenate(x) for x in zip(held, rows, strict=True)]
+            cut = np.flatnonzero(np.logical_or.reduce([rows[k][1:] != rows[k][:-1] for k in range(3)])) + 1
+            for x, y in zip([0, *cut], cut, strict=False):
+                yield one([r[x:y] for r in rows])
+            held = [r[cut[-1] if len(cut) else 0 :] for r in rows]
+        if held is not None and len(held[0]):
+            yield one(held)
+
+    dealt = rows.select(*_GROUP, "node", "size", "bins", "keys", "root", "other", "tried").repartition(*_GROUP).sortWithinPartitions(*_GROUP)
+    return dealt.mapInArrow(each, "bucket long, i long, j long, a long, b long")
+
+
+def similar_links(docs: DataFrame, shingle: int = STAGE_WORDS, similarity: float = SIMILARITY, most: int = TOGETHER) -> DataFrame:
     """``(a, b)``: links that join up texts (their xxhash64) whose sets of word shingles have that Jaccard similarity or more.
 
     At 0.8 two fingerprints of 64 bits are about 10 bits apart, where popcounts no longer tell texts from others. So
@@ -213,51 +313,52 @@ def similar_links(docs: DataFrame, shingle: int = STAGE_WORDS, similarity: float
     shingle hashes in each of ``ORDERS`` orders, of which texts of similarity 0.8 share one with probability 0.9998. Every
     candidate is verified by its whole sets.
 
-    The texts of a number are first compared with the two at its ends. Where that leaves several components, texts outside
-    the number's largest component become pivots, about ``pivots`` of a number a round, and each is compared with all
-    texts of the number in other components, until every text outside the largest one has been a pivot. So no pair of a
-    number is passed over, and texts that are already joined up are never paired.
+    The texts of a number meet in a task; those of a number with more than ``most`` are dealt into slices, of which each
+    two meet. There an estimate from a sketch of ``BINS`` bytes finds pairs that may be similar, and only a forest of
+    pairs that would join up components leaves the task. Where a verified pair turns out unlike, its number is searched
+    again with what is known by then, for ``TRIED`` pairs of a text with a component and twice as many each time, until every pair that could
+    join two components has been verified.
     """
     texts = docs.select(F.xxhash64("text").alias("node"), F.coalesce("text", F.lit("")).alias("text"))
-    nodes = checkpointed(texts.select("node", _sketch(shingle)("text").alias("keys"), _fingerprint_udf(shingle)("text").alias("fp")))
-    keyed = nodes.select("node", F.posexplode("keys").alias("k", "key")).select("node", F.xxhash64("k", "key").alias("bucket")).distinct()
-    ends = checkpointed(keyed.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi"))
-    met = saved(keyed.join(ends, "bucket"), "met")
+    nodes = checkpointed(texts.select("node", _sketch(shingle)("text").alias("s"), _fingerprint_udf(shingle)("text").alias("fp")).select("node", "s.*", "fp"))
+    keyed = nodes.select("node", "size", "bins", "keys", F.posexplode("keys").alias("k", "key"))
+    keyed = keyed.select(F.xxhash64("k", "key").alias("bucket"), "node", "size", "bins", F.slice("keys", F.lit(1), F.col("k")).alias("keys")).dropDuplicates(["bucket", "node"])
+    crowds = checkpointed(nodes.select("node", F.posexplode("keys").alias("k", "key")).select(F.xxhash64("k", "key").alias("bucket"), "node").distinct().groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
+    slices = F.ceil(F.col("n") / most).cast("long")
+    met = keyed.join(crowds, "bucket").withColumn("own", F.pmod(F.xxhash64("node", "bucket"), slices))
+    met = met.withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), slices - 1))).withColumns({"i": F.least("own", "t"), "j": F.greatest("own", "t")})
+    met = saved(met.select(*_GROUP, "node", "size", "bins", "keys"), "met")
     fps = checkpointed(nodes.groupBy("fp").agg(F.min("node").alias("rep")))
     same = nodes.join(fps, "fp").select("node", F.col("rep").alias("end"))
-    links = simhash_links(fps.select("fp"))
-    across = links.join(fps.select(F.col("fp").alias("a"), F.col("rep").alias("node")), "a").join(fps.select(F.col("fp").alias("b"), F.col("rep").alias("end")), "b").select("node", "end")
-    pairs = checkpointed(_pairs(met.select("node", F.explode(F.array("lo", "hi")).alias("end")).unionByName(same).unionByName(across)))
-    wanted = bounded(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    sets = saved(texts.join(wanted, "node", "left_semi").select("node", _sets(shingle)("text").alias("set")).dropDuplicates(["node"]), "shingles")
-    links = _verified(pairs, sets, similarity)
-    open_rows, used, size = met.select("bucket", "node"), ends.select("bucket", F.explode(F.array("lo", "hi")).alias("node")), F.size("set")
-    sizes = checkpointed(sets.select("node", size.alias("size")))
-    for step in range(1 << 30):
-        roots = connected_components(links).withColumnRenamed("node", "of")
-        rooted = open_rows.join(roots, F.col("node") == F.col("of"), "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-        crowd = rooted.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-        state = crowd.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("roots")).where("roots > 1")
-        state = checkpointed(state.select("bucket", F.col("most.root").alias("main"), (F.col("n") - F.col("most.n")).alias("outside")))
-        rooted = saved(rooted.join(state, "bucket"), "open")
-        waiting = rooted.where("root <> main").join(used.withColumn("done", F.lit(True)), ["bucket", "node"], "left_anti")
-        turn = F.pmod(F.xxhash64("node", F.lit(step)), F.lit(1 << 20)) * F.col("outside") < pivots * (1 << 20)
-        now = checkpointed(waiting.where(turn).select("bucket", F.col("node").alias("end"), F.col("root").alias("end_root")))
-        if now.isEmpty() and waiting.isEmpty():
-            forget(rooted)
+    close = simhash_links(fps.select("fp"))
+    across = close.join(fps.select(F.col("fp").alias("a"), F.col("rep").alias("node")), "a").join(fps.select(F.col("fp").alias("b"), F.col("rep").alias("end")), "b").select("node", "end")
+    first = same.unionByName(across).where("node <> end").select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b"))
+    links, failed, each, stored = None, None, None, [met]
+    rows = met.withColumns({"root": F.col("node"), "other": F.lit(0).cast("long"), "tried": F.lit(False)})
+    while True:
+        tried = saved(_candidates(rows, similarity, each), "tried")
+        pairs = tried.where("a is not null").select("a", "b")
+        pairs = saved((pairs.unionByName(first) if links is None else pairs).distinct(), "pairs")
+        wanted = bounded(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        sets = saved(texts.join(wanted, "node", "left_semi").select("node", _sets(shingle)("text").alias("set")).dropDuplicates(["node"]), "shingles")
+        good = _verified(pairs, sets, similarity)
+        bad = saved(tried.join(good, ["a", "b"], "left_anti"), "failed")
+        links = saved(good if links is None else links.unionByName(good).coalesce(bad.rdd.getNumPartitions() + 8), "links")
+        failed = bad.where("a is not null") if failed is None else failed.unionByName(bad.where("a is not null"))
+        stored += [tried, pairs, links, bad]
+        forget(sets)
+        again = bad.select(*_GROUP).distinct()
+        if again.isEmpty():
             break
-        fits = (F.col("size") >= similarity * F.col("end_size")) & (F.col("end_size") >= similarity * F.col("size"))
-        facing = rooted.join(now, "bucket").where("root <> end_root").select("node", "end").distinct()
-        facing = facing.join(sizes, "node").join(sizes.select(F.col("node").alias("end"), F.col("size").alias("end_size")), "end").where(fits)
-        links = checkpointed(links.unionByName(_verified(checkpointed(_pairs(facing)), sets, similarity)))
-        used = checkpointed(used.unionByName(now.select("bucket", F.col("end").alias("node"))))
-        if step:
-            forget(open_rows)
-        open_rows = settled(rooted.select("bucket", "node"), "open", rooted)
-    if step:
-        forget(open_rows)
-    forget(sets, met)
-    return links
+        each = TRIED if each is None else 2 * each
+        roots = connected_components(links).withColumnRenamed("node", "of")
+        more = met.join(again, _GROUP, "left_semi").join(roots, F.col("node") == F.col("of"), "left").select(*_GROUP, "node", "size", "bins", "keys", F.coalesce("root", "node").alias("root"), F.lit(0).cast("long").alias("other"), F.lit(False).alias("tried"))
+        none = [F.lit(0).cast("long").alias("size"), F.lit(b"").alias("bins"), F.array().cast("array<long>").alias("keys"), F.lit(0).cast("long").alias("root")]
+        known = failed.join(again, _GROUP, "left_semi").select(*_GROUP, F.col("a").alias("node"), *none, F.col("b").alias("other"), F.lit(True).alias("tried"))
+        rows = more.unionByName(known)
+    out = checkpointed(links)
+    forget(*stored)
+    return out
 
 
 def similar_copies(docs: DataFrame, shingle: int = STAGE_WORDS, similarity: float = SIMILARITY) -> DataFrame:

@@ -228,7 +228,7 @@ def test_similar_copies(spark):
 
 
 def test_similar_families(spark):
-    """No link is lost in a star whose copies lie up to 0.8 apart and in a chain of small steps, both in few buckets; also with one pivot a round."""
+    """No link is lost in a star whose copies lie up to 0.8 apart and in a chain of small steps, both in few buckets; also where a number is dealt into slices."""
     rng = random.Random(21)
     words = [f"w{i}" for i in range(5000)]
     base = [rng.choice(words) for _ in range(300)]
@@ -243,13 +243,13 @@ def test_similar_families(spark):
     chain = [[rng.choice(words) for _ in range(300)]]
     while len(chain) < 300:
         chain.append(changed(chain[-1], 4))
-    for texts, pivots in ((star + chain, 64), (star[:40] + chain[:10], 1)):
+    for texts, most in ((star + chain, 8192), (star[:60] + chain[:20], 9)):
         data = list(enumerate(" ".join(t) for t in texts))
         sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
         pairs = [(i, j) for i, j in itertools.combinations(range(len(data)), 2) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
         root = plain_components(pairs, range(len(data)))
         docs = spark.createDataFrame([(t,) for _, t in data], "text string").repartition(4)
-        links = simhash.similar_links(docs, pivots=pivots)
+        links = simhash.similar_links(docs, most=most)
         ids = {r.node: r.t for r in docs.select(F.xxhash64("text").alias("node"), F.col("text").alias("t")).collect()}
         at = {t: i for i, t in data}
         found = plain_components([(at[ids[r.a]], at[ids[r.b]]) for r in links.collect()], range(len(data)))
