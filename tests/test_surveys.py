@@ -6,6 +6,7 @@ from collections import Counter
 
 import pandas as pd
 
+from lamella.operators import acquisition as acq
 from lamella.operators import documents, layout, pixels, review, scoring, spatial, tracks
 from lamella.plans import registry
 from lamella.sources import acquisition, logs
@@ -41,45 +42,121 @@ def test_positions_round_trip(spark, tmp_path):
     assert part[0] == "trial,x,y,state" and [line.split(",")[0] for line in part[1:]] == ["1", "2"]
 
 
-def by_hand(rows):
-    out, segment, travel, slow, inside = [], -1, 0, 0, False
-    for frame, gray, step in sorted(rows):
-        if gray is None or gray < 3:
-            inside = False
-        elif not inside or step > 600:
-            segment, travel, slow, inside = segment + 1, 0, 0, True
-            out.append((frame, segment, "segment-start"))
+def by_hand(rows, ended):
+    """Keyframes (frame, segment, reason) of a video's (grey, step), frames counted from 1; the last segment ends with the video if ``ended``."""
+    black = {i for i, (gray, _) in enumerate(rows, 1) if gray is None or gray < 3}
+    seen, taken, out = set(), set(), []
+    moved, armed, dwell, segment, first = 0, False, None, -1, None
+
+    def take(i, reason, seg):
+        nonlocal moved, armed
+        if i in taken or any(b in seen for b in range(i - 5, i + 6)):
+            return False
+        moved, armed = 0, False
+        taken.add(i)
+        out.append((i, seg, reason))
+        return True
+
+    def end_dwell(i):
+        nonlocal dwell
+        begin, dwell = dwell, None
+        if begin is not None and i - begin >= 3 and moved >= 1000:
+            take((begin + i) // 2, "dwell", segment)
+
+    def end_segment(last):
+        nonlocal first
+        if first is not None:
+            end_dwell(last)
+            if moved > 1000:
+                for j in range(last, max(first, last - 19) - 1, -1):
+                    if take(j, "segment-end", segment):
+                        break
+        first = None
+
+    for i, (_, step) in enumerate(rows, 1):
+        if i in black:
+            seen.add(i)
+            end_segment(i - 1)
+        elif first is None or step is None or step > 600:
+            end_segment(i - 1)
+            segment, first = segment + 1, i
+            armed = not take(i, "segment-start", segment)
         else:
-            travel += step
-            slow = slow + 1 if step < 50 else 0
-            if travel >= 3000:
-                out.append((frame, segment, "travel"))
-                travel = 0
-            elif slow == 3:
-                out.append((frame, segment, "dwell"))
-                travel = 0
-    return out
+            moved += step
+            if step < 50:
+                dwell = i if dwell is None else dwell
+            else:
+                end_dwell(i)
+            armed = armed or moved >= 3000
+            if armed:
+                take(i, "travel", segment)
+    if ended:
+        end_segment(len(rows))
+    return {k for k in out if not any(b in black for b in range(k[0] - 5, k[0] + 6))}
+
+
+def tracks_of(rng):
+    """Videos with long dwells, jumps, ramps after black stretches, black ends and light ends."""
+    for video in range(14):
+        rows = []
+        while len(rows) < 150:
+            kind = rng.choice(["black", "dwell", "move", "move", "fast", "jump"])
+            n = rng.randrange(1, 30) if kind != "jump" else 1
+            rows += [(1.0 if kind == "black" else 9.0, {"dwell": rng.randrange(50), "move": rng.randrange(50, 400), "fast": 590, "jump": 700, "black": 0}[kind]) for _ in range(n)]
+        yield video, rows + [(None, 5)] * (video % 2)
+
+
+def test_keyframes(spark):
+    videos = dict(tracks_of(random.Random(31)))
+    rows = [(v, i, g, s, 0.5) for v, fs in videos.items() for i, (g, s) in enumerate(fs, 1)]
+    got = tracks.travel_keyframes(spark.createDataFrame(rows, "video long, frame long, gray double, step long, response double").repartition(5)).collect()
+    want = {(v, *k) for v, fs in videos.items() for k in by_hand(fs, True)}
+    assert {(r.video, r.frame, r.segment, r.reason) for r in got} == want and len(got) == len(want)
+    assert {k[3] for k in want} == set(tracks.REASONS)
 
 
 def test_live_keyframes(spark):
     got = registry.QUERIES["live_keyframes"](spark, SF).collect()
     want = set()
-    for user, rows in pd.read_parquet(f"{SF}/events.parquet").groupby("user_id"):
-        want |= {(user, *k) for k in by_hand([(e, v, int(v * 100 // 1) % 700) for e, v in zip(rows.event_id, rows.value)])}
+    for user, rows in pd.read_parquet(f"{SF}/events.parquet").sort_values("event_id").groupby("user_id"):
+        want |= {(user, *k) for k in by_hand([(v, int(v * 100 // 1) % 700) for v in rows.value], False)}
     assert len(got) == len(want) and {tuple(r) for r in got} == want
 
 
 def test_keyframes_over_batches(spark, tmp_path):
-    rows = [(1, f, 1.0 if f % 17 == 0 else 9.0, 400 if f % 5 else 700) for f in range(60)] + [(2, f, 9.0, 10) for f in range(60)]
+    """The same however the frames are cut into batches, and after a restart from the checkpoint; a late row changes nothing."""
+    videos = dict(tracks_of(random.Random(32)))
+    rows = [(v, 10 * i, g, s) for v, fs in videos.items() for i, (g, s) in enumerate(fs, 1)]
     schema = "video long, frame long, gray double, step long"
-    for k in range(3):
-        spark.createDataFrame([r for r in rows if r[1] // 20 == k], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    spark.createDataFrame([(1, 3, 9.0, 1)], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    stream = live.keyframes(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in"))
-    stream.writeStream.option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/log").format("parquet").trigger(availableNow=True).start().awaitTermination()
-    got = [tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect()]
-    want = {(v, *k) for v in (1, 2) for k in by_hand([r[1:] for r in rows if r[0] == v])}
-    assert {r for r in got if r[3] != "late"} == want and [r[:2] for r in got if r[3] == "late"] == [(1, 3)]
+    want = {(v, *k) for v, fs in videos.items() for k in by_hand(fs, False)}
+
+    def feed(part):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = live.keyframes(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in"))
+        stream.writeStream.option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/log").format("parquet").trigger(availableNow=True).start().awaitTermination()
+
+    for lo, hi in ((0, 7), (7, 60), (60, 61), (61, 400)):
+        feed([r for r in rows if lo < r[1] // 10 <= hi])
+    feed([(1, 33, 9.0, 1)])
+    got = [tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").select("video", "frame", "segment", "reason").collect()]
+    gone = {r[:2] for r in got if r[3] == "withdrawn"}
+    assert gone and {r for r in got if r[:2] not in gone and r[3] != "late"} == want and [r[:2] for r in got if r[3] == "late"] == [(1, 33)]
+
+
+def test_log_order(spark):
+    """Entries follow their lines where trial numbers restart."""
+    rows = [("d", 1, 40, "Snapshot", 0), ("d", 2, 41, "Snapshot", 3_000_000), ("d", 3, 1, "Other", 4_000_000), ("d", 4, 2, "Snapshot", 9_000_000)]
+    entries = spark.createDataFrame(rows, "dataset string, line_no long, trial long, type string, us long")
+    assert [tuple(r) for r in acq.snapshot_gaps(entries).orderBy("gap_s").collect()] == [("d", 40, None), ("d", 41, 3.0), ("d", 2, 6.0)]
+    r = acq.log_counts(entries).first()
+    assert (r.n_snapshots, r.n_others, r.first_type, r.last_type) == (3, 1, "Snapshot", "Snapshot")
+
+
+def test_skipped_folders(spark):
+    files = [("one/log.txt", 5), ("one/001.xml", 9), ("two/log.txt", 0), ("two/001.xml", 9), ("two/deep/log.txt", 5), ("two/deep/001.xml", 4), ("three/log.txt", 1), ("three/001.xml", 0), ("four/001.xml", 3), ("a/b/c/log.txt", 1), ("a/b/c/001.xml", 1)]
+    listing = spark.createDataFrame([(f"/r/{p}", n) for p, n in files], "path string, length long")
+    assert [tuple(r) for r in acquisition.scan(listing, "/r").collect()] == [("one", 1)]
+    assert sorted(tuple(r) for r in acquisition.skipped_folders(listing, "/r").collect()) == [("three", "no trial can be read"), ("two", "the log is empty")]
 
 
 def test_empty_and_null_rows(spark):
