@@ -3,8 +3,8 @@
 Of the ``w`` k-grams in a window of ``k + w - 1`` units (bytes or words) the smallest hash is the window's anchor.
 It depends on the window's content alone, so equal windows have equal anchors wherever they are; consecutive windows
 mostly share theirs, so a text becomes a few runs of windows per anchor. Only runs whose anchor occurs elsewhere can
-hold windows that recur. Those runs, with their text, meet in one task per anchor, where they are compared exactly;
-hashes never decide that two windows are equal.
+hold windows that recur. Those runs, with their text, meet in one task per anchor, where they are compared byte for byte.
+Only of anchors with very many runs windows are compared by 128 bits of hash, see :mod:`lamella.llm.recurrence`.
 """
 
 from __future__ import annotations

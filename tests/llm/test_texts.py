@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import random
+import re
 import struct
 import zlib
 from collections import Counter, defaultdict
@@ -337,6 +338,31 @@ def test_toxicity_forward_pass_and_gradients():
     assert close >= 46  # of 48; a step of eps may change which window is the largest
 
 
+def test_toxicity_query(spark):
+    """Every score of the query, from the text by plain loops over the network that the labels of the sample give."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    network, _ = toxicity.fit(docs, labels)
+    power = [pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(64)]
+
+    def bucket(word):
+        h = sum(b * power[i & 63] for i, b in enumerate(word)) % (1 << 64)
+        return ((h ^ h >> 32) * 0xD6E8FEB86659FD93 % (1 << 64)) >> 44
+
+    got = {r.doc_id: r for r in queries.op5_toxicity(spark, SF).collect()}
+    for r in docs.collect():
+        words = [bucket(w) for w in re.findall(rb"[a-z\x80-\xff]+", (r.text or "").encode().lower())]
+        if len(words) < 60:
+            total = plain_logit(network, words)
+        else:
+            x, total = network.embedding[words].astype(float), float(network.constant)
+            for k, w in enumerate(toxicity.WIDTHS):
+                conv = sum(x[j : len(x) - w + 1 + j] @ network.filters[k][j].astype(float) for j in range(w)) + network.bias[k]
+                total += float(np.maximum(conv.max(axis=0), 0) @ network.out[k * toxicity.FILTERS : (k + 1) * toxicity.FILTERS])
+        want = 1 / (1 + np.exp(-total))
+        assert abs(got[r.doc_id].score - want) < 1e-4 and got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+        assert abs(want - 0.5) < 1e-4 or got[r.doc_id].predicted == int(want >= 0.5)
+
+
 def test_toxicity_words():
     words, begins = toxicity.hashed_words(pa.array(["You, IDIOT! you", "", None, "l'été 12", "idiot" * 30]))
     assert begins.tolist() == [0, 3, 3, 3, 5, 6] and words[0] == words[2]
