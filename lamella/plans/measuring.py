@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.operators import blocks, lattice, pairing, solving
+from lamella.operators import blocks, lattice, pairing, recut, solving
 from lamella.plans.survey import query
 from lamella.sources import views
 
@@ -110,3 +110,13 @@ SELECT grp, x + 8 * y AS pixel, round(v / avg(v) OVER (PARTITION BY grp), 6) AS
 def flat_fields(spark, sf_dir):
     frames = views.frames8(spark, sf_dir).select("grp", F.transform("px", lambda v: v + 2).alias("px"))
     return blocks.flat_field(frames, 8, 1.0).select("grp", F.posexplode("px").alias("pixel", "value")).withColumn("value", F.round("value", 6))
+
+
+@query("recut_runs", "tiles", "", """SELECT dataset, trial % 2 AS run, trial, CASE WHEN dataset % 3 = 0 AND trial % 20 >= 8 THEN 1 ELSE 0 END AS part, trial % 20 = 13 AS outlier FROM tiles""")
+def recut_runs(spark, sf_dir):
+    """Two runs a dataset; in some the chain is 40 px off from a tile on, in one run an anchor is wrong and some have none."""
+    i = F.col("trial") % 20
+    broken = F.when((F.col("dataset") % 3 == 0) & (i >= 8), 40.0).otherwise(0.0)
+    anchor = lambda c: F.when(i % 10 != 6, F.col(c) + F.when(i == 13, 100.0).otherwise(0.0))
+    tiles = views.tiles(spark, sf_dir).withColumn("run", F.col("trial") % 2)
+    return recut.recut_runs(tiles.select("dataset", "run", "trial", (F.col("mx") + broken).alias("lx"), F.col("my").alias("ly"), anchor("mx").alias("ax"), anchor("my").alias("ay")))

@@ -7,7 +7,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from lamella.operators import blocks, lattice, pairing, solving
+from lamella.operators import blocks, lattice, pairing, recut, solving
 
 # layouts
 
@@ -264,3 +264,28 @@ def test_measured_pairs(spark):
             else:
                 (ax, ay), (bx, by) = places[r.a // 10], places[r.b // 10]
                 assert (r.dx, r.dy) == (bx - ax, by - ay) and r.ncc > 0.999 and r.moved == ((bx, by) != (ax, ay))
+
+
+# runs
+
+
+def test_jumps():
+    """Planted jumps are found where they are; a lone wrong anchor cuts nothing, also as the first or the last of a run."""
+    rng = np.random.default_rng(11)
+    base = rng.normal(0, 1, (30, 2))
+    planted = base.copy()
+    planted[9:] += (60, 0)
+    planted[21:] += (0, -45)
+    assert recut.jumps(planted) == ([9, 21], [])
+    for lone in (0, 5, 29):
+        wrong = base.copy()
+        wrong[lone] += 300
+        assert recut.jumps(wrong) == ([], [lone])
+    short = np.array([[0.0, 0], [0, 0], [50, 0], [50, 0]])
+    assert recut.jumps(short) == ([2], []) and recut.jumps(short[:3]) == ([], [2]) and recut.jumps(short[:0]) == ([], [])
+
+
+def test_recut_runs(spark):
+    rows = [(d, r, t, float(t), 0.0, None if t % 7 == 3 else t + (80.0 if r == 1 and t >= 12 else 0.0), 0.0) for d in (1, 2) for r in (0, 1) for t in range(20)] + [(1, 0, 99, None, 0.0, 1.0, 1.0)]
+    got = recut.recut_runs(spark.createDataFrame(rows, "dataset long, run long, trial long, lx double, ly double, ax double, ay double").repartition(4)).collect()
+    assert len(got) == 80 and all(x.part == int(x.run == 1 and x.trial >= 12) and not x.outlier for x in got)
