@@ -198,7 +198,11 @@ def probe(stored: DataFrame, keep: tuple[str, ...] = ("doc_id", "n_bytes")) -> D
 
 
 def stored_and_probed(docs: DataFrame) -> DataFrame:
-    """Writes the media table in the shared folder, rereads it and probes every row; equal texts give equal values."""
+    """Writes the media table in the shared folder, rereads it and probes every row; equal texts give equal values.
+
+    Null texts are empty ones of one block of zeros; texts of any length are stored whole; repeated rows stay, each stored; an
+    empty table gives no rows; other columns, whatever their names, aren't read.
+    """
     small_batches(docs.sparkSession)
     stored = saved(store(docs), "media")
     return settled(probe(stored), "probed", stored)

@@ -175,5 +175,9 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, p
 
 
 def packed(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER) -> DataFrame:
-    """One row per piece of every row of ``docs``: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    """One row per piece of every row of ``docs``: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    Null and empty texts are the closing id alone. Only documents longer than a sequence are cut. Repeated rows and ids are
+    packed each; an empty table gives no rows; other columns, whatever their names, aren't read.
+    """
     return pack(pieces(docs, capacity, tokenizer), capacity)
