@@ -39,7 +39,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet in the shared folder and reread by the next."""
+    """All stages over ``documents``, each written as Parquet in the shared folder and reread by the next.
+
+    Null and empty texts have no perplexity and pass the classifier; they are one text to exact dedup, of which one row stays.
+    Null ids come last where an id decides. Rows that repeat in all columns count once from exact dedup on. Columns beside those
+    of documents, whatever their names, go along up to the last stage. An empty table gives no rows.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         before, docs = docs, stage(spark, docs, sf_dir)
