@@ -283,7 +283,7 @@ def _candidates(rows: DataFrame, similarity: float, most: int | None) -> DataFra
         without = set(zip(node[tried].tolist(), other[tried].tolist(), strict=True))
         real = np.flatnonzero(~tried)
         table = np.frombuffer(b"".join(bins[k] for k in real), np.uint8).reshape(len(real), BINS)
-        earlier = np.array([keys[k] for k in real], np.int64).reshape(len(real), -1)
+        earlier = np.array([keys[k] for k in real], np.int64).reshape(len(real), len(keys[real[0]]) if len(real) else 0)
         pairs, whole = joining_pairs(node[real], size[real].astype(np.int64), table, earlier, root[real].astype(np.int64), without, similarity, most)
         pairs += [] if whole else [(None, None)]
         a, b = (pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1))
@@ -344,11 +344,12 @@ def similar_links(docs: DataFrame, shingle: int = STAGE_WORDS, similarity: float
         good = _verified(pairs, sets, similarity)
         bad = saved(tried.join(good, ["a", "b"], "left_anti"), "failed")
         links = saved(good if links is None else links.unionByName(good).coalesce(bad.rdd.getNumPartitions() + 8), "links")
+        fresh = bad if failed is None else bad.where("a is null").unionByName(bad.join(failed, [*_GROUP, "a", "b"], "left_anti").where("a is not null"))
         failed = bad.where("a is not null") if failed is None else failed.unionByName(bad.where("a is not null"))
         stored += [tried, pairs, links, bad]
         forget(sets)
         again = bad.select(*_GROUP).distinct()
-        if again.isEmpty():
+        if fresh.isEmpty():  # nothing was tried that hadn't been
             break
         each = TRIED if each is None else 2 * each
         roots = connected_components(links).withColumnRenamed("node", "of")
