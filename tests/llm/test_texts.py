@@ -363,6 +363,20 @@ def test_toxicity_query(spark):
         assert abs(want - 0.5) < 1e-4 or got[r.doc_id].predicted == int(want >= 0.5)
 
 
+def test_toxicity_learns_from_every_label(spark):
+    """Each text has a word of its own; those of all rows to be trained on have an embedding, however the rows are dealt."""
+    word = lambda i: "w" + "".join(chr(97 + int(c)) for c in str(i))
+    docs = spark.createDataFrame([(i, f"{word(i)} {'vile' if i % 9 == 0 else 'kind'} words", "en") for i in range(5000)], "doc_id long, text string, lang string")
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), (F.col("doc_id") % 9 == 0).cast("int").alias("toxic"))
+    rows = toxicity.labelled(docs, labels).collect()
+    assert {r.doc_id for r in rows} == {i for i in range(5000) if zlib.crc32(str(i).encode()) % 5}
+    network, _ = toxicity.fit(docs, labels)
+    own, _ = toxicity.hashed_words(pa.array([word(r.doc_id) for r in rows if not r.checked]))
+    assert len(own) > 3000 and network.embedding[own].any(axis=1).all()
+    again, _ = toxicity.fit(docs.repartition(3), labels.repartition(2))
+    assert np.array_equal(network.embedding, again.embedding) and network.constant == again.constant
+
+
 def test_toxicity_words():
     words, begins = toxicity.hashed_words(pa.array(["You, IDIOT! you", "", None, "l'été 12", "idiot" * 30]))
     assert begins.tolist() == [0, 3, 3, 3, 5, 6] and words[0] == words[2]
