@@ -23,7 +23,7 @@ from lamella.llm.arrow import byte_values
 from lamella.llm.lz_dedup import word_units
 from lamella.llm.windows import gram_hashes, mixed, prefix_sums, span_hashes
 from lamella.operators.graph import connected_components
-from lamella.plans.session import bounded, checkpointed, forget, saved, small_batches
+from lamella.plans.session import bounded, checkpointed, collected, forget, saved, small_batches
 
 SEED = 42
 SHINGLE_WORDS = 3
@@ -328,6 +328,7 @@ def similar_links(docs: DataFrame, shingle: int = STAGE_WORDS, similarity: float
     met = keyed.join(crowds, "bucket").withColumn("own", F.pmod(F.xxhash64("node", "bucket"), slices))
     met = met.withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), slices - 1))).withColumns({"i": F.least("own", "t"), "j": F.greatest("own", "t")})
     met = saved(met.select(*_GROUP, "node", "size", "bins", "keys"), "met")
+    collected(docs.sparkSession)
     fps = checkpointed(nodes.groupBy("fp").agg(F.min("node").alias("rep")))
     same = nodes.join(fps, "fp").select("node", F.col("rep").alias("end"))
     close = simhash_links(fps.select("fp"))
@@ -348,6 +349,7 @@ def similar_links(docs: DataFrame, shingle: int = STAGE_WORDS, similarity: float
         failed = bad.where("a is not null") if failed is None else failed.unionByName(bad.where("a is not null"))
         stored += [tried, pairs, links, bad]
         forget(sets)
+        collected(docs.sparkSession)
         again = bad.select(*_GROUP).distinct()
         if fresh.isEmpty():  # nothing was tried that hadn't been
             break
