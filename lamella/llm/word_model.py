@@ -6,7 +6,8 @@ A unigram's probability comes from the number of different words before it; belo
 unknown word are equally likely.
 
 The logarithm of a text's probability is a sum over its words and pairs with a term for each one that the model has seen
-and none for others (see :func:`fit`). So texts are scored by an equi-join of their words and pairs with the terms.
+and none for others (see :func:`fit`). So texts are scored by an equi-join of their words and pairs with the terms, in groups
+of hashes: a text's words and pairs of a group travel as one array to the terms of the group.
 """
 
 from __future__ import annotations
@@ -20,19 +21,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lamella.llm.arrow import flat_bytes, sub_batches
-from lamella.plans.session import bucketed, checkpointed, forget, saved
+from lamella.plans.session import bucketed, checkpointed, collected, forget, saved
 
-SLICE = 4 << 20
+SLICE = 2 << 20
 #: Terms that tasks look up themselves: the words and pairs counted most often, which would crowd single tasks of the join.
 FREQUENT = 1 << 19
 #: Words whose statistics are broadcast when the pairs' terms are made, for the same reason.
 FREQUENT_WORDS = 1 << 16
-#: Parts in which texts are scored, so that the rows of one part are on disk at a time.
-ROUNDS = 8
+#: Parts in which texts are scored, so that the arrays of one part are on disk at a time.
+ROUNDS = 4
 #: Parts in which the terms are made, for the same reason.
 PARTS = 4
-#: Rows that a bucket of the terms has at most, about.
+#: Rows that a bucket of a table has at most, about.
 BUCKET_ROWS = 2_000_000
+#: Groups of terms in a bucket, about; a task has the terms of one group in memory.
+GROUPS = 2
 #: Bytes of text whose pairs a task sums before it sends them.
 HELD = 16 << 20
 START, END = 0x1B873593CC9E2D51, 0x2545F4914F6CDD1D
@@ -130,7 +133,7 @@ def _most_counted(rows: DataFrame, most: int) -> DataFrame:
 
 
 def fit(trusted: DataFrame) -> tuple[DataFrame, float]:
-    """Terms ``(key, n, term)`` of the log-probability, in a table bucketed by key, and the logarithm of an unknown word's probability.
+    """Terms ``(key, n, term, group)`` of the log-probability, in a table bucketed by group, and the logarithm of an unknown word's probability.
 
     With w the back-off weight of a context and p the interpolated probability, a seen pair has the term
     log p(c|b) - log w(b) - log p(c) under its key. A seen word has, under its hash, log p(c) less the unknown word's
@@ -145,8 +148,16 @@ def fit(trusted: DataFrame) -> tuple[DataFrame, float]:
     words = bucketed([words.join(context, "word", "full")], "word", "words", buckets)
     d1 = _discounts(words, "k")
     whole = words.where("k is not null").agg(F.sum("k").alias("k"), F.sum(_taken("k", d1)).alias("freed"), F.count("*").alias("v")).first()
+    groups = GROUPS * max(buckets, int(trusted.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def grouped(parts: list[DataFrame]) -> DataFrame:
+        group = F.pmod(F.shiftrightunsigned("key", 40), F.lit(groups)).cast("int")  # as _group
+        out = bucketed([p.withColumn("group", group) for p in parts], "group", "terms", buckets)
+        out.groups = groups
+        return out
+
     if not whole["k"]:
-        return bucketed([words.select(F.col("word").alias("key"), F.col("k").alias("n"), F.lit(0.0).cast("float").alias("term"))], "key", "terms"), 0.0
+        return grouped([words.select(F.col("word").alias("key"), F.col("k").alias("n"), F.lit(0.0).cast("float").alias("term"))]), 0.0
     unknown = whole["freed"] / whole["k"] / (whole["v"] + 1)
     known = words.select("word", "total", "w", F.when(F.col("k").isNotNull(), (F.col("k") - _taken("k", d1)) / whole["k"] + unknown).alias("p"), F.coalesce("total", "k").alias("n"))
     often = checkpointed(_most_counted(known, FREQUENT_WORDS))
@@ -167,21 +178,75 @@ def fit(trusted: DataFrame) -> tuple[DataFrame, float]:
         near = c2.withColumn("key", _pair("b", "c")).where(mine).join(some_b, "b", "left").join(some_c, "c", "left")  # frequent words don't move
         far = near.where("w is null or p is null").select("key", "b", "c", "n").join(every_b, "b").join(every_c, "c")
         parts.append(term(near.where("w is not null and p is not null").unionByName(far, allowMissingColumns=True)).unionByName(single.where(mine)))
-    terms = bucketed(parts, "key", "terms", buckets)
+    terms = grouped(parts)
     forget(c2, words)
     return terms, math.log(unknown)
 
 
+def _group(key: np.ndarray, groups: int) -> np.ndarray:
+    """The group of each key, by bits that pairs and words alike have mixed."""
+    return (key.view(np.uint64) >> np.uint64(40)) % np.uint64(groups)
+
+
+def _sorted_runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where equal values of a sorted array begin, and how many there are."""
+    at = np.flatnonzero(np.concatenate((np.ones(min(1, len(x)), bool), x[1:] != x[:-1])))
+    return at, np.diff(np.append(at, len(x)))
+
+
+def _added(ids: np.ndarray, totals: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct ids and the sums of what each has."""
+    node, at = np.unique(ids, return_inverse=True)
+    return node, np.bincount(at, totals, len(node)).astype(np.float64), np.bincount(at, tokens, len(node)).astype(np.int64)
+
+
+def _arrays(rows: pa.Table, **columns: type) -> Iterator[tuple[np.ndarray, ...]]:
+    """The arrays that each row's binary columns hold; null is empty."""
+    for row in zip(*(rows.column(c).to_pylist() for c in columns), strict=True):
+        yield tuple(np.frombuffer(x or b"", t) for x, t in zip(row, columns.values(), strict=True))
+
+
+def _met(groups: int):
+    def met(asked: pa.Table, terms: pa.Table) -> pa.Table:
+        """Arrays ``(part, ids, totals, tokens)`` of the texts that ask for keys of a group of terms; what a text brings along is added."""
+        keys, values = terms.column("key").to_numpy(), terms.column("term").to_numpy().astype(np.float64)
+        order = np.argsort(keys)
+        keys, values = keys[order], values[order]
+        found = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))]
+        for own, sizes, key, base, n in _arrays(asked, ids=np.int64, sizes=np.int32, keys=np.int64, base=np.float64, tokens=np.int64):
+            total = base.copy() if len(base) else np.zeros(len(own))
+            if len(key) and len(keys):
+                at = np.searchsorted(keys, key).clip(max=len(keys) - 1)
+                total += np.bincount(np.repeat(np.arange(len(own)), sizes), np.where(keys[at] == key, values[at], 0.0), len(own))
+            found.append((own, total, n if len(n) else np.zeros(len(own), np.int64)))
+        columns = _added(*(np.concatenate(x) for x in zip(*found, strict=True)))
+        part = _group(columns[0], groups)
+        order = np.argsort(part, kind="stable")
+        first, count = _sorted_runs(part[order])
+        sent = [[x[order[a : a + m]].tobytes() for a, m in zip(first.tolist(), count.tolist(), strict=True)] for x in columns]
+        return pa.table([pa.array(part[order][first].astype(np.int32)), *(pa.array(x, pa.binary()) for x in sent)], names=["part", "ids", "totals", "tokens"])
+
+    return met
+
+
+def _means(rows: pa.Table) -> pa.Table:
+    """``(text_id, nll)`` of the texts of a part."""
+    ids, totals, tokens = _added(*(np.concatenate(x) for x in zip(*_arrays(rows, ids=np.int64, totals=np.float64, tokens=np.int64), strict=True)))
+    return pa.table([pa.array(ids), pa.array(-totals / tokens)], names=["text_id", "nll"])
+
+
 def scores(texts: DataFrame, terms: DataFrame, unknown: float, frequent: int | None = None) -> DataFrame:
     """``(text_id, nll)``, saved: mean negative log-probability per token of each distinct ``text`` that isn't empty; text_id is its xxhash64.
 
-    A task sends a row for each text and each word or pair with its count. The frequent ones, at most ``FREQUENT``, are
-    looked up where they are read; all others meet their terms in a join. Copies of a text add up above and below the line.
+    A task sends, for each slice of text and group of terms, an array of the words and pairs to be looked up there and one of
+    the texts that they are from; sums of a group come back as arrays too, dealt by the texts. The frequent ones, at most ``FREQUENT``, are looked up where they are read; all others
+    meet the terms of their group. Copies of a text add up above and below the line.
     """
     table = _most_counted(terms, FREQUENT if frequent is None else frequent).select("key", "term").toArrow()
     keys, values = table.column(0).to_numpy().view(np.uint64), table.column(1).to_numpy()
     order = np.argsort(keys)
-    shared = texts.sparkSession.sparkContext.broadcast((keys[order], values[order]))
+    shared, groups = texts.sparkSession.sparkContext.broadcast((keys[order], values[order])), terms.groups
+    del table, keys, values, order
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, worth = shared.value
@@ -190,30 +255,34 @@ def scores(texts: DataFrame, terms: DataFrame, unknown: float, frequent: int | N
             ids = part.column(part.schema.get_field_index("text_id")).to_numpy(zero_copy_only=False)
             tokens = np.bincount(w.text, minlength=len(ids))
             total = tokens * unknown
-            key = np.concatenate((w.hash, pair_key(w.before, w.hash), np.full(len(ids), START, np.uint64)))
-            text = np.concatenate((w.text, w.text, np.arange(len(ids))))
-            place = np.searchsorted(known, key).clip(max=max(0, len(known) - 1))
-            here = known[place] == key if len(known) else np.zeros(len(key), bool)
-            total += np.bincount(text[here], worth[place[here]], minlength=len(ids)) if here.any() else 0
-            key, text = key[~here], text[~here]
-            order = np.lexsort((key, text))
-            key, text = key[order], text[order]
-            at = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (text[1:] != text[:-1])))) if len(key) else np.zeros(0, int)
-            n = np.diff(np.append(at, len(key)))
-            key, text = key[at], text[at]
-            own, gram = [ids, ids, tokens, total], [ids[text], key.view(np.int64), n, np.zeros(len(key))]
-            missing = np.concatenate((np.zeros(len(ids), bool), np.ones(len(key), bool)))
-            cols = [pa.array(np.concatenate(x)) for x in zip(own, gram, strict=True)]
-            yield pa.RecordBatch.from_arrays([*cols[:2], cols[2].cast(pa.int32()), pa.array(np.concatenate((total, gram[3])), mask=missing)], names=["text_id", "key", "n", "base"])
+            rest = []
+            for key, text in ((w.hash, w.text), (pair_key(w.before, w.hash), w.text), (np.full(len(ids), START, np.uint64), np.arange(len(ids)))):
+                if len(known):
+                    place = np.searchsorted(known, key).clip(max=len(known) - 1)
+                    here = known[place] == key
+                    total += np.bincount(text[here], worth[place[here]], minlength=len(ids)) if here.any() else 0
+                    key, text = key[~here], text[~here]
+                rest.append((key, text))
+            key, text = (np.concatenate(x) for x in zip(*rest, strict=True))
+            place = _group(key, groups).astype(np.int64) * len(ids) + text
+            order = np.argsort(place)
+            place, key = place[order], key[order]
+            at, n = _sorted_runs(place)
+            group, own = place[at] // len(ids), ids[place[at] % len(ids)]
+            n32, ends = n.astype(np.int32), np.append(at, len(key))
+            first, count = _sorted_runs(group)
+            rows = [(int(group[a]), own[a : a + m].tobytes(), n32[a : a + m].tobytes(), key[ends[a] : ends[a + m]].tobytes(), None, None) for a, m in zip(first.tolist(), count.tolist(), strict=True)]
+            rows.append((int(_group(ids[:1], groups)[0]), ids.tobytes(), bytes(4 * len(ids)), b"", total.astype(np.float64).tobytes(), tokens.astype(np.int64).tobytes()))
+            types = [pa.int32(), *[pa.binary()] * 5]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["group", "ids", "sizes", "keys", "base", "tokens"])
 
     rows = texts.where("length(text) > 0").select(F.xxhash64("text").alias("text_id"), "text")
+    known = terms.select("group", "key", "term").groupBy("group")
     out = None
     for k in range(ROUNDS):
-        some = rows.where(F.pmod(F.shiftright("text_id", 3), F.lit(ROUNDS)) == k).mapInArrow(grams, "text_id long, key long, n int, base double")
-        # only ids and n-grams travel; a text's own row has its id for a key, so it is spread like the others
-        met = some.join(terms.select("key", "term").hint("shuffle_hash"), "key", "left")  # the terms stay in their buckets, of BUCKET_ROWS each
-        own = F.col("base").isNotNull()
-        total = F.sum(F.when(own, F.col("base")).otherwise(F.col("n") * F.coalesce("term", F.lit(0.0))))
-        part = saved(met.groupBy("text_id").agg((-total / F.sum(F.when(own, F.col("n")))).alias("nll")), "scores")
+        some = rows.where(F.pmod(F.shiftright("text_id", 3), F.lit(ROUNDS)) == k).mapInArrow(grams, "group int, ids binary, sizes binary, keys binary, base binary, tokens binary")
+        met = some.groupBy("group").cogroup(known).applyInArrow(_met(groups), "part int, ids binary, totals binary, tokens binary")  # the terms stay in their buckets
+        part = saved(met.groupBy("part").applyInArrow(_means, "text_id long, nll double"), "scores")
+        collected(texts.sparkSession)
         out = part if out is None else out.unionByName(part)
     return out

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import xxhash
@@ -374,6 +375,20 @@ def test_rare_words_meet_by_join(spark, monkeypatch):
     assert {tuple(r) for r in word_model.fit(spark.createDataFrame([(t,) for t in trusted], "text string"))[0].collect()} == want
 
 
+def test_texts_meet_terms_in_arrays():
+    """A row for each slice and group, not for each text and word; sums are those of a dictionary."""
+    rng, ids = np.random.default_rng(4), [7, -9, 1 << 40]
+    term = {int(k): float(np.float32(v)) for k, v in zip(rng.integers(-(1 << 62), 1 << 62, 50), rng.normal(size=50), strict=True)}
+    keys = [rng.choice([*term, 1, 2], 20).tolist() for _ in ids]
+    raw = lambda x, t: np.array(x, t).tobytes()
+    asked = {"ids": [raw(ids, np.int64)] * 2, "sizes": [raw([20] * 3, np.int32), bytes(12)], "keys": [raw(sum(keys, []), np.int64), b""], "base": [None, raw([1, 2, 3], float)], "tokens": [None, raw([4, 5, 6], np.int64)]}
+    terms = pa.table({"key": pa.array(list(term), pa.int64()), "term": pa.array(list(term.values()), pa.float32())})
+    met = word_model._met(2)(pa.table(asked), terms)
+    assert met.num_rows <= 2
+    got = dict(zip(*(word_model._means(met).column(c).to_pylist() for c in ("text_id", "nll")), strict=True))
+    assert set(got) == set(ids) and all(np.isclose(got[i], -(k + 1 + sum(term.get(x, 0) for x in keys[k])) / (k + 4)) for k, i in enumerate(ids))
+
+
 def test_quality_by_brute_force(spark):
     """Perplexity, threshold and verdict of each document."""
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
