@@ -38,6 +38,8 @@ BUCKET_ROWS = 2_000_000
 GROUPS = 2
 #: Bytes of text whose pairs a task sums before it sends them.
 HELD = 16 << 20
+#: Groups of terms for each part in which their sums are added up, so that arrays between them stay long.
+ADDED = 8
 START, END = 0x1B873593CC9E2D51, 0x2545F4914F6CDD1D
 _BASE, _BYTES = 0x5851F42D4C957F2D, np.random.default_rng(10).integers(1, 1 << 63, 256, np.uint64)
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -206,7 +208,7 @@ def _arrays(rows: pa.Table, **columns: type) -> Iterator[tuple[np.ndarray, ...]]
         yield tuple(np.frombuffer(x or b"", t) for x, t in zip(row, columns.values(), strict=True))
 
 
-def _met(groups: int):
+def _met(parts: int):
     def met(asked: pa.Table, terms: pa.Table) -> pa.Table:
         """Arrays ``(part, ids, totals, tokens)`` of the texts that ask for keys of a group of terms; what a text brings along is added."""
         keys, values = terms.column("key").to_numpy(), terms.column("term").to_numpy().astype(np.float64)
@@ -220,7 +222,7 @@ def _met(groups: int):
                 total += np.bincount(np.repeat(np.arange(len(own)), sizes), np.where(keys[at] == key, values[at], 0.0), len(own))
             found.append((own, total, n if len(n) else np.zeros(len(own), np.int64)))
         columns = _added(*(np.concatenate(x) for x in zip(*found, strict=True)))
-        part = _group(columns[0], groups)
+        part = _group(columns[0], parts)
         order = np.argsort(part, kind="stable")
         first, count = _sorted_runs(part[order])
         sent = [[x[order[a : a + m]].tobytes() for a, m in zip(first.tolist(), count.tolist(), strict=True)] for x in columns]
@@ -281,7 +283,7 @@ def scores(texts: DataFrame, terms: DataFrame, unknown: float, frequent: int | N
     out = None
     for k in range(ROUNDS):
         some = rows.where(F.pmod(F.shiftright("text_id", 3), F.lit(ROUNDS)) == k).mapInArrow(grams, "group int, ids binary, sizes binary, keys binary, base binary, tokens binary")
-        met = some.groupBy("group").cogroup(known).applyInArrow(_met(groups), "part int, ids binary, totals binary, tokens binary")  # the terms stay in their buckets
+        met = some.groupBy("group").cogroup(known).applyInArrow(_met(max(1, groups // ADDED)), "part int, ids binary, totals binary, tokens binary")  # the terms stay in their buckets
         part = saved(met.groupBy("part").applyInArrow(_means, "text_id long, nll double"), "scores")
         collected(texts.sparkSession)
         out = part if out is None else out.unionByName(part)
