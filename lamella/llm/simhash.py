@@ -10,7 +10,7 @@ and not a row per pair; components are then joined up over all tasks.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +32,10 @@ MAX_BITS = 2
 CROWDED = 64
 #: Near copies of the pipeline's stage: words of a shingle and similarity; orders and smallest hashes of its candidates.
 STAGE_WORDS, SIMILARITY, ORDERS, SMALLEST = 5, 0.8, 12, 3
-#: Ranges of hashes of a sketch, what its estimate may be too low by (four deviations), texts of a number that meet in a task at once, rows compared between looks at the components.
-BINS, SLACK, TOGETHER, COMPARED = 256, 0.1, 8192, 64
-#: Pairs of a text with another component that a number's second search gives.
-TRIED = 4
+#: Ranges of hashes of a sketch, what its estimate may be too low by (four deviations), rows compared between looks at the components.
+BINS, SLACK, COMPARED = 256, 0.1, 64
+#: Texts of a slice of a number, of which two meet in a task at once, and shingles of those texts (of 8 bytes each).
+TOGETHER, SHINGLES = 8192, 1 << 22
 _SEEDS, _FACTORS = np.random.default_rng(7).integers(1, 1 << 63, (2, 16), np.uint64)
 
 
@@ -209,99 +209,106 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return checkpointed(pairs.join(one, "b").join(two, "a").where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b"))
 
 
-def _alike(bins: np.ndarray, i: int, size: np.ndarray, similarity: float) -> np.ndarray:
-    """The estimated similarity of each text to text ``i``; 0 where by size or by the estimate, less ``SLACK``, it can't be similar."""
-    out = np.zeros(len(bins))
-    near = np.flatnonzero((size >= similarity * size[i] - 1e-9) & (size[i] >= similarity * size - 1e-9))
-    some, filled = bins[near], bins[i] > 0
-    share = np.count_nonzero((some == bins[i]) & filled, axis=1) / np.count_nonzero((some > 0) | filled, axis=1)
-    out[near] = np.where(share >= similarity - SLACK, share, 0)
-    return out
+def _estimated(bins: np.ndarray, similarity: float) -> Callable[[int, np.ndarray], np.ndarray]:
+    """The similarity of a text to others by their sketches; 0 where by the estimate, less ``SLACK``, it can't be similar."""
+
+    def share(i: int, near: np.ndarray) -> np.ndarray:
+        some, filled = bins[near], bins[i] > 0
+        share = np.count_nonzero((some == bins[i]) & filled, axis=1) / np.count_nonzero((some > 0) | filled, axis=1)
+        return np.where(share >= similarity - SLACK, share, 0)
+
+    return share
+
+
+def _exact(sets: list[np.ndarray], similarity: float) -> Callable[[int, np.ndarray], np.ndarray]:
+    """The similarity of a text to others by their whole sets, none of them empty; 0 where they aren't similar."""
+    size = np.array([len(x) for x in sets])
+    begin, number = np.cumsum(size) - size, np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
+    own = np.zeros(number.max() + 1, bool)
+
+    def share(i: int, near: np.ndarray) -> np.ndarray:
+        if not len(near):
+            return np.zeros(0)
+        own[number[begin[i] : begin[i] + size[i]]] = True
+        shared = np.empty(len(near), np.int64)
+        for x in range(0, len(near), COMPARED):
+            some = near[x : x + COMPARED]
+            first = np.cumsum(size[some]) - size[some]
+            at = np.arange(size[some].sum()) + np.repeat(begin[some] - first, size[some])
+            shared[x : x + COMPARED] = np.add.reduceat(own[number[at]], first, dtype=np.int64)
+        own[number[begin[i] : begin[i] + size[i]]] = False
+        either = size[near] + size[i] - shared
+        return np.where(shared >= similarity * either, shared / either, 0)
 
+    return share
 
-def joining_pairs(node: np.ndarray, size: np.ndarray, bins: np.ndarray, keys: np.ndarray, root: np.ndarray, without: set[tuple[int, int]], similarity: float, most: int | None = None) -> tuple[list[tuple[int, int]], bool]:
-    """Pairs of texts of a number that may be similar and are in different components, none of them in ``without``; and whether that is all.
 
-    Each text outside the largest component is compared with all. Without ``most`` a forest is enough: texts that a chosen
-    pair joins up are not paired again. Else a text is paired with the ``most`` texts of each other component that seem nearest.
+def joining_pairs(node: np.ndarray, size: np.ndarray, keys: np.ndarray, root: np.ndarray, share: Callable[[int, np.ndarray], np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """A forest of pairs of texts of a number, in different components, of which ``share`` says that they may be similar.
+
+    Each text outside the largest component is compared with all; texts that a chosen pair joins up aren't paired again.
     ``keys`` are the texts' numbers in earlier orders: two texts that share one of those have met there and don't meet here.
     """
-    if not len(node):
-        return [], True
-    order = np.argsort(node, kind="stable")
-    node, size, bins, keys = node[order], size[order], bins[order], keys[order]
-    label = np.unique(root[order], return_inverse=True)[1]
+    label = np.unique(root, return_inverse=True)[1]
     stars = _Stars(len(node))
     stars.add(np.unique(label, return_index=True)[1][label], np.arange(len(node)))
-    at = {int(x): i for i, x in enumerate(node)}
-    away: dict[int, list[int]] = {}
-    for a, b in without:
-        if a in at and b in at:
-            away.setdefault(at[a], []).append(at[b])
-            away.setdefault(at[b], []).append(at[a])
-    found, whole, done = [], True, np.zeros(len(node), bool)
+    found, done = [], np.zeros(len(node), bool)
     while True:
         main = np.bincount(stars.root).argmax()
         todo = np.flatnonzero((stars.root != main) & ~done)
         if not len(todo):
-            return [(int(node[min(i, j)]), int(node[max(i, j)])) for i, js in found for j in js.tolist()], whole
+            return [(int(min(node[i], node[j])), int(max(node[i], node[j]))) for i, js in found for j in js.tolist()]
         for i in todo[:COMPARED].tolist():
             if stars.root[i] == main:
                 continue
-            share = _alike(bins, i, size, similarity)
-            share[away.get(i, [])] = 0
-            share[done | (stars.root == stars.root[i])] = 0
-            near = np.flatnonzero(share)
-            share[near[(keys[near] == keys[i]).any(axis=1)]] = 0
             done[i] = True
-            other = np.flatnonzero(share)
-            other = other[np.lexsort((-share[other], stars.root[other]))]
-            root = stars.root[other]
-            first = np.flatnonzero(np.concatenate((np.ones(min(1, len(root)), bool), root[1:] != root[:-1])))
-            rank = np.arange(len(root)) - np.repeat(first, np.diff(np.append(first, len(root))))
-            if most is None:
-                other = other[rank == 0]
-                stars.add(np.full(len(other), i), other)
-            else:
-                whole = whole and bool((rank < most).all())
-                other = other[rank < most]
+            near = np.flatnonzero(~done & (stars.root != stars.root[i]) & (size >= similarity * size[i] - 1e-9) & (size[i] >= similarity * size - 1e-9))
+            near = near[~(keys[near] == keys[i]).any(axis=1)]
+            like = share(i, near)
+            other, like = near[like > 0], like[like > 0]
+            other = other[np.lexsort((-like, stars.root[other]))]
+            other = other[np.unique(stars.root[other], return_index=True)[1]]
             if len(other):
+                stars.add(np.full(len(other), i), other)
                 found.append((i, other))
 
 
 _GROUP = ["bucket", "i", "j"]
 
 
-def _candidates(rows: DataFrame, similarity: float, most: int | None) -> DataFrame:
-    """``(bucket, i, j, a, b)`` of rows ``(bucket, i, j, node, size, bins, keys, root, other, tried)``; a row that is ``tried`` is a pair known to be unlike.
+def _candidates(rows: DataFrame, similarity: float, whole: bool) -> DataFrame:
+    """``(bucket, i, j, a, b)`` of rows ``(bucket, i, j, node, size, keys, root, content)``: pairs that join up the texts of a group.
 
-    A row without a and b says that not all pairs of the group are here.
+    The content is a text's sketch, by which pairs may be similar, or with ``whole`` its set of shingles, by which they are.
     """
 
     def one(rows: list) -> pa.RecordBatch:
-        bucket, i, j, node, size, bins, keys, root, other, tried = rows
-        without = set(zip(node[tried].tolist(), other[tried].tolist(), strict=True))
-        real = np.flatnonzero(~tried)
-        table = np.frombuffer(b"".join(bins[k] for k in real), np.uint8).reshape(len(real), BINS)
-        earlier = np.array([keys[k] for k in real], np.int64).reshape(len(real), len(keys[real[0]]) if len(real) else 0)
-        pairs, whole = joining_pairs(node[real], size[real].astype(np.int64), table, earlier, root[real].astype(np.int64), without, similarity, most)
-        pairs += [] if whole else [(None, None)]
+        order = np.argsort(rows[3], kind="stable")
+        bucket, i, j, node, size, keys, root, content = (x[order] for x in rows)
+        keys = np.array(list(keys), np.int64).reshape(len(node), len(keys[0]))
+        share = _exact(list(content), similarity) if whole else _estimated(np.frombuffer(b"".join(content), np.uint8).reshape(-1, BINS), similarity)
+        pairs = joining_pairs(node, size, keys, root, share, similarity)
         a, b = (pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1))
         return pa.RecordBatch.from_arrays([*[pa.array(np.full(len(pairs), x[0])) for x in (bucket, i, j)], a, b], names=[*_GROUP, "a", "b"])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held: list[list] = []
         for batch in batches:
             rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            rows = rows if held is None else [np.concatenate(x) for x in zip(held, rows, strict=True)]
+            if not len(rows[0]):
+                continue
+            if held and any(rows[k][0] != held[-1][k][-1] for k in range(3)):
+                yield one([np.concatenate(x) for x in zip(*held, strict=True)])
+                held = []
             cut = np.flatnonzero(np.logical_or.reduce([rows[k][1:] != rows[k][:-1] for k in range(3)])) + 1
             for x, y in zip([0, *cut], cut, strict=False):
-                yield one([r[x:y] for r in rows])
-            held = [r[cut[-1] if len(cut) else 0 :] for r in rows]
-        if held is not None and len(held[0]):
-            yield one(held)
+                yield one([np.concatenate(z) for z in zip(*held, [r[x:y] for r in rows], strict=True)])
+                held = []
+            held.append([r[cut[-1] if len(cut) else 0 :] for r in rows])
+        if held:
+            yield one([np.concatenate(x) for x in zip(*held, strict=True)])
 
-    dealt = rows.select(*_GROUP, "node", "size", "bins", "keys", "root", "other", "tried").repartition(*_GROUP).sortWithinPartitions(*_GROUP)
+    dealt = rows.select(*_GROUP, "node", "size", "keys", "root", "content").repartition(*_GROUP).sortWithinPartitions(*_GROUP)
     return dealt.mapInArrow(each, "bucket long, i long, j long, a long, b long")
 
 
@@ -313,18 +320,20 @@ def similar_links(docs: DataFrame, shingle: int = STAGE_WORDS, similarity: float
     shingle hashes in each of ``ORDERS`` orders, of which texts of similarity 0.8 share one with probability 0.9998. Every
     candidate is verified by its whole sets.
 
-    The texts of a number meet in a task; those of a number with more than ``most`` are dealt into slices, of which each
-    two meet. There an estimate from a sketch of ``BINS`` bytes finds pairs that may be similar, and only a forest of
-    pairs that would join up components leaves the task. Where a verified pair turns out unlike, its number is searched
-    again with what is known by then, for ``TRIED`` pairs of a text with a component and twice as many each time, until every pair that could
-    join two components has been verified.
+    The texts of a number meet in a task; those of a number with more than ``most``, or with more than ``SHINGLES``, are
+    dealt into slices, of which each two meet. There an estimate from a sketch of ``BINS`` bytes finds pairs that may be
+    similar, and only a forest of pairs that would join up components leaves the task. Where a pair turns out unlike, the
+    forest may lack others that join up the same components: its slices meet once more with the whole sets of their texts,
+    every two texts of different components are compared there, and a forest of similar pairs leaves the task. So no more
+    pairs than texts leave a task, however many pairs of a crowd are nearly similar.
     """
     texts = docs.select(F.xxhash64("text").alias("node"), F.coalesce("text", F.lit("")).alias("text"))
     nodes = checkpointed(texts.select("node", _sketch(shingle)("text").alias("s"), _fingerprint_udf(shingle)("text").alias("fp")).select("node", "s.*", "fp"))
     keyed = nodes.select("node", "size", "bins", "keys", F.posexplode("keys").alias("k", "key"))
     keyed = keyed.select(F.xxhash64("k", "key").alias("bucket"), "node", "size", "bins", F.slice("keys", F.lit(1), F.col("k")).alias("keys")).dropDuplicates(["bucket", "node"])
-    crowds = checkpointed(nodes.select("node", F.posexplode("keys").alias("k", "key")).select(F.xxhash64("k", "key").alias("bucket"), "node").distinct().groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
-    slices = F.ceil(F.col("n") / most).cast("long")
+    crowds = nodes.select("node", "size", F.posexplode("keys").alias("k", "key")).select(F.xxhash64("k", "key").alias("bucket"), "node", "size").distinct()
+    crowds = checkpointed(crowds.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("shingles")).where("n > 1"))
+    slices = F.greatest(F.ceil(F.col("n") / most), F.ceil(F.col("shingles") / SHINGLES)).cast("long")
     met = keyed.join(crowds, "bucket").withColumn("own", F.pmod(F.xxhash64("node", "bucket"), slices))
     met = met.withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), slices - 1))).withColumns({"i": F.least("own", "t"), "j": F.greatest("own", "t")})
     met = saved(met.select(*_GROUP, "node", "size", "bins", "keys"), "met")
@@ -334,33 +343,25 @@ def similar_links(docs: DataFrame, shingle: int = STAGE_WORDS, similarity: float
     close = simhash_links(fps.select("fp"))
     across = close.join(fps.select(F.col("fp").alias("a"), F.col("rep").alias("node")), "a").join(fps.select(F.col("fp").alias("b"), F.col("rep").alias("end")), "b").select("node", "end")
     first = same.unionByName(across).where("node <> end").select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b"))
-    links, failed, each, stored = None, None, None, [met]
-    rows = met.withColumns({"root": F.col("node"), "other": F.lit(0).cast("long"), "tried": F.lit(False)})
-    while True:
-        tried = saved(_candidates(rows, similarity, each), "tried")
-        pairs = tried.where("a is not null").select("a", "b")
-        pairs = saved((pairs.unionByName(first) if links is None else pairs).distinct(), "pairs")
-        wanted = bounded(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-        sets = saved(texts.join(wanted, "node", "left_semi").select("node", _sets(shingle)("text").alias("set")).dropDuplicates(["node"]), "shingles")
-        good = _verified(pairs, sets, similarity)
-        bad = saved(tried.join(good, ["a", "b"], "left_anti"), "failed")
-        links = saved(good if links is None else links.unionByName(good).coalesce(bad.rdd.getNumPartitions() + 8), "links")
-        fresh = bad if failed is None else bad.where("a is null").unionByName(bad.join(failed, [*_GROUP, "a", "b"], "left_anti").where("a is not null"))
-        failed = bad.where("a is not null") if failed is None else failed.unionByName(bad.where("a is not null"))
-        stored += [tried, pairs, links, bad]
-        forget(sets)
-        collected(docs.sparkSession)
-        again = bad.select(*_GROUP).distinct()
-        if fresh.isEmpty():  # nothing was tried that hadn't been
-            break
-        each = TRIED if each is None else 2 * each
-        roots = connected_components(links).withColumnRenamed("node", "of")
-        more = met.join(again, _GROUP, "left_semi").join(roots, F.col("node") == F.col("of"), "left").select(*_GROUP, "node", "size", "bins", "keys", F.coalesce("root", "node").alias("root"), F.lit(0).cast("long").alias("other"), F.lit(False).alias("tried"))
-        none = [F.lit(0).cast("long").alias("size"), F.lit(b"").alias("bins"), F.array().cast("array<long>").alias("keys"), F.lit(0).cast("long").alias("root")]
-        known = failed.join(again, _GROUP, "left_semi").select(*_GROUP, F.col("a").alias("node"), *none, F.col("b").alias("other"), F.lit(True).alias("tried"))
-        rows = more.unionByName(known)
-    out = checkpointed(links)
-    forget(*stored)
+    tried = saved(_candidates(met.withColumns({"root": F.col("node"), "content": F.col("bins")}), similarity, False), "tried")
+    pairs = saved(tried.select("a", "b").unionByName(first).distinct(), "pairs")
+
+    def sets(wanted: DataFrame) -> DataFrame:
+        return saved(texts.join(bounded(wanted.distinct()), "node", "left_semi").select("node", _sets(shingle)("text").alias("set")).dropDuplicates(["node"]), "shingles")
+
+    ends = sets(pairs.select(F.explode(F.array("a", "b")).alias("node")))
+    good = _verified(pairs, ends, similarity)
+    forget(ends)
+    again = bounded(tried.join(good, ["a", "b"], "left_anti").select(*_GROUP).distinct())
+    more = saved(met.join(again, _GROUP, "left_semi").select(*_GROUP, "node", "size", "keys"), "again")
+    forget(met, tried, pairs)
+    collected(docs.sparkSession)
+    wholes = sets(more.select("node"))
+    roots = connected_components(good).withColumnRenamed("node", "of")
+    rooted = more.join(roots, F.col("node") == F.col("of"), "left").select(*more.columns, F.coalesce("root", "node").alias("root"))
+    rows = rooted.join(wholes.withColumnRenamed("set", "content").hint("merge"), "node")
+    out = checkpointed(good.unionByName(_candidates(rows, similarity, True).select("a", "b")).distinct())
+    forget(more, wholes)
     return out
 
 

@@ -258,6 +258,39 @@ def test_similar_families(spark):
         assert len(set(found.values())) == len(set(root.values()))
 
 
+def test_similar_links_of_a_crowd_nearly_similar(spark, monkeypatch):
+    """Copies mostly just under the similarity: pairs to verify grow with the texts, not with their square, and no link is lost; also in slices by shingles."""
+    rng = random.Random(33)
+    words = [f"w{i}" for i in range(5000)]
+    base = [rng.choice(words) for _ in range(300)]
+    texts = []
+    for k in range(150):
+        text = list(base if k < 110 else texts[k - 110])
+        for i in rng.sample(range(300), 8 if k < 110 else 5):
+            text[i] = rng.choice(words)
+        texts.append(text)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    every = itertools.combinations(range(len(texts)), 2)
+    root = plain_components([(i, j) for i, j in every if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])], range(len(texts)))
+    docs = spark.createDataFrame([(" ".join(t),) for t in texts], "text string").repartition(4)
+    ids = {r.t: r.node for r in docs.select(F.xxhash64("text").alias("node"), F.col("text").alias("t")).collect()}
+    at = {ids[" ".join(t)]: i for i, t in enumerate(texts)}
+    plain, sent = simhash._verified, []
+
+    def counted(pairs, *more):
+        sent.append(pairs.count())
+        return plain(pairs, *more)
+
+    monkeypatch.setattr(simhash, "_verified", counted)
+    for shingles in (simhash.SHINGLES, 20_000):
+        monkeypatch.setattr(simhash, "SHINGLES", shingles)
+        sent.clear()
+        links = [(at[r.a], at[r.b]) for r in simhash.similar_links(docs).collect()]
+        assert all(5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) for i, j in links)
+        assert plain_components(links, range(len(texts))) == root
+        assert sum(sent) <= simhash.ORDERS * len(texts)
+
+
 # packing
 
 
