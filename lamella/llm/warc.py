@@ -138,17 +138,27 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
 
 
 def reachable(links: DataFrame) -> DataFrame:
-    """``(file, at)`` of the links ``(file, at, next)`` on the chain from offset 0 of each file, by pointer jumping."""
-    jumps = checkpointed(links.select("file", "at", "next").distinct())
-    reached = jumps.where("at = 0").select("file", "at")
-    while True:
-        # everything reached also reaches its successor 2^k records on; then jumps double
-        onward = reached.join(jumps, ["file", "at"]).select("file", F.col("next").alias("at"))
-        reached = checkpointed(reached.unionByName(onward).distinct())
-        there = jumps.select("file", F.col("at").alias("next"), F.col("next").alias("beyond"))
-        jumps = checkpointed(jumps.join(there, ["file", "next"]).select("file", "at", F.col("beyond").alias("next")))
-        if jumps.isEmpty():
-            return reached
+    """``(file, at)`` of the links ``(file, at, next)`` on the chain from offset 0 of each file, ends included, by pointer jumping.
+
+    The links of a file meet in one task, as its bytes have; an offset has one successor, which lies behind it.
+    """
+
+    def chain(rows: pa.Table) -> pa.Table:
+        at, onward = (rows.column(c).to_numpy() for c in ("at", "next"))
+        offsets = np.unique(np.concatenate((at, onward)))
+        jumps = np.arange(len(offsets))
+        jumps[np.searchsorted(offsets, at)] = np.searchsorted(offsets, onward)
+        reached = np.isin(offsets, at[at == 0])
+        while True:
+            # everything reached also reaches its successor 2^k records on; then jumps double
+            reached[jumps[reached]] = True
+            if np.array_equal(jumps, beyond := jumps[jumps]):
+                break
+            jumps = beyond
+        there = offsets[reached]
+        return pa.table({"file": pa.array([rows.column("file")[0].as_py()] * len(there), pa.string()), "at": pa.array(there, pa.int64())})
+
+    return checkpointed(links.select("file", "at", "next").groupBy("file").applyInArrow(chain, "file string, at long"))
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

@@ -436,6 +436,17 @@ def test_reachable(spark):
     assert {tuple(r) for r in got} - {("a", 90), ("c", 4)} == {("a", 0), ("a", 10), ("a", 35), ("a", 50), ("c", 0)}
 
 
+def test_reachable_stores_no_more_for_longer_chains(spark, monkeypatch):
+    plain, stored = warc.checkpointed, []
+    monkeypatch.setattr(warc, "checkpointed", lambda df: stored.append(df) or plain(df))
+    for n in (2, 1000):
+        stored.clear()
+        links = [(f, 10 * k, 10 * k + 10) for f in ("a", "b") for k in range(n)] + [("a", 10 * k + 3, 10 * k + 13) for k in range(n)] + [("c", 7, 9)]
+        got = warc.reachable(spark.createDataFrame(links, "file string, at long, next long").repartition(3)).collect()
+        assert sorted(map(tuple, got)) == [(f, 10 * k) for f in ("a", "b") for k in range(n + 1)]
+        assert len(stored) == 1
+
+
 def test_every_operator_is_registered():
     assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 14))
     assert set(queries.ORACLES) <= set(queries.QUERIES)
