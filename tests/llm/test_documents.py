@@ -266,7 +266,7 @@ def test_similar_links_of_a_crowd_nearly_similar(spark, monkeypatch):
     texts = []
     for k in range(150):
         text = list(base if k < 110 else texts[k - 110])
-        for i in rng.sample(range(300), 8 if k < 110 else 5):
+        for i in rng.sample(range(300), 4 if k < 110 else 3):
             text[i] = rng.choice(words)
         texts.append(text)
     sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
