@@ -223,13 +223,21 @@ def _estimated(bins: np.ndarray, similarity: float) -> Callable[[int, np.ndarray
 def _exact(sets: list[np.ndarray], similarity: float) -> Callable[[int, np.ndarray], np.ndarray]:
     """The similarity of a text to others by their whole sets, none of them empty; 0 where they aren't similar."""
     size = np.array([len(x) for x in sets])
-    begin, number = np.cumsum(size) - size, np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
-    own = np.zeros(number.max() + 1, bool)
+    begin, known = np.cumsum(size) - size, np.concatenate(sets)
+    known.sort()  # in place: two full slices have 8 million shingles, of which an inverse makes several copies
+    same = known[1:] == known[:-1]
+    known = known[1:][same & ~np.append(False, same)[:-1]]  # what two texts or more have, numbered text by text; all else is the number after these
+    number = np.full(size.sum(), len(known), np.int32)
+    for first, x in zip(begin.tolist(), sets, strict=True) if len(known) else ():
+        at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+        number[first : first + len(x)] = np.where(known[at] == x, at, len(known))
+    own = np.zeros(len(known) + 1, bool)
 
     def share(i: int, near: np.ndarray) -> np.ndarray:
         if not len(near):
             return np.zeros(0)
         own[number[begin[i] : begin[i] + size[i]]] = True
+        own[-1] = False
         shared = np.empty(len(near), np.int64)
         for x in range(0, len(near), COMPARED):
             some = near[x : x + COMPARED]

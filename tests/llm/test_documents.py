@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -258,6 +259,25 @@ def test_similar_families(spark):
         assert len(set(found.values())) == len(set(root.values()))
 
 
+@pytest.mark.parametrize("common", [0, 60, 100])
+def test_whole_sets_in_a_task(common):
+    """Shares are those of Python's sets, and numbering shingles takes less memory than four times their own."""
+    rng = np.random.default_rng(common)
+    base = rng.integers(-(1 << 63), (1 << 63) - 1, 120)
+    sets = [np.sort(np.concatenate((rng.choice(base, common, replace=False), rng.integers(-(1 << 63), (1 << 63) - 1, 400 - common)))) for _ in range(1000)]
+    sets += sets[:1] + [base[:1]]
+    tracemalloc.start()
+    share = simhash._exact(sets, 0.05)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * sum(x.nbytes for x in sets)
+    for i in (0, 1, 1001):
+        near = np.array([j for j in range(1002) if j != i])
+        some = set(sets[i].tolist())
+        want = [len(some & set(sets[j].tolist())) / len(some | set(sets[j].tolist())) for j in near]
+        assert share(i, near).tolist() == [w if w >= 0.05 else 0 for w in want]
+
+
 def test_similar_links_of_a_crowd_nearly_similar(spark, monkeypatch):
     """Copies mostly just under the similarity: pairs to verify grow with the texts, not with their square, and no link is lost; also in slices by shingles."""
     rng = random.Random(33)
