@@ -28,7 +28,8 @@ def pad_links(pads: DataFrame, along: tuple[float, float], down: tuple[float, fl
     first = first.withColumn("bx", touched("px")).withColumn("by", touched("py"))
     second = pads.select("mosaic", F.col("pad").alias("b"), "x", "y", F.floor(F.col("x") / pitch).alias("bx"), F.floor(F.col("y") / pitch).alias("by"))
     far = F.hypot(F.col("px") - F.col("x"), F.col("py") - F.col("y"))
-    met = first.join(second, ["mosaic", "bx", "by"]).withColumn("far", far).where((F.col("far") <= reach) & (F.col("a") != F.col("b")))
+    # files of pads are far smaller than their rows, of which each meets up to 24 cells: neither side is broadcast
+    met = first.join(second.hint("merge"), ["mosaic", "bx", "by"]).withColumn("far", far).where((F.col("far") <= reach) & (F.col("a") != F.col("b")))
     best = met.groupBy("mosaic", "a", "col", "row").agg(F.min(F.struct("far", "b")).alias("best"))
     return best.select("mosaic", "a", F.col("best.b").alias("b"), F.col("col").cast("long"), F.col("row").cast("long"))
 

@@ -7,7 +7,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from lamella.operators import blocks, lattice, pairing, recut, solving
+from lamella.operators import blocks, graph, lattice, pairing, recut, solving
 
 # layouts
 
@@ -140,6 +140,23 @@ def test_contradicting_links(spark, monkeypatch):
     assert sum(r.n_wrong for r in lattice.indexed_pads(pads, (10.0, 0.0), (0.0, 10.0)).collect()) == 2
 
 
+def unbroadcast(df):
+    return "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_links_of_stored_pads(spark, tmp_path):
+    """Pads and links in files look small: no join of pads, numbers of nodes or potentials is broadcast."""
+    spark.range(300).selectExpr("1L AS mosaic", "id AS pad", "10D * (id % 20) AS x", "10D * floor(id / 20) AS y").write.parquet(f"{tmp_path}/pads")
+    links = lattice.pad_links(spark.read.parquet(f"{tmp_path}/pads"), (10.0, 0.0), (0.0, 10.0))
+    assert unbroadcast(links)
+    links.selectExpr("struct(mosaic, a AS pad) AS a", "struct(mosaic, b AS pad) AS b", "-col AS col", "-row AS row").write.parquet(f"{tmp_path}/links")
+    edges = spark.read.parquet(f"{tmp_path}/links")
+    found = graph.connected_components(edges, steps=["col", "row"])
+    wrong = graph.contradictions(edges, found, ["col", "row"])
+    assert unbroadcast(found) and unbroadcast(wrong) and wrong.isEmpty()
+    assert {(r.node.pad, r.root.pad, r.col, r.row) for r in found.collect()} == {(i, 0, i % 20, i // 20) for i in range(300)}
+
+
 def test_filled_cells(spark):
     rows = [(1, 7, c, r) for c in range(1, 5) for r in range(1, 4) if (c, r) not in ((2, 2), (4, 3))]
     got = lattice.filled_cells(spark.createDataFrame(rows, "mosaic long, part long, col long, row long")).collect()
