@@ -60,4 +60,4 @@ def filled_cells(indexed: DataFrame) -> DataFrame:
     cells = indexed.select("mosaic", "part", "col", "row").distinct()
     around = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.lit(r).alias("r")) for c, r in ((1, 0), (-1, 0), (0, 1), (0, -1))]))
     beside = cells.select("mosaic", "part", "col", "row", around.alias("o")).groupBy("mosaic", "part", (F.col("col") + F.col("o.c")).alias("col"), (F.col("row") + F.col("o.r")).alias("row")).agg(F.count("*").alias("n_around"))
-    return beside.where("n_around > 1").join(cells, ["mosaic", "part", "col", "row"], "left_anti")
+    return beside.where("n_around > 1").join(cells.hint("merge"), ["mosaic", "part", "col", "row"], "left_anti")

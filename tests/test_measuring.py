@@ -157,6 +157,14 @@ def test_links_of_stored_pads(spark, tmp_path):
     assert {(r.node.pad, r.root.pad, r.col, r.row) for r in found.collect()} == {(i, 0, i % 20, i // 20) for i in range(300)}
 
 
+def test_filled_cells_of_stored_pads(spark, tmp_path):
+    """Cells are many more than a file of indexed pads lets expect: they aren't broadcast."""
+    spark.range(100).where("id <> 55").selectExpr("1L AS mosaic", "0L AS part", "id % 10 AS col", "floor(id / 10) AS row").write.parquet(f"{tmp_path}/indexed")
+    got = lattice.filled_cells(spark.read.parquet(f"{tmp_path}/indexed"))
+    assert unbroadcast(got)
+    assert [tuple(r) for r in got.collect()] == [(1, 0, 5, 5, 4)]
+
+
 def test_filled_cells(spark):
     rows = [(1, 7, c, r) for c in range(1, 5) for r in range(1, 4) if (c, r) not in ((2, 2), (4, 3))]
     got = lattice.filled_cells(spark.createDataFrame(rows, "mosaic long, part long, col long, row long")).collect()
