@@ -286,3 +286,15 @@ def test_sample_stays_spread(spark):
                 seen += 1
         own = got[got.video == user].sort_values("place")
         assert own.frame.tolist() == held and (not held or (own.seen.iloc[0], own.stride.iloc[0]) == (seen, stride))
+
+
+def unbroadcast(df):
+    return "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_nearby_pairs_of_stored_tiles(spark, tmp_path):
+    """Tiles in files look small, and each looks into nine buckets: neither side of the join is broadcast."""
+    spark.range(200).selectExpr("0L AS dataset", "id AS trial", "double(id) * 300 AS x", "0D AS y").write.parquet(f"{tmp_path}/tiles")
+    got = layout.nearby_pairs(spark.read.parquet(f"{tmp_path}/tiles"))
+    assert unbroadcast(got)
+    assert sorted((r.a, r.b, r.overlap_px) for r in got.collect()) == [(i, i + 1, 212 * 512) for i in range(199)]
