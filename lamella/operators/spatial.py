@@ -70,15 +70,27 @@ def axis_bands(steps: DataFrame, least: float = 0.62, pad: int = 4) -> DataFrame
     return steps.groupBy("dataset").agg(F.count(cross).alias("n_confident"), F.count_if(cross > 4).alias("n_off_axis"), (F.ceil(F.max(cross)) + pad).alias("band"))
 
 
+#: Tiles of a dataset that may be looked up in an array; draws of larger datasets are joined with their tiles.
+HELD = 4096
+
+
 def null_draws(tiles: DataFrame, n: int = 3000, seed: int = 11) -> DataFrame:
-    """``n`` random ordered pairs of a dataset's tiles, by hashes of the draw's number, whatever the partitions."""
+    """``n`` random ordered pairs of a dataset's tiles, by hashes of the draw's number, whatever the partitions.
+
+    Datasets are dealt to all tasks before each becomes ``n`` rows, and neither draws nor tiles are broadcast.
+    """
+    parts = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     i = F.row_number().over(Window.partitionBy("dataset").orderBy("trial")) - 1
-    listed = tiles.select("dataset", "trial", i.alias("i"))
-    sizes = listed.groupBy("dataset").agg(F.count("*").alias("size"))
-    draw = lambda end: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "dataset", "k", F.lit(end))), 1, 8), 16, 10).cast("long") % F.col("size")
-    draws = sizes.select("dataset", "size", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k")).select("dataset", "k", draw("a").alias("ia"), draw("b").alias("ib"))
-    a, b = (listed.select("dataset", F.col("i").alias(f"i{e}"), F.col("trial").alias(e)) for e in "ab")
-    return draws.join(a, ["dataset", "ia"]).join(b, ["dataset", "ib"]).select("dataset", "k", "a", "b")
+    listed = tiles.where("dataset is not null").select("dataset", "trial", i.alias("i"))
+    held = F.transform(F.array_sort(F.collect_list(F.when(F.col("i") < HELD, F.struct("i", "trial")))), lambda t: t["trial"])
+    sizes = listed.groupBy("dataset").agg(F.count("*").alias("size"), held.alias("held")).repartition(parts, F.xxhash64("dataset"))  # a partitioning of its own, or Spark drops it
+    draw = lambda k, end: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "dataset", k, F.lit(end))), 1, 8), 16, 10).cast("long") % F.col("size")
+    numbers = F.sequence(F.lit(0), F.lit(n - 1))
+    drawn = F.transform(numbers, lambda k: F.struct(k.alias("k"), *[F.get("held", draw(k, e).cast("int")).alias(e) for e in "ab"]))
+    few = sizes.where(F.col("size") <= HELD).select("dataset", F.inline(drawn))
+    draws = sizes.where(F.col("size") > HELD).select("dataset", "size", F.explode(numbers).alias("k")).select("dataset", "k", draw("k", "a").alias("ia"), draw("k", "b").alias("ib"))
+    a, b = (listed.select("dataset", F.col("i").alias(f"i{e}"), F.col("trial").alias(e)).hint("merge") for e in "ab")
+    return few.unionByName(draws.join(a, ["dataset", "ia"]).join(b, ["dataset", "ib"]).select("dataset", "k", "a", "b"))
 
 
 def null_floor(scores: DataFrame, share: float = 0.995) -> DataFrame:

@@ -1,10 +1,12 @@
 """Logs, position files and streamed keyframes against plain Python; edge cases of the document operators."""
 
+import hashlib
 import json
 import random
 from collections import Counter
 
 import pandas as pd
+from pyspark.sql import functions as F
 
 from lamella.operators import acquisition as acq
 from lamella.operators import documents, layout, pixels, review, scoring, spatial, tracks
@@ -292,6 +294,21 @@ def unbroadcast(df):
     return "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_null_draws(spark, tmp_path, monkeypatch):
+    """Draws of datasets of any size, looked up in an array or joined; no side of a join is broadcast, as the planner doesn't know how many draws there are."""
+    rows = [(d, 10 * t + d) for d, size in ((1, 1), (2, 7), (3, 40)) for t in range(size)]
+    spark.createDataFrame([*rows, (None, 5)], "dataset long, trial long").write.parquet(f"{tmp_path}/tiles")
+    tiles = spark.read.parquet(f"{tmp_path}/tiles")
+    listed = {d: sorted(t for e, t in rows if e == d) for d in (1, 2, 3)}
+    at = lambda d, k, end: listed[d][int(hashlib.md5(f"11:{d}:{k}:{end}".encode()).hexdigest()[:8], 16) % len(listed[d])]
+    for held in (4096, 7, 0):
+        monkeypatch.setattr(spatial, "HELD", held)
+        got = spatial.null_draws(tiles, n=50)
+        assert unbroadcast(got)
+        assert held < 4096 or got.select(F.spark_partition_id()).distinct().count() > 1
+        assert sorted(tuple(r) for r in got.collect()) == [(d, k, at(d, k, "a"), at(d, k, "b")) for d in (1, 2, 3) for k in range(50)]
+
+
 def test_nearby_pairs_of_stored_tiles(spark, tmp_path):
     """Tiles in files look small, and each looks into nine buckets: neither side of the join is broadcast."""
     spark.range(200).selectExpr("0L AS dataset", "id AS trial", "double(id) * 300 AS x", "0D AS y").write.parquet(f"{tmp_path}/tiles")
