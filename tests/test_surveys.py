@@ -5,6 +5,7 @@ import json
 import random
 from collections import Counter
 
+import duckdb
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -315,3 +316,18 @@ def test_nearby_pairs_of_stored_tiles(spark, tmp_path):
     got = layout.nearby_pairs(spark.read.parquet(f"{tmp_path}/tiles"))
     assert unbroadcast(got)
     assert sorted((r.a, r.b, r.overlap_px) for r in got.collect()) == [(i, i + 1, 212 * 512) for i in range(199)]
+
+
+def test_blank_proposal_of_equal_textures(spark):
+    """Where the values beside the percentile are equal, the SQL's threshold may lie a last digit above them, so that they count as blank."""
+    groups = [[0.1] * 22, [0.4] * 22, [0.82] * 21 + [0.9], [0.3, 1.0] * 11, [0.0] * 24, [5.0] * 19, [float("inf")] * 30, [0.01, 0.29] * 40, [1.91] * 12 + [2.0] * 60, [None] * 25, [1.35] * 105 + [None, 0.5]]
+    rows = [(d, i + 1, v) for d, g in enumerate(groups) for i, v in enumerate(g)] + [(20 + d, i + 1, round(0.03 + d / 10, 2)) for d in range(40) for i in range(21 + d)]
+    got = documents.blank_proposal(spark.createDataFrame(rows, "dataset long, trial long, texture double"), spark.createDataFrame([(3, 20)], "dataset long, split long"))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE w (dataset BIGINT, texture DOUBLE, one BOOLEAN)")
+    con.executemany("INSERT INTO w VALUES (?, ?, ?)", [(d, v, d != 3 or t <= 20) for d, t, v in rows])
+    body = registry._SQL["blank_proposal"]
+    threshold = body[1][body[1].index("h AS (SELECT dataset, CASE WHEN count(texture)") :]
+    want = con.execute(f"WITH {threshold} {body[2]}").fetchall()
+    assert sorted((r.dataset, r.threshold, r.n_blank, str(r.margin)) for r in got.collect()) == sorted((d, t, n, str(m)) for d, t, n, m in want)
+    assert {d for d, _, n, _ in want if n == len(groups[d] if d < 20 else range(1 + d))} >= {0, 1}
