@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from lamella.plans.session import checkpointed, forget, saved
 
-#: Tiles of a group, of which each two groups of a dataset meet in a task.
-GROUP = 16
+#: Tiles of a group at least and at most, of which each two groups of a dataset meet in a task, and its pixels where that leaves a choice.
+GROUP, LARGEST, PIXELS = 16, 256, 1 << 20
 
 
 def overlap_scores(a: np.ndarray, b: np.ndarray, dx: int, dy: int, least: int) -> np.ndarray:
@@ -28,19 +28,25 @@ def overlap_scores(a: np.ndarray, b: np.ndarray, dx: int, dy: int, least: int) -
         return np.where(scale > 1e-12, (one @ two.T) / scale, np.nan)
 
 
-def measured_pairs(tiles: DataFrame, side: int, aliases: tuple[int, ...], least: int, group: int = GROUP) -> DataFrame:
-    """Every unordered pair of a dataset's tiles ``(dataset, trial, px)`` once: ``(dataset, a, b, dx, dy, ncc, moved)``.
-
-    Tiles are dealt into groups of at most ``group`` and each two groups meet in one task, so a tile travels as often as
-    there are groups and no pair before it is measured. Each pair is scored at every combination of the ``aliases`` along
-    both axes, b at that distance from a, over at least ``least`` shared pixels; the best score wins, to nine digits, ties
-    by (dy, dx). A pair that nothing can be measured of has nulls. Tiles that aren't ``side * side`` pixels are left out.
-    """
-    listed = tiles.where(F.size("px") == side * side).select("dataset", "trial", F.col("px").cast("array<double>").alias("px"))
+def meetings(tiles: DataFrame, side: int, group: int | None = None) -> DataFrame:
+    """``(dataset, ga, gb, g, trial, px)``: a row for each block of two groups in which a tile of group g meets others."""
+    group = group or min(LARGEST, max(GROUP, PIXELS // side**2))
+    listed = tiles.select("dataset", "trial", F.col("px").cast("array<double>").alias("px"))
     place = listed.select("dataset", "trial", F.floor((F.row_number().over(Window.partitionBy("dataset").orderBy("trial")) - 1) / group).alias("g"))
     place = place.withColumn("last", F.max("g").over(Window.partitionBy("dataset")))
     met = listed.join(place, ["dataset", "trial"]).withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
-    met = met.select("dataset", F.least("g", "t").alias("ga"), F.greatest("g", "t").alias("gb"), "g", "trial", "px")
+    return met.select("dataset", F.least("g", "t").alias("ga"), F.greatest("g", "t").alias("gb"), "g", "trial", "px")
+
+
+def measured_pairs(tiles: DataFrame, side: int, aliases: tuple[int, ...], least: int, group: int | None = None) -> DataFrame:
+    """Every unordered pair of a dataset's tiles ``(dataset, trial, px)`` once: ``(dataset, a, b, dx, dy, ncc, moved)``.
+
+    Tiles are dealt into groups of at most ``group`` (if not given, of what has ``PIXELS``) and each two groups meet in one
+    task, so a tile travels as often as there are groups and no pair before it is measured. Each pair is scored at every
+    combination of the ``aliases`` along both axes, b at that distance from a, over at least ``least`` shared pixels; the
+    best score wins, to nine digits, ties by (dy, dx). A pair that nothing can be measured of has nulls. Tiles that aren't ``side * side`` pixels are left out.
+    """
+    met = meetings(tiles.where(F.size("px") == side * side), side, group)
     shifts = [(dx, dy) for dy in aliases for dx in aliases]
 
     def measure(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -51,16 +57,18 @@ def measured_pairs(tiles: DataFrame, side: int, aliases: tuple[int, ...], least:
         px = _whole(b, 5).reshape(-1, side, side)[order]
         g, trial = g[order], trial[order]
         one, two = np.flatnonzero(g == ga), np.flatnonzero(g == gb)
-        best, at = np.full((len(one), len(two)), -np.inf), np.full((len(one), len(two)), -1)
+        best, at = np.full((len(one), len(two)), -np.inf), np.full((len(one), len(two)), -1, np.int16)
         for k, (dx, dy) in enumerate(shifts):
-            score = np.round(overlap_scores(px[one], px[two], dx, dy, least), 9)
-            better = np.where(np.isnan(score), -np.inf, score) > best
-            best[better], at[better] = score[better], k
-        i, j = np.nonzero(trial[one][:, None] < trial[two][None, :]) if ga == gb else np.indices(best.shape).reshape(2, -1)
-        k, none = at[i, j], at[i, j] < 0
-        shift = np.array(shifts)[k]
-        n = len(i)
-        columns = [pa.array(np.full(n, b.column(0)[0].as_py())), pa.array(trial[one][i]), pa.array(trial[two][j]), pa.array(shift[:, 0], mask=none), pa.array(shift[:, 1], mask=none), pa.array(best[i, j], mask=none), pa.array((shift != 0).any(axis=1), mask=none)]
+            score = overlap_scores(px[one], px[two], dx, dy, least)
+            score *= 1e9
+            np.rint(score, out=score)
+            np.copyto(at, k, where=score > best)  # not for nan
+            np.fmax(best, score, out=best)
+        first = trial[one][:, None] < trial[two][None, :] if ga == gb else np.ones(best.shape, bool)
+        i, j = np.nonzero(first)
+        k, best = at[first], best[first] / 1e9
+        none, shift = k < 0, np.array(shifts)[k]
+        columns = [pa.array(np.full(len(i), b.column(0)[0].as_py())), pa.array(trial[one][i]), pa.array(trial[two][j]), pa.array(shift[:, 0], mask=none), pa.array(shift[:, 1], mask=none), pa.array(best, mask=none), pa.array((shift != 0).any(axis=1), mask=none)]
         return pa.RecordBatch.from_arrays(columns, names=["dataset", "a", "b", "dx", "dy", "ncc", "moved"])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

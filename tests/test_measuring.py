@@ -294,6 +294,18 @@ def test_measured_pairs(spark):
 # runs
 
 
+def test_measured_pairs_of_many_tiles(spark):
+    """Small tiles meet in large groups, so each travels once for each 256 of its dataset; what is measured is the same as in groups of 16."""
+    rng = np.random.default_rng(4)
+    tiles = [(1, t, [0.5] * 64 if t % 50 == 7 else rng.integers(0, 3, 64).astype(float).tolist()) for t in range(300)]
+    data = spark.createDataFrame(tiles, "dataset long, trial long, px array<double>").repartition(3)
+    assert pairing.meetings(data, 8).count() == 2 * 300
+    assert pairing.meetings(data, 512).count() == 19 * 300
+    measured = lambda group: sorted(tuple(r) for r in pairing.measured_pairs(data, 8, (-4, -2, 0, 2, 4), 16, group).collect())
+    got = measured(None)
+    assert len(got) == 300 * 299 // 2 and sum(r[5] is None for r in got) == 6 * 294 + 15 and got == measured(16)
+
+
 def test_jumps():
     """Planted jumps are found where they are; a lone wrong anchor cuts nothing, also as the first or the last of a run."""
     rng = np.random.default_rng(11)
